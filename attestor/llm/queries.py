@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestor.llm.common import table
 from attestor.llm.exact_dedup import exact_duplicates
+from attestor.llm.packing import pack
+from attestor.llm.token_files import token_file_digests, write_token_files
 from attestor.llm.url_filter import judge_urls
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -19,6 +25,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(spark, write_token_files(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
