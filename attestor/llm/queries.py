@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from attestor.llm.common import table
 from attestor.llm.exact_dedup import exact_duplicates
 from attestor.llm.packing import pack
+from attestor.llm.piece_codec import piece_digests
 from attestor.llm.token_files import token_file_digests, write_token_files
 from attestor.llm.url_filter import judge_urls
 
@@ -17,6 +18,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
