@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -238,7 +239,6 @@ def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 def encode_ids(texts, model: str | None = None):
     """A column of ids: encode_ids("text")."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     path = model or default_model()
@@ -253,7 +253,6 @@ def encode_ids(texts, model: str | None = None):
 
 def decode_ids(ids, model: str | None = None):
     """A column of texts: decode_ids("ids")."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     path = model or default_model()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestor.llm.common import table
 from attestor.llm.exact_dedup import exact_duplicates
+from attestor.llm.license_scan import scan_licenses
 from attestor.llm.packing import pack
 from attestor.llm.piece_codec import piece_digests
 from attestor.llm.token_files import token_file_digests, write_token_files
@@ -26,6 +27,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
