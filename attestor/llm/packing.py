@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import cycle
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,12 +27,11 @@ from pyspark.sql import types as T
 from attestor.llm.tokens import default_vocabulary, slices, word_cache
 
 CAPACITY = 1024
-#: Windows in a group, and the tokens of fragments by which a group is evened out.
-WINDOWS, FRAGMENT = 64, 64
-#: Share of a group's tokens that is cut into fragments.
+#: Windows in a group; tokens a full group leaves free in each, so that a small spread needs no further window.
+WINDOWS, SLACK = 32, 2
+#: Share of a group's tokens that is cut into fragments, and their lengths, in turn: unequal lengths even out.
 FINE_SHARE = 0.25
-#: Tokens a full group leaves free in each window, so that small spreads need no further window.
-SLACK = 1
+FRAGMENTS = (128, 90, 61, 43, 29, 17, 11, 7, 5, 3, 2, 1)
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -97,9 +97,15 @@ def fragments(rests: list[tuple[int, int]], capacity: int = CAPACITY) -> list[tu
     pieces = []
     for d in sorted(range(len(rests)), key=lambda d: (rests[d][1], d)):
         start, n = rests[d]
-        step = FRAGMENT if fine > 0 else n
+        if fine <= 0:
+            pieces.append((d, start, n))
+            continue
         fine -= n
-        pieces += [(d, start + at, min(step, n - at)) for at in range(0, n, step)]
+        stop, turn = start + n, cycle(FRAGMENTS)
+        while start < stop:
+            size = min(next(turn), stop - start)
+            pieces.append((d, start, size))
+            start += size
     return pieces
 
 

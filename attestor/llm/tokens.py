@@ -19,7 +19,9 @@ _PLAIN = re.compile("[\\t\\n\\r -~¡-©«-±´¶-¸»¿-ɏ‐-‧‰-⁞₠-₿]
 #: A space that does not stand alone between two other characters.
 _ODD_SPACE = re.compile(r"^ | (?=\s|$)|(?<=[\t\n\r]) ")
 
-MAX_CHUNKS, MAX_PIECES = 500_000, 500_000
+MAX_CHUNKS, MAX_PIECES = 700_000, 600_000
+#: Stands before a text when it is cut: its first chunk has no space in front, unlike all others.
+FIRST = "\x02"
 
 
 def _trim(cache: dict, most: int) -> None:
@@ -28,15 +30,26 @@ def _trim(cache: dict, most: int) -> None:
             del cache[key]
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character by which byte-level vocabularies write each byte."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class WordCache:
     """Encodes batches of texts; one for each Python worker and vocabulary."""
 
     def __init__(self, path: str):
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.np = np
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same merges for pieces already cut and written in the vocabulary's byte alphabet.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.pre_tokenizer = pre_tokenizers.Split("\0", "removed")
+        self.alphabet = byte_alphabet()
         vocabulary = self.tokenizer.get_vocab()
         self.size = self.tokenizer.get_vocab_size()
         #: Ids of tokens that begin with a space.
@@ -54,7 +67,8 @@ class WordCache:
         words = [w for w in wanted if w[0] == " " and len(w) > 1 and w[1] not in "\t\n\r "]
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            ids = self.np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            spelled = "\n".join(some).encode().decode("latin-1").translate(self.alphabet)
+            ids = self.np.array(self.merges.encode_batch_fast([spelled.replace(self.alphabet[10], "\0")], add_special_tokens=False)[0].ids, dtype="<u4")
             starts = self.np.flatnonzero(self.leads[ids])
             if len(starts) == len(some):
                 raw, cuts = ids.tobytes(), (starts * 4).tolist()
@@ -65,7 +79,10 @@ class WordCache:
         self.pieces.update(zip(rest, self._library(rest), strict=True))
 
     def _plain(self, text: str) -> bool:
-        return bool(_PLAIN.fullmatch(text)) and not _ODD_SPACE.search(text) and not any(s in text for s in self.special)
+        """True if the text can be cut at its spaces."""
+        if "  " in text or text[0] == " " or text[-1] == " " or "\n " in text or " \n" in text or any(s in text for s in self.special):
+            return False
+        return bool(_PLAIN.fullmatch(text)) and not (("\t" in text or "\r" in text) and _ODD_SPACE.search(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the library gives them for the whole text without special tokens."""
@@ -78,27 +95,34 @@ class WordCache:
             out[i] = ids
         _trim(self.chunks, MAX_CHUNKS)
         _trim(self.pieces, MAX_PIECES)
-        split = []
-        for i in plain:
-            first, *rest = texts[i].split(" ")
-            split.append((i, first, rest))
-        wanted: set[str] = set()
-        for _, _, rest in split:
-            wanted.update(rest)
-        missing = [c for c in wanted if c not in self.chunks]
-        if missing:
-            spaced = [" " + c for c in missing]
-            cut = [_PIECE.findall(c) for c in spaced]
-            self._learn_pieces([p for p in {p for pieces in cut for p in pieces} if p not in self.pieces])
-            get = self.pieces.__getitem__
-            self.chunks.update(zip(missing, (b"".join(map(get, pieces)) for pieces in cut), strict=True))
-        firsts = [_PIECE.findall(first) for _, first, _ in split]
-        self._learn_pieces([p for p in {p for pieces in firsts for p in pieces} if p not in self.pieces])
-        piece, chunk = self.pieces.__getitem__, self.chunks.__getitem__
-        for (i, _, rest), head in zip(split, firsts, strict=True):
-            out[i] = b"".join(map(piece, head)) + b"".join(map(chunk, rest))
+        if plain:
+            for i, ids in zip(plain, self._cut_and_look_up([FIRST + texts[i] for i in plain]), strict=True):
+                out[i] = ids
         return out
 
+    def _cut_and_look_up(self, texts: list[str]) -> list[bytes]:
+        """Cut texts at their spaces, look each distinct chunk up once, and lay the ids out in the texts' order."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np = self.np
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        chunks, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        ids = list(map(self.chunks.get, chunks))
+        gaps = [k for k, v in enumerate(ids) if v is None]
+        cut = [_PIECE.findall(chunks[k][1:] if chunks[k][0] == FIRST else " " + chunks[k]) for k in gaps]
+        self._learn_pieces([p for p in set().union(*cut) if p not in self.pieces])
+        piece = self.pieces.__getitem__
+        for k, pieces in zip(gaps, cut, strict=True):
+            ids[k] = self.chunks[chunks[k]] = b"".join(map(piece, pieces))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts, n = np.cumsum(sizes) - sizes, sizes[codes]
+        ends = np.cumsum(n)
+        raw = np.frombuffer(b"".join(ids), "<u4")[np.arange(ends[-1]) + np.repeat(starts[codes] - ends + n, n)].tobytes()
+        at = (4 * np.append(0, ends)[bounds]).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
 
 @lru_cache(maxsize=4)
 def word_cache(path: str) -> WordCache:
@@ -112,7 +136,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def slices(texts: list[str], chars: int = 2_000_000):
+def slices(texts: list[str], chars: int = 4_000_000):
     """(from, to) of runs of texts that have about that many characters, so that no batch is unbounded."""
     start = held = 0
     for i, t in enumerate(texts):
