@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestor.llm.common import table
 from attestor.llm.exact_dedup import exact_duplicates
+from attestor.llm.fingerprints import compare_with_edited_and_next
+from attestor.llm.language_id import identify_languages
 from attestor.llm.license_scan import scan_licenses
 from attestor.llm.packing import pack
 from attestor.llm.piece_codec import piece_digests
 from attestor.llm.token_files import token_file_digests, write_token_files
+from attestor.llm.toxicity import score_toxicity
 from attestor.llm.url_filter import judge_urls
 
 
@@ -19,10 +22,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edited_and_next(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -35,6 +46,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(spark, write_token_files(table(spark, sf_dir, "documents")))
 
