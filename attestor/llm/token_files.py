@@ -49,7 +49,7 @@ def filesystem(uri: str):
 class FrameWriter:
     """Writes documents in the order given to an open binary stream."""
 
-    def __init__(self, out, id_bytes: int, level: int = 3):
+    def __init__(self, out, id_bytes: int, level: int = 1):
         import zstandard
 
         self.out, self.id_bytes = out, id_bytes
