@@ -11,6 +11,7 @@ from attestor.llm.exact_dedup import exact_duplicates
 from attestor.llm.fingerprints import compare_with_edited_and_next
 from attestor.llm.language_id import identify_languages
 from attestor.llm.license_scan import scan_licenses
+from attestor.llm.near_dedup import near_duplicates
 from attestor.llm.packing import pack
 from attestor.llm.piece_codec import piece_digests
 from attestor.llm.token_files import token_file_digests, write_token_files
@@ -54,8 +55,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(spark, write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    from corpus_pipeline import run
+
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
