@@ -28,13 +28,15 @@ from pyspark.sql import types as T
 from attestor.llm.tokens import _trim, slices
 
 SPACE = "▁"
-MAX_WORDS, MAX_PAIRS = 400_000, 4_000_000
+MAX_WORDS, MAX_PARTS, MAX_PAIRS = 700_000, 500_000, 4_000_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
 ])
 
+#: Runs of letters, of digits, and other characters one by one.
+_RUNS = re.compile(r"[^\W\d_]+|\d+|_|[^\w]", re.DOTALL)
 _BOUND = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
@@ -69,8 +71,12 @@ class PieceCodec:
                 self.automaton.add_word(p, (i, len(p)))
                 self.texts[i] = p
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by u << 20 | t
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.parts: dict[str, tuple[int, str, str]] = {}
+        self.numbers = [str(i) for i in range(n)]
+        #: Neighbours inside some piece. Between others no piece reaches across, so a word can be cut there.
+        self.inside = {p[k : k + 2] for p in self.scores for k in range(len(p) - 1)}
 
     def _merge(self, text: str) -> list[int]:
         """Plain merging: the adjacent pair of the best score, the leftmost among equals, until none is a piece."""
@@ -93,7 +99,7 @@ class PieceCodec:
     def _compatible(self, u: int, t: int) -> bool:
         if len(self.pairs) > MAX_PAIRS:
             self.pairs.clear()
-        ok = self.pairs[u, t] = self._merge(self.texts[u] + self.texts[t]) == [u, t]
+        ok = self.pairs[u << 20 | t] = self._merge(self.texts[u] + self.texts[t]) == [u, t]
         return ok
 
     def encode_word(self, word: str) -> list[int]:
@@ -112,7 +118,7 @@ class PieceCodec:
             at = end - size
             if at:
                 u = last[at]
-                ok = pairs_get((u, t))
+                ok = pairs_get(u << 20 | t)
                 if ok is None:
                     ok = self._compatible(u, t)
                 if not ok:
@@ -167,26 +173,74 @@ class PieceCodec:
         text = self._join(ids)
         return text[1:] if ids and self.pieces[ids[0]].startswith(SPACE) else text
 
+    def _cut(self, word: str) -> list[str]:
+        """The word in parts between which no piece reaches across."""
+        parts: list[str] = []
+        for run in _RUNS.findall(word):
+            if parts and parts[-1][-1] + run[0] in self.inside:
+                parts[-1] += run
+            else:
+                parts.append(run)
+        return parts
+
+    def _word(self, word: str) -> tuple[int, str, str]:
+        """Number of ids, ids joined by commas and decoded text of a word, space mark included."""
+        found = []
+        for part in self._cut(word):
+            value = self.parts.get(part)
+            if value is None:
+                ids = self.encode_word(part)
+                text = "".join(map(self.pieces.__getitem__, ids))
+                # The text of a byte piece begins like this.
+                text = self._join(ids) if "<0x" in text else text.replace(SPACE, " ")
+                value = self.parts[part] = len(ids), ",".join(map(self.numbers.__getitem__, ids)), text
+            found.append(value)
+        if len(found) == 1:
+            return found[0]
+        n, ids, text = zip(*found, strict=True)
+        return sum(n), ",".join(ids), "".join(text)
+
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of ids, SHA-256 of the decimal ids joined by commas and of the decoded text, for each text."""
         _trim(self.words, MAX_WORDS)
-        split = [(SPACE + t.replace(" ", SPACE) if "  " in t or SPACE in t or t[:1] == " " else None, t) for t in texts]
-        lists = [_BOUND.split(s) if s else [SPACE + w for w in t.split(" ")] if t else [] for s, t in split]
-        words = self.words
-        for w in {w for ws in lists for w in ws if w not in words}:
-            ids = self.encode_word(w)
-            words[w] = (len(ids), ",".join(map(str, ids)), self._join(ids))
-        out = []
-        for ws in lists:
-            if not ws:
-                out.append((0, _sha(""), _sha("")))
-                continue
-            n, ids, decoded = zip(*map(words.__getitem__, ws), strict=True)
-            text = "".join(decoded)
-            # The first word begins with the mark that encoding put in front.
-            out.append((sum(n), _sha(",".join(ids)), _sha(text[1:])))
+        _trim(self.parts, MAX_PARTS)
+        out: list[tuple[int, str, str]] = [(0, _sha(""), _sha(""))] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if "  " in t or SPACE in t or t[:1] == " ":
+                n, ids, decoded = zip(*map(self._word, _BOUND.split(SPACE + t.replace(" ", SPACE))), strict=True)
+                out[i] = sum(n), _sha(",".join(ids)), _sha("".join(decoded)[1:])
+            elif t:
+                plain.append(i)
+        if plain:
+            for i, found in zip(plain, self._looked_up([texts[i] for i in plain]), strict=True):
+                out[i] = found
         return out
 
+    def _looked_up(self, texts: list[str]):
+        """digests() of texts in which spaces stand alone: each distinct word is looked up once, and Arrow joins the rest."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        values = []
+        for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist():
+            found = self.words.get(w)
+            if found is None:
+                found = self.words[w] = self._word(SPACE + w)
+            values.append(found)
+        n, ids, decoded = zip(*values, strict=True)
+        counts = np.add.reduceat(np.array(n)[coded.indices.to_numpy()], lists.offsets.to_numpy()[:-1]).tolist()
+
+        def joined(parts, by: str):
+            return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, pa.array(parts, pa.large_string()).take(coded.indices)), pa.scalar(by, pa.large_string()))
+
+        for count, x, y in zip(counts, joined(ids, ","), joined(decoded, ""), strict=True):
+            # The first word begins with the mark that encoding put in front.
+            yield count, hashlib.sha256(x.as_buffer()).hexdigest(), hashlib.sha256(memoryview(y.as_buffer())[1:]).hexdigest()
+
 
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
