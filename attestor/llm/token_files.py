@@ -25,13 +25,15 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from attestor.llm.common import scratch
+from attestor.llm.common import arrow_batches, scratch
 from attestor.llm.tokens import default_vocabulary, slices, word_cache
 
 SEEKABLE_MAGIC, SEEK_TABLE, INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A5D
 NULL_ID = -(2**63)
 #: A frame is closed when its documents have this many ids.
 FRAME_IDS = 256 * 1024
+#: Documents that a worker gets at a time.
+BATCH = 1000
 
 MANIFEST = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("docs", T.LongType()), T.StructField("tokens", T.LongType()),
@@ -173,7 +175,8 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
     store.create_dir(base, recursive=True)
     ordered = docs.select(docs["doc_id"].cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     scheme = folder.split("://")[0] + "://" if "://" in folder else "file://"
-    rows = ordered.mapInArrow(lambda it: write_partition(it, folder, vocabulary, end_id), MANIFEST).collect()
+    with arrow_batches(spark, BATCH):
+        rows = ordered.mapInArrow(lambda it: write_partition(it, folder, vocabulary, end_id), MANIFEST).collect()
     return [r.asDict() | {"path": scheme + r["path"]} for r in sorted(rows, key=lambda r: r["part"])]
 
 

@@ -19,7 +19,7 @@ _PLAIN = re.compile("[\\t\\n\\r -~¡-©«-±´¶-¸»¿-ɏ‐-‧‰-⁞₠-₿]
 #: A space that does not stand alone between two other characters.
 _ODD_SPACE = re.compile(r"^ | (?=\s|$)|(?<=[\t\n\r]) ")
 
-MAX_CHUNKS, MAX_PIECES = 700_000, 600_000
+MAX_CHUNKS, MAX_PIECES = 850_000, 650_000
 #: Stands before a text when it is cut: its first chunk has no space in front, unlike all others.
 FIRST = "\x02"
 
