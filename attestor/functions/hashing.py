@@ -25,9 +25,9 @@ def feature_index(feature: Column, dimension: int = 384) -> Column:
 
 
 def feature_sign(feature: Column) -> Column:
-    """1 or -1 by the low bit of the ninth byte."""
+    """1 where the low bit of the ninth byte is set, else -1."""
     odd = F.conv(F.substring(F.sha2(feature, 256), 17, 2), 16, 10).cast("int").bitwiseAND(1)
-    return F.when(odd == 0, F.lit(1)).otherwise(F.lit(-1))
+    return F.when(odd == 1, F.lit(1)).otherwise(F.lit(-1))
 
 
 def stable_uuid(key: Column) -> Column:

@@ -108,7 +108,7 @@ def diagnose(queries: DataFrame, assessed: DataFrame, answers: DataFrame, mode:
         failure("answerability_gap", has & (F.col("supported") == 0), 0, F.col("all_refs")), failure("semantic_only_match", some("semantic_refs"), 1, F.col("semantic_refs")),
         failure("metadata_only_match", some("metadata_refs"), 1, F.col("metadata_refs")), failure("weak_evidence", some("weak_refs"), F.when(F.col("top_strength") == "weak", 0).otherwise(1), F.col("weak_refs")),
         failure("duplicate_evidence", some("duplicate_refs"), 1, F.col("duplicate_refs")), failure("heading_only_evidence", some("heading_refs"), 1, F.col("heading_refs")),
-        failure("low_score_margin", (F.col("s1") > 1.2e-7) & (F.greatest(F.lit(0.0), F.round(F.try_divide(F.col("s1") - F.col("s2"), F.col("s1")), 9)) <= MARGIN), 1, two),
+        failure("low_score_margin", F.col("s2").isNotNull() & (F.col("s1") > 1.2e-7) & (F.greatest(F.lit(0.0), F.round(F.try_divide(F.col("s1") - F.col("s2"), F.col("s1")), 9)) <= MARGIN), 1, two),
         failure("citation_missing", answered & (F.size("citations") == 0), 0, F.array(F.lit("E1"))),
         failure("top_result_not_cited", answered & (F.size("citations") > 0) & ~F.coalesce(F.array_contains(F.col("citations"), F.col("answer_chunk")), F.lit(True)), 1, F.array(evidence_ref(F.col("answer_rank")))),
     ]

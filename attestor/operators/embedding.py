@@ -47,7 +47,7 @@ def embed_sparse(df: DataFrame, key: str, text: str, dimension: int = DIMENSION)
 @lru_cache(maxsize=1 << 18)
 def _slot(name: str, dimension: int) -> tuple[int, float]:
     digest = hashlib.sha256(name.encode()).digest()
-    return int.from_bytes(digest[:8], "big") % dimension, 1.0 if digest[8] & 1 == 0 else -1.0
+    return int.from_bytes(digest[:8], "big") % dimension, 1.0 if digest[8] & 1 else -1.0
 
 
 def _dense(tokens, dimension: int) -> np.ndarray:

@@ -144,7 +144,7 @@ f AS (
   UNION ALL SELECT id, 'concept:' || c, 2.2 FROM (SELECT id, unnest(t) AS tok FROM t) JOIN (VALUES {", ".join(f"('{t}', '{c}')" for c, ts in o.CONCEPTS.items() for t in ts)}) AS m(tok, c) USING (tok)
 ),
 s AS (
-  SELECT id, (('0x' || substr(sha256(name), 1, 16))::UBIGINT % 384)::INT AS idx, w * CASE WHEN ('0x' || substr(sha256(name), 17, 2))::INT & 1 = 0 THEN 1 ELSE -1 END AS w FROM f
+  SELECT id, (('0x' || substr(sha256(name), 1, 16))::UBIGINT % 384)::INT AS idx, w * CASE WHEN ('0x' || substr(sha256(name), 17, 2))::INT & 1 = 1 THEN 1 ELSE -1 END AS w FROM f
 ),
 g AS (SELECT id, idx, round(sum(w), 6)::DOUBLE AS w FROM s GROUP BY ALL HAVING round(sum(w), 6) <> 0),
 e AS (SELECT id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS value FROM g)"""
@@ -242,7 +242,7 @@ f AS (
     CASE WHEN len(metadata_ranks) > 0 THEN {'s': 1, 'o': 8, 'c': 'metadata_only_match', 'r': metadata_ranks} END,
     CASE WHEN len(duplicate_ranks) > 0 THEN {'s': 1, 'o': 9, 'c': 'duplicate_evidence', 'r': duplicate_ranks} END,
     CASE WHEN len(heading_ranks) > 0 THEN {'s': 1, 'o': 10, 'c': 'heading_only_evidence', 'r': heading_ranks} END,
-    CASE WHEN s1 > 1.2e-7 AND greatest(0.0, round((s1 - s2) / s1, 9)) <= 0.1 THEN {'s': 1, 'o': 11, 'c': 'low_score_margin', 'r': [1, 2]::INT[]} END
+    CASE WHEN s2 IS NOT NULL AND s1 > 1.2e-7 AND greatest(0.0, round((s1 - s2) / s1, 9)) <= 0.1 THEN {'s': 1, 'o': 11, 'c': 'low_score_margin', 'r': [1, 2]::INT[]} END
   ], lambda x: x IS NOT NULL)) AS failures
   FROM questions LEFT JOIN a USING (query_id)
 ),

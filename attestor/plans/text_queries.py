@@ -104,7 +104,7 @@ def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op_a15_feature_hash", f"""WITH t AS (SELECT DISTINCT unnest({o.terms('text')}) AS t FROM benchmark)
-SELECT t AS term, (('0x' || substr(sha256('token:' || t), 1, 16))::UBIGINT % 384)::INT AS idx, CASE WHEN ('0x' || substr(sha256('token:' || t), 17, 2))::INT & 1 = 0 THEN 1 ELSE -1 END AS sign FROM t""")
+SELECT t AS term, (('0x' || substr(sha256('token:' || t), 1, 16))::UBIGINT % 384)::INT AS idx, CASE WHEN ('0x' || substr(sha256('token:' || t), 17, 2))::INT & 1 = 1 THEN 1 ELSE -1 END AS sign FROM t""")
 def feature_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select(F.explode(text.query_terms(F.col("text"))).alias("term")).distinct()
     name = F.concat(F.lit("token:"), F.col("term"))

@@ -74,14 +74,16 @@ class Store:
         """Rows with these keys go; in cascade (table: column) rows that refer to them go too, in unset they lose the reference."""
         for table, column in (cascade or {}).items():
             if self.exists(table):
-                self.replace(table, self.read(table).join(keys.select(F.col(key).alias(column)), column, "left_anti"))
+                held = self.read(table)
+                self.replace(table, held.join(keys.select(F.col(key).alias(column)), column, "left_anti").select(*held.columns))
         for table, column in (unset or {}).items():
             if self.exists(table):
                 gone = keys.select(F.col(key).alias("_gone"))
                 held = self.read(table)
                 met = held.join(gone, held[column] == F.col("_gone"), "left")
-                self.replace(table, met.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_gone"))
-        self.replace(name, self.read(name).join(keys.select(key), key, "left_anti"))
+                self.replace(table, met.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*held.columns))
+        held = self.read(name)
+        self.replace(name, held.join(keys.select(key), key, "left_anti").select(*held.columns))
 
 
 def last_by(rows: DataFrame, key: str, order: str) -> DataFrame:
