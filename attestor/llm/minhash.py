@@ -81,6 +81,17 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(least) >> np.uint64(48)).astype("<u2")
 
 
+#: 64-bit words of a parity bitmap.
+WORDS_OF_BITS = 8
+
+
+def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Each shingle flips one of 512 bits: two sets differ in at least as many shingles as their bitmaps in bits."""
+    at = (shingles * np.uint64(_BASE)) >> np.uint64(64 - 9)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * WORDS_OF_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 

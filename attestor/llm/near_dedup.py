@@ -11,7 +11,7 @@ Larger keys never give all their pairs. Their classes are joined on full sets in
 shingles are ranked by how many of these classes hold them, sets of similarity t share one of their first
 n - ceil(t n) + 1 shingles, and each such prefix bucket first tries only the class with the fewest shingles of
 its own (a star). After components are formed, buckets in which different components meet give the pairs between
-those that positions and sizes allow. Every pair is confirmed on the full sets; components are found by
+those that positions, sizes and parity bitmaps (a lower bound of the sets' difference) allow. Every pair is confirmed on the full sets; components are found by
 propagating the smallest id with pointer jumping over stored tables.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; a
@@ -22,6 +22,7 @@ one node; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.llm.common import stored
-from attestor.llm.minhash import DISTANCE, SYMBOLS, chunk_keys, set_digest, shingle_sets, signature
+from attestor.llm.common import arrow_batches, stored
+from attestor.llm.minhash import DISTANCE, SYMBOLS, WORDS_OF_BITS, chunk_keys, parity_bitmap, set_digest, shingle_sets, signature
 from attestor.llm.tokens import slices
 
 WORDS, PERCENT = 5, 80
@@ -41,10 +42,13 @@ HOT_SHARE = 1000
 #: Bits of the filter of wanted documents; its 8 MB do not grow with the data.
 FILTER_BITS = 1 << 26
 
+#: Characters hashed at a time and rows in a batch, which bound a worker's memory.
+SLICE, BATCH = 300_000, 1000
+
 _SIGNATURE = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("symbols", T.BinaryType()),
 ])
-_SET = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())])
+_SET = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())] + [T.StructField(f"bits{k}", T.LongType()) for k in range(WORDS_OF_BITS)])
 
 
 def _texts(batch) -> tuple[list, list[str]]:
@@ -59,7 +63,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             ids, texts = _texts(batch)
-            for a, b in slices(texts, 1_000_000):
+            for a, b in slices(texts, SLICE):
                 sizes, digests, symbols = [], [], []
                 for s in shingle_sets(texts[a:b], words):
                     sizes.append(len(s))
@@ -123,9 +127,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             ids, texts = _texts(batch)
-            for a, b in slices(texts, 1_000_000):
+            for a, b in slices(texts, SLICE):
                 found = list(shingle_sets(texts[a:b], words))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=_SET.names)
+                bits = np.stack([parity_bitmap(s) for s in found])
+                columns = [pa.array(ids[a:b], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(bits[:, k]) for k in range(WORDS_OF_BITS)], names=_SET.names)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("rep"), "text").where(F.col("rep").isNotNull())
     return rows.where(passes(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)))).mapInArrow(made, _SET)
@@ -190,22 +196,28 @@ def prefixes(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     common = common.withColumn("own", F.col("n") - F.size("held"))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1 - F.col("own")
     kept = common.where(length > 0).select("rep", "n", "own", F.posexplode(F.slice("held", 1, length.cast("int"))).alias("at", "x"))
-    return stored(kept.select("x.token", "rep", "n", "own", (F.col("at") + F.col("own") + 1).alias("at")), "prefixes")
+    kept = kept.select("x.token", "rep", "n", "own", (F.col("at") + F.col("own") + 1).alias("at"))
+    return stored(kept.join(sets.select("rep", *_BITS), "rep"), "prefixes")
+
+
+_BITS = [f"bits{k}" for k in range(WORDS_OF_BITS)]
 
 
 def _possible(percent: int) -> Column:
-    """Whether sizes and ranks leave room for percent of the union: x and y are prefix rows of one token."""
+    """Whether sizes and ranks leave room for percent of the union, and the parity bitmaps, whose unequal bits are at most
+    as many as the unequal shingles: x and y are prefix rows of one token."""
     n, m = F.col("x.n"), F.col("y.n")
     before = F.least(F.col("x.at") - F.col("x.own"), F.col("y.at") - F.col("y.own"))
     most = before + F.least(n - F.col("x.at"), m - F.col("y.at"))
-    return most * (100 + percent) >= (n + m) * percent
+    unequal = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS])
+    return (most * (100 + percent) >= (n + m) * percent) & (unequal * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def star_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     """Pairs of each set with the one of fewest own shingles in each of its prefix buckets."""
     centers = stored(
-        prefix.groupBy("token").agg(F.min(F.struct("own", "rep", "n", "at")).alias("c"), F.count(F.lit(1)).alias("many")).where("many > 1")
-        .select("token", F.col("c.rep").alias("rep"), F.col("c.n").alias("n"), F.col("c.own").alias("own"), F.col("c.at").alias("at")), "centers",
+        prefix.groupBy("token").agg(F.min(F.struct("own", "rep", "n", "at", *_BITS)).alias("c"), F.count(F.lit(1)).alias("many")).where("many > 1")
+        .select("token", *[F.col(f"c.{x}").alias(x) for x in ("rep", "n", "own", "at", *_BITS)]), "centers",
     )
     met = prefix.alias("x").join(centers.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") != F.col("y.rep")) & _possible(percent))
     return met.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
@@ -245,10 +257,11 @@ def class_links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> D
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    marks = stored(signatures(docs, words), "signatures")
-    filled = marks.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    reps = stored(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.min_by("symbols", "doc_id").alias("symbols")), "classes")
-    labels = components(class_links(docs, reps.dropDuplicates(["rep"]), words, percent))
+    with arrow_batches(docs.sparkSession, BATCH):
+        marks = stored(signatures(docs, words), "signatures")
+        filled = marks.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+        reps = stored(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.min_by("symbols", "doc_id").alias("symbols")), "classes")
+        labels = components(class_links(docs, reps.dropDuplicates(["rep"]), words, percent))
     placed = stored(
         reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", "many", F.coalesce("label", "rep").alias("component_id")), "class-components"
     )
