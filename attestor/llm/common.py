@@ -58,3 +58,10 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on at most so many rows go to a Python worker at a time: for applications whose stages share workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

@@ -109,11 +109,12 @@ def fragments(rests: list[tuple[int, int]], capacity: int = CAPACITY) -> list[tu
     return pieces
 
 
-def pack_partition(batches: Iterator, vocabulary: str, end_id: int, capacity: int):
+def pack_partition(batches: Iterator, vocabulary: str, end_id: int, capacity: int, entries: int | None = None):
     """pack() of one partition of Arrow batches (doc_id, text)."""
     import pyarrow as pa
 
     cache, made = word_cache(vocabulary), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+    cache.limit(entries)
     closing = end_id.to_bytes(4, "little")
     rows: list[tuple] = []
     group: list[tuple[int | None, bytes, int, int]] = []  # doc_id, ids of the rest, its start, doc_tokens
@@ -138,7 +139,7 @@ def pack_partition(batches: Iterator, vocabulary: str, end_id: int, capacity: in
 
     for batch in batches:
         ids_of, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        for a, b in slices(texts):
+        for a, b in slices(texts, 5 * entries) if entries else slices(texts):
             for doc_id, raw in zip(ids_of[a:b], cache.encode(texts[a:b]), strict=True):
                 raw += closing
                 n = len(raw) // 4
@@ -158,13 +159,20 @@ def pack_partition(batches: Iterator, vocabulary: str, end_id: int, capacity: in
     flush()
     if rows:
         yield _batch(pa, rows)
+    if entries:
+        cache.limit(1)
+        pa.default_memory_pool().release_unused()
 
 
 def _batch(pa, rows):
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=SCHEMA.names)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """A row for each piece of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capacity: int = CAPACITY, entries: int | None = None) -> DataFrame:
+    """A row for each piece of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    entries: how many words each worker's caches keep, and only while a partition lasts; fewer take less memory and more
+    time. By default they keep more, from one partition to the next.
+    """
     vocabulary = vocabulary or default_vocabulary()
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(lambda it: pack_partition(it, vocabulary, end_id, capacity), SCHEMA)
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(lambda it: pack_partition(it, vocabulary, end_id, capacity, entries), SCHEMA)

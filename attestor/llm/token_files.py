@@ -150,6 +150,7 @@ def write_partition(batches: Iterator, folder: str, vocabulary: str, end_id: int
     from pyspark import TaskContext
 
     cache, context = word_cache(vocabulary), TaskContext.get()
+    cache.limit(None)
     part = context.partitionId() if context else 0
     store, base = filesystem(folder)
     path, writer, closing = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst", None, end_id.to_bytes(4, "little")

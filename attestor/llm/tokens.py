@@ -25,8 +25,9 @@ FIRST = "\x02"
 
 
 def _trim(cache: dict, most: int) -> None:
+    """Half of most stay, the latest, once there are more than most."""
     if len(cache) > most:
-        for key in list(islice(cache, len(cache) // 2)):
+        for key in list(islice(cache, len(cache) - most // 2)):
             del cache[key]
 
 
@@ -58,6 +59,16 @@ class WordCache:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.limit(None)
+
+    def limit(self, entries: int | None) -> None:
+        """At most so many chunks and as many pieces are kept from now on; None for the usual numbers."""
+        self.most = (entries, entries) if entries else (MAX_CHUNKS, MAX_PIECES)
+        self.trim()
+
+    def trim(self) -> None:
+        _trim(self.chunks, self.most[0])
+        _trim(self.pieces, self.most[1])
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [self.np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -93,8 +104,7 @@ class WordCache:
                 (plain if self._plain(t) else other).append(i)
         for i, ids in zip(other, self._library([texts[i] for i in other]), strict=True):
             out[i] = ids
-        _trim(self.chunks, MAX_CHUNKS)
-        _trim(self.pieces, MAX_PIECES)
+        self.trim()
         if plain:
             for i, ids in zip(plain, self._cut_and_look_up([FIRST + texts[i] for i in plain]), strict=True):
                 out[i] = ids

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm.common import stored, table
+from attestor.llm.common import small_batches, stored, table
 from attestor.llm.exact_dedup import without_exact_duplicates
 from attestor.llm.language_id import with_known_language
 from attestor.llm.near_dedup import without_near_duplicates
@@ -16,13 +16,19 @@ from attestor.llm.packing import pack
 from attestor.llm.toxicity import without_toxic
 
 
+#: Words in the caches of packing: workers go on to other stages and keep them.
+WORDS = 60_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: null texts and texts without letters."""
+    small_batches(spark)
     return with_known_language(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents predicted toxic."""
+    small_batches(spark)
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -38,7 +44,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in windows of 1024 tokens."""
-    return pack(docs)
+    small_batches(spark)
+    return pack(docs, entries=WORDS)
 
 
 STAGES = [("language", language), ("toxicity", toxicity), ("exact", exact), ("near", near), ("packing", packing)]
