@@ -162,7 +162,7 @@ def score(chunks: DataFrame, queries: DataFrame, mode: str = "lexical", similar:
     else:
         pairs = pairs.join(similar, ["query_id", "chunk_id"], "full_outer").withColumns({"similarity": F.coalesce("similarity", F.lit(0.0)), "matched": F.coalesce("matched", F.lit(0))})
     pairs = pairs.join(phrase_hits(chunks, queries), ["query_id", "chunk_id"], "left")
-    rows = pairs.join(F.broadcast(queries), "query_id").join(chunks, "chunk_id")  # at most MAX_QUERIES: phrase_hits refuses more
+    rows = pairs.join(F.broadcast(queries), "query_id").join(chunks.drop("text"), "chunk_id")  # at most MAX_QUERIES: phrase_hits refuses more
     n, has = F.greatest("n_terms", F.lit(1)), F.col("matched") > 0
     semantic = F.when(F.col("similarity") >= config.min_similarity, F.col("similarity")).otherwise(0.0)
     rows = rows.withColumns({
@@ -226,4 +226,5 @@ def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "lexical", simil
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     k = min(config.top_k if top_k == 0 else top_k, config.max_top_k)
-    return cite(rank_hits(score(chunks, queries, mode, similar, config), k, config))
+    ranked = rank_hits(score(chunks, queries, mode, similar, config), k, config)
+    return cite(ranked.join(chunks.select("chunk_id", "text"), "chunk_id"))  # texts meet only the hits that stay
