@@ -1,8 +1,8 @@
 """License scans with ordered signature rules.
 
-A rule has a keyword, a regular expression on the lower-cased text, a label and a priority. A document must
-hold one of a few stems before anything is matched, and a rule's expression runs only where the text contains
-its keyword. Detections are ordered by their start; one that lies inside a detection of higher priority, or
+A rule has keywords, a regular expression on the lower-cased text, a label and a priority. Its expression runs
+only where the text contains one of its keywords; whatever the expression matches contains one, so nothing is
+lost. Detections are ordered by their start; one that lies inside a detection of higher priority, or
 inside a longer one of equal priority, is suppressed, which resolves overlapping names (``lesser general public
 license`` holds ``general public license``). Three base phrases are counted besides, word by word.
 
@@ -29,28 +29,25 @@ WORD_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Without one of these a text has no detection and no base phrase.
-STEMS = ("licen", "copyright", "cc", "spdx", "gnu", "public domain", "creative commons", "rights reserved", "copyleft", "warranty")
-
 SEP = "[\\s,;:()/_-]+"
 OPT = "[\\s,;:()/_-]*"
 
-#: label, expression of the name, keyword that any text with the name contains, SPDX identifiers.
+#: label, expression of the name, keywords of which any text with the name contains one (divided by |), SPDX identifiers.
 FAMILIES = (
     ("mit", f"(?:the{SEP})?mit(?:/x11|/expat)?", "mit", "mit"),
     ("mit-0", f"mit{SEP}no{SEP}attribution", "attribution", "mit-0"),
     ("apache-1", f"apache{SEP}(?:software{SEP})?licen[cs]e{SEP}(?:version{SEP}|v\\.?{OPT})?1(?:\\.[01])?", "apache", "apache-1\\.[01]"),
     ("apache-2", f"apache{SEP}(?:software{SEP})?licen[cs]e{SEP}(?:version{SEP}|v\\.?{OPT})?2(?:\\.0)?", "apache", "apache-2\\.0"),
     ("apache", f"apache{SEP}(?:software{SEP})?(?=licen[cs]e)", "apache", "apache"),
-    ("gpl-1", f"(?:gnu{SEP})?(?:general{SEP}public{SEP}licen[cs]e|gpl){OPT}(?:version{SEP}|v\\.?{OPT})1(?:\\.0)?(?![0-9]|\\.[0-9])", "g", "gpl-1\\.0(?:-only|-or-later|\\+)?"),
-    ("gpl-2", f"(?:gnu{SEP})?(?:general{SEP}public{SEP}licen[cs]e|gpl){OPT}(?:version{SEP}|v\\.?{OPT})2(?:\\.0)?(?![0-9]|\\.[0-9])", "g", "gpl-2\\.0(?:-only|-or-later|\\+)?"),
-    ("gpl-3", f"(?:gnu{SEP})?(?:general{SEP}public{SEP}licen[cs]e|gpl){OPT}(?:version{SEP}|v\\.?{OPT})3(?:\\.0)?(?![0-9]|\\.[0-9])", "g", "gpl-3\\.0(?:-only|-or-later|\\+)?"),
-    ("gpl", f"(?:gnu{SEP}general{SEP}public|gnu{SEP}gpl|(?<![a-z])gpl)", "g", "gpl"),
-    ("lgpl-2", f"(?:gnu{SEP})?(?:(?:lesser|library){SEP}general{SEP}public{SEP}licen[cs]e|lgpl){OPT}(?:version{SEP}|v\\.?{OPT})2(?:\\.[01])?", "l", "lgpl-2\\.[01](?:-only|-or-later|\\+)?"),
-    ("lgpl-3", f"(?:gnu{SEP})?(?:lesser{SEP}general{SEP}public{SEP}licen[cs]e|lgpl){OPT}(?:version{SEP}|v\\.?{OPT})3(?:\\.0)?", "l", "lgpl-3\\.0(?:-only|-or-later|\\+)?"),
-    ("lgpl", f"(?:gnu{SEP})?(?:(?:lesser|library){SEP}general{SEP}public|lgpl)", "l", "lgpl"),
-    ("agpl-3", f"(?:gnu{SEP})?(?:affero{SEP}general{SEP}public{SEP}licen[cs]e|agpl){OPT}(?:version{SEP}|v\\.?{OPT})3(?:\\.0)?", "a", "agpl-3\\.0(?:-only|-or-later|\\+)?"),
-    ("agpl", f"(?:gnu{SEP})?(?:affero{SEP}general{SEP}public|agpl)", "a", "agpl"),
+    ("gpl-1", f"(?:gnu{SEP})?(?:general{SEP}public{SEP}licen[cs]e|gpl){OPT}(?:version{SEP}|v\\.?{OPT})1(?:\\.0)?(?![0-9]|\\.[0-9])", "gpl|general", "gpl-1\\.0(?:-only|-or-later|\\+)?"),
+    ("gpl-2", f"(?:gnu{SEP})?(?:general{SEP}public{SEP}licen[cs]e|gpl){OPT}(?:version{SEP}|v\\.?{OPT})2(?:\\.0)?(?![0-9]|\\.[0-9])", "gpl|general", "gpl-2\\.0(?:-only|-or-later|\\+)?"),
+    ("gpl-3", f"(?:gnu{SEP})?(?:general{SEP}public{SEP}licen[cs]e|gpl){OPT}(?:version{SEP}|v\\.?{OPT})3(?:\\.0)?(?![0-9]|\\.[0-9])", "gpl|general", "gpl-3\\.0(?:-only|-or-later|\\+)?"),
+    ("gpl", f"(?:gnu{SEP}general{SEP}public|gnu{SEP}gpl|(?<![a-z])gpl)", "gpl|general", "gpl"),
+    ("lgpl-2", f"(?:gnu{SEP})?(?:(?:lesser|library){SEP}general{SEP}public{SEP}licen[cs]e|lgpl){OPT}(?:version{SEP}|v\\.?{OPT})2(?:\\.[01])?", "lgpl|general", "lgpl-2\\.[01](?:-only|-or-later|\\+)?"),
+    ("lgpl-3", f"(?:gnu{SEP})?(?:lesser{SEP}general{SEP}public{SEP}licen[cs]e|lgpl){OPT}(?:version{SEP}|v\\.?{OPT})3(?:\\.0)?", "lgpl|general", "lgpl-3\\.0(?:-only|-or-later|\\+)?"),
+    ("lgpl", f"(?:gnu{SEP})?(?:(?:lesser|library){SEP}general{SEP}public|lgpl)", "lgpl|general", "lgpl"),
+    ("agpl-3", f"(?:gnu{SEP})?(?:affero{SEP}general{SEP}public{SEP}licen[cs]e|agpl){OPT}(?:version{SEP}|v\\.?{OPT})3(?:\\.0)?", "agpl|affero", "agpl-3\\.0(?:-only|-or-later|\\+)?"),
+    ("agpl", f"(?:gnu{SEP})?(?:affero{SEP}general{SEP}public|agpl)", "agpl|affero", "agpl"),
     ("fdl", f"(?:gnu{SEP})?free{SEP}documentation", "documentation", "gfdl-1\\.[123](?:-only|-or-later)?"),
     ("bsd-0", f"(?:zero{SEP}clause|0{SEP}clause){SEP}bsd|bsd{SEP}zero{SEP}clause", "bsd", "0bsd"),
     ("bsd-2", f"(?:simplified{SEP}bsd|freebsd|bsd{SEP}2{SEP}clause|(?:2|two){SEP}clause{SEP}bsd)", "bsd", "bsd-2-clause(?:-patent)?"),
@@ -73,7 +70,7 @@ FAMILIES = (
     ("sspl", f"server{SEP}side{SEP}public", "server", "sspl-1\\.0"),
     ("elastic", "elastic", "elastic", "elastic-2\\.0"),
     ("unlicense", "(?<![a-z])unlicense", "unlicense", "unlicense"),
-    ("wtfpl", f"(?:wtfpl|do{SEP}what{SEP}the{SEP}f[a-z*]+{SEP}you{SEP}want)", "w", "wtfpl"),
+    ("wtfpl", f"(?:wtfpl|do{SEP}what{SEP}the{SEP}f[a-z*]+{SEP}you{SEP}want)", "wtfpl|what", "wtfpl"),
     ("artistic-1", f"artistic{SEP}licen[cs]e{SEP}(?:version{SEP}|v\\.?{OPT})?1(?:\\.0)?", "artistic", "artistic-1\\.0(?:-perl)?"),
     ("artistic-2", f"artistic{SEP}licen[cs]e{SEP}(?:version{SEP}|v\\.?{OPT})?2(?:\\.0)?", "artistic", "artistic-2\\.0"),
     ("artistic", "artistic", "artistic", "artistic"),
@@ -83,7 +80,7 @@ FAMILIES = (
     ("openssl", "openssl", "openssl", "openssl"),
     ("ofl", f"(?:sil{SEP})?open{SEP}font", "font", "ofl-1\\.[01]"),
     ("ncsa", f"(?:university{SEP}of{SEP}illinois{SEP}/?{OPT})?ncsa", "ncsa", "ncsa"),
-    ("eupl", f"(?:european{SEP}union{SEP}public|eupl)", "eu", "eupl-1\\.[012]"),
+    ("eupl", f"(?:european{SEP}union{SEP}public|eupl)", "eupl|european", "eupl-1\\.[012]"),
     ("cecill", "cecill", "cecill", "cecill-[12bc](?:\\.[01])?"),
     ("osl", f"open{SEP}software(?={SEP}licen[cs]e)", "software", "osl-[123]\\.[01]"),
     ("afl", f"academic{SEP}free", "academic", "afl-[123]\\.[012]"),
@@ -158,7 +155,7 @@ def detections(low: Column, rules: tuple[Signature, ...]) -> Column:
     """All matches of the rules whose keyword the text contains: (start, stop, priority, label), by start, longest first."""
 
     def literal(r: Signature) -> Column:
-        return F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"))
+        return F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"))
 
     def places(rule: Column) -> Column:
         matched = F.regexp_extract_all(low, rule["pattern"], F.lit(0))
@@ -173,8 +170,13 @@ def detections(low: Column, rules: tuple[Signature, ...]) -> Column:
         pairs = F.zip_with(F.slice(between, 1, F.size(matched)), matched, lambda b, m: F.struct(b.alias("between"), m.alias("matched")))
         return F.when(F.size(matched) > 0, F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(start["found"])
 
-    chosen = F.filter(F.array(*map(literal, rules)), lambda r: F.contains(low, r["keyword"]))
-    return F.array_sort(F.flatten(F.transform(chosen, places)))
+    groups: dict[str, list[Signature]] = {}
+    for r in rules:
+        groups.setdefault(r.keyword, []).append(r)
+    # Each keyword is looked up once for all of its rules.
+    behind = [F.struct(F.array(*[F.lit(k) for k in keyword.split("|")]).alias("keywords"), F.array(*map(literal, some)).alias("rules")) for keyword, some in groups.items()]
+    chosen = F.filter(F.array(*behind), lambda g: F.exists(g["keywords"], lambda k: F.contains(low, k)))
+    return F.array_sort(F.flatten(F.transform(F.flatten(F.transform(chosen, lambda g: g["rules"])), places)))
 
 
 def unsuppressed(found: Column) -> Column:
@@ -199,16 +201,16 @@ def scan_licenses(docs: DataFrame, rules: tuple[Signature, ...] | None = None) -
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of docs (doc_id, text)."""
     rules = rules or signatures()
     text = F.coalesce("text", F.lit(""))
-    folded = F.lower(text)
-    gate = reduce(lambda a, b: a | b, [F.contains(folded, F.lit(s)) for s in STEMS])
-    rows = docs.select("doc_id", F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(gate, text).alias("gated"))
-    rows = rows.withColumn("low", lower_ascii(F.col("gated")))
-    rows = rows.withColumn("joined", F.concat(F.lit(" "), F.array_join(F.filter(F.split("low", NOT_WORD), lambda w: w != ""), " "), F.lit(" ")))
+    rows = docs.select("doc_id", F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), lower_ascii(text).alias("low"))
+    # A base phrase can only stand in a text that contains each of its words.
+    may_hold = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains("low", F.lit(w)) for w in sorted(p.split(), key=len, reverse=True)]) for p in BASE_PHRASES])
+    words = F.when(may_hold, F.filter(F.split("low", NOT_WORD), lambda w: w != ""))
+    rows = rows.withColumn("joined", F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
     rows = rows.select("doc_id", "n_words", "low", *[base_places(F.col("joined"), p).alias(f"base{i}") for i, p in enumerate(BASE_PHRASES)])
-    rows = rows.withColumn("kept", F.when(F.col("low").isNotNull(), unsuppressed(detections(F.col("low"), rules))))
+    rows = rows.withColumn("kept", unsuppressed(detections(F.col("low"), rules)))
     places = [F.col(f"base{i}") for i in range(len(BASE_PHRASES))]
     base = F.array_compact(F.array(*[F.when(b["n"] > 0, F.lit(label)) for b, label in zip(places, BASE_PHRASES.values(), strict=True)]))
-    own = F.coalesce(F.transform("kept", lambda k: k["label"]), F.array().cast("array<string>"))
+    own = F.transform("kept", lambda k: k["label"])
     n_base = reduce(lambda a, b: a + b, [F.coalesce(b["n"], F.lit(0)) for b in places]).cast("long")
     weight = F.array_max(F.transform("kept", lambda k: reduce(lambda c, p: c.when(k["priority"] == p, F.lit(WEIGHTS[p])), WEIGHTS, F.when(F.lit(False), F.lit(0.0)))))
     return rows.select(

@@ -115,6 +115,57 @@ def test_licenses(spark, sample, odd, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def matching(pattern, rng):
+    """A text that may match the pattern: its branches, repeats and white space drawn at random."""
+    from re import _constants as c
+    from re import _parser
+
+    def made(items):
+        out = ""
+        for op, arg in items:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.IN:
+                kind, value = rng.choice(arg)
+                out += rng.choice(" \n") if kind is c.CATEGORY else chr(value) if kind is c.LITERAL else chr(rng.randint(*value))
+            elif op is c.BRANCH:
+                out += made(rng.choice(arg[1]))
+            elif op is c.SUBPATTERN:
+                out += made(arg[3])
+            elif op is c.MAX_REPEAT:
+                out += "".join(made(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+            elif op is c.ASSERT and arg[0] == 1 and rng.random() < 0.5:
+                out += made(arg[1])
+        return out
+
+    return made(_parser.parse(pattern))
+
+
+def test_licenses_by_every_signature(spark):
+    import random
+    from dataclasses import replace
+
+    rng, rules, texts = random.Random(5), license_scan.signatures(), []
+    for rule in rules:
+        found = {t for t in (matching(rule.pattern, rng) for _ in range(300)) if re.search(rule.pattern, t, re.ASCII)}
+        assert found, rule
+        assert all(any(k in t for k in rule.keyword.split("|")) for t in found), rule
+        texts.append((len(texts), sorted(found)[0], rule.label))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, label string")
+    gated, ungated = (sorted(license_scan.scan_licenses(docs, r).collect()) for r in (rules, tuple(replace(r, keyword="") for r in rules)))
+    assert gated == ungated and all(r["labels"] for r in gated)
+
+
+def test_licenses_without_a_stem(spark):
+    texts = [
+        ("released under the GPLv3", "gpl-3"), ("this code is GPLv3", "gpl-3"), ("LGPL v2.1", "lgpl-2"), ("distributed under the BSD", "bsd"), ("available under the EUPL", "eupl"),
+        ("released under the WTFPL", "wtfpl"), ("proprietary and confidential", "proprietary"), ("all rights\nreserved", "all-rights-reserved"), ("placed into the public\ndomain", "public-domain"),
+        ("creative\ncommons attribution", "cc-attribution"),
+    ]
+    got = license_scan.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert [r["labels"] for r in sorted(got)] == [label for _, label in texts]
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
     from attestor.llm.common import stored
