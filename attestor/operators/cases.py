@@ -5,23 +5,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-MAX_PASSAGES = 50_000
+from attestor.operators.retrieval import by_blocks
+
+MAX_PASSAGES = 50_000  # of a block; more passages make more blocks
 
 
 def passage_documents(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, chunk_ids (none), document_ids of every passage (item_id, text) that stands in a document (document_id, text).
 
-    An automaton of all passages runs once over each text; at most MAX_PASSAGES go to the tasks, more are refused.
+    An automaton of each block of passages runs once over each text. A passage stands in one block with all its texts, so
+    no document counts for it twice.
     """
-    rows = passages.where("text <> ''").select("item_id", "text").limit(MAX_PASSAGES + 1).collect()
-    if len(rows) > MAX_PASSAGES:
-        raise ValueError(f"more than {MAX_PASSAGES} passages")
+    wanted = passages.where("text <> ''").groupBy("item_id").agg(F.collect_set("text").alias("texts"))
+    pairs = by_blocks(wanted, MAX_PASSAGES, lambda rows: _holding(docs, rows))
+    return pairs.groupBy("query_id").agg(F.array_sort(F.collect_list("document_id")).alias("document_ids")).withColumn("chunk_ids", F.array().cast("array<string>"))
+
+
+def _holding(docs: DataFrame, rows: list[Row]) -> DataFrame:
+    """query_id, document_id of passages (item_id, texts) and the documents that hold them."""
     by_text: dict[str, list[int]] = {}
     for r in rows:
-        by_text.setdefault(r["text"], []).append(r["item_id"])
+        for text in r["texts"]:
+            by_text.setdefault(text, []).append(r["item_id"])
     shared = docs.sparkSession.sparkContext.broadcast(by_text)
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,5 +46,4 @@ def passage_documents(passages: DataFrame, docs: DataFrame) -> DataFrame:
                 out += [(i, document_id) for i in {i for _, ids in (automaton.iter(text) if shared.value else ()) for i in ids}]
             yield pd.DataFrame(out, columns=["query_id", "document_id"])
 
-    pairs = docs.select("document_id", "text").mapInPandas(found, "query_id long, document_id string")
-    return pairs.groupBy("query_id").agg(F.array_sort(F.collect_list("document_id")).alias("document_ids")).withColumn("chunk_ids", F.array().cast("array<string>"))
+    return docs.select("document_id", "text").mapInPandas(found, "query_id long, document_id string")

@@ -1,23 +1,26 @@
 """Ranking of chunks for a batch of queries: lexical, vector and hybrid.
 
 The lexical candidates come from an equi-join of query terms with an inverted index (a hit needs a shared term, so
-nothing is lost); phrases are found by one pass of an automaton of all phrases over each chunk; similarities are
-blocked matrix products of the query vectors with each batch of chunk vectors.
+nothing is lost); phrases are found by passes of an automaton of a block of queries over each chunk; similarities are
+blocked matrix products of the query vectors with each batch of chunk vectors. Any number of queries is taken: the
+driver holds one block of them at a time, and all chunks are read once for each block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.text import best_snippet, normalize_text, normalized_tokens, query_terms
 
-MAX_QUERIES = 20_000  # a batch's phrases and vectors go to every task; more queries go in several batches
+MAX_QUERIES = 20_000  # of a block, whose phrases and vectors go to every task; more queries make more blocks
+MAX_CELLS = 4_000_000  # of one matrix of similarities in a task
 
 
 @dataclass(frozen=True)
@@ -75,12 +78,36 @@ def matched_terms(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return index.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("matched"), F.sum(F.least("count", F.lit(4))).alias("frequency"))
 
 
+def blocks(rows: DataFrame, most: int) -> Iterator[list[Row]]:
+    """All rows in lists of at most so many; one empty list where there are none. Beyond one list they arrive partition by
+    partition, so the driver holds no more than a list and a partition."""
+    held = rows.limit(most + 1).collect()
+    if len(held) <= most:
+        yield held
+        return
+    held = []
+    for r in rows.toLocalIterator():
+        held.append(r)
+        if len(held) == most:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def by_blocks(rows: DataFrame, most: int, found: Callable[[list[Row]], DataFrame]) -> DataFrame:
+    """The union of what is found for each block."""
+    return reduce(DataFrame.unionAll, map(found, blocks(rows, most)))
+
+
 def phrase_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, full, pairs: whether the normalized text holds the whole query, and how many pairs of
     alphabetically adjacent terms it holds. Substrings count."""
-    rows = queries.select("query_id", "normalized", "terms").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
+    kind = dict(queries.dtypes)["query_id"]
+    return by_blocks(queries.select("query_id", "normalized", "terms"), MAX_QUERIES, lambda rows: _phrase_hits(chunks, rows, kind))
+
+
+def _phrase_hits(chunks: DataFrame, rows: list[Row], kind: str) -> DataFrame:
     phrases: dict[str, list[tuple[int, bool]]] = {}
     for at, r in enumerate(rows):
         if r["normalized"]:
@@ -88,7 +115,7 @@ def phrase_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
         for pair in zip(r["terms"], r["terms"][1:], strict=False):
             phrases.setdefault(" ".join(pair), []).append((at, False))
     ids = [r["query_id"] for r in rows]
-    shared = queries.sparkSession.sparkContext.broadcast((ids, phrases))
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, phrases))
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
@@ -109,17 +136,18 @@ def phrase_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
                 out += [(ids[at], chunk_id, full > 0, pairs) for at, (full, pairs) in counts.items()]
             yield pd.DataFrame(out, columns=["query_id", "chunk_id", "full", "pairs"])
 
-    kind = dict(queries.dtypes)["query_id"]
     return chunks.select("chunk_id", normalize_text(F.col("text")).alias("norm")).mapInPandas(found, f"query_id {kind}, chunk_id string, full boolean, pairs int")
 
 
 def similarities(vectors: DataFrame, queries: DataFrame, least: float, keep: int | None = None) -> DataFrame:
-    """query_id, chunk_id, similarity of pairs at or above least. queries (query_id, vector) go to every task; vectors
-    (chunk_id, vector) stay where they are and are multiplied batch by batch. keep: only each task's best for a query."""
-    rows = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
+    """query_id, chunk_id, similarity of pairs at or above least. queries (query_id, vector) go to every task, block by
+    block; vectors (chunk_id, vector) stay where they are and are multiplied batch by batch. keep: only each task's best
+    for a query."""
     kinds = dict(queries.dtypes), dict(vectors.dtypes)
+    return by_blocks(queries.select("query_id", "vector"), MAX_QUERIES, lambda rows: _similarities(vectors, rows, least, keep, kinds))
+
+
+def _similarities(vectors: DataFrame, rows: list[Row], least: float, keep: int | None, kinds: tuple[dict, dict]) -> DataFrame:
 
     def unit(m: np.ndarray) -> np.ndarray:
         norm = np.sqrt((m * m).sum(1, keepdims=True))
@@ -129,15 +157,16 @@ def similarities(vectors: DataFrame, queries: DataFrame, least: float, keep: int
     for size in {len(r["vector"]) for r in rows if r["vector"]}:
         some = [r for r in rows if r["vector"] and len(r["vector"]) == size]
         by_size[size] = ([r["query_id"] for r in some], unit(np.array([r["vector"] for r in some], np.float64)))
-    shared = queries.sparkSession.sparkContext.broadcast(by_size)
+    shared = vectors.sparkSession.sparkContext.broadcast(by_size)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes = batch["vector"].map(lambda v: 0 if v is None else len(v))
             for size, (ids, q) in shared.value.items():
                 part = batch[sizes == size]
-                for at in range(0, len(part), 2000):
-                    some = part.iloc[at : at + 2000]
+                step = min(2000, max(1, MAX_CELLS // len(ids)))
+                for at in range(0, len(part), step):
+                    some = part.iloc[at : at + step]
                     sims = q @ unit(np.stack(some["vector"].to_list()).astype(np.float64)).T
                     if keep and sims.shape[1] > keep:
                         low = np.partition(sims, -keep, axis=1)[:, -keep][:, None]
@@ -162,7 +191,7 @@ def score(chunks: DataFrame, queries: DataFrame, mode: str = "lexical", similar:
     else:
         pairs = pairs.join(similar, ["query_id", "chunk_id"], "full_outer").withColumns({"similarity": F.coalesce("similarity", F.lit(0.0)), "matched": F.coalesce("matched", F.lit(0))})
     pairs = pairs.join(phrase_hits(chunks, queries), ["query_id", "chunk_id"], "left")
-    rows = pairs.join(F.broadcast(queries), "query_id").join(chunks.drop("text"), "chunk_id")  # at most MAX_QUERIES: phrase_hits refuses more
+    rows = pairs.join(queries, "query_id").join(chunks.drop("text"), "chunk_id")
     n, has = F.greatest("n_terms", F.lit(1)), F.col("matched") > 0
     semantic = F.when(F.col("similarity") >= config.min_similarity, F.col("similarity")).otherwise(0.0)
     rows = rows.withColumns({

@@ -339,7 +339,7 @@ cases AS (
 
 
 def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every passage with a document that holds it: an automaton of all passages runs once over each text."""
+    """Every passage with a document that holds it: automata of the passages run over each text."""
     from attestor.operators.cases import passage_documents
 
     return passage_documents(table(spark, sf_dir, "benchmark"), documents(spark, sf_dir))
