@@ -50,7 +50,12 @@ def linear_scores(texts: list[str], weights: np.ndarray, sizes: tuple[int, ...])
 def count_rows(texts: list[str], sizes: tuple[int, ...], dimension: int = DIMENSION):
     """For each text the buckets of its n-grams and their shares."""
     for t in texts:
-        points, _ = code_points([t])
-        buckets = np.concatenate([ngram_buckets(points, n, dimension) for n in sizes if len(points) >= n] or [np.zeros(0, np.int32)])
-        found, counts = np.unique(buckets, return_counts=True)
+        found, counts = bucket_counts(t, sizes, dimension)
         yield found, counts / max(1, counts.sum())
+
+
+def bucket_counts(text: str, sizes: tuple[int, ...], dimension: int = DIMENSION) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the text's n-grams and how many fall into each."""
+    points, _ = code_points([text])
+    buckets = np.concatenate([ngram_buckets(points, n, dimension) for n in sizes if len(points) >= n] or [np.zeros(0, np.int32)])
+    return np.unique(buckets, return_counts=True)

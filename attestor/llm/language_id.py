@@ -4,7 +4,8 @@ Texts become shares of hashed character n-grams. One-versus-one machines separat
 family further machines separate each pair of its languages, and the language that wins most of its pairs (the
 larger summed margin among equals) is predicted. All machines are rows of one weight table, so a text is read
 once for all of them. They are fitted on the driver on a sample of labelled rows that is bounded for each
-language (``per_language``), drawn by a hash of the doc_id, never from held-out rows.
+language (``per_language``), drawn by a hash of the doc_id alone, never from held-out rows. Whole texts are counted
+in tasks; only the counts of their n-grams reach the driver.
 
 Defined results: ``und`` with score 0 for null texts and texts without letters; where no labelled row can be
 learned from, ``und`` for all; repeated rows get equal answers; an empty table gives an empty result; other
@@ -13,22 +14,23 @@ columns are not read. A language without a known family is a family of its own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestor.llm.common import held_out
-from attestor.llm.features import DIMENSION, count_rows, linear_scores
+from attestor.llm.features import DIMENSION, bucket_counts, count_rows, linear_scores
 from attestor.llm.tokens import slices
 
 SIZES = (1, 2, 3)
-#: Labelled rows of each language that the machines are fitted on, about; and characters of each in all, at most.
-PER_LANGUAGE, SAMPLE_CHARS = 600, 4_000_000
+#: Labelled rows of each language that the machines are fitted on.
+PER_LANGUAGE = 600
 
 #: Families of languages by ISO 639-1 code.
 FAMILIES = {
@@ -111,8 +113,11 @@ def fit_machine(rows: list, signs: np.ndarray, epochs: int = 12, penalty: float
 
 def fit_languages(labelled: list[tuple[str, str]]) -> LanguageModel:
     """labelled: (text, language)."""
-    langs = np.array([lang for _, lang in labelled])
-    rows = list(count_rows([t for t, _ in labelled], SIZES))
+    return fit_counted(list(count_rows([t for t, _ in labelled], SIZES)), np.array([lang for _, lang in labelled]))
+
+
+def fit_counted(rows: Sequence[tuple[np.ndarray, np.ndarray]], langs: np.ndarray) -> LanguageModel:
+    """rows: the buckets of each text's n-grams and their shares."""
     families = np.array([family_of(lang) for lang in langs])
     members = {f: tuple(sorted(set(langs[families == f]))) for f in sorted(set(families))}
     columns: list[np.ndarray] = []
@@ -132,21 +137,42 @@ def fit_languages(labelled: list[tuple[str, str]]) -> LanguageModel:
     return LanguageModel(weights.astype(np.float32), top, inner, members)
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About per_language labelled rows of each language, chosen by a hash of the doc_id; none is held out."""
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+class Counted(Sequence):
+    """Buckets and shares of texts, kept as bytes of their counts and unpacked where they are read."""
+
+    def __init__(self, packed: list[tuple[bytes, bytes]]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        found, counts = (np.frombuffer(x, t) for x, t in zip(self.packed[i], (np.uint16, np.int32), strict=True))
+        return found.astype(np.int32), counts / max(1, counts.sum())
+
+
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[Counted, np.ndarray]:
+    """The n-grams and languages of per_language labelled rows of each language, those with the least hashes of the doc_id;
+    none is held out."""
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike("\\p{L}"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share * 1_000_000)
-    out, held = [], dict.fromkeys(counts, 0)
-    for r in drawn.where(F.col("text").rlike("\\p{L}")).select("text", "lang", "doc_id").toLocalIterator():
-        if held[r["lang"]] < SAMPLE_CHARS:
-            held[r["lang"]] += len(r["text"])
-            out.append((r["doc_id"], r["text"], r["lang"]))
-    out.sort(key=lambda r: (r[0] is None, r[0], r[1]))  # the fit must not depend on the order of arrival
-    return [(t, lang) for _, t, lang in out]
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2 * per_language + 50) / n))).otherwise(share)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
+    drawn = known.where(place < share * 1_000_000).select("doc_id", "lang", "text", place.alias("place"))  # more than are needed
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            packed = [(found.astype(np.uint16).tobytes(), n.astype(np.int32).tobytes()) for found, n in (bucket_counts(t, SIZES) for t in batch["text"])]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "place": batch["place"], "found": [x for x, _ in packed], "counts": [x for _, x in packed]})
+
+    rows = drawn.mapInPandas(counted, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, place long, found binary, counts binary")
+    order = ["place", "doc_id", "found", "counts"]
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= per_language)
+    out = [(r["doc_id"], bytes(r["found"]), bytes(r["counts"]), r["lang"]) for r in rows.toLocalIterator()]
+    out.sort(key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))  # the fit must not depend on the order of arrival
+    return Counted([(found, n) for _, found, n, _ in out]), np.array([lang for *_, lang in out])
 
 
 ANSWER = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -170,13 +196,13 @@ def predict_column(text: Column, model: LanguageModel, spark) -> Column:
 
 def identify_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang)."""
-    model = fit_languages(training_sample(docs, per_language))
+    model = fit_counted(*training_sample(docs, per_language))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict_column(F.col("text"), model, docs.sparkSession).alias("p"))
     return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
 def with_known_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """docs without the rows whose language is undetermined (null texts and texts without letters), all columns as they were."""
-    model = fit_languages(training_sample(docs, per_language))
+    model = fit_counted(*training_sample(docs, per_language))
     judged = docs.withColumn("_language", predict_column(F.col("text"), model, docs.sparkSession))
     return judged.where(F.col("_language.lang") != "und").select(*docs.columns)

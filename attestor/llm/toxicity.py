@@ -8,7 +8,8 @@ triplets of covariances, finds which voters depend on each other by the covarian
 unexplained, and turns votes into posterior labels. A linear classifier is trained on the posteriors.
 
 Labels are read for training rows only (never held-out ones), for the lexicon and the class share; the sample of
-labelled rows on the driver is bounded by ``sample``. Vote statistics are sums over all rows.
+labelled rows is bounded by ``sample`` and drawn by a hash of the doc_id alone. Its whole texts are counted in tasks;
+only counts, votes and inputs of the classifier reach the driver. Vote statistics are sums over all rows.
 
 Defined results: null and empty texts get the score of a text without any entry; repeated rows get equal
 answers; without labels the fixed insults alone vote; an empty table gives an empty result; other columns are
@@ -26,14 +27,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import held_out
+from attestor.llm.common import held_out, stored
 from attestor.llm.tokens import slices
 
-#: Labelled rows of each class on the driver, about; and characters of each class, at most.
-SAMPLE, SAMPLE_CHARS = 1500, 8_000_000
+#: Labelled documents of each class that the lexicon and the classifier are fitted on.
+SAMPLE = 1500
+MAX_TALLY = 500_000  # entries that a task counts before it hands them on
 MAX_ENTRIES, THRESHOLD, DEFAULT_SHARE = 160, 0.7, 0.1
 LEXICON_VOTERS = 3
 
@@ -100,33 +102,57 @@ class Lexicon:
         return np.column_stack([np.log1p(total), np.log1p((counts > 0).sum(1)), np.sqrt(total / words), np.minimum(counts, 1)])
 
 
-def mine_entries(labelled: list[tuple[str, int]]) -> list[tuple[str, bool, int]]:
+def text_entries(text: str) -> Iterator[tuple[str, int]]:
+    """Word beginnings and words (closed by a space) of a text, each with 1, 2 and 3 as far as it stands so often."""
+    met: Counter = Counter()
+    for w, k in Counter("".join(c if c.isalpha() else " " for c in text.lower()).split()).items():
+        if len(w) >= 3:
+            for size in range(3, min(len(w), 8)):
+                met[w[:size]] += k
+            met[w + " "] += k
+    return ((g, need) for g, k in met.items() for need in range(1, min(k, 3) + 1))
+
+
+def entry_counts(labelled: DataFrame) -> DataFrame:
+    """entry, need, toxic, clean: in how many documents (text, toxic) of each class an entry stands so often."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally: Counter = Counter()
+
+        def handed() -> pd.DataFrame:
+            return pd.DataFrame([(g, need, k if y else 0, 0 if y else k) for (g, need, y), k in tally.items()], columns=["entry", "need", "toxic", "clean"])
+
+        for batch in batches:
+            for text, y in zip(batch["text"], batch["toxic"], strict=True):
+                tally.update((g, need, y) for g, need in text_entries(text))
+                if len(tally) > MAX_TALLY:
+                    yield handed()
+                    tally.clear()
+        yield handed()
+
+    rows = labelled.select("text", "toxic").mapInPandas(counted, "entry string, need int, toxic long, clean long")
+    return rows.groupBy("entry", "need").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def mine_entries(labelled: DataFrame) -> list[tuple[str, bool, int]]:
     """Word beginnings and words that toxic documents hold once, twice or three times where clean ones do not.
 
     An entry must hold in ten times as large a part of the toxic documents as of the clean ones, and more often
     than chance explains (binomial tail, corrected for the number of candidates). Entries that gain most come first;
-    of an entry and its beginnings one is taken.
+    of an entry and its beginnings one is taken. labelled: (text, toxic).
     """
-    toxic, clean, n = Counter(), Counter(), Counter(y for _, y in labelled)
-    for text, y in labelled:
-        met: Counter = Counter()
-        for w, k in Counter("".join(c if c.isalpha() else " " for c in text.lower()).split()).items():
-            if len(w) >= 3:
-                for size in range(3, min(len(w), 8)):
-                    met[w[:size]] += k
-                met[w + " "] += k
-        (toxic if y else clean).update((g, need) for g, k in met.items() for need in range(1, min(k, 3) + 1))
+    n = Counter({r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()})
     if not n[0] or not n[1]:
         return []
-    share, least = n[1] / (n[0] + n[1]), math.log(0.01 / max(1, len(toxic)))
+    counts = stored(entry_counts(labelled).where("toxic > 0"), "entries")
+    share, least = n[1] / (n[0] + n[1]), math.log(0.01 / max(1, counts.count()))
     good = []
-    for (g, need), k in toxic.items():
-        other = clean[g, need]
-        if k >= 5 and k / n[1] >= 10 * other / n[0]:
-            # log C(k + other, other) bounds the number of ways in which the others can stand among all.
-            tail = k * math.log(share) + math.lgamma(k + other + 1) - math.lgamma(other + 1) - math.lgamma(k + 1)
-            if tail < least:
-                good.append((k / n[1] - 5 * other / n[0], len(g), -need, g))
+    for r in counts.where((F.col("toxic") >= 5) & (F.col("toxic") / n[1] >= 10 * F.col("clean") / n[0])).collect():
+        g, need, k, other = r["entry"], r["need"], r["toxic"], r["clean"]
+        # log C(k + other, other) bounds the number of ways in which the others can stand among all.
+        tail = k * math.log(share) + math.lgamma(k + other + 1) - math.lgamma(other + 1) - math.lgamma(k + 1)
+        if tail < least:
+            good.append((k / n[1] - 5 * other / n[0], len(g), -need, g))
     chosen: dict[str, int] = {}
     for _, _, need, g in sorted(good, key=lambda x: (-x[0], -x[1], -x[2], x[3])):
         if not any(g.startswith(c) or c.startswith(g) for c in chosen):
@@ -206,23 +232,35 @@ def fit_linear(x: np.ndarray, targets: np.ndarray, ridge: float = 0.05) -> tuple
     return w[:-1], float(w[-1])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[tuple[str, int]], float]:
-    """About sample rows (text, toxic) of each class, and the share of toxic ones among all; none held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, float]:
+    """The documents (doc_id, text, toxic) of sample labels of each class, those with the least hashes of the doc_id, and the
+    share of toxic ones among all labels; none held out."""
     known = labels.select(F.col("doc_id").alias("_label_id"), F.col("toxic").cast("int").alias("_toxic")).where(
         F.col("_toxic").isin(0, 1) & F.col("_label_id").isNotNull() & ~held_out(F.col("_label_id"))
     )
     counts = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
-    part = F.when(F.col("_toxic") == 1, F.lit(min(1.0, sample / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, sample / max(1, counts.get(0, 0)))))
-    drawn = known.where(F.pmod(F.xxhash64("_label_id", F.lit(29)), F.lit(1_000_000)) < part * 1_000_000)
-    met = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_label_id")).where(F.length("text") > 0)  # about 2 * sample ids
-    rows, held = [], Counter()
-    for r in met.select("doc_id", "text", "_toxic").toLocalIterator():
-        if held[r["_toxic"]] < SAMPLE_CHARS:
-            held[r["_toxic"]] += len(r["text"])
-            rows.append((r["doc_id"], r["text"], r["_toxic"]))
-    rows.sort()  # the fit must not depend on the order of arrival
+    part = F.when(F.col("_toxic") == 1, F.lit(min(1.0, (2 * sample + 50) / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, (2 * sample + 50) / max(1, counts.get(0, 0)))))
+    place = F.pmod(F.xxhash64("_label_id", F.lit(29)), F.lit(1_000_000))
+    drawn = known.where(place < part * 1_000_000).withColumn("_place", place).distinct()  # more than are needed
+    drawn = drawn.withColumn("_nth", F.row_number().over(Window.partitionBy("_toxic").orderBy("_place", "_label_id"))).where(F.col("_nth") <= sample)
+    met = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_label_id")).where(F.length("text") > 0)  # at most 2 * sample ids
     total = sum(counts.values())
-    return [(t, y) for _, t, y in rows], (counts.get(1, 0) / total if total else DEFAULT_SHARE)
+    return stored(met.select("doc_id", "text", F.col("_toxic").alias("toxic")), "labelled"), (counts.get(1, 0) / total if total else DEFAULT_SHARE)
+
+
+def sample_inputs(labelled: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, inputs) of the classifier and (documents, voters), in an order that does not depend on that of the rows."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for a, b in slices(texts, 1_000_000):
+                counts = lexicon.counts(texts[a:b])
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].to_numpy(), "inputs": list(lexicon.inputs(texts[a:b], counts).astype(np.float64)), "votes": list(lexicon.votes(texts[a:b], counts))})
+
+    rows = labelled.select("doc_id", "text").mapInPandas(made, f"doc_id {dict(labelled.dtypes)['doc_id']}, inputs array<double>, votes array<double>")
+    held = sorted((r["doc_id"], r["inputs"], r["votes"]) for r in rows.collect())
+    return np.array([x for _, x, _ in held]).reshape(len(held), 3 + len(lexicon.entries)), np.array([v for *_, v in held]).reshape(len(held), len(VOTERS))
 
 
 def vote_sums(docs: DataFrame, lexicon: Lexicon) -> tuple[float, np.ndarray, np.ndarray]:
@@ -254,9 +292,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     lexicon = Lexicon(tuple((w, True, 1) for w in INSULTS) + tuple(mined))
     share = min(max(share, 0.005), 0.5)
     model = fit_label_model(*vote_sums(docs, lexicon), share)
-    texts = [t for t, _ in labelled] + list(INSULTS) + [f"{a} {b}" for a, b in zip(INSULTS, INSULTS[1:], strict=False)] + [""]
+    inputs, votes = sample_inputs(labelled, lexicon)
+    texts = list(INSULTS) + [f"{a} {b}" for a, b in zip(INSULTS, INSULTS[1:], strict=False)] + [""]
     counts = lexicon.counts(texts)
-    weights, bias = fit_linear(lexicon.inputs(texts, counts), model.posterior(lexicon.votes(texts, counts)))
+    inputs, votes = np.concatenate([inputs, lexicon.inputs(texts, counts)]), np.concatenate([votes, lexicon.votes(texts, counts)])
+    weights, bias = fit_linear(inputs, model.posterior(votes))
     return ToxicityModel(lexicon, weights, bias)
 
 

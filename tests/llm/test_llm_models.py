@@ -50,6 +50,37 @@ def test_toxicity_odd_rows(odd, empty, spark):
     assert toxicity.without_toxic(odd, labels.limit(0)).columns == odd.columns
 
 
+def test_samples_do_not_depend_on_length_or_layout(spark):
+    import numpy as np
+
+    words = {"de": "der und die nicht ist", "en": "the and of with is"}
+    texts = [(i, words[lang] * (200_000 if i < 4 else 1) + f" w{i}", lang) for i in range(60) for lang in [("de", "en")[i % 2]]]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").coalesce(1)
+    from attestor.llm.common import held_out
+
+    free = docs.where(~held_out(F.col("doc_id"))).count()
+    sampled, langs = language_id.training_sample(docs)
+    again, langs_again = language_id.training_sample(docs.orderBy(F.desc("doc_id")).repartition(3))
+    assert len(sampled) == free and sampled.packed == again.packed and list(langs) == list(langs_again)
+    few, few_langs = language_id.training_sample(docs, 3)
+    assert sorted(few_langs) == ["de"] * 3 + ["en"] * 3
+    assert all(np.array_equal(a, b) for got, want in zip(sampled, [x for i, t, _ in texts if i in {r["doc_id"] for r in docs.where(~held_out(F.col("doc_id"))).select("doc_id").collect()} for x in language_id.count_rows([t], language_id.SIZES)], strict=True) for a, b in zip(got, want, strict=True))
+
+
+def test_toxicity_sample_does_not_depend_on_length_or_layout(spark):
+    from attestor.llm.common import held_out
+
+    texts = [(i, ("harmless words " * (700_000 if i in (0, 2) else 1)) + ("grobian" if i % 2 else ""), i % 2) for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int").coalesce(1)
+    labels = docs.select("doc_id", "toxic")
+    free = docs.where(~held_out(F.col("doc_id"))).count()
+    sampled, _ = toxicity.labelled_sample(docs, labels, 1500)
+    assert sampled.count() == free
+    few = [{r["doc_id"] for r in toxicity.labelled_sample(d, d.select("doc_id", "toxic"), 7)[0].select("doc_id").collect()} for d in (docs, docs.orderBy(F.desc("doc_id")).repartition(3))]
+    assert few[0] == few[1] and len(few[0]) == 14
+    assert any("grobian".startswith(g) for g, _, _ in toxicity.mine_entries(sampled))
+
+
 def test_label_model_recovers_rates():
     import numpy as np
 
