@@ -35,6 +35,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot when more than one row in HOT_SHARE carries it; hence at most HOT_SHARE keys are hot, which bounds what
+#: looked_up sends to every task.
+HOT_SHARE = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with table, which has one row a key, however many rows share a key: what table has for hot keys goes
+    by broadcast, and rows with other keys meet it in a sort-merge join. Rows without a match are left out. rows are read
+    three times, so they should be stored."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("many"))
+    limit = max(1, rows.count() // HOT_SHARE)
+    hot = F.broadcast(counts.where(F.col("many") > limit).select(key))
+    columns = [*rows.columns, *[c for c in table.columns if c != key]]
+    often = rows.join(F.broadcast(table.join(hot, key, "left_semi")), key)
+    return rows.join(hot, key, "left_anti").join(table.hint("merge"), key).select(*columns).unionByName(often.select(*columns))
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to differ from every column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

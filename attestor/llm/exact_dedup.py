@@ -1,8 +1,10 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a Parquet table bucketed and sorted by SHA-256 digest. A batch is reduced to one entry per
-digest (map-side partial aggregation, so a hot text never meets in one task), entries that the index
-already holds are removed by a sort-merge anti-join that reuses the buckets, and the rest is appended.
+The index is a folder with a Parquet table bucketed and sorted by SHA-256 digest. A batch is reduced to one row a digest
+(map-side partial aggregation, so a hot text never meets in one task). A sort-merge anti-join finds the digests that the
+index lacks; they are appended as entries, and what the batch adds to known digests is appended beside them, so that the
+entries of all batches give the document that stays and the size of its group. Any session opens an index by its path.
+One writer at a time adds to an index.
 
 Defined results: null text counts as the empty text; of equal texts the row with the largest doc_id stays;
 a null doc_id is smaller than any other; rows that repeat both doc_id and text are one document and get the
@@ -11,64 +13,67 @@ same answer; an empty table gives an empty result; further columns of the input
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import scratch, stored
+from attestor.llm.common import HOT_SHARE, fresh, scratch, stored
 
-#: A digest is hot when more than one row in HOT_SHARE carries it; hence at most HOT_SHARE digests are hot,
-#: which bounds the table that is broadcast.
-HOT_SHARE = 1000
+#: Documents pass through the index in so many batches, dealt by a hash of their ids.
+BATCHES = 2
 
 
 class DigestIndex:
-    """Digests seen so far: (digest, keep_id, group_size), bucketed and sorted by digest."""
+    """Digests seen so far. The table holds (digest, keep_id, group_size, first): one row with first for each digest, and one
+    without for each later batch that met it again."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.path = path or scratch(spark, "digest-index")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        self.name = f"digest_index_{hashlib.sha256(self.path.encode()).hexdigest()[:32]}"
+        try:
+            self.buckets = spark.read.schema("buckets int").parquet(f"{self.path}/layout").first()["buckets"]
+        except AnalysisException:  # a new index
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.parquet(f"{self.path}/layout")
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, first BOOLEAN) USING parquet"
+            f" CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/entries'"
+        )
+
+    def known(self) -> DataFrame:
+        """The digests, each once."""
+        return self.spark.table(self.name).where("first").select("digest")
 
     def entries(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        """One entry for each digest of the batch (digest, doc_id) that the index lacks."""
-        reduced = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        if not self.exists():
-            return reduced
-        return reduced.join(self.entries().select("digest").hint("merge"), "digest", "left_anti")
+        """digest, keep_id, group_size over all batches; the buckets spare the shuffle."""
+        return self.spark.table(self.name).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
-    def append(self, entries: DataFrame) -> None:
-        (
-            entries.repartition(self.buckets, "digest")
-            .write.mode("append").format("parquet").option("path", self.path)
-            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        )
-
-    def add(self, batch: DataFrame) -> None:
-        """Append what is new. The new entries are stored first: a table is not read while it is written."""
-        self.append(stored(self.unseen(batch), "digest-new") if self.exists() else self.unseen(batch))
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Takes in batch (digest, doc_id); the entries of digests that were new. Rows are stored before they are appended: a
+        table is not read while it is written."""
+        reduced = stored(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "batch")
+        new = reduced.join(self.known().hint("merge"), "digest", "left_anti").withColumn("first", F.lit(True))
+        met = reduced.join(self.known().hint("merge"), "digest", "left_semi").withColumn("first", F.lit(False))
+        rows = stored(new.unionByName(met), "digest-rows")
+        rows.select("digest", "keep_id", "group_size", "first").repartition(self.buckets, "digest").write.insertInto(self.name)
+        return rows.where("first").drop("first")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest) of every row."""
-    return docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    return docs.select(docs["doc_id"].cast("long"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
 
 
-def decide(rows: DataFrame, entries: DataFrame, total: int) -> DataFrame:
+def decide(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """rows (doc_id, digest) with keep_id and group_size of their digest.
 
     Hot digests are at most HOT_SHARE and go by broadcast; all others meet their entry in a sort-merge join
-    in which no key has more than total / HOT_SHARE rows.
+    in which no key has more than one in HOT_SHARE of all rows.
     """
-    limit = max(1, total // HOT_SHARE)
+    limit = max(1, (entries.agg(F.sum("group_size")).first()[0] or 0) // HOT_SHARE)
     hot = entries.where(F.col("group_size") > limit)
     tagged = rows.join(
         F.broadcast(hot.select(F.col("digest").alias("_hot_digest"), F.col("keep_id").alias("_hot_id"), F.col("group_size").alias("_hot_size"))),
@@ -80,29 +85,34 @@ def decide(rows: DataFrame, entries: DataFrame, total: int) -> DataFrame:
     return common.unionByName(often)
 
 
-def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs (doc_id, text)."""
+def indexed(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """doc_id, digest, keep_id, group_size of every row of docs after all of them went through the index."""
     index = index or DigestIndex(docs.sparkSession)
     rows = stored(digests(docs), "digests")
-    index.add(rows)
-    return decide(rows, index.entries(), rows.count()).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES))
+    for k in range(BATCHES):
+        index.add(rows.where(batch == k))
+    return decide(rows, stored(index.entries(), "entries"))
+
+
+def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs (doc_id, text). Documents that an index
+    passed in holds already count: they are in group_size and may be the one that stays."""
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return indexed(docs, index).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def without_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that are not kept, all columns as they were; of a repeated row one stays."""
-    rows = stored(digests(docs), "digests")
-    index = DigestIndex(docs.sparkSession)
-    index.add(rows)
-    verdict = stored(decide(rows, index.entries(), rows.count()), "exact-verdict")
-    gone = verdict.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "digest").distinct()
-    again = verdict.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
-    marks = gone.withColumn("_gone", F.lit(True)).unionByName(again.withColumn("_gone", F.lit(False)))
-    marks = marks.select(F.col("doc_id").alias("_mark_id"), F.col("digest").alias("_mark_digest"), "_gone")
-    held = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    met = held.join(marks, held["doc_id"].eqNullSafe(F.col("_mark_id")) & (F.col("_digest") == F.col("_mark_digest")), "left")
-    once = met.where(F.col("_gone").isNull()).select(*[held[c] for c in docs.columns])
+    mark, sha, gone, own = fresh(docs, "mark", "sha", "gone", "own")
+    verdict = stored(indexed(docs), "exact-verdict")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    lost = verdict.where(~kept).select("doc_id", "digest").distinct().withColumn(gone, F.lit(True))
+    again = verdict.where(kept).groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest").withColumn(gone, F.lit(False))
+    marks = lost.unionByName(again).withColumnsRenamed({"doc_id": mark, "digest": sha})
+    held = docs.withColumn(own, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    met = held.join(marks, held["doc_id"].eqNullSafe(F.col(mark)) & (F.col(own) == F.col(sha)), "left")
+    once = met.where(F.col(gone).isNull()).select(*[held[c] for c in docs.columns])
     if not again.take(1):
         return once
-    return once.unionByName(met.where(F.col("_gone") == F.lit(False)).dropDuplicates(["doc_id", "_digest"]).select(*[held[c] for c in docs.columns]))
+    return once.unionByName(met.where(~F.col(gone)).dropDuplicates([mark, own]).select(*[held[c] for c in docs.columns]))

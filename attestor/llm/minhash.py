@@ -82,12 +82,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 #: 64-bit words of a parity bitmap.
-WORDS_OF_BITS = 8
+WORDS_OF_BITS = 32
 
 
 def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Each shingle flips one of 512 bits: two sets differ in at least as many shingles as their bitmaps in bits."""
-    at = (shingles * np.uint64(_BASE)) >> np.uint64(64 - 9)
+    """Each shingle flips one of 2048 bits: two sets differ in at least as many shingles as their bitmaps in bits."""
+    at = (shingles * np.uint64(_BASE)) >> np.uint64(64 - 11)
     odd = np.bincount(at.astype(np.int64), minlength=64 * WORDS_OF_BITS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 

@@ -1,28 +1,29 @@
 """Near-duplicate documents: minwise signatures, a multi-index Hamming join and confirmation on full shingle sets.
 
-Documents with equal shingle sets form a class; one of them stands for it from then on. A signature has 16
-chunks of 5 symbols of 16 bits. Of two signatures that differ in at most 31 of 80 symbols some chunk differs in
-at most one (pigeonhole), so each chunk is indexed under the five keys that leave one symbol out, and all pairs
-under that distance share a key. Two sets of similarity 0.8 differ in more than 31 symbols with a probability of
-about 3e-5, and less the more similar they are.
-
-Keys of at most SMALL classes give their pairs, which are kept if the signatures are within the distance.
-Larger keys never give all their pairs. Their classes are joined on full sets instead, by an exact prefix filter:
-shingles are ranked by how many of these classes hold them, sets of similarity t share one of their first
-n - ceil(t n) + 1 shingles, and each such prefix bucket first tries only the class with the fewest shingles of
-its own (a star). After components are formed, buckets in which different components meet give the pairs between
-those that positions, sizes and parity bitmaps (a lower bound of the sets' difference) allow. Every pair is confirmed on the full sets; components are found by
-propagating the smallest id with pointer jumping over stored tables.
+Documents with equal shingle sets form a class. A signature has 16 chunks of 5 symbols of 16 bits. Of two signatures
+that differ in at most 31 of 80 symbols some chunk differs in at most one (pigeonhole), so each chunk is indexed
+under the five keys that leave one symbol out, and all pairs under that distance share a key. Two sets of similarity
+0.8 share none with a probability of about 5e-10, and less the more similar they are.
+
+No key gives all its pairs. Of the classes under one key the first is the hub, and every other is compared with it
+on full sets; the distinct (hub, class) rows of all keys are the wheels. Classes of one wheel that are in the same component
+by then need no comparison. While it pays, further members of wheels with several components are taken for hubs. What is left are pairs
+of a class outside its wheel's main component with the classes of other components, and only such pairs as
+bounds leave open are made: sizes, the triangle inequality of their exact differences from the hub, and parity bitmaps of 2048
+bits, whose unequal bits are at most as many as the unequal shingles. Each of these is compared on full sets, so
+no pair that shares a key goes unseen. Components are found by propagating the smallest id with pointer
+jumping over stored tables.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; a
 row with a null doc_id is linked with nothing, has a null component and is kept; rows with the same doc_id are
-one node; an empty table gives an empty result; other columns are not read.
+one node, whatever their texts; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -30,17 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.llm.common import arrow_batches, stored
-from attestor.llm.minhash import DISTANCE, SYMBOLS, WORDS_OF_BITS, chunk_keys, parity_bitmap, set_digest, shingle_sets, signature
+from attestor.llm.common import arrow_batches, fresh, looked_up, stored
+from attestor.llm.minhash import SYMBOLS, WORDS_OF_BITS, chunk_keys, parity_bitmap, set_digest, shingle_sets, signature
 from attestor.llm.tokens import slices
 
 WORDS, PERCENT = 5, 80
-#: Keys of more classes than this are handled by the prefix filter.
-SMALL = 8
-#: At most this many digests are hot and broadcast; see exact_dedup.
-HOT_SHARE = 1000
 #: Bits of the filter of wanted documents; its 8 MB do not grow with the data.
 FILTER_BITS = 1 << 26
+#: Further hubs are tried while a round joins at least one in so many of the components that it finds mixed.
+WORTH = 10
 
 #: Characters hashed at a time and rows in a batch, which bound a worker's memory.
 SLICE, BATCH = 300_000, 1000
@@ -48,7 +47,8 @@ SLICE, BATCH = 300_000, 1000
 _SIGNATURE = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("symbols", T.BinaryType()),
 ])
-_SET = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())] + [T.StructField(f"bits{k}", T.LongType()) for k in range(WORDS_OF_BITS)])
+_BITS = [f"bits{k}" for k in range(WORDS_OF_BITS)]
+_SET = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())] + [T.StructField(b, T.LongType()) for b in _BITS])
 
 
 def _texts(batch) -> tuple[list, list[str]]:
@@ -74,8 +74,17 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(made, _SIGNATURE)
 
 
-def index_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep): the SYMBOLS keys of every class."""
+def numbered(classes: DataFrame) -> DataFrame:
+    """classes with a number of 64 bits made of the digest; a seed under which two classes share one is passed over."""
+    total = classes.count()
+    for seed in count():
+        made = classes.withColumn("cid", F.xxhash64("digest", F.lit(seed)))
+        if made.agg(F.count_distinct("cid")).first()[0] == total:
+            return made
+
+
+def index_keys(classes: DataFrame) -> DataFrame:
+    """(key, cid): the SYMBOLS keys of every class."""
 
     def made(batches: Iterator):
         import pyarrow as pa
@@ -85,31 +94,13 @@ def index_keys(reps: DataFrame) -> DataFrame:
                 part = batch.slice(at, 2000)
                 symbols = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, SYMBOLS)
                 keys = chunk_keys(symbols).astype(np.int64, copy=False).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(), SYMBOLS))], names=["key", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(), SYMBOLS))], names=["key", "cid"])
 
-    return reps.select("rep", "symbols").mapInArrow(made, "key long, rep long")
-
-
-def within_distance(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most DISTANCE symbols."""
-
-    def near(batches: Iterator):
-        import pyarrow as pa
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                part = batch.slice(at, 5000)
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, SYMBOLS) for c in (2, 3))
-                keep = pa.array((x != y).sum(1) <= DISTANCE)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
-
-    left = reps.select(F.col("rep").alias("a"), F.col("symbols").alias("x"))
-    right = reps.select(F.col("rep").alias("b"), F.col("symbols").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(near, "a long, b long")
+    return classes.select("cid", "symbols").mapInArrow(made, "key long, cid long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, n, shingles) of the documents in wanted (rep), and of a few others that its filter lets through."""
+    """(cid, n, shingles, bitmaps) of the classes in wanted (cid, rep, digest), from the texts of their first documents."""
     place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
     parts = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(32767)).alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -126,41 +117,42 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            ids, texts = _texts(batch)
+            _, texts = _texts(batch)
             for a, b in slices(texts, SLICE):
-                found = list(shingle_sets(texts[a:b], words))
-                bits = np.stack([parity_bitmap(s) for s in found])
-                columns = [pa.array(ids[a:b], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(bits[:, k]) for k in range(WORDS_OF_BITS)], names=_SET.names)
+                found = [s for s in shingle_sets(texts[a:b], words) if len(s)]
+                if found:
+                    bitmaps = np.stack([parity_bitmap(s) for s in found])
+                    columns = [pa.array(map(set_digest, found), pa.binary()), pa.array(map(len, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(bitmaps[:, k]) for k in range(WORDS_OF_BITS)], names=_SET.names)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("rep"), "text").where(F.col("rep").isNotNull())
-    return rows.where(passes(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)))).mapInArrow(made, _SET)
+    sets = rows.where(passes(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)))).mapInArrow(made, _SET)
+    return sets.dropDuplicates(["digest"]).join(wanted.select("cid", "digest"), "digest").drop("digest")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with percent of their union in common."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n, m, common) of the pairs (a, b): the sizes of their sets and of what they share."""
 
-    def linked(batches: Iterator):
+    def met(batches: Iterator):
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
+            out = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 u, v = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if len(u) > len(v):
-                    u, v = v, u
-                if 100 * len(u) < percent * len(v):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                common = int((v[at] == u).sum())
-                keep.append(100 * common >= percent * (len(u) + len(v) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct()
+                few, many = (u, v) if len(u) <= len(v) else (v, u)
+                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                out.append((len(u), len(v), int((many[at] == few).sum())))
+            sizes = np.array(out, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(sizes[:, k]) for k in range(3)]], names=["a", "b", "n", "m", "common"])
+
+    left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(met, "a long, b long, n long, m long, common long")
+
+
+def linked(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.where(F.col("common") * 100 >= (F.col("n") + F.col("m") - F.col("common")) * percent).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -169,90 +161,83 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = looked_up(both, labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = stored(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        labels = stored(step.join(jump, "label", "left").select("node", "old", F.least("label", "beyond").alias("label")), "labels")
+        labels = stored(looked_up(step, jump, "label").select("node", "old", F.least("label", "beyond").alias("label")), "labels")
         if not labels.where(F.col("old") != F.col("label")).take(1):
             return labels.select("node", "label")
         labels = labels.select("node", "label")
 
 
-def prefixes(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
-    """(token, rep, n, own, at): the prefix of each wanted set, its shingles ranked by the number of wanted sets that hold
-    them; own counts those that no other holds, which rank first and are left out; at is the rank."""
+def placed(wheels: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (hub, cid, label, main) of the wheels in which different components meet; main is the one with most of its rows."""
+    named = labels.select(F.col("node").alias("cid"), "label")
+    rows = stored(wheels.select("hub", "cid").join(named, "cid", "left").select("hub", "cid", F.coalesce("label", "cid").alias("label")), "placed")
+    sizes = rows.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("many"))
+    mains = sizes.groupBy("hub").agg(F.max(F.struct("many", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("hub", "main")
+    return stored(looked_up(rows, stored(mains, "mains"), "hub"), "mixed")
 
-    def spread(batches: Iterator):
-        import pyarrow as pa
-
-        for batch in batches:
-            reps, sizes, shingles = (c.to_pylist() for c in batch.columns)
-            for rep, n, s in zip(reps, sizes, shingles, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, "<u8").view(np.int64)), pa.array(np.full(n, rep)), pa.array(np.full(n, n))], names=["token", "rep", "n"])
 
-    tokens = stored(sets.join(wanted, "rep", "left_semi").select("rep", "n", "shingles").mapInArrow(spread, "token long, rep long, n long"), "shingles")
-    counts = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shingle-counts")
-    common = tokens.join(counts, "token").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
-    common = common.withColumn("own", F.col("n") - F.size("held"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1 - F.col("own")
-    kept = common.where(length > 0).select("rep", "n", "own", F.posexplode(F.slice("held", 1, length.cast("int"))).alias("at", "x"))
-    kept = kept.select("x.token", "rep", "n", "own", (F.col("at") + F.col("own") + 1).alias("at"))
-    return stored(kept.join(sets.select("rep", *_BITS), "rep"), "prefixes")
-
-
-_BITS = [f"bits{k}" for k in range(WORDS_OF_BITS)]
+def further_hubs(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each row of mixed with two more hubs of its wheel, one of the main component and one of the others, if
+    they are in different components."""
+    order = F.struct(F.xxhash64("cid", F.lit(turn)).alias("order"), "cid", "label")
+    hubs = mixed.groupBy("hub").agg(F.min(F.when(F.col("label") == F.col("main"), order)).alias("x"), F.min(F.when(F.col("label") != F.col("main"), order)).alias("y"))
+    rows = looked_up(mixed, stored(hubs.select("hub", F.array("x", "y").alias("hubs")), "hubs"), "hub")
+    pairs = rows.select("cid", "label", F.explode("hubs").alias("h")).where(F.col("h.label") != F.col("label"))
+    return pairs.select(F.greatest("cid", "h.cid").alias("a"), F.least("cid", "h.cid").alias("b")).distinct()
 
 
 def _possible(percent: int) -> Column:
-    """Whether sizes and ranks leave room for percent of the union, and the parity bitmaps, whose unequal bits are at most
-    as many as the unequal shingles: x and y are prefix rows of one token."""
-    n, m = F.col("x.n"), F.col("y.n")
-    before = F.least(F.col("x.at") - F.col("x.own"), F.col("y.at") - F.col("y.own"))
-    most = before + F.least(n - F.col("x.at"), m - F.col("y.at"))
+    """Whether the rows x and y of one wheel can have percent of their union in common: what they do not share is at least
+    the difference of their sizes, that of their differences from the hub, and the number of their unequal bits."""
     unequal = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS])
-    return (most * (100 + percent) >= (n + m) * percent) & (unequal * (100 + percent) <= (n + m) * (100 - percent))
-
-
-def star_pairs(prefix: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each set with the one of fewest own shingles in each of its prefix buckets."""
-    centers = stored(
-        prefix.groupBy("token").agg(F.min(F.struct("own", "rep", "n", "at", *_BITS)).alias("c"), F.count(F.lit(1)).alias("many")).where("many > 1")
-        .select("token", *[F.col(f"c.{x}").alias(x) for x in ("rep", "n", "own", "at", *_BITS)]), "centers",
-    )
-    met = prefix.alias("x").join(centers.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") != F.col("y.rep")) & _possible(percent))
-    return met.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+    most = (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    return reduce(lambda a, b: a & b, [least * (100 + percent) <= most for least in (F.abs(F.col("x.n") - F.col("y.n")), F.abs(F.col("x.apart") - F.col("y.apart")), unequal)])
 
 
-def meeting_pairs(prefix: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of prefix buckets whose ends are in different components, as far as sizes and ranks allow."""
-    placed = prefix.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    placed = stored(placed.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "placed")
-    mixed = stored(placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token"), "mixed")
-    some = stored(placed.join(mixed, "token", "left_semi"), "mixed-rows")
-    met = some.alias("x").join(
-        some.alias("y"),
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & _possible(percent),
-    )
-    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+def open_pairs(wheels: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components of a wheel that the bounds leave open."""
+    rows = stored(mixed.join(wheels, ["hub", "cid"]).join(sets.select("cid", "n", *_BITS), "cid"), "open-rows")
+    x, y = rows.where("label <> main").alias("x"), rows.alias("y")
+    apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.cid") > F.col("y.cid")))
+    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & apart & _possible(percent))
+    return met.select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b")).distinct()
 
 
-def class_links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame | None:
+def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The links (a, b) between classes that decide the components."""
-    keys = index_keys(reps)
-    counts = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared-keys")
-    members = stored(keys.join(counts, "key"), "members")
-    listed = members.where(F.col("many") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("reps"))
-    firsts = listed.select("reps", F.posexplode("reps").alias("at", "b"))
-    small = firsts.select(F.explode(F.slice("reps", F.col("at") + 2, F.lit(SMALL))).alias("a"), "b").where("a <> b").distinct()
-    near = stored(within_distance(small, reps), "near-pairs")
-    large = stored(members.where(F.col("many") > SMALL).select("rep").distinct(), "large-keys")
-    wanted = stored(near.select(F.col("a").alias("rep")).union(near.select("b")).union(large).distinct(), "wanted")
-    sets = stored(sets_of(docs, wanted, words).dropDuplicates(["rep"]), "sets")
-    prefix = prefixes(sets, large, percent)
-    tried = stored(near.unionByName(star_pairs(prefix, percent)).distinct(), "tried")
-    links = stored(confirmed(tried, sets, percent), "confirmed")
-    more = meeting_pairs(prefix, components(links), percent).join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(stored(confirmed(stored(more, "meeting"), sets, percent), "confirmed"))
+    keys = index_keys(classes)
+    hubs = stored(keys.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub < last").select("key", "hub"), "hubs")
+    spokes = stored(keys.join(hubs, "key").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "spokes")
+    ends = stored(spokes.select(F.col("a").alias("cid")).union(spokes.select("b")).distinct(), "ends")
+    sets = stored(sets_of(docs, stored(classes.join(ends, "cid").select("cid", "rep", "digest"), "wanted"), words), "sets")
+    tried = stored(compared(spokes, sets), "compared")
+    links = linked(tried, percent)
+    apart = tried.select(F.col("a").alias("hub"), F.col("b").alias("cid"), (F.col("n") + F.col("m") - 2 * F.col("common")).alias("apart"))
+    wheels = stored(apart.unionByName(tried.select(F.col("a").alias("hub")).distinct().select("hub", F.col("hub").alias("cid"), F.lit(0).cast("long").alias("apart"))), "wheels")
+    mixed = placed(wheels, components(links))
+    for turn in count():
+        before = mixed.agg(F.count_distinct("label")).first()[0]
+        if not before:
+            return links
+        more = linked(stored(compared(stored(further_hubs(mixed, turn), "pairs"), sets), "compared"), percent)
+        joined = 0
+        if more.take(1):
+            links = stored(links.unionByName(more), "links")
+            mixed = placed(wheels, components(links))
+            joined = before - mixed.agg(F.count_distinct("label")).first()[0]
+        if joined * WORTH < before:
+            rest = stored(open_pairs(wheels, mixed, sets, percent), "open-pairs")
+            return links.unionByName(linked(stored(compared(rest, sets), "compared"), percent))
+
+
+def same_document(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of one doc_id that has several texts."""
+    several = filled.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    held = filled.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(classes.select("digest", "cid"), "digest")
+    return looked_up(stored(held, "several-texts"), held.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").select("a", F.col("cid").alias("b")).where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -260,28 +245,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     with arrow_batches(docs.sparkSession, BATCH):
         marks = stored(signatures(docs, words), "signatures")
         filled = marks.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-        reps = stored(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.min_by("symbols", "doc_id").alias("symbols")), "classes")
-        labels = components(class_links(docs, reps.dropDuplicates(["rep"]), words, percent))
-    placed = stored(
-        reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", "many", F.coalesce("label", "rep").alias("component_id")), "class-components"
-    )
-    limit = max(1, marks.count() // HOT_SHARE)
-    hot = placed.where(F.col("many") > limit).select(F.col("digest").alias("_hot"), F.col("component_id").alias("_hot_component"))
-    tagged = marks.select("doc_id", "n_shingles", "digest").join(F.broadcast(hot), F.col("digest") == F.col("_hot"), "left")
-    settled = F.col("_hot").isNotNull() | F.col("digest").isNull() | F.col("doc_id").isNull()
-    first = tagged.where(settled).select("doc_id", "n_shingles", F.coalesce("_hot_component", "doc_id").alias("component_id"))
-    rest = tagged.where(~settled).select("doc_id", "n_shingles", "digest").join(placed.where(F.col("many") <= limit).drop("many"), "digest").drop("digest")
-    return first.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        classes = numbered(stored(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("symbols", "doc_id").alias("symbols")), "classes"))
+        labels = components(class_links(docs, classes, words, percent).unionByName(same_document(filled, classes)))
+        named = stored(classes.select("cid", "digest", "rep").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left"), "named")
+        linked_ones = named.where(F.col("label").isNotNull())
+        firsts = stored(linked_ones.groupBy("label").agg(F.min("rep").alias("component_id")), "firsts")
+        settled = looked_up(linked_ones, firsts, "label").select("digest", "component_id").unionByName(named.where(F.col("label").isNull()).select("digest", F.col("rep").alias("component_id")))
+        rows = looked_up(filled.select("doc_id", "n_shingles", "digest"), stored(settled, "class-components"), "digest").drop("digest")
+    alone = marks.where(F.col("digest").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component, all columns as they were; of rows with one doc_id one stays."""
+    mark, gone = fresh(docs, "mark", "gone")
     verdict = stored(near_duplicates(docs, words, percent), "near-verdict")
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    again = verdict.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    marks = stored(gone.withColumn("_gone", F.lit(True)).unionByName(again.withColumn("_gone", F.lit(False))), "near-marks")
-    met = docs.join(marks, docs["doc_id"] == marks["_id"], "left")
-    once = met.where(F.col("_id").isNull()).select(*[docs[c] for c in docs.columns])
+    lost = verdict.where(~F.col("kept")).select(F.col("doc_id").alias(mark)).distinct()
+    again = verdict.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(mark)).count().where("count > 1").select(mark)
+    marks = stored(lost.withColumn(gone, F.lit(True)).unionByName(again.withColumn(gone, F.lit(False))), "near-marks")
+    met = docs.join(marks, docs["doc_id"] == marks[mark], "left")
+    once = met.where(F.col(mark).isNull()).select(*[docs[c] for c in docs.columns])
     if not again.take(1):
         return once
-    return once.unionByName(met.where(~F.col("_gone")).dropDuplicates(["_id"]).select(*[docs[c] for c in docs.columns]))
+    return once.unionByName(met.where(~F.col(gone)).dropDuplicates([mark]).select(*[docs[c] for c in docs.columns]))

@@ -4,6 +4,8 @@ import hashlib
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from attestor.llm import exact_dedup, fingerprints, near_dedup
 from attestor.llm.minhash import parity_bitmap, shingle_sets
 
@@ -25,12 +27,28 @@ def test_exact_duplicates(odd, sample, empty):
 
 
 def test_index_takes_only_what_is_new(spark):
-    index = exact_dedup.DigestIndex(spark)
     make = lambda *rows: exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"))
-    index.add(make((1, "a"), (2, "a"), (3, "b")))
-    index.add(make((9, "a"), (10, "c")))
-    assert sorted((r["keep_id"], r["group_size"]) for r in index.entries().collect()) == [(2, 2), (3, 1), (10, 1)]
-    assert [r["keep_id"] for r in index.unseen(make((11, "a"), (12, "d"))).collect()] == [12]
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    assert index.add(make((1, "a"), (2, "a"), (3, "b"))).count() == 2
+    spark.sql(f"DROP TABLE {index.name}")  # as in a session with another catalog: the folder is all there is
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert again.buckets == 3 and [r["keep_id"] for r in again.add(make((9, "a"), (10, "c"))).collect()] == [10]
+    assert sorted((r["keep_id"], r["group_size"]) for r in again.entries().collect()) == [(3, 1), (9, 3), (10, 1)]
+
+
+def test_new_documents_are_held_against_an_older_index(spark):
+    make = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark)
+    exact_dedup.exact_duplicates(make((1, "a"), (50, "b")), index).count()
+    got = exact_dedup.exact_duplicates(make((9, "a"), (10, "a"), (11, "b"), (12, "c")), exact_dedup.DigestIndex(spark, index.path)).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(9, 10, 3, False), (10, 10, 3, True), (11, 50, 2, False), (12, 12, 1, True)]
+
+
+def test_known_digests_leave_by_a_sort_merge_anti_join(spark):
+    index = exact_dedup.DigestIndex(spark)
+    reduced = exact_dedup.digests(spark.range(5).selectExpr("id AS doc_id", "string(id) AS text"))
+    plan = reduced.join(index.known().hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
 
 
 def test_hot_texts_go_by_broadcast(spark):
@@ -39,8 +57,17 @@ def test_hot_texts_go_by_broadcast(spark):
     assert len(got) == 4000 and got[1]["keep_id"] == 3998 and got[1]["group_size"] == sum(1 for i in range(4000) if i % 3) and got[3]["kept"]
 
 
+def clashing(docs):
+    """docs with further columns named as operators name theirs."""
+    for name in ("mark", "sha", "gone", "own", "_digest", "_gone", "_mark_id", "_id", "digest", "keep_id", "Mark_", "hub", "cid"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    return docs
+
+
 def test_without_exact_duplicates(odd):
+    odd = clashing(odd)
     rows = exact_dedup.without_exact_duplicates(odd).collect()
+    assert all(r["sha"] == r["mark"] == r["_gone"] == r["digest"] == "mine" for r in rows)
     assert len(rows) == len({r["text"] or "" for r in odd.collect()}) and rows[0].asDict().keys() == odd.first().asDict().keys()
 
 
@@ -98,8 +125,48 @@ def test_near_duplicates_odd_rows(odd, sample, empty):
     assert near_dedup.near_duplicates(empty, 2).count() == 0
 
 
+def test_one_doc_id_is_one_node_whatever_its_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(5, a), (7, a), (7, b), (9, b), (9, b), (11, c), (3, c), (12, "alone here"), (5, "alone there")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (7, 5), (9, 5), (11, 3), (3, 3), (12, 12)}
+
+
+def test_rows_without_an_id_stay_alone_beside_a_hot_group(spark):
+    rows = [(None, "a b c d e"), (None, "a b c d e"), *[(i, "a b c d e") for i in range(5, 40)]]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True)] * 2 + [(i, 5, i == 5) for i in range(5, 40)]
+
+
+def test_groups_whose_hubs_link_nothing(spark):
+    """Copies that all differ from the first ones by too much, in two clusters and a bridge between them."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+
+    def copy(fixed, n):
+        words = list(base)
+        for p in fixed:
+            words[p] = f"f{p}"
+        for _ in range(n):
+            words[rng.randrange(100)] = f"x{rng.randrange(10**9)}"
+        rows.append((len(rows), " ".join(words)))
+
+    for _ in range(6):
+        copy((), 7)
+    for _ in range(40):
+        copy(range(0, 27, 3), 2)
+        copy(range(1, 28, 3), 2)
+    copy(range(0, 12, 3), 0)
+    want = brute(rows, 2)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and 1 < len(set(want.values())) < len(rows)
+
+
 def test_without_near_duplicates(odd):
+    odd = clashing(odd)
     rows = near_dedup.without_near_duplicates(odd).collect()
+    assert all(r["_id"] == r["mark"] == r["gone"] == "mine" for r in rows)
     kept = [r["doc_id"] for r in rows if r["doc_id"] is not None]
     assert sorted(kept) == [1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13]
 
