@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,7 +30,8 @@ from attestor.llm.tokens import _trim, slices
 
 SPACE = "▁"
 MAX_WORDS, MAX_PARTS, MAX_PAIRS = 700_000, 500_000, 4_000_000
-NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+#: Longer words than this are not kept.
+LONG = 200
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
@@ -79,21 +81,30 @@ class PieceCodec:
         self.inside = {p[k : k + 2] for p in self.scores for k in range(len(p) - 1)}
 
     def _merge(self, text: str) -> list[int]:
-        """Plain merging: the adjacent pair of the best score, the leftmost among equals, until none is a piece."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                found = self.scores.get(parts[k] + parts[k + 1])
-                if found and (best is None or found[0] > best):
-                    best, at = found[0], k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """Plain merging: the adjacent pair of the best score, the leftmost among equals, until none is a piece. Pairs wait in a
+        heap; one whose parts have grown since is passed over."""
+        n, scores = len(text), self.scores
+        parts: list[str | None] = list(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-found[0], k, 2) for k in range(n - 1) if (found := scores.get(text[k : k + 2]))]
+        heapify(heap)
+        while heap:
+            _, k, size = heappop(heap)
+            left, j = parts[k], after[k]
+            if left is None or j >= n or len(left) + len(parts[j]) != size:
+                continue
+            parts[k], parts[j], after[k] = left + parts[j], None, after[j]
+            if after[k] < n:
+                before[after[k]] = k
+            for x in (before[k], k):
+                y = after[x] if x >= 0 else n
+                if y < n and (found := scores.get(parts[x] + parts[y])):
+                    heappush(heap, (-found[0], x, len(parts[x]) + len(parts[y])))
         out: list[int] = []
         for p in parts:
-            found = self.scores.get(p)
-            out += [found[1]] if found else [self.byte_ids[b] for b in p.encode("utf-8", "replace")]
+            if p is not None:
+                found = scores.get(p)
+                out += [found[1]] if found else [self.byte_ids[b] for b in p.encode("utf-8", "replace")]
         return out
 
     def _compatible(self, u: int, t: int) -> bool:
@@ -175,13 +186,13 @@ class PieceCodec:
 
     def _cut(self, word: str) -> list[str]:
         """The word in parts between which no piece reaches across."""
-        parts: list[str] = []
+        parts: list[list[str]] = []
         for run in _RUNS.findall(word):
-            if parts and parts[-1][-1] + run[0] in self.inside:
-                parts[-1] += run
+            if parts and parts[-1][-1][-1] + run[0] in self.inside:
+                parts[-1].append(run)
             else:
-                parts.append(run)
-        return parts
+                parts.append([run])
+        return ["".join(p) for p in parts]
 
     def _word(self, word: str) -> tuple[int, str, str]:
         """Number of ids, ids joined by commas and decoded text of a word, space mark included."""
@@ -193,7 +204,9 @@ class PieceCodec:
                 text = "".join(map(self.pieces.__getitem__, ids))
                 # The text of a byte piece begins like this.
                 text = self._join(ids) if "<0x" in text else text.replace(SPACE, " ")
-                value = self.parts[part] = len(ids), ",".join(map(self.numbers.__getitem__, ids)), text
+                value = len(ids), ",".join(map(self.numbers.__getitem__, ids)), text
+                if len(part) <= LONG:
+                    self.parts[part] = value
             found.append(value)
         if len(found) == 1:
             return found[0]
@@ -229,7 +242,9 @@ class PieceCodec:
         for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist():
             found = self.words.get(w)
             if found is None:
-                found = self.words[w] = self._word(SPACE + w)
+                found = self._word(SPACE + w)
+                if len(w) <= LONG:
+                    self.words[w] = found
             values.append(found)
         n, ids, decoded = zip(*values, strict=True)
         counts = np.add.reduceat(np.array(n)[coded.indices.to_numpy()], lists.offsets.to_numpy()[:-1]).tolist()

@@ -1,9 +1,10 @@
 """Token-id files: independent zstandard frames with a trailing seek table.
 
 A file is a run of zstandard frames, each with its own content checksum, then two skippable frames: an index
-of the documents' frames and the seek table of the public zstandard seekable format (compressed size, content
-size and checksum of every frame; number of frames; magic number). The content of a frame is the number of
-its documents, their doc_ids, their token counts and their ids, little-endian, two bytes an id where the
+of the documents' frames and the seek table of the public zstandard seekable format, which has the compressed size,
+the content size and the low 32 bits of the content's XXH64 for every frame before it (the index has no content),
+the number of frames and a magic number. The content of a frame is the number of its documents, a bit for each null
+doc_id, the doc_ids, the token counts and the ids, little-endian, two bytes an id where the
 vocabulary allows. A reader takes the two trailing frames and then decompresses only the frames it needs.
 
 Documents are written in ascending doc_id order (a null id first, repeated rows next to each other): a range
@@ -20,6 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,6 @@ from attestor.llm.common import arrow_batches, scratch
 from attestor.llm.tokens import default_vocabulary, slices, word_cache
 
 SEEKABLE_MAGIC, SEEK_TABLE, INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A5D
-NULL_ID = -(2**63)
 #: A frame is closed when its documents have this many ids.
 FRAME_IDS = 256 * 1024
 #: Documents that a worker gets at a time.
@@ -48,6 +49,12 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def checksum(content: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(content) & 0xFFFFFFFF
+
+
 class FrameWriter:
     """Writes documents in the order given to an open binary stream."""
 
@@ -64,7 +71,7 @@ class FrameWriter:
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         """ids: little-endian unsigned 32-bit."""
-        self.ids.append(NULL_ID if doc_id is None else doc_id)
+        self.ids.append(doc_id)
         self.counts.append(len(ids) // 4)
         self.raw.append(ids)
         self.held += len(ids) // 4
@@ -78,10 +85,11 @@ class FrameWriter:
 
         n = len(self.ids)
         values = np.frombuffer(b"".join(self.raw), "<u4").astype(f"<u{self.id_bytes}", copy=False)
-        content = struct.pack("<I", n) + np.array(self.ids, "<i8").tobytes() + np.array(self.counts, "<u4").tobytes() + values.tobytes()
+        nulls, ids = np.packbits([i is None for i in self.ids]).tobytes(), np.array([i or 0 for i in self.ids], "<i8").tobytes()
+        content = struct.pack("<I", n) + nulls + ids + np.array(self.counts, "<u4").tobytes() + values.tobytes()
         frame = self.compressor.compress(content)
         self.out.write(frame)
-        self.frames.append((len(frame), len(content), zlib.crc32(content), n, self.held))
+        self.frames.append((len(frame), len(content), checksum(content), n, self.held))
         self._clear()
 
     def close(self) -> tuple[int, int]:
@@ -89,7 +97,8 @@ class FrameWriter:
         self.flush()
         index = struct.pack("<B", self.id_bytes) + b"".join(struct.pack("<II", n, tokens) for *_, n, tokens in self.frames)
         self.out.write(struct.pack("<II", INDEX, len(index)) + index)
-        table = b"".join(struct.pack("<III", *f[:3]) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, SEEKABLE_MAGIC)
+        entries = [f[:3] for f in self.frames] + [(8 + len(index), 0, checksum(b""))]
+        table = b"".join(struct.pack("<III", *e) for e in entries) + struct.pack("<IBI", len(entries), 0x80, SEEKABLE_MAGIC)
         self.out.write(struct.pack("<II", SEEK_TABLE, len(table)) + table)
         return sum(f[3] for f in self.frames), sum(f[4] for f in self.frames)
 
@@ -103,16 +112,15 @@ class FrameReader:
         if magic != SEEKABLE_MAGIC or flags != 0x80:
             raise ValueError("not a file with a seek table")
         table = size - 9 - 12 * count
-        entries = list(struct.iter_unpack("<III", self._at(table, 12 * count)))
-        index = table - 8 - 8 * count - 1
-        body = self._at(index - 8, 8 + 1 + 8 * count)
-        if struct.unpack("<II", body[:8]) != (INDEX, 1 + 8 * count):
+        *entries, (length, _, _) = struct.iter_unpack("<III", self._at(table, 12 * count))
+        body = self._at(table - 8 - length, length)
+        if struct.unpack("<II", body[:8]) != (INDEX, length - 8) or length != 9 + 8 * len(entries):
             raise ValueError("no document index before the seek table")
         self.id_bytes = body[8]
         docs = list(struct.iter_unpack("<II", body[9:]))
         self.frames, at, first, start = [], 0, 0, 0
-        for (packed, content, checksum), (n, tokens) in zip(entries, docs, strict=True):
-            self.frames.append({"at": at, "packed": packed, "content": content, "checksum": checksum, "first": first, "docs": n, "start": start, "tokens": tokens})
+        for (packed, content, digest), (n, tokens) in zip(entries, docs, strict=True):
+            self.frames.append({"at": at, "packed": packed, "content": content, "checksum": digest, "first": first, "docs": n, "start": start, "tokens": tokens})
             at, first, start = at + packed, first + n, start + tokens
 
     def _at(self, at: int, n: int) -> bytes:
@@ -126,23 +134,28 @@ class FrameReader:
 
         f = self.frames[k]
         content = zstandard.ZstdDecompressor().decompress(self._at(f["at"], f["packed"]))
-        if len(content) != f["content"] or zlib.crc32(content) != f["checksum"]:
+        if len(content) != f["content"] or checksum(content) != f["checksum"]:
             raise ValueError(f"frame {k} is damaged")
         (n,) = struct.unpack_from("<I", content)
-        ids, counts = np.frombuffer(content, "<i8", n, 4), np.frombuffer(content, "<u4", n, 4 + 8 * n)
-        values = np.frombuffer(content, f"<u{self.id_bytes}", -1, 4 + 12 * n).astype("<u4").tobytes()
+        at = 4 + (n + 7) // 8
+        null = np.unpackbits(np.frombuffer(content, "u1", at - 4, 4))[:n].tolist()
+        ids, counts = np.frombuffer(content, "<i8", n, at), np.frombuffer(content, "<u4", n, at + 8 * n)
+        values = np.frombuffer(content, f"<u{self.id_bytes}", -1, at + 12 * n).astype("<u4").tobytes()
         start, at = f["start"], 0
-        for doc_id, count in zip(ids.tolist(), counts.tolist(), strict=True):
-            yield (None if doc_id == NULL_ID else doc_id), start, values[4 * at : 4 * (at + count)]
+        for doc_id, none, count in zip(ids.tolist(), null, counts.tolist(), strict=True):
+            yield (None if none else doc_id), start, values[4 * at : 4 * (at + count)]
             start, at = start + count, at + count
 
     def documents(self, numbers: Iterable[int]) -> Iterator[tuple[int | None, int, bytes]]:
         """The documents of these places in the file (from 0); frames without one stay compressed."""
-        wanted = sorted(set(numbers))
-        for k, f in enumerate(self.frames):
-            here = {n - f["first"] for n in wanted if f["first"] <= n < f["first"] + f["docs"]}
-            if here:
-                yield from (d for i, d in enumerate(self.frame(k)) if i in here)
+        firsts = [f["first"] for f in self.frames]
+        wanted: dict[int, set[int]] = {}
+        for n in numbers:
+            k = bisect_right(firsts, n) - 1
+            if n >= 0 and k >= 0 and n < firsts[k] + self.frames[k]["docs"]:
+                wanted.setdefault(k, set()).add(n - firsts[k])
+        for k in sorted(wanted):
+            yield from (d for i, d in enumerate(self.frame(k)) if i in wanted[k])
 
 
 def write_partition(batches: Iterator, folder: str, vocabulary: str, end_id: int):

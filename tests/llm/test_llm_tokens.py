@@ -3,12 +3,16 @@
 import hashlib
 import io
 import random
+import struct
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
+import zstandard
 from tokenizers import Tokenizer
 
 from attestor.llm import packing, piece_codec, token_files
@@ -117,6 +121,29 @@ def test_readers_take_only_the_frames_they_need(monkeypatch):
         list(token_files.FrameReader(io.BytesIO(bytes(damaged)), len(damaged)).frame(1))
 
 
+def test_the_seek_table_is_that_of_the_public_format():
+    out = io.BytesIO()
+    writer = token_files.FrameWriter(out, 4)
+    ids = (None, -(2**63), 0, 5)
+    for d in ids:
+        writer.add(d, np.arange(3, dtype="<u4").tobytes())
+        writer.flush()
+    writer.close()
+    raw = out.getvalue()
+    count, flags, magic = struct.unpack("<IBI", raw[-9:])
+    table = len(raw) - 9 - 12 * count
+    assert (count, flags, magic) == (5, 0x80, 0x8F92EAB1) and struct.unpack("<II", raw[table - 8 : table]) == (0x184D2A5E, 12 * count + 9)
+    at = 0
+    for packed, content, digest in struct.iter_unpack("<III", raw[table:-9]):
+        frame = raw[at : at + packed]
+        whole = b"" if frame[:4] == struct.pack("<I", 0x184D2A5D) else zstandard.ZstdDecompressor().decompress(frame)
+        assert len(whole) == content and xxhash.xxh64(whole).intdigest() & 0xFFFFFFFF == digest
+        at += packed
+    assert at == table - 8
+    reader = token_files.FrameReader(out, len(raw))
+    assert [d for k in range(4) for d, *_ in reader.frame(k)] == list(ids)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_model())
@@ -136,6 +163,16 @@ def test_pieces_equal_the_library(pieces):
         assert codec.decode(ids) == pieces.decode(ids)
 
 
+def test_long_runs_take_time_in_proportion(pieces):
+    codec = piece_codec.piece_codec(piece_codec.default_model())
+    began = time.time()
+    for t in (" " * 200_000, " " * 99_999 + "the end", "x" + " " * 200_001 + "y", "." * 200_000, "a" * 200_000, "é梦" * 50_000, "...!?" * 40_000, "-=" * 100_000):
+        want = pieces.encode(t)
+        assert codec.encode(t) == want
+        assert codec.digests([t]) == [(len(want), sha(",".join(map(str, want))), sha(pieces.decode(want)))]
+    assert time.time() - began < 60
+
+
 def sha(s):
     return hashlib.sha256(s.encode()).hexdigest()
 
