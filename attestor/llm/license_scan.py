@@ -1,10 +1,12 @@
 """License scans with ordered signature rules.
 
-A rule has keywords, a regular expression on the lower-cased text, a label and a priority. Its expression runs
-only where the text contains one of its keywords; whatever the expression matches contains one, so nothing is
-lost. Detections are ordered by their start; one that lies inside a detection of higher priority, or
-inside a longer one of equal priority, is suppressed, which resolves overlapping names (``lesser general public
-license`` holds ``general public license``). Three base phrases are counted besides, word by word.
+A rule has keywords, words that it needs besides, a regular expression on the lower-cased text, a label and a
+priority. Its expression runs only where the text contains one of its keywords and one of the words it needs; whatever
+the expression matches contains both, so nothing is lost. Detections are ordered by their start, the longest first and
+among equal places that of the highest priority; one that lies inside a detection of higher priority, or inside a
+longer one of equal priority, is suppressed, which resolves overlapping names (``lesser general public license`` holds
+``general public license``). Of detections with equal places and priorities the first label of the alphabet stays.
+Three base phrases are counted besides, word by word.
 
 Everything is built-in column functions on one row, so nothing is shuffled. Where one document has m
 detections, their list takes time that grows as m squared; at ten thousand detections that is under a second.
@@ -32,6 +34,10 @@ BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apa
 SEP = "[\\s,;:()/_-]+"
 OPT = "[\\s,;:()/_-]*"
 
+#: Of these a text with a grant, or with a name and the word license behind it, contains one.
+GRANT_WORDS = ("licen", "released", "distributed", "available", "provided", "published", "covered", "redistribut")
+LICENSE_WORDS = ("licen",)
+
 #: label, expression of the name, keywords of which any text with the name contains one (divided by |), SPDX identifiers.
 FAMILIES = (
     ("mit", f"(?:the{SEP})?mit(?:/x11|/expat)?", "mit", "mit"),
@@ -56,7 +62,7 @@ FAMILIES = (
     ("bsd", "(?<![a-z])bsd", "bsd", "bsd"),
     ("mpl-1", f"mozilla{SEP}public{SEP}licen[cs]e{SEP}(?:version{SEP}|v\\.?{OPT})?1\\.[01]", "mozilla", "mpl-1\\.[01]"),
     ("mpl-2", f"mozilla{SEP}public{SEP}licen[cs]e{SEP}(?:version{SEP}|v\\.?{OPT})?2(?:\\.0)?", "mozilla", "mpl-2\\.0"),
-    ("mpl", f"mozilla{SEP}public", "mozilla", "mpl"),
+    ("mpl", f"(?:mozilla{SEP}public|(?<![a-z])mpl)", "mozilla|mpl", "mpl"),
     ("epl-1", f"eclipse{SEP}public{SEP}licen[cs]e{SEP}(?:version{SEP}|v\\.?{OPT})?1(?:\\.0)?", "eclipse", "epl-1\\.0"),
     ("epl-2", f"eclipse{SEP}public{SEP}licen[cs]e{SEP}(?:version{SEP}|v\\.?{OPT})?2(?:\\.0)?", "eclipse", "epl-2\\.0"),
     ("edl", f"eclipse{SEP}distribution", "eclipse", "edl-1\\.0"),
@@ -100,6 +106,35 @@ FAMILIES = (
     ("cc-attribution", f"creative{SEP}commons{SEP}attribution", "commons", "cc-attribution"),
 )
 
+#: Abbreviations with a version, which count in a grant or before the word license.
+SHORT = {
+    "mpl-1": f"mpl{OPT}(?:version{SEP}|v\\.?{OPT})?1\\.[01]", "mpl-2": f"mpl{OPT}(?:version{SEP}|v\\.?{OPT})?2(?:\\.0)?",
+    "epl-1": f"epl{OPT}(?:version{SEP}|v\\.?{OPT})?1(?:\\.0)?", "epl-2": f"epl{OPT}(?:version{SEP}|v\\.?{OPT})?2(?:\\.0)?",
+    "cddl": f"cddl(?:{OPT}(?:version{SEP}|v\\.?{OPT})?1\\.[01])?", "sspl": f"sspl(?:{OPT}(?:version{SEP}|v\\.?{OPT})?1)?",
+    "osl": f"osl{SEP}[123]\\.[01]", "afl": f"afl{SEP}[123]\\.[012]", "apache-2": f"apache{SEP}(?:v\\.?{OPT})?2\\.0", "apache-1": f"apache{SEP}(?:v\\.?{OPT})?1\\.[01]",
+}
+#: Names that say enough by their version alone, and what a text with one contains besides its keyword.
+NUMBERED = {label: () for label in ("gpl-1", "gpl-2", "gpl-3", "lgpl-2", "lgpl-3", "agpl-3")} | {
+    label: LICENSE_WORDS for label in ("apache-1", "apache-2", "mpl-1", "mpl-2", "epl-1", "epl-2", "artistic-1", "artistic-2")
+}
+
+#: Sentences of the licenses themselves.
+BODIES = (
+    ("mit", "permission\\s+is\\s+hereby\\s+granted,\\s+free\\s+of\\s+charge,\\s+to\\s+any\\s+person\\s+obtaining\\s+a\\s+copy", "hereby"),
+    ("boost", "permission\\s+is\\s+hereby\\s+granted,\\s+free\\s+of\\s+charge,\\s+to\\s+any\\s+person\\s+or\\s+organi[sz]ation", "hereby"),
+    ("isc", "permission\\s+to\\s+use,\\s+copy,\\s+modify,\\s+and(?:/or)?\\s+distribute\\s+this\\s+software\\s+for\\s+any\\s+purpose\\s+with\\s+or\\s+without\\s+fee", "permission"),
+    ("bsd", "redistribution\\s+and\\s+use\\s+in\\s+source\\s+and\\s+binary\\s+forms,\\s+with\\s+or\\s+without\\s+modification", "redistribution"),
+    ("bsd-3", "neither\\s+the\\s+names?\\s+of\\s+[^.]{1,120}\\s+may\\s+be\\s+used\\s+to\\s+endorse\\s+or\\s+promote", "endorse"),
+    ("bsd-4", "all\\s+advertising\\s+materials\\s+mentioning\\s+features\\s+or\\s+use\\s+of\\s+this\\s+software", "advertising"),
+    ("gpl", "is\\s+free\\s+software[:;,]?\\s+you\\s+can\\s+redistribute\\s+it\\s+and/or\\s+modify", "redistribute"),
+    ("apache-2", "may\\s+not\\s+use\\s+this\\s+file\\s+except\\s+in\\s+compliance\\s+with\\s+the\\s+licen[cs]e", "compliance"),
+    ("mpl-2", "this\\s+source\\s+code\\s+form\\s+is\\s+subject\\s+to\\s+the\\s+terms\\s+of\\s+the\\s+mozilla\\s+public", "mozilla"),
+    ("unlicense", "this\\s+is\\s+free\\s+and\\s+unencumbered\\s+software\\s+released\\s+into\\s+the\\s+public\\s+domain", "unencumbered"),
+    ("zlib", "the\\s+origin\\s+of\\s+this\\s+software\\s+must\\s+not\\s+be\\s+misrepresented", "misrepresented"),
+    ("wtfpl", "everyone\\s+is\\s+permitted\\s+to\\s+copy\\s+and\\s+distribute\\s+verbatim\\s+or\\s+modified\\s+copies", "verbatim"),
+    ("cc0", "waived?\\s+all\\s+copyright\\s+and\\s+related\\s+or\\s+neighbou?ring\\s+rights", "copyright"),
+)
+
 #: Notices that are no named license.
 NOTICES = (
     ("all-rights-reserved", "all\\s+rights\\s+reserved", "rights", 1),
@@ -118,21 +153,29 @@ class Signature:
     keyword: str
     pattern: str
     priority: int
+    needs: tuple[str, ...] = ()
 
 
 def signatures() -> tuple[Signature, ...]:
-    """The rules: for each family a grant, a titled name, an SPDX line and a link, then the notices."""
+    """The rules: for each family a grant, a titled name, a name with its version, an SPDX line and a link, then sentences and notices."""
     grant = f"(?:licen[cs]ed|released|distributed|available|provided|published|covered|redistribut(?:ed|able)){SEP}(?:(?:only|as|is|are){SEP})*(?:under|by|with){SEP}(?:the{SEP}terms{SEP}of{SEP})?(?:the{SEP}|an?{SEP})?"
     rules = []
-    for label, name, keyword, spdx in FAMILIES:
-        title = f"(?:{OPT}licen[cs]e)?"
+    for label, full, keyword, spdx in FAMILIES:
+        name, title = full, f"(?:{OPT}licen[cs]e)?"
+        if label in SHORT:
+            name, keyword = f"{full}|(?<![a-z]){SHORT[label]}", f"{keyword}|{label.split('-')[0]}"
         rules += [
-            Signature(label, keyword, f"(?<![a-z0-9]){grant}(?:{name}){title}(?![a-z0-9])", 4),
-            Signature(label, "spdx", f"spdx-license-identifier:\\s*(?:{spdx})(?![a-z0-9.])", 3),
-            Signature(label, keyword, f"(?<![a-z0-9])(?:{name}){OPT}(?:public{SEP})?licen[cs]e(?![a-z0-9])|(?<![a-z0-9])(?:{name})(?<=[0-9])(?![a-z0-9])", 2)
-            if not label.startswith("cc") else Signature(label, keyword, f"(?:{name})", 2),
+            Signature(label, keyword, f"(?<![a-z0-9]){grant}(?:{name}){title}(?![a-z0-9])", 4, GRANT_WORDS),
+            Signature(label, "spdx-license-identifier", f"spdx-license-identifier:\\s*(?:{spdx})(?![a-z0-9.])", 3),
             Signature(label, "licenses/", f"(?:opensource|spdx|gnu|creativecommons|choosealicense)\\.(?:org|com)/licenses/(?:{spdx})(?![a-z0-9])", 3),
         ]
+        if label.startswith("cc"):
+            rules.append(Signature(label, keyword, f"(?:{name})", 2))
+        else:
+            rules.append(Signature(label, keyword, f"(?<![a-z0-9])(?:{name}){OPT}(?:public{SEP})?licen[cs]e(?![a-z0-9])", 2, LICENSE_WORDS))
+        if label in NUMBERED:
+            rules.append(Signature(label, keyword, f"(?<![a-z0-9])(?:{full})(?![a-z0-9])", 2, NUMBERED[label]))
+    rules += [Signature(label, keyword, pattern, 3) for label, pattern, keyword in BODIES]
     return tuple(rules) + tuple(Signature(label, keyword, pattern, priority) for label, pattern, keyword, priority in NOTICES)
 
 
@@ -152,7 +195,8 @@ def base_places(joined: Column, phrase: str) -> Column:
 
 
 def detections(low: Column, rules: tuple[Signature, ...]) -> Column:
-    """All matches of the rules whose keyword the text contains: (start, stop, priority, label), by start, longest first."""
+    """All matches of the rules whose words the text contains: (start, back, rank, label), where back and rank are the end and
+    the priority negated; by start, the longest first, of those the highest priority."""
 
     def literal(r: Signature) -> Column:
         return F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"))
@@ -160,38 +204,43 @@ def detections(low: Column, rules: tuple[Signature, ...]) -> Column:
     def places(rule: Column) -> Column:
         matched = F.regexp_extract_all(low, rule["pattern"], F.lit(0))
         between = F.split(low, rule["pattern"], -1)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,back:int,priority:int,label:string>>").alias("found"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,back:int,rank:int,label:string>>").alias("found"))
 
         def step(acc: Column, pair: Column) -> Column:
             begin = acc["at"] + F.length(pair["between"])
             stop = begin + F.length(pair["matched"])
-            return F.struct(stop.alias("at"), F.array_append(acc["found"], F.struct(begin.alias("start"), (-stop).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"))).alias("found"))
+            return F.struct(stop.alias("at"), F.array_append(acc["found"], F.struct(begin.alias("start"), (-stop).alias("back"), (-rule["priority"]).alias("rank"), rule["label"].alias("label"))).alias("found"))
 
         pairs = F.zip_with(F.slice(between, 1, F.size(matched)), matched, lambda b, m: F.struct(b.alias("between"), m.alias("matched")))
         return F.when(F.size(matched) > 0, F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(start["found"])
 
-    groups: dict[str, list[Signature]] = {}
+    groups: dict[tuple[str, ...], dict[str, list[Signature]]] = {}
     for r in rules:
-        groups.setdefault(r.keyword, []).append(r)
-    # Each keyword is looked up once for all of its rules.
-    behind = [F.struct(F.array(*[F.lit(k) for k in keyword.split("|")]).alias("keywords"), F.array(*map(literal, some)).alias("rules")) for keyword, some in groups.items()]
-    chosen = F.filter(F.array(*behind), lambda g: F.exists(g["keywords"], lambda k: F.contains(low, k)))
-    return F.array_sort(F.flatten(F.transform(F.flatten(F.transform(chosen, lambda g: g["rules"])), places)))
+        groups.setdefault(r.needs, {}).setdefault(r.keyword, []).append(r)
+
+    def behind(held: dict[str, list[Signature]]) -> Column:
+        """The rules of the keywords that stand in the text; each keyword is looked up once for all of its rules."""
+        some = [F.struct(F.array(*[F.lit(k) for k in keyword.split("|")]).alias("keywords"), F.array(*map(literal, of)).alias("rules")) for keyword, of in held.items()]
+        return F.flatten(F.transform(F.filter(F.array(*some), lambda g: F.exists(g["keywords"], lambda k: F.contains(low, k))), lambda g: g["rules"]))
+
+    none = F.filter(F.array(literal(rules[0])), lambda r: F.lit(False))
+    chosen = [F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in needs]), behind(held)).otherwise(none) if needs else behind(held) for needs, held in groups.items()]
+    return F.array_sort(F.flatten(F.transform(F.flatten(F.array(*chosen)), places)))
 
 
 def unsuppressed(found: Column) -> Column:
     """(priority, label) of the detections that lie in none of higher priority, nor in a longer one of equal priority.
 
     found is ordered by start, longest first, so whatever contains a detection stands before it, and for each
-    priority only the furthest end so far and the label that reached it matter.
+    priority only the furthest end so far matters.
     """
     zero = F.struct(*[F.lit(0).alias(f"end{p}") for p in WEIGHTS], F.array().cast("array<struct<priority:int,label:string>>").alias("kept"))
 
     def step(acc: Column, d: Column) -> Column:
-        stop = -d["back"]
-        inside = reduce(lambda a, b: a | b, [(acc[f"end{p}"] >= stop) & (F.lit(p) >= d["priority"]) for p in WEIGHTS])
-        ends = [F.when(d["priority"] == p, F.greatest(acc[f"end{p}"], stop)).otherwise(acc[f"end{p}"]).alias(f"end{p}") for p in WEIGHTS]
-        kept = F.when(inside, acc["kept"]).otherwise(F.array_union(acc["kept"], F.array(F.struct(d["priority"].alias("priority"), d["label"].alias("label")))))
+        stop, priority = -d["back"], -d["rank"]
+        inside = reduce(lambda a, b: a | b, [(acc[f"end{p}"] >= stop) & (F.lit(p) >= priority) for p in WEIGHTS])
+        ends = [F.when(priority == p, F.greatest(acc[f"end{p}"], stop)).otherwise(acc[f"end{p}"]).alias(f"end{p}") for p in WEIGHTS]
+        kept = F.when(inside, acc["kept"]).otherwise(F.array_union(acc["kept"], F.array(F.struct(priority.alias("priority"), d["label"].alias("label")))))
         return F.struct(*ends, kept.alias("kept"))
 
     return F.aggregate(found, zero, step, lambda acc: acc["kept"])

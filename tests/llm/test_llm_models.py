@@ -157,6 +157,9 @@ def matching(pattern, rng):
             if op is c.LITERAL:
                 out += chr(arg)
             elif op is c.IN:
+                if arg[0][0] is c.NEGATE:
+                    out += "x"
+                    continue
                 kind, value = rng.choice(arg)
                 out += rng.choice(" \n") if kind is c.CATEGORY else chr(value) if kind is c.LITERAL else chr(rng.randint(*value))
             elif op is c.BRANCH:
@@ -172,26 +175,53 @@ def matching(pattern, rng):
     return made(_parser.parse(pattern))
 
 
-def test_licenses_by_every_signature(spark):
+def plain_labels(text, rules):
+    """Labels and best priority of all matches of all rules, without keywords, after priority and containment."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    found = {(m.start(), m.end(), r.priority, r.label) for r in rules for m in re.finditer(r.pattern, low, re.ASCII)}
+
+    def beaten(d):
+        start, stop, priority, label = d
+        for a, b, p, other in found:
+            if a <= start and b >= stop and (p > priority or (p == priority and ((a, b) != (start, stop) or other < label))):
+                return True
+        return False
+
+    kept = [d for d in found if not beaten(d)]
+    return {d[3] for d in kept}, max((d[2] for d in kept), default=0)
+
+
+def test_licenses_by_every_signature(spark, sample, odd):
     import random
-    from dataclasses import replace
 
     rng, rules, texts = random.Random(5), license_scan.signatures(), []
     for rule in rules:
         found = {t for t in (matching(rule.pattern, rng) for _ in range(300)) if re.search(rule.pattern, t, re.ASCII)}
         assert found, rule
-        assert all(any(k in t for k in rule.keyword.split("|")) for t in found), rule
-        texts.append((len(texts), sorted(found)[0], rule.label))
-    docs = spark.createDataFrame(texts, "doc_id long, text string, label string")
-    gated, ungated = (sorted(license_scan.scan_licenses(docs, r).collect()) for r in (rules, tuple(replace(r, keyword="") for r in rules)))
-    assert gated == ungated and all(r["labels"] for r in gated)
+        assert all(any(k in t for k in rule.keyword.split("|")) and (not rule.needs or any(k in t for k in rule.needs)) for t in found), rule
+        texts += sorted(found)[:2]
+    texts += [" and ".join(rng.sample(texts, 4)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for some in (docs, sample, odd):
+        want = []
+        for r in some.collect():
+            labels, best = plain_labels(r["text"], rules)
+            _, n, *_, base = plain_scan(r["text"])
+            want.append((str(r["doc_id"]), ",".join(sorted(labels | (set(base.split(",")) - {""}))), 1.0 if n else license_scan.WEIGHTS.get(best, 0.0)))
+        assert sorted((str(r["doc_id"]), r["labels"], r["score"]) for r in license_scan.scan_licenses(some).collect()) == sorted(want)
+
+
+def test_of_equal_places_the_higher_priority_stays(spark):
+    rules = (license_scan.Signature("a", "word", "word", 2), license_scan.Signature("z", "word", "word", 3), license_scan.Signature("b", "wor", "word", 2))
+    docs = spark.createDataFrame([(1, "a word")], "doc_id long, text string")
+    assert license_scan.scan_licenses(docs, rules).first()["labels"] == "z" and license_scan.scan_licenses(docs, (rules[2], rules[0])).first()["labels"] == "a"
 
 
 def test_licenses_without_a_stem(spark):
     texts = [
         ("released under the GPLv3", "gpl-3"), ("this code is GPLv3", "gpl-3"), ("LGPL v2.1", "lgpl-2"), ("distributed under the BSD", "bsd"), ("available under the EUPL", "eupl"),
         ("released under the WTFPL", "wtfpl"), ("proprietary and confidential", "proprietary"), ("all rights\nreserved", "all-rights-reserved"), ("placed into the public\ndomain", "public-domain"),
-        ("creative\ncommons attribution", "cc-attribution"),
+        ("creative\ncommons attribution", "cc-attribution"), ("Distributed under GPLv3 or later", "gpl-3"), ("released under the BSD-3-clause", "bsd-3"), ("available under the MPL 2.0", "mpl-2"),
     ]
     got = license_scan.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
     assert [r["labels"] for r in sorted(got)] == [label for _, label in texts]
