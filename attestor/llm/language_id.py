@@ -8,7 +8,7 @@ language (``per_language``), drawn by a hash of the doc_id alone, never from hel
 in tasks; only the counts of their n-grams reach the driver.
 
 Defined results: ``und`` with score 0 for null texts and texts without letters; where no labelled row can be
-learned from, ``und`` for all; repeated rows get equal answers; an empty table gives an empty result; other
+learned from, ``und`` for all; at most MAX_LANGUAGES languages are learned, the most frequent ones; repeated rows get equal answers; an empty table gives an empty result; other
 columns are not read. A language without a known family is a family of its own.
 """
 
@@ -24,13 +24,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.llm.common import held_out
+from attestor.llm.common import fresh, held_out
 from attestor.llm.features import DIMENSION, bucket_counts, count_rows, linear_scores
 from attestor.llm.tokens import slices
 
 SIZES = (1, 2, 3)
 #: Labelled rows of each language that the machines are fitted on.
 PER_LANGUAGE = 600
+#: The most frequent languages that are learned; rows in others are not learned from.
+MAX_LANGUAGES = 200
 
 #: Families of languages by ISO 639-1 code.
 FAMILIES = {
@@ -155,7 +157,7 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[
     """The n-grams and languages of per_language labelled rows of each language, those with the least hashes of the doc_id;
     none is held out."""
     known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2 * per_language + 50) / n))).otherwise(share)
@@ -204,5 +206,6 @@ def identify_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Dat
 def with_known_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """docs without the rows whose language is undetermined (null texts and texts without letters), all columns as they were."""
     model = fit_counted(*training_sample(docs, per_language))
-    judged = docs.withColumn("_language", predict_column(F.col("text"), model, docs.sparkSession))
-    return judged.where(F.col("_language.lang") != "und").select(*docs.columns)
+    (found,) = fresh(docs, "language")
+    judged = docs.withColumn(found, predict_column(F.col("text"), model, docs.sparkSession))
+    return judged.where(F.col(found)["lang"] != "und").select(*docs.columns)

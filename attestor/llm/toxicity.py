@@ -19,6 +19,7 @@ not read.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,30 +31,46 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import held_out, stored
+from attestor.llm.common import fresh, held_out, stored
 from attestor.llm.tokens import slices
 
 #: Labelled documents of each class that the lexicon and the classifier are fitted on.
 SAMPLE = 1500
 MAX_TALLY = 500_000  # entries that a task counts before it hands them on
 MAX_ENTRIES, THRESHOLD, DEFAULT_SHARE = 160, 0.7, 0.1
+#: Voters whose correlation within a class exceeds this depend on each other; RIDGE keeps equal voters solvable.
+DEPENDENT, RIDGE = 0.1, 0.2
 LEXICON_VOTERS = 3
 
-#: Insults as whole words, lower case.
-INSULTS = (
-    "idiot", "moron", "stupid", "dumb", "imbecile", "loser", "pathetic", "worthless", "trash", "scum", "clown", "disgusting",
-    "idiots", "morons", "losers", "clowns", "vermin", "filthy", "retard", "bastard", "bitch", "asshole", "scumbag", "degenerate",
-    "dumm", "dummkopf", "arschloch", "wertlos", "abschaum", "widerlich", "vollidiot", "trottel",
-    "crétin", "connard", "salaud", "ordure", "débile", "abruti", "imbécile",
-    "idiota", "estúpido", "imbécil", "basura", "asqueroso", "patético", "escoria",
-)
-_ADDRESS = ("you are", "you're", "du bist", "tu es", "vous êtes", "eres un", "eres una")
-VOTERS = tuple(f"lexicon{i}" for i in range(LEXICON_VOTERS)) + ("repeated", "dense", "shouting", "addressing")
+#: Insults as whole words, lower case, by language.
+INSULTS_OF = {
+    "en": (
+        "idiot", "moron", "stupid", "dumb", "imbecile", "loser", "pathetic", "worthless", "trash", "scum", "clown", "disgusting", "idiots", "morons",
+        "losers", "clowns", "vermin", "filthy", "retard", "bastard", "bitch", "asshole", "scumbag", "degenerate",
+    ),
+    "de": ("dumm", "dummkopf", "arschloch", "wertlos", "abschaum", "widerlich", "vollidiot", "trottel"),
+    "fr": ("crétin", "connard", "salaud", "ordure", "débile", "abruti", "imbécile"),
+    "es": ("idiota", "estúpido", "imbécil", "basura", "asqueroso", "patético", "escoria"),
+}
+INSULTS = tuple(w for words in INSULTS_OF.values() for w in words)
+#: Voters that read no lexicon: a text counts if the expression is found in its lower-cased form.
+PATTERNS = {
+    "threat": r"\b(?:i(?:'ll| will| am going to)|we(?:'ll| will)|someone should|ich werde) (?:kill|hurt|beat|destroy|find|shoot|umbringen)\b|\b(?:kill|hang) yourself\b|\byou (?:deserve|ought) to (?:die|suffer)\b|\bhope you die\b|\bbring dich um\b|\bvais te tuer\b|\bvoy a matar\b",
+    "silencing": r"\bshut (?:the \w+ )?up\b|\bget lost\b|\bgo to hell\b|\bnobody (?:likes|wants|asked) you\b|\bhalt(?:'s| die) (?:maul|klappe)\b|\bhau ab\b|\bta gueule\b|\bferme-la\b|\bcállate\b|\blárgate\b",
+    "second person": r"\b(?:you are|you're|du bist|tu es|vous êtes|eres|sie sind) (?:such |all |just |nothing but |so |ein |eine |un |une |una |einfach )",
+    "hatred": r"\b(?:i|we) (?:hate|despise|loathe) (?:you|them|those|these)\b|\b(?:hasse|verachte) (?:dich|euch|sie)\b|\bje (?:te|vous) (?:hais|déteste)\b|\b(?:te|los) odio\b",
+    "masked": r"\b[a-z]{1,2}[*@#$]{2,}[a-z]{0,2}\b|\b[a-z]\*[a-z]{2}\b",
+    "marks": r"[!?]{3,}|!1+!",
+    "drawn out": r"([a-zà-ÿ])\1{4,}",
+}
+VOTERS = (*(f"insults {x}" for x in INSULTS_OF), *(f"mined {i}" for i in range(LEXICON_VOTERS)), "repeated", "dense", "shouting", *PATTERNS)
+_FINDERS = tuple(re.compile(p).search for p in PATTERNS.values())
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Entries (text, whole word or word beginning, how often it must stand in a text to count)."""
+    """Entries (text, whole word or word beginning, how often it must stand in a text to count): the fixed insults, then what
+    was mined."""
 
     entries: tuple[tuple[str, bool, int], ...]
 
@@ -88,12 +105,16 @@ class Lexicon:
 
     def votes(self, texts: list[str], counts: np.ndarray) -> np.ndarray:
         """(texts, voters): 1 for toxic, 0 against."""
-        met, total = counts > 0, counts.sum(1)
-        lexicons = [met[:, k::LEXICON_VOTERS].any(1) for k in range(LEXICON_VOTERS)]
+        met, total, at, lists = counts > 0, counts.sum(1), 0, []
+        for some in INSULTS_OF.values():
+            lists.append(met[:, at : at + len(some)].any(1))
+            at += len(some)
+        lists += [met[:, at + k :: LEXICON_VOTERS].any(1) for k in range(LEXICON_VOTERS)]
         words = np.array([t.count(" ") + 1 for t in texts])
         capitals = np.array([t.isupper() for t in texts])
-        address = np.array([bool(c) and any(a in t.lower() for a in _ADDRESS) for t, c in zip(texts, total, strict=True)])
-        return np.stack([*lexicons, total >= 2, total / words >= 0.005, capitals, address], 1).astype(np.float64)
+        low = [t.lower() for t in texts]
+        patterns = [np.array([find(t) is not None for t in low]) for find in _FINDERS]
+        return np.stack([*lists, total >= 2, total / words >= 0.005, capitals, *patterns], 1).astype(np.float64)
 
     def inputs(self, texts: list[str], counts: np.ndarray) -> np.ndarray:
         """What the linear classifier sees: total, distinct and density of entries, then each entry."""
@@ -179,26 +200,37 @@ class LabelModel:
 
 
 def fit_label_model(n: float, sums: np.ndarray, products: np.ndarray, share: float) -> LabelModel:
-    """From the number of documents, the sums of votes and of their pairwise products."""
+    """From the number of documents, the sums of votes and of their pairwise products.
+
+    A voter's effect comes from triplets of covariances, which hold for voters that are independent within a class. Pairs
+    whose covariance the effects leave unexplained are dependent; effects are estimated again from triplets without such a pair.
+    The weights solve the system of within-class correlations of the dependent pairs, so that voters which say the same share the weight of one.
+    """
     n = max(n, 1.0)
     mean = sums / n
     cov = products / n - np.outer(mean, mean)
     m, scale = len(mean), math.sqrt(share * (1 - share))
-    effect = np.zeros(m)
-    for i in range(m):
-        found = []
-        for j, k in combinations([x for x in range(m) if x != i], 2):
-            if cov[i, j] > 1e-7 and cov[i, k] > 1e-7 and cov[j, k] > 1e-7:
-                found.append(math.sqrt(cov[i, j] * cov[i, k] / cov[j, k]))
-        effect[i] = np.median(found) / scale if found else 0.0
-    effect = np.minimum(effect, np.minimum(mean / share, (1 - mean) / (1 - share)))  # both rates stay between 0 and 1
-    toxic = np.clip(mean + (1 - share) * effect, 1e-3, 1 - 1e-3)
-    clean = np.clip(mean - share * effect, 1e-4, 1 - 1e-3)
-    rest = cov - np.outer(effect, effect) * scale**2
-    spread = np.sqrt(np.maximum(share * toxic * (1 - toxic) + (1 - share) * clean * (1 - clean), 1e-9))
-    tied = np.clip(rest / np.outer(spread, spread), 0, 1)
-    np.fill_diagonal(tied, 0)
-    return LabelModel(share, toxic, clean, 1 / (1 + tied.sum(1)))
+    dependent = np.zeros((m, m), bool)
+    for _ in range(2):
+        effect = np.zeros(m)
+        for i in range(m):
+            found = []
+            for j, k in combinations([x for x in range(m) if x != i], 2):
+                if cov[i, j] > 1e-7 and cov[i, k] > 1e-7 and cov[j, k] > 1e-7:
+                    found.append((bool(dependent[i, j] or dependent[i, k] or dependent[j, k]), math.sqrt(cov[i, j] * cov[i, k] / cov[j, k])))
+            free = [e for tied, e in found if not tied] or [e for _, e in found]
+            effect[i] = np.median(free) / scale if free else 0.0
+        effect = np.minimum(effect, np.minimum(mean / share, (1 - mean) / (1 - share)))  # both rates stay between 0 and 1
+        toxic = np.clip(mean + (1 - share) * effect, 1e-3, 1 - 1e-3)
+        clean = np.clip(mean - share * effect, 1e-4, 1 - 1e-3)
+        rest = cov - np.outer(effect, effect) * scale**2
+        spread = np.sqrt(np.maximum(share * toxic * (1 - toxic) + (1 - share) * clean * (1 - clean), 1e-9))
+        tied = np.clip(rest / np.outer(spread, spread), 0, 1)
+        np.fill_diagonal(tied, 0)
+        dependent = tied > DEPENDENT
+    within = np.where(dependent, tied, 0.0) + np.eye(m)
+    weights = np.linalg.solve(within + RIDGE * np.eye(m), np.full(m, 1 + RIDGE))
+    return LabelModel(share, toxic, clean, np.clip(weights, 0.05, 1.0))
 
 
 @dataclass(frozen=True)
@@ -320,5 +352,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs without the rows that are predicted toxic, all columns as they were."""
     model = fit_toxicity(docs, labels, sample)
-    judged = docs.withColumn("_toxicity", score_column(F.col("text"), model, docs.sparkSession))
-    return judged.where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+    (found,) = fresh(docs, "toxicity")
+    judged = docs.withColumn(found, score_column(F.col("text"), model, docs.sparkSession))
+    return judged.where(F.col(found) < THRESHOLD).select(*docs.columns)

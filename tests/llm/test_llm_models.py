@@ -95,6 +95,96 @@ def test_label_model_recovers_rates():
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.93
 
 
+def test_posteriors_equal_enumeration():
+    from itertools import product
+
+    import numpy as np
+
+    share, toxic, clean = 0.2, np.array([0.8, 0.6, 0.3, 0.9]), np.array([0.1, 0.05, 0.2, 0.3])
+    model = toxicity.LabelModel(share, toxic, clean, np.ones(4))
+    votes = np.array(list(product((0, 1), repeat=4)), float)
+    joint = {}
+    for y, prior, rates in ((1, share, toxic), (0, 1 - share, clean)):
+        for v in votes:
+            joint[y, tuple(v)] = prior * float(np.prod([r if x else 1 - r for x, r in zip(v, rates, strict=True)]))
+    assert abs(sum(joint.values()) - 1) < 1e-12
+    want = [joint[1, tuple(v)] / (joint[1, tuple(v)] + joint[0, tuple(v)]) for v in votes]
+    assert np.allclose(model.posterior(votes), want)
+
+
+def test_label_model_from_the_exact_distribution():
+    """Sums over all outcomes of three independent voters and one that repeats the first: rates come back exactly, and so do weights."""
+    from itertools import product
+
+    import numpy as np
+
+    share, toxic, clean = 0.2, (0.8, 0.6, 0.7), (0.1, 0.05, 0.2)
+    sums, products = np.zeros(4), np.zeros((4, 4))
+    for y, v in product((0, 1), product((0, 1), repeat=3)):
+        rates = toxic if y else clean
+        p = (share if y else 1 - share) * float(np.prod([r if x else 1 - r for x, r in zip(v, rates, strict=True)]))
+        votes = np.array([*v, v[0]], float)
+        sums += p * votes
+        products += p * np.outer(votes, votes)
+    model = toxicity.fit_label_model(1.0, sums, products, share)
+    assert np.allclose(model.toxic, (*toxic, toxic[0]), atol=0.02) and np.allclose(model.clean, (*clean, clean[0]), atol=0.02)
+    assert np.allclose(model.weights[[0, 3]], 0.55, atol=0.06) and np.allclose(model.weights[[1, 2]], 1, atol=0.01)
+
+
+def test_pattern_voters_read_no_lexicon():
+    lexicon = toxicity.Lexicon(tuple((w, True, 1) for w in toxicity.INSULTS))
+    texts = ["I will kill you", "shut up now", "You are nothing but air", "we hate you", "what the f**k", "why?!!!", "nooooooo", "you moron", "plain words of a clean text"]
+    votes = lexicon.votes(texts, lexicon.counts(texts))
+    names = [{n for n, v in zip(toxicity.VOTERS, row, strict=True) if v} for row in votes]
+    assert names[:7] == [{"threat"}, {"silencing"}, {"second person"}, {"hatred"}, {"masked"}, {"marks"}, {"drawn out"}] and {"insults en"} <= names[7] and not names[8]
+
+
+def test_scores_equal_those_of_plain_counts(spark, small):
+    """The scores of whole texts against entries counted one by one with regular expressions."""
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    for r in docs.collect():
+        low = (r["text"] or "").lower()
+        counts = np.array([len(re.findall(rf"(?<![^\W\d_]){re.escape(e)}" + (r"(?![^\W\d_])" if whole else ""), low)) for e, whole, _ in model.lexicon.entries], float)
+        counts *= counts >= [need for *_, need in model.lexicon.entries]
+        n = (r["text"] or "").count(" ") + 1
+        x = np.concatenate([[np.log1p(counts.sum()), np.log1p((counts > 0).sum()), np.sqrt(counts.sum() / n)], np.minimum(counts, 1)])
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -30, 30)))) < 1e-5
+
+
+def test_languages_equal_plain_votes(spark, small):
+    """Families, then languages by the pairs they win, from margins summed one n-gram after another."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_id.fit_counted(*language_id.training_sample(docs))
+
+    def winner(classes, machines, margins):
+        classes = sorted(classes)
+        score = {c: (sum((m >= 0) == (c == a) for a, b, m in machines if c in (a, b)), sum(m if c == a else -m for a, b, m in machines if c in (a, b)), c) for c in classes}
+        return max(classes, key=score.get)
+
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify_languages(docs).collect()}
+    for r in docs.collect():
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert got[r["doc_id"]] == "und"
+            continue
+        found, shares = next(language_id.count_rows([r["text"]], language_id.SIZES))
+        margins = (model.weights[found].astype(np.float64) * shares[:, None]).sum(0)
+        family = winner(model.members, [(a, b, margins[c] + bias) for a, b, c, bias in model.families], margins)
+        assert got[r["doc_id"]] == winner(model.members[family], [(a, b, margins[c] + bias) for a, b, c, bias in model.languages[family]], margins)
+
+
+def test_filters_keep_clashing_columns(odd, spark):
+    docs = odd.withColumn("_language", F.lit("mine")).withColumn("language", F.lit("mine")).withColumn("_toxicity", F.lit("mine")).withColumn("Toxicity", F.lit("mine"))
+    labels = spark.createDataFrame([(1, 0, 0), (13, 0, 1)], "doc_id long, quality int, toxic int")
+    for kept in (language_id.with_known_language(docs), toxicity.without_toxic(docs, labels)):
+        assert kept.columns == docs.columns and all(r["_language"] == r["language"] == r["_toxicity"] == r["Toxicity"] == "mine" for r in kept.collect())
+
+
 @pytest.mark.parametrize("name,sql", [("op5_url_filter", OP5_SQL), ("op7_exact_dedup", OP7_SQL)])
 def test_sql(spark, small, name, sql):
     assert rows(queries()[name](spark, small).toPandas()) == rows(oracle(small).sql(sql).df())
