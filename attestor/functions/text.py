@@ -16,7 +16,8 @@ EMBEDDING_STOP_WORDS = (
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SPACES = " \t\n\r\f\u000b"
+#: All white space of Unicode, for the inside of a character class. In expressions of columns, (?U) gives \\s this meaning.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NOT_ALNUM = "[^\\p{L}\\p{N}]+"
 
 
@@ -66,7 +67,7 @@ def bounded_snippet(x: Column, n: int = 280) -> Column:
 
 
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, "^\\s+|\\s+$", "")
+    return F.regexp_replace(x, "(?U)^\\s+|\\s+$", "")
 
 
 def best_snippet(x: Column, terms: Column, n: int = 280) -> Column:
@@ -82,16 +83,16 @@ def best_snippet(x: Column, terms: Column, n: int = 280) -> Column:
 
 def text_density(x: Column) -> Column:
     """The share of letters, digits and white space; 0 for the empty text."""
-    useful = F.char_length(F.regexp_replace(x, "[^\\p{L}\\p{N}\\s]", ""))
+    useful = F.char_length(F.regexp_replace(x, "(?U)[^\\p{L}\\p{N}\\s]+", ""))
     return F.coalesce(F.try_divide(useful.cast("double"), F.char_length(x)), F.lit(0.0))
 
 
 def normalize_for_duplicate(x: Column) -> Column:
-    return ascii_lower(F.btrim(F.regexp_replace(x, "\\s+", " ")))
+    return ascii_lower(F.btrim(F.regexp_replace(x, "(?U)\\s+", " ")))
 
 
 def word_count(x: Column) -> Column:
-    return F.regexp_count(x, F.lit("\\S+"))
+    return F.regexp_count(x, F.lit("(?U)\\S+"))
 
 
 def is_heading_only(text: Column, section: Column) -> Column:
@@ -124,11 +125,11 @@ def is_bullet(line: Column) -> Column:
 
 def section_heading(line: Column) -> Column:
     """The title that a trimmed line opens, or null: a canonical name, or the line itself where it looks like a heading."""
-    key = ascii_lower(F.btrim(F.regexp_replace(F.regexp_replace(line, ":+$", ""), "\\s+", " ")))
+    key = ascii_lower(F.btrim(F.regexp_replace(F.regexp_replace(line, ":+$", ""), "(?U)\\s+", " ")))
     known = F.lit(None).cast("string")
     for title, names in SECTION_NAMES.items():
         known = F.when(key.isin(*names), F.lit(title)).otherwise(known)
-    words = F.filter(F.split(line, "\\s+"), lambda w: w != "")
+    words = F.filter(F.split(line, "(?U)\\s+"), lambda w: w != "")
     letters = F.regexp_replace(line, "\\P{L}", "")
     shouting = (F.char_length(letters) >= 3) & ~letters.rlike("\\P{Lu}")
 
@@ -155,23 +156,30 @@ PROFILES = (
 
 
 def detect_profile(text: Column, path: Column) -> Column:
-    low, where = ascii_lower(text), ascii_lower(path)
-    out = F.lit("general")
-    for name, marks in reversed(PROFILES):
-        pattern = "|".join(marks)
-        out = F.when(low.rlike(pattern) | where.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+    """The first profile of which the text or the path holds a mark, A-Z lower-cased. The lower-cased pair stands in a one-element
+    array, so that it is made once and not for every mark."""
 
+    def named(low: Column) -> Column:
+        out = F.lit("general")
+        for name, marks in reversed(PROFILES):
+            met = F.lit(False)
+            for mark in marks:
+                met = met | F.contains(low["text"], F.lit(mark)) | F.contains(low["path"], F.lit(mark))
+            out = F.when(met, F.lit(name)).otherwise(out)
+        return out
 
-def document_warnings(text: Column) -> Column:
-    return F.array_compact(F.array(
-        F.when(word_count(text) < 20, F.lit("low_text_volume")), F.when(F.contains(text, F.lit("�")), F.lit("replacement_characters")),
-    ))
+    return F.element_at(F.transform(F.array(F.struct(ascii_lower(text).alias("text"), ascii_lower(path).alias("path"))), named), 1)
 
 
-def extraction_quality(text: Column) -> Column:
-    words = word_count(text)
-    return F.when((words >= 80) & (F.size(document_warnings(text)) == 0), "high").when(words >= 20, "medium").otherwise("low")
+def document_warnings(text: Column, words: Column | None = None) -> Column:
+    """words: the text's word_count, where that is at hand."""
+    words = word_count(text) if words is None else words
+    return F.array_compact(F.array(F.when(words < 20, F.lit("low_text_volume")), F.when(F.contains(text, F.lit("�")), F.lit("replacement_characters"))))
+
+
+def extraction_quality(text: Column, words: Column | None = None) -> Column:
+    words = word_count(text) if words is None else words
+    return F.when((words >= 80) & ~F.contains(text, F.lit("�")), "high").when(words >= 20, "medium").otherwise("low")
 
 
 def escape_markdown(x: Column) -> Column:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.functions.text import BULLET, section_heading, trimmed
+from attestor.functions.text import BULLET, WHITE, section_heading, trimmed
 
 TARGET, OVERLAP = 512, 64
+TOKEN = re.compile(f"[^{WHITE}]+")
 
 
 @dataclass(frozen=True)
@@ -28,34 +30,35 @@ class Chunking:
         return max(1, self.target - self.overlap)
 
 
-def windows(text: Column, target: int, step: int) -> Column:
-    """Token windows of a text: ordinal, text, token_count, byte_start, byte_end, split_reason.
+def windows(docs: DataFrame, target: int, step: int) -> DataFrame:
+    """docs (with text) with a column c, one row for each token window: ordinal, text, token_count, byte_start, byte_end, split_reason.
 
-    Starts go on to the last token, so windows at the end may lie inside the one before. Bytes are summed by blocks of
-    one step, so the work grows with the text and not with its square.
+    Starts go on to the last token, so windows at the end may lie inside the one before. The text is cut into tokens
+    once, bytes are summed by blocks of one step, and each window reads its own tokens: the work grows with the text.
     """
-    pieces = F.regexp_extract_all(text, F.lit("(\\s*\\S+)"), F.lit(1))
+    pieces, starts, before = F.col("_pieces"), F.col("_starts"), F.col("_before")
+    rows = docs.withColumn("_pieces", F.regexp_extract_all("text", F.lit("(?U)(\\s*\\S+)"), F.lit(1)))
     n = F.size(pieces)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_starts", F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>")))
     blocks = F.transform(starts, lambda s: F.octet_length(F.array_join(F.slice(pieces, s + 1, F.lit(step)), "")))
-    before = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.array_append(acc, F.element_at(acc, -1) + b))
+    rows = rows.withColumn("_before", F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.array_append(acc, F.element_at(acc, -1) + b)))
 
-    def window(s: Column, i: Column) -> Column:
+    def cut(s: Column, i: Column) -> Column:
         raw = F.array_join(F.slice(pieces, s + 1, F.lit(target)), "")
-        body = F.regexp_replace(raw, "^\\s+", "")
-        begin = F.get(before, i)
-        return F.struct(
-            i.alias("ordinal"), body.alias("text"), F.least(F.lit(target), n - s).alias("token_count"),
-            (begin + F.octet_length(raw) - F.octet_length(body)).alias("byte_start"), (begin + F.octet_length(raw)).alias("byte_end"),
-            F.when(s + target >= n, "document_end").otherwise("token_limit").alias("split_reason"),
-        )
+        return F.struct(i.alias("ordinal"), raw.alias("raw"), F.least(F.lit(target), n - s).alias("token_count"), F.get(before, i).alias("begin"), (s + target >= n).alias("last"))
 
-    return F.transform(starts, window)
+    rows = rows.withColumn("_w", F.explode(F.transform(starts, cut))).withColumn("_body", F.regexp_replace("_w.raw", "(?U)^\\s+", ""))
+    end = F.col("_w.begin") + F.octet_length("_w.raw")
+    c = F.struct(
+        "_w.ordinal", F.col("_body").alias("text"), "_w.token_count", (end - F.octet_length("_body")).alias("byte_start"), end.alias("byte_end"),
+        F.when(F.col("_w.last"), "document_end").otherwise("token_limit").alias("split_reason"),
+    )
+    return rows.withColumn("c", c).drop("_pieces", "_starts", "_before", "_w", "_body")
 
 
 def chunk_whitespace(docs: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     """docs (document_id, source_id, path, text) to chunks."""
-    rows = docs.select("document_id", "source_id", "path", F.explode(windows(F.col("text"), config.target, config.step)).alias("c"))
+    rows = windows(docs.select("document_id", "source_id", "path", "text"), config.target, config.step).drop("text")
     return rows.select(F.concat_ws("#", "document_id", F.col("c.ordinal").cast("string")).alias("chunk_id"), "document_id", "source_id", "path", "c.*", F.lit("whitespace").alias("strategy"), F.lit(None).cast("string").alias("section_title"))
 
 
@@ -68,7 +71,7 @@ def line_spans(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("document_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("at", F.coalesce(F.sum(F.octet_length("raw") + 1).over(w), F.lit(0)))
     body = trimmed(F.col("raw"))
-    lead = F.octet_length("raw") - F.octet_length(F.regexp_replace("raw", "^\\s+", ""))
+    lead = F.octet_length("raw") - F.octet_length(F.regexp_replace("raw", "(?U)^\\s+", ""))
     return lines.select("document_id", "line", body.alias("body"), (F.col("at") + lead).alias("byte_start"), (F.col("at") + lead + F.octet_length(body)).alias("byte_end"))
 
 
@@ -93,15 +96,13 @@ def section_blocks(docs: DataFrame) -> DataFrame:
 def pack_blocks(blocks: list[dict], text: bytes, target: int, overlap: int) -> list[dict]:
     """Blocks of one document to chunks: same section and room, else a cut; the last tokens carry over a cut inside a
     section; a block beyond the target falls into token windows."""
-    import re
-
     out: list[dict] = []
     held: list[tuple[str, int, int, int]] = []  # text, start, end, tokens
     section, tokens = None, 0
 
     def emit(reason: str) -> None:
         body = "\n\n".join(h[0] for h in held)
-        out.append({"text": body, "section_title": section, "token_count": len(body.split()), "byte_start": held[0][1], "byte_end": held[-1][2], "split_reason": reason})
+        out.append({"text": body, "section_title": section, "token_count": len(TOKEN.findall(body)), "byte_start": held[0][1], "byte_end": held[-1][2], "split_reason": reason})
 
     def carried() -> list[tuple[str, int, int, int]]:
         left, parts = overlap, []
@@ -109,7 +110,7 @@ def pack_blocks(blocks: list[dict], text: bytes, target: int, overlap: int) -> l
             if left == 0:
                 break
             if n > left:
-                spans = [m.span() for m in re.finditer(r"\S+", body)]
+                spans = [m.span() for m in TOKEN.finditer(body)]
                 a, b = spans[len(spans) - left][0], spans[-1][1]
                 parts.append((body[a:b], start + len(body[:a].encode()), start + len(body[:b].encode()), left))
                 left = 0
@@ -120,17 +121,17 @@ def pack_blocks(blocks: list[dict], text: bytes, target: int, overlap: int) -> l
             return []
         parts.reverse()
         body = "\n\n".join(p[0] for p in parts)
-        return [(body, parts[0][1], parts[-1][2], len(body.split()))]
+        return [(body, parts[0][1], parts[-1][2], len(TOKEN.findall(body)))]
 
     for b in blocks:
         body = text[b["byte_start"] : b["byte_end"]].decode("utf-8", "replace")
-        n = len(body.split())
+        n = len(TOKEN.findall(body))
         same = bool(held) and section == b["section_title"]
         if n > target:
             if held:
                 emit("token_limit" if same else "section_boundary")
                 held, tokens = [], 0
-            spans = [m.span() for m in re.finditer(r"\S+", body)]
+            spans = [m.span() for m in TOKEN.finditer(body)]
             for s in range(0, n, max(1, target - overlap)):
                 e = min(s + target, n)
                 a, z = spans[s][0], spans[e - 1][1]

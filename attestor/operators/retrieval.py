@@ -141,8 +141,9 @@ def _phrase_hits(chunks: DataFrame, rows: list[Row], kind: str) -> DataFrame:
 
 def similarities(vectors: DataFrame, queries: DataFrame, least: float, keep: int | None = None) -> DataFrame:
     """query_id, chunk_id, similarity of pairs at or above least. queries (query_id, vector) go to every task, block by
-    block; vectors (chunk_id, vector) stay where they are and are multiplied batch by batch. keep: only each task's best
-    for a query."""
+    block; vectors (chunk_id, vector) stay where they are and are multiplied batch by batch. keep: only what can be among
+    a query's keep best by the similarity to six digits, then chunk_id; of each batch these are about keep rows a query, however
+    many vectors are alike."""
     kinds = dict(queries.dtypes), dict(vectors.dtypes)
     return by_blocks(queries.select("query_id", "vector"), MAX_QUERIES, lambda rows: _similarities(vectors, rows, least, keep, kinds))
 
@@ -168,11 +169,18 @@ def _similarities(vectors: DataFrame, rows: list[Row], least: float, keep: int |
                 for at in range(0, len(part), step):
                     some = part.iloc[at : at + step]
                     sims = q @ unit(np.stack(some["vector"].to_list()).astype(np.float64)).T
+                    i, j = np.nonzero(sims >= least)
                     if keep and sims.shape[1] > keep:
-                        low = np.partition(sims, -keep, axis=1)[:, -keep][:, None]
-                        i, j = np.nonzero((sims >= least) & (sims >= low - 1e-9))
-                    else:
-                        i, j = np.nonzero(sims >= least)
+                        low = np.partition(sims, -keep, axis=1)[:, -keep]
+                        near = sims[i, j] >= low[i] - 2e-6  # equal to six digits, or better
+                        i, j = i[near], j[near]
+                        # Of vectors equally near to a query the first by id are enough.
+                        order = np.lexsort((some["chunk_id"].to_numpy()[j], np.round(-sims[i, j] * 1e9), i))
+                        i, j = i[order], j[order]
+                        same = np.r_[False, (i[1:] == i[:-1]) & (np.round(sims[i, j] * 1e9)[1:] == np.round(sims[i, j] * 1e9)[:-1])]
+                        begins = np.flatnonzero(~same)
+                        nth = np.arange(len(i)) - np.repeat(begins, np.diff(np.r_[begins, len(i)]))
+                        i, j = i[nth < keep], j[nth < keep]
                     yield pd.DataFrame({"query_id": np.array(ids, object)[i] if kinds[0]["query_id"] == "string" else np.array(ids)[i], "chunk_id": some["chunk_id"].to_numpy()[j], "similarity": sims[i, j]})
 
     return vectors.select("chunk_id", "vector").mapInPandas(scored, f"query_id {kinds[0]['query_id']}, chunk_id {kinds[1]['chunk_id']}, similarity double")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from attestor.functions.hashing import CONCEPTS
-from attestor.functions.text import EMBEDDING_STOP_WORDS, PROFILES, QUERY_STOP_WORDS, SECTION_NAMES
+from attestor.functions.text import EMBEDDING_STOP_WORDS, PROFILES, QUERY_STOP_WORDS, SECTION_NAMES, WHITE
 
 
 def _list(values) -> str:
@@ -23,11 +23,11 @@ def terms(x: str, stops=QUERY_STOP_WORDS) -> str:
 
 
 def trim(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^[{WHITE}]+|[{WHITE}]+$', '', 'g')"
 
 
 def words(x: str) -> str:
-    return rf"len(regexp_extract_all({x}, '\S+'))"
+    return f"len(regexp_extract_all({x}, '[^{WHITE}]+'))"
 
 
 def sentences(x: str) -> str:
@@ -41,12 +41,12 @@ DOCS = """docs AS (
 
 def windows(target: int = 512, step: int = 448) -> str:
     return rf"""
-pieces AS (SELECT *, regexp_extract_all(text, '\s*\S+') AS w FROM docs),
+pieces AS (SELECT *, regexp_extract_all(text, '[{WHITE}]*[^{WHITE}]+') AS w FROM docs),
 starts AS (SELECT *, unnest(range(0, len(w), {step})) AS st FROM pieces),
 raw AS (SELECT *, array_to_string(w[st + 1 : st + {target}], '') AS r, array_to_string(w[1 : st], '') AS pre FROM starts),
 windows AS (
-  SELECT document_id || '#' || (st // {step}) AS chunk_id, document_id, source_id, path, (st // {step})::INT AS ordinal, regexp_replace(r, '^\s+', '') AS text,
-    least({target}, len(w) - st)::INT AS token_count, (strlen(pre) + strlen(r) - strlen(regexp_replace(r, '^\s+', '')))::INT AS byte_start,
+  SELECT document_id || '#' || (st // {step}) AS chunk_id, document_id, source_id, path, (st // {step})::INT AS ordinal, regexp_replace(r, '^[{WHITE}]+', '') AS text,
+    least({target}, len(w) - st)::INT AS token_count, (strlen(pre) + strlen(r) - strlen(regexp_replace(r, '^[{WHITE}]+', '')))::INT AS byte_start,
     (strlen(pre) + strlen(r))::INT AS byte_end, CASE WHEN st + {target} >= len(w) THEN 'document_end' ELSE 'token_limit' END AS split_reason
   FROM raw
 )"""
@@ -55,11 +55,11 @@ windows AS (
 HEADING = rf"""(({trim('text')} = '') OR (len(list_filter(regexp_split_to_array({trim('text')}, '\n'), lambda l: {trim('l')} <> '')) <= 2
   AND {words(trim('text'))} <= 6 AND NOT regexp_matches({trim('text')}, '[.:;]')))"""
 
-SQUEEZED = low(r"trim(regexp_replace(text, '\s+', ' ', 'g'))")
+SQUEEZED = low(f"trim(regexp_replace(text, '[{WHITE}]+', ' ', 'g'))")
 
 QUALITY = rf"""
 rated AS (
-  SELECT *, sha256(text) AS checksum, round(coalesce(length(regexp_replace(text, '[^\p{{L}}\p{{N}}\s]', '', 'g'))::DOUBLE / nullif(length(text), 0), 0), 6) AS text_density,
+  SELECT *, sha256(text) AS checksum, round(coalesce(length(regexp_replace(text, '[^\p{{L}}\p{{N}}{WHITE}]', '', 'g'))::DOUBLE / nullif(length(text), 0), 0), 6) AS text_density,
     {HEADING} AS heading, count(*) OVER (PARTITION BY document_id, {SQUEEZED}) > 1 AS is_duplicate
   FROM windows
 ),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestor.operators import answer, retrieval
 from attestor.plans import oracle as o
 from attestor.plans.tables import chunks, documents, questions, table
+from attestor.sources.scratch import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,7 +50,8 @@ def chunk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.retrieve(chunks(spark, sf_dir), questions(spark, sf_dir))
+    """The ranked hits of all questions, stored: what is built on them reads them several times."""
+    return stored(retrieval.retrieve(chunks(spark, sf_dir), questions(spark, sf_dir)), "hits")
 
 
 @query("op_r_lexical_retrieval", "WITH " + o.RETRIEVED + """
@@ -124,12 +126,12 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (
 )
 SELECT query_id, chunk_id, similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM p) WHERE rank <= 5""")
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries are the vectors whose id is divisible by 20, against all others."""
+    """Queries are the vectors whose id is divisible by 20, against all others: five each, and themselves."""
     from pyspark.sql import Window
 
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     wanted = v.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
-    near = retrieval.similarities(v, wanted, 0.25).where("query_id <> chunk_id").withColumn("similarity", F.round("similarity", 6))
+    near = retrieval.similarities(v, wanted, 0.25, keep=6).where("query_id <> chunk_id").withColumn("similarity", F.round("similarity", 6))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
     return near.withColumn("rank", rank).where("rank <= 5")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.operators.chunking import Chunking, chunk_whitespace
 from attestor.operators.intelligence import annotate_quality
+from attestor.sources.scratch import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotate_quality(chunk_whitespace(documents(spark, sf_dir), Chunking(strategy="whitespace")))
+    """The annotated chunks of all documents, stored: queries read them several times."""
+    return stored(annotate_quality(chunk_whitespace(documents(spark, sf_dir), Chunking(strategy="whitespace"))), "chunks")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.truncate_chars(F.col("text"), 120).alias("truncated"), text.bounded_snippet(F.col("text")).alias("bounded"))
 
 
-@query("op_a8_a9_density", "WITH " + o.DOCS + rf""" SELECT document_id, round(coalesce(length(regexp_replace(text, '[^\p{{L}}\p{{N}}\s]', '', 'g'))::DOUBLE / nullif(length(text), 0), 0), 6) AS density,
+@query("op_a8_a9_density", "WITH " + o.DOCS + rf""" SELECT document_id, round(coalesce(length(regexp_replace(text, '[^\p{{L}}\p{{N}}{o.WHITE}]', '', 'g'))::DOUBLE / nullif(length(text), 0), 0), 6) AS density,
   sha256({o.SQUEEZED}) AS digest FROM docs""")
 def density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("document_id", F.round(text.text_density(F.col("text")), 6).alias("density"), F.sha2(text.normalize_for_duplicate(F.col("text")), 256).alias("digest"))
@@ -43,19 +43,19 @@ def density(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = o.DOCS + rf""",
 l0 AS (SELECT document_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, len(string_split(text, chr(10))) AS n FROM docs),
 l1 AS (SELECT *, coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY document_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l0 WHERE line < n - 1 OR raw <> ''),
-lines AS (SELECT document_id, line::INT AS line, {o.trim('raw')} AS body, (off + strlen(raw) - strlen(regexp_replace(raw, '^\s+', '')))::BIGINT AS byte_start,
-  (off + strlen(raw) - strlen(regexp_replace(raw, '^\s+', '')) + strlen({o.trim('raw')}))::BIGINT AS byte_end FROM l1)"""
+lines AS (SELECT document_id, line::INT AS line, {o.trim('raw')} AS body, (off + strlen(raw) - strlen(regexp_replace(raw, '^[{o.WHITE}]+', '')))::BIGINT AS byte_start,
+  (off + strlen(raw) - strlen(regexp_replace(raw, '^[{o.WHITE}]+', '')) + strlen({o.trim('raw')}))::BIGINT AS byte_end FROM l1)"""
 
-_KEY = o.low(r"trim(regexp_replace(regexp_replace(body, ':+$', ''), '\s+', ' ', 'g'))")
+_KEY = o.low(f"trim(regexp_replace(regexp_replace(body, ':+$', ''), '[{o.WHITE}]+', ' ', 'g'))")
 _BARE = r"regexp_replace(w, '^[()\[\]{}/&_-]+|[()\[\]{}/&_-]+$', '', 'g')"
 HEADINGS = LINES + rf""",
 known(title, key) AS (VALUES {", ".join(f"('{t}', '{k}')" for t, ks in o.SECTION_NAMES.items() for k in ks)}),
 marked AS (
   SELECT lines.*, regexp_matches(body, '^\s*([-*•●◦] |[0-9]+[.)]\s)') AS bullet,
     CASE WHEN body = '' THEN NULL ELSE coalesce(known.title, CASE WHEN strlen(body) <= 80 AND NOT regexp_matches(body, '^\s*([-*•●◦] |[0-9]+[.)]\s)') AND NOT regexp_matches(body, '[.,;:!?]$')
-      AND len(list_filter(regexp_split_to_array(body, '\s+'), lambda w: w <> '')) BETWEEN 1 AND 8
+      AND len(list_filter(regexp_split_to_array(body, '[{o.WHITE}]+'), lambda w: w <> '')) BETWEEN 1 AND 8
       AND ((length(regexp_replace(body, '\P{{L}}', '', 'g')) >= 3 AND NOT regexp_matches(regexp_replace(body, '\P{{L}}', '', 'g'), '\P{{Lu}}'))
-        OR len(list_filter(regexp_split_to_array(body, '\s+'), lambda w: w <> '' AND NOT ({_BARE} = '' OR {o.low(_BARE)} IN ('and', 'or', 'of', 'for', 'to', 'in', 'with') OR regexp_matches({_BARE}, '^[\p{{Lu}}\p{{N}}]')))) = 0)
+        OR len(list_filter(regexp_split_to_array(body, '[{o.WHITE}]+'), lambda w: w <> '' AND NOT ({_BARE} = '' OR {o.low(_BARE)} IN ('and', 'or', 'of', 'for', 'to', 'in', 'with') OR regexp_matches({_BARE}, '^[\p{{Lu}}\p{{N}}]')))) = 0)
       THEN body END) END AS heading
   FROM lines LEFT JOIN known ON known.key = {_KEY}
 )"""
@@ -96,10 +96,10 @@ def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk(documents(spark, sf_dir), Chunking(128, 16, "smart_sections")).select("chunk_id", "ordinal", "section_title", "token_count", "byte_start", "byte_end", "split_reason", F.sha2("text", 256).alias("checksum"))
 
 
-@query("op_a13_token_spans", "WITH " + o.DOCS + r""", w AS (SELECT document_id, regexp_extract_all(text, '\s*\S+') AS w FROM docs)
+@query("op_a13_token_spans", "WITH " + o.DOCS + f""", w AS (SELECT document_id, regexp_extract_all(text, '[{o.WHITE}]*[^{o.WHITE}]+') AS w FROM docs)
 SELECT document_id, len(w)::INT AS tokens, strlen(array_to_string(w, ''))::INT AS last_end FROM w""")
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.regexp_extract_all("text", F.lit("(\\s*\\S+)"), F.lit(1))
+    w = F.regexp_extract_all("text", F.lit("(?U)(\\s*\\S+)"), F.lit(1))
     return documents(spark, sf_dir).select("document_id", F.size(w).alias("tokens"), F.octet_length(F.array_join(w, "")).alias("last_end"))
 
 
@@ -236,8 +236,8 @@ def hits_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op_s5_html_text", r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g') AS x FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)</(p|div|li|h[1-6]|tr|title|ul|ol|table|section|article|header|footer|nav)>|<br */?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM a),
 c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS x FROM b),
-d AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS x FROM c)
-SELECT page_id, length(x)::INT AS n_chars, sha256(x) AS digest FROM d""")
+d AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[@]+|[@]+$', '', 'g') AS x FROM c)
+SELECT page_id, length(x)::INT AS n_chars, sha256(x) AS digest FROM d""".replace("@", o.WHITE))
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text.html_to_text(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", F.char_length(t).alias("n_chars"), F.sha2(t, 256).alias("digest"))

@@ -22,6 +22,24 @@ def test_windows_keep_inner_space_and_count_bytes(spark):
     assert [(r["text"], r["byte_start"], r["byte_end"]) for r in got] == [("é b", 2, 6), ("c", 8, 9)]
 
 
+def test_all_white_space_of_unicode_divides_tokens(spark):
+    text = "a\u00a0b\u2028c\u3000d\x1ce\u200bf"
+    got = chunks(spark, text, 1, 0, "whitespace")
+    assert [r["text"] for r in got] == ["a", "b", "c", "d\x1ce\u200bf"] and [r["byte_start"] for r in got] == [0, 3, 7, 11]
+    assert [r["text"] for r in chunks(spark, text, 1, 0, "structured")] == [r["text"] for r in got]
+
+
+def test_windows_of_long_texts_take_time_in_proportion(spark):
+    import time
+
+    text = " ".join(f"w{i}" for i in range(400_000))
+    began = time.time()
+    got = chunks(spark, text, 512, 64, "whitespace")
+    assert time.time() - began < 20
+    raw = text.encode()
+    assert len(got) == 893 and all(raw[r["byte_start"] : r["byte_end"]].decode() == r["text"] and r["text"].split()[0] == f"w{448 * r['ordinal']}" for r in got)
+
+
 def test_empty_text_has_no_chunk(spark):
     assert chunks(spark, " \n ", 5, 0, "whitespace") == [] and chunks(spark, " \n ", 5, 0, "structured") == []
 
