@@ -11,8 +11,8 @@ by then need no comparison. While it pays, further members of wheels with severa
 of a class outside its wheel's main component with the classes of other components, and only such pairs as
 bounds leave open are made: sizes, the triangle inequality of their exact differences from the hub, and parity bitmaps of 2048
 bits, whose unequal bits are at most as many as the unequal shingles. Each of these is compared on full sets, so
-no pair that shares a key goes unseen. Components are found by propagating the smallest id with pointer
-jumping over stored tables.
+no pair that shares a key goes unseen. Components are found among the hubs by propagating the smallest id with
+pointer jumping over stored tables; the other classes take the label of one hub.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; a
 row with a null doc_id is linked with nothing, has a null component and is kept; rows with the same doc_id are
@@ -27,7 +27,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,15 +156,31 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
+    """(node, label): one label for all nodes that links (a, b) join.
+
+    Of the links of each b the one to its first a stays; its other ends are linked with that first one instead. So nodes that
+    are no a are leaves, which take the label of their first a afterwards, and only the rest goes through rounds."""
+    ends = links.where("a <> b").select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("first"))
+    ends = stored(ends, "ends")
+    hubs = stored(ends.select(F.col("a").alias("b")).distinct(), "hubs")
+    tree = ends.select("b", "first").distinct()
+    bridges = ends.where("a <> first").select("first", F.col("a").alias("b")).distinct()
+    inner = reached(bridges.select(F.col("first").alias("a"), "b").unionByName(tree.join(hubs, "b", "left_semi").select(F.col("first").alias("a"), "b")))
+    labels = stored(hubs.join(inner.withColumnRenamed("node", "b"), "b", "left").select(F.col("b").alias("first"), F.coalesce("label", "b").alias("label")), "labels")
+    leaves = stored(tree.join(hubs, "b", "left_anti"), "leaves")
+    return labels.select(F.col("first").alias("node"), "label").unionByName(looked_up(leaves, labels, "first").select(F.col("b").alias("node"), "label"))
+
+
+def reached(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each end of a link (a, b) reaches. Each round takes the smallest label among
     neighbours, then the label of the label; tables are stored, so rounds do not pile up lineage."""
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
+    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
     while True:
-        near = looked_up(both, labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = stored(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        labels = stored(looked_up(step, jump, "label").select("node", "old", F.least("label", "beyond").alias("label")), "labels")
+        labels = stored(step.join(jump, "label").select("node", "old", F.least("label", "beyond").alias("label")), "labels")
         if not labels.where(F.col("old") != F.col("label")).take(1):
             return labels.select("node", "label")
         labels = labels.select("node", "label")
