@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,12 @@ from attestor.operators import answer, diagnosis, embedding, evals, overview, re
 from attestor.operators.chunking import chunk
 from attestor.operators.ingest import admit, extract
 from attestor.operators.intelligence import analyze, annotate_quality
-from attestor.sources.store import Store
+from attestor.sources.scratch import stored
+from attestor.sources.store import Conflict, Store
 
 
 class Engine:
-    """Tables: documents, failures, chunks, embeddings, runs, ci_runs, reports."""
+    """Tables: documents, failures, chunks, embeddings, runs, run_hits, traces, reruns, ci_runs."""
 
     def __init__(self, spark: SparkSession, root: str, config: Config = Config()):
         self.spark, self.store, self.config = spark, Store(spark, root), config
@@ -76,16 +79,21 @@ class Engine:
         return {"hits": hits, "answers": found, "diagnosis": diagnosis.diagnose(queries, hits, found, mode, state)}
 
     def run_experiment(self, cases: DataFrame, modes: list[str] | None = None, top_k: int = 0) -> dict[str, DataFrame]:
-        """cases (query_id, query, chunk_ids, document_ids) in every mode: case results, mode summaries, comparison, gate."""
+        """cases (query_id, query, chunk_ids, document_ids) in every mode: case results, mode summaries, comparison, gate, report."""
         if cases.where(F.size("chunk_ids") + F.size("document_ids") == 0).take(1):
             raise ValueError("a case expects nothing")
         results = None
         for mode in retrieval.normalized_modes(modes or []):
+            began = time.monotonic()
             run = self.retrieve(cases.select("query_id", "query"), mode, top_k)
-            rows = evals.evaluate(cases, run["hits"], run["answers"]).withColumns({"mode": F.lit(mode), "latency_ms": F.lit(0).cast("long")})
+            hits = stored(run["hits"], "experiment-hits")
+            latency = round((time.monotonic() - began) * 1000 / max(1, cases.count()))  # a batch answers all cases at once: each one's share
+            found = answer.answers(cases.select("query_id", "query"), hits, self.config.retrieval.citation_limit)
+            rows = evals.evaluate(cases, hits, found).withColumns({"mode": F.lit(mode), "latency_ms": F.lit(latency).cast("long")})
             results = rows if results is None else results.unionByName(rows)
-        summaries = evals.summarize_modes(results)
-        return {"results": results, "modes": summaries, "comparison": evals.compare_modes(summaries), "gate": evals.gate(summaries)}
+        results = stored(results, "experiment-results")
+        summaries = stored(evals.summarize_modes(results), "experiment-modes")
+        return {"results": results, "modes": summaries, "report": reports.experiment_report(results, summaries), "comparison": evals.compare_modes(summaries), "gate": evals.gate(summaries)}
 
     def run_ci(self, cases: DataFrame, dataset: str, label: str, number: int, fail_on_gate: bool = True) -> tuple[int, DataFrame | None]:
         """Status (0, or 422 where the gate fails and counts) and the regression against the latest earlier run of the same
@@ -97,9 +105,39 @@ class Engine:
             latest = held.agg(F.max("number").alias("n")).first()["n"]
             before = held.where(F.col("number") == latest) if latest is not None else None
         self.store.append("ci_runs", found["modes"].withColumns({"dataset": F.lit(dataset), "label": F.lit(label), "number": F.lit(number).cast("long")}))
+        self.last_report = reports.ci_report(found["results"], found["modes"], before)
         failed = found["gate"].first()["status"] == "failed"
         return (422 if failed and fail_on_gate else 0), (evals.regression(before, found["modes"]) if before is not None else None)
 
+    def record(self, run_id: str, queries: DataFrame, mode: str, top_k: int = 0) -> dict[str, DataFrame]:
+        """Retrieves, and keeps a row for each query (runs), for each hit (run_hits) and the traces. A run_id is used once."""
+        began = time.monotonic()
+        found = self.retrieve(queries, mode, top_k)
+        hits = stored(found["hits"], "run-hits")
+        latency = round((time.monotonic() - began) * 1000)
+        name = F.lit(run_id).alias("run_id")
+        if self.store.exists("runs") and self.store.read("runs").where(F.col("run_id") == run_id).take(1):
+            raise Conflict(run_id)
+        self.store.append("runs", traces.run_rows(queries, hits, mode, top_k, latency).select(name, "*"))
+        self.store.append("run_hits", hits.select(name, *traces.HIT))
+        rows = traces.traces(found["diagnosis"], hits, mode).select(F.concat_ws("/", name, F.col("query_id").cast("string")).alias("trace_id"), name, "*", F.current_timestamp().alias("at"))
+        self.store.upsert("traces", rows, "trace_id", "at")
+        return found | {"hits": hits}
+
+    def rerun(self, run_id: str, again: str, mode: str | None = None, top_k: int | None = None, sources: list[str] | None = None, documents: list[str] | None = None) -> DataFrame:
+        """The queries of a recorded run once more: mode and top_k are those of the run where they are not given, filters are only those given
+        here. What changed, a row for each query; kept under again, in place of an earlier rerun of that name."""
+        held = self.store.read("runs").where(F.col("run_id") == run_id)
+        first = held.first()
+        if first is None:
+            raise KeyError(run_id)
+        found = self.retrieve(held.select("query_id", "query"), mode or first["mode"], first["top_k"] if top_k is None else top_k, sources, documents)
+        before = self.store.read("run_hits").where(F.col("run_id") == run_id)
+        changed = diagnosis.compare_reruns(before, found["hits"]).select(F.lit(run_id).alias("run_id"), F.lit(again).alias("rerun_id"), "*")
+        kept = self.store.read("reruns").where(F.col("rerun_id") != again) if self.store.exists("reruns") else None
+        self.store.replace("reruns", changed if kept is None else kept.unionByName(changed))
+        return self.store.read("reruns").where(F.col("rerun_id") == again)
+
     def traces(self, run: dict[str, DataFrame], mode: str) -> DataFrame:
         return traces.traces(run["diagnosis"], run["hits"], mode)
 

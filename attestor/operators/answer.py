@@ -64,3 +64,12 @@ def answers(queries: DataFrame, assessed: DataFrame, limit: int = CITATIONS) ->
         F.when(F.col("c").isNotNull(), text).when(F.coalesce("hits", F.lit(0)) > 0, UNSUPPORTED).otherwise(NO_EVIDENCE).alias("answer"),
         F.coalesce(F.transform("c", lambda c: c["chunk_id"]), F.array().cast("array<string>")).alias("citations"), F.coalesce("hits", F.lit(0)).alias("hits"),
     )
+
+
+def ensure_assessed(hits: DataFrame) -> DataFrame:
+    """hits in which some come from older runs: those of a query with any hit not assessed are assessed again, all others
+    stay as they are. Assessment columns may be null."""
+    made = ("matched_body", "coverage", "support_status", "support_reason")
+    old = hits.where(F.col("support_status").isNull()).select("query_id").distinct()
+    again = assess(hits.join(old, "query_id", "left_semi").drop(*made))
+    return hits.join(old, "query_id", "left_anti").select(*hits.columns).unionByName(again.select(*hits.columns))

@@ -94,3 +94,20 @@ def embedding_status(chunks: DataFrame, index: DataFrame) -> DataFrame:
 
 def readiness(total: Column, indexed: Column, mode: Column) -> Column:
     return F.when(mode == "lexical", "not_required").when((total == 0) | (indexed == total), "ready").when(indexed == 0, "missing").otherwise("partial")
+
+
+class HashProvider:
+    """Hashed embeddings of a chosen size. Any object with model, dimension and vectors(text column) can stand in its place."""
+
+    def __init__(self, dimension: int = DIMENSION, model: str = MODEL):
+        self.dimension, self.model = dimension, model
+
+    def vectors(self, text: Column) -> Column:
+        return embed(text, self.dimension)
+
+
+def embed_with(provider, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, model, size, vector of every row by a provider; one without dimensions is refused."""
+    if provider.dimension <= 0:
+        raise ValueError("an embedding needs dimensions")
+    return rows.select(key, F.lit(provider.model).alias("model"), F.lit(provider.dimension).alias("size"), provider.vectors(F.col(text)).alias("vector"))

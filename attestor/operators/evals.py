@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.operators.answer import answers
+
 RECALL_GATE, WEAK_LIMIT = 0.80, 0.20
 MODE_ORDER = {"hybrid": 0, "vector": 1, "lexical": 2}
 
 
-def evaluate(cases: DataFrame, hits: DataFrame, answers: DataFrame, missing_index: Column | None = None) -> DataFrame:
+def evaluate(cases: DataFrame, hits: DataFrame, answered: DataFrame, missing_index: Column | None = None) -> DataFrame:
     """A row for each case: recall, precision, reciprocal rank, citation coverage, weak hits, failure labels, passed.
 
     cases: (query_id, chunk_ids, document_ids), each expected id counting once; hits: assessed hits.
@@ -23,7 +25,7 @@ def evaluate(cases: DataFrame, hits: DataFrame, answers: DataFrame, missing_inde
         F.count_if(good).alias("good"), F.min(F.when(good, F.col("rank"))).alias("top_hit_rank"), F.count_if(F.col("strength") == "weak").alias("weak_count"),
         F.max(F.array_contains("hit_flags", "heading_only")).alias("heading"), F.max((F.col("duplicate_count") > 1) | F.array_contains("hit_flags", "duplicate")).alias("duplicate"),
     )
-    rows = wanted.join(sums, "query_id", "left").join(answers.select("query_id", F.size("citations").alias("cited")), "query_id", "left")
+    rows = wanted.join(sums, "query_id", "left").join(answered.select("query_id", F.size("citations").alias("cited")), "query_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     expected = F.size("want_chunks") + F.size("want_documents")
     rows = rows.withColumns({
@@ -45,20 +47,30 @@ def evaluate(cases: DataFrame, hits: DataFrame, answers: DataFrame, missing_inde
     return rows.select("query_id", "recall", "precision", "mrr", "top_hit_rank", "citation_coverage", "weak_count", failures.alias("failures"), (F.col("recall") > 0).alias("passed"))
 
 
-def percentile(values: Column, p: float) -> Column:
-    """sorted[ceil((n - 1) p)], 0 without values."""
-    ordered = F.array_sort(values)
-    return F.coalesce(F.get(ordered, F.ceil((F.size(ordered) - 1) * p).cast("int")), F.lit(0))
+def percentiles(results: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """key and, under each name, sorted[ceil((n - 1) p)] of its values. Equal values are counted first, so a window holds the distinct
+    values of a key and not its rows."""
+    counts = results.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_k"))
+    whole = Window.partitionBy(key)
+    rows = counts.withColumns({"_upto": F.sum("_k").over(whole.orderBy(value)), "_n": F.sum("_k").over(whole)})
+    return rows.groupBy(key).agg(*[F.min(F.when(F.col("_upto") > F.ceil((F.col("_n") - 1) * p), F.col(value))).alias(name) for name, p in shares.items()])
 
 
 def summarize_modes(results: DataFrame) -> DataFrame:
-    """A row for each mode of case results with mode and latency_ms."""
-    return results.groupBy("mode").agg(
+    """A row for each mode of case results with mode and latency_ms; without latencies p50 and p95 are 0."""
+    sums = results.groupBy("mode").agg(
         F.count(F.lit(1)).alias("cases"), F.count_if("passed").alias("passed"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision"),
         F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg("citation_coverage"), 6).alias("citation_coverage"), F.sum("weak_count").alias("weak_count"),
         F.sum(F.size(F.filter("failures", lambda f: f.isin("missing_embeddings", "expected_evidence_missing")))).alias("critical"),
-        percentile(F.collect_list("latency_ms"), 0.5).alias("p50"), percentile(F.collect_list("latency_ms"), 0.95).alias("p95"),
     )
+    found = percentiles(results, "mode", "latency_ms", {"p50": 0.5, "p95": 0.95})
+    return sums.join(found, "mode", "left").withColumns({p: F.coalesce(p, F.lit(0)) for p in ("p50", "p95")})
+
+
+def single_mode_run(cases: DataFrame, hits: DataFrame, queries: DataFrame, limit: int = 3) -> DataFrame:
+    """Case results of one mode in which each case (query_id, chunk_ids, document_ids, top_k) sees its own first top_k of the hits."""
+    held = hits.join(cases.select("query_id", "top_k"), "query_id").where(F.col("rank") <= F.col("top_k")).drop("top_k")
+    return evaluate(cases, held, answers(queries.join(cases.select("query_id"), "query_id", "left_semi"), held, limit))
 
 
 def mode_rank(mode: Column) -> Column:

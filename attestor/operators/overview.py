@@ -38,3 +38,34 @@ def activity(*lists: tuple[DataFrame, int], most: int = 7) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.orderBy(F.desc("at"), "kind", "id").limit(most)
+
+
+def pass_rates(results: DataFrame) -> DataFrame:
+    """mode, pass_rate of case results."""
+    rows = results.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("k"))
+    return rows.select("mode", F.round(F.coalesce(F.try_divide("k", "n"), F.lit(0.0)), 6).alias("pass_rate"))
+
+
+def in_workspace(rows: DataFrame, workspace) -> DataFrame:
+    """What belongs to a workspace; rows without one belong to none."""
+    return rows.where(F.col("workspace_id") == F.lit(workspace))
+
+
+def marked_sources(sources: DataFrame, projects: DataFrame, workspace, marker: str) -> DataFrame:
+    """Sources (source_id, project_id) of a workspace's projects (project_id, workspace_id, name) whose name begins with marker."""
+    wanted = in_workspace(projects, workspace).where(F.col("name").startswith(marker)).select("project_id", F.col("name").alias("project"))
+    return sources.join(wanted, "project_id")
+
+
+def report_of_latest_trace(traces: DataFrame, reports: DataFrame) -> DataFrame:
+    """trace_id, report_id: the latest trace (trace_id, source_id, at) and the first report (report_id, source_id, at) on its
+    source; no row where there is none."""
+    latest = traces.orderBy(F.desc("at"), F.desc("trace_id")).limit(1)
+    met = reports.select("report_id", "source_id", F.col("at").alias("made")).join(F.broadcast(latest.select("trace_id", "source_id")), "source_id")  # one row
+    return met.orderBy("made", "report_id").limit(1).select("trace_id", "report_id")
+
+
+def oldest_or(rows: DataFrame, order: list[str], default: DataFrame) -> DataFrame:
+    """One row: the oldest, or the default where there is none."""
+    both = rows.select(*default.columns).withColumn("_late", F.lit(0)).unionByName(default.withColumn("_late", F.lit(1)))
+    return both.orderBy("_late", *order).limit(1).drop("_late")

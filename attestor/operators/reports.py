@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from attestor.functions.text import bounded_snippet, escape_markdown, exportable_context, humanize
 from attestor.operators.diagnosis import RECOMMENDATIONS
+from attestor.operators.evals import compare_modes, gate, regression
+from attestor.sources.scratch import stored
 
 PRIVACY = ("metadata_only", "snippets_allowed", "full_local_only")
 
@@ -25,15 +27,58 @@ def evidence(hits: DataFrame, privacy: str) -> DataFrame:
 
 
 def evidence_catalogue(hits: DataFrame) -> DataFrame:
-    """Distinct chunks of an experiment, labelled E1, E2 … by first appearance (mode, case, rank). First appearances are
-    few beside the hits, and are ranked by a count over ranges, not in one task."""
-    order = F.struct("mode", "query_id", "rank")
-    first = hits.groupBy("chunk_id").agg(F.min(order).alias("first"))
-    by_case = first.groupBy("first.mode", "first.query_id").agg(F.count(F.lit(1)).alias("n"))
-    before = by_case.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("mode", "query_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each case
-    rows = first.join(before.select(F.col("mode").alias("m"), F.col("query_id").alias("q"), "before"), (F.col("first.mode") == F.col("m")) & (F.col("first.query_id") == F.col("q")))
-    nth = F.row_number().over(Window.partitionBy("m", "q").orderBy("first.rank", "chunk_id"))
-    return rows.select("chunk_id", F.concat(F.lit("E"), (F.col("before") + nth).cast("string")).alias("label"))
+    """Distinct chunks of an experiment, labelled E1, E2 … by first appearance (mode, case, rank). First appearances are dealt by
+    ranges and numbered inside each; a row for each range says how many stand before it."""
+    first = hits.groupBy("chunk_id").agg(F.min(F.struct("mode", "query_id", "rank")).alias("first"))
+    ranged = stored(first.repartitionByRange("first", "chunk_id").withColumn("part", F.spark_partition_id()), "first-appearances")
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each range
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("first", "chunk_id"))
+    return ranged.join(F.broadcast(before), "part").select("chunk_id", F.concat(F.lit("E"), (F.col("before") + nth).cast("string")).alias("label"))
+
+
+#: What a report advises for labels without a diagnosis: code, priority (0 critical to 2 medium), area, title, labels.
+FALLBACKS = (
+    ("expand_corpus_coverage", 0, "corpus_coverage", "Restore the missing evidence", ("missing_document", "expected_evidence_missing")),
+    ("repair_embedding_index", 0, "embeddings", "Repair embedding coverage", ("missing_embedding_index", "missing_embeddings", "bad_embedding")),
+    ("improve_chunk_boundaries", 1, "chunking", "Improve chunk boundaries and deduplication", ("bad_chunking", "correct_document_wrong_chunk", "duplicate_evidence", "heading_only_evidence")),
+    ("tune_ranking", 1, "reranking", "Tune ranking precision", ("bad_ranking", "low_precision")),
+    ("review_top_k_and_coverage", 2, "top_k", "Review top-k and evidence coverage", ("weak_evidence",)),
+    ("repair_citation_grounding", 0, "citations", "Repair citation grounding", ("missing_citations", "hallucinated_answer")),
+    ("clarify_query_contract", 2, "other", "Clarify the query contract", ("bad_prompt", "unsupported_question")),
+)
+
+
+def fallback_recommendations(labels: DataFrame, key: str) -> DataFrame:
+    """key, code, priority, area, title, finding_codes: advice for rows (key, label), one a code, with the labels that led to it.
+    Labels without advice give none. The lookup has a row for each label and goes to every task."""
+    pairs = [(label, code, priority, area, title) for code, priority, area, title, names in FALLBACKS for label in names]
+    advice = F.broadcast(labels.sparkSession.createDataFrame(pairs, "label string, code string, priority int, area string, title string"))
+    return labels.select(key, "label").distinct().join(advice, "label").groupBy(key, "code", "priority", "area", "title").agg(F.array_sort(F.collect_list("label")).alias("finding_codes"))
+
+
+def experiment_report(results: DataFrame, summaries: DataFrame) -> DataFrame:
+    """section, ordinal, code, detail, cases: an experiment's findings (each failure once, with its number of cases and the first),
+    the comparison of its modes, and recommendations by priority."""
+    failed = results.select("mode", "query_id", F.explode("failures").alias("label"))
+    found = failed.groupBy("label").agg(F.count(F.lit(1)).alias("cases"), F.min(F.struct("mode", "query_id")).alias("first"))
+    findings = found.select(F.lit("findings").alias("section"), F.col("label").alias("code"), F.format_string("first in %s, case %s", "first.mode", F.col("first.query_id").cast("string")).alias("detail"), F.lit(1).alias("priority"), "cases")
+    advice = fallback_recommendations(found.select(F.lit(1).alias("report"), "label"), "report").select(F.lit("recommendations").alias("section"), "code", F.col("title").alias("detail"), "priority", F.size("finding_codes").cast("long").alias("cases"))
+    best = compare_modes(summaries).where("modes > 1 AND recall_delta > 0")
+    mode = best.select(F.lit("recommendations").alias("section"), F.lit("use_best_retrieval_mode").alias("code"), F.format_string("Validate %s as the preferred retrieval mode", "best_mode").alias("detail"), F.lit(2).alias("priority"), F.lit(1).cast("long").alias("cases"))
+    rows = findings.unionByName(advice).unionByName(mode)
+    nth = F.row_number().over(Window.partitionBy("section").orderBy("priority", "code"))  # a row for each failure label or piece of advice
+    return rows.select("section", nth.alias("ordinal"), "code", "detail", "cases")
+
+
+def ci_report(results: DataFrame, summaries: DataFrame, baseline: DataFrame | None) -> DataFrame:
+    """The experiment's report with the gate, and with the regression of the best mode where there is a baseline."""
+    gated = gate(summaries).select(F.lit("gate").alias("section"), F.lit(1).alias("ordinal"), F.col("status").alias("code"), F.array_join("reasons", ",").alias("detail"), F.lit(None).cast("long").alias("cases"))
+    rows = experiment_report(results, summaries).unionByName(gated)
+    if baseline is None:
+        return rows
+    lost = regression(baseline, summaries).where("recall_delta < 0")
+    return rows.unionByName(lost.select(F.lit("regression").alias("section"), F.lit(1).alias("ordinal"), F.lit("recall_regression").alias("code"), F.format_string("%.6f", "recall_delta").alias("detail"), F.lit(None).cast("long").alias("cases")))
 
 
 def report_context(hits: DataFrame, mode: str) -> DataFrame:

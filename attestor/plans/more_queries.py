@@ -194,7 +194,13 @@ def context_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", joined(F.transform(F.array_sort(F.map_entries(made)), lambda e: F.concat_ws("=", e["key"], e["value"]))).alias("context"))
 
 
-@query("op_dx10_compare_diagnoses")
+BEFORE_AFTER = f"""SELECT b.query_id, b.codes AS old, a.codes AS new, b.outcome AS was, a.outcome AS now FROM ({DIAGNOSED} SELECT query_id, codes, outcome FROM d) b
+JOIN ({DIAGNOSED.replace("WHERE rank <= 5", "WHERE rank <= 1")} SELECT query_id, codes, outcome FROM d) a USING (query_id)"""
+_PLACE = "CASE {} WHEN 'failing' THEN 0 WHEN 'weak' THEN 1 WHEN 'mixed' THEN 2 ELSE 3 END"
+
+
+@query("op_dx10_compare_diagnoses", f"""WITH x AS ({BEFORE_AFTER}) SELECT query_id, array_to_string(list_filter(coalesce(old, []), lambda c: NOT list_contains(new, c)), ',') AS resolved,
+  array_to_string(list_filter(coalesce(new, []), lambda c: NOT list_contains(old, c)), ',') AS introduced, sign({_PLACE.format("now")} - {_PLACE.format("was")})::INT AS direction FROM x""")
 def compare_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run of five hits against a rerun of one."""
     asked = questions(spark, sf_dir)
@@ -212,32 +218,6 @@ def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "project", "status", joined(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["detail"]))).alias("spans"), "top_score")
 
 
-@query("op_ev3_mode_subset", None)
-def mode_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from attestor.operators.evals import compare_modes
-
-    return compare_modes(summaries(spark, sf_dir).where("mode = 'lexical'"))
-
-
-@query("op_ev2_experiment")
-def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cases in lexical and hybrid mode, summarized."""
-    from attestor.operators.evals import evaluate, summarize_modes
-
-    cases, asked, results = eval_cases(spark, sf_dir), questions(spark, sf_dir), None
-    for mode in ("hybrid", "lexical"):
-        hits = answer.assess(retrieval.retrieve(chunks(spark, sf_dir), asked, mode, hybrid_similar(spark, sf_dir) if mode == "hybrid" else None))
-        rows = evaluate(cases, hits, answer.answers(asked, hits)).withColumns({"mode": F.lit(mode), "latency_ms": F.lit(0)})
-        results = rows if results is None else results.unionByName(rows)
-    return summarize_modes(results)
-
-
 @query("op_g25_case_totals", EVALUATED + " SELECT count(*) AS cases, sum(len(want))::BIGINT AS expected FROM results")
 def case_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_cases(spark, sf_dir).agg(F.count(F.lit(1)).alias("cases"), F.sum(F.size("document_ids")).alias("expected"))
-
-
-@query("op_g19_pass_rates")
-def pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mode_results(spark, sf_dir).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("k"))
-    return rows.select("mode", F.when(F.col("n") == 0, 0.0).otherwise(F.round(F.col("k") / F.col("n"), 6)).alias("pass_rate"))

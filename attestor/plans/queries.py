@@ -176,13 +176,30 @@ def hybrid_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.similarities(vectors, asked, retrieval.RetrievalConfig().min_similarity)
 
 
-@query("op_r3_vector_retrieval")
+def retrieved_with_vectors(mode: str) -> str:
+    """The SQL of ranked hits in vector or hybrid mode, with every similarity summed over the dimensions."""
+    items = ", items AS (SELECT chunk_id AS id, text FROM chunks UNION ALL SELECT 'q' || query_id, query FROM q)," + EMBEDDED.split("FROM benchmark),")[1].replace("\ne AS (", "\nemb AS (")
+    similar = """,
+sim AS (
+  SELECT q.query_id, b.id AS chunk_id, sum(a.value * b.value) AS similarity FROM q JOIN emb a ON a.id = 'q' || q.query_id JOIN emb b ON a.idx = b.idx AND b.id LIKE 'd%' GROUP BY ALL HAVING sum(a.value * b.value) >= 0.25
+),
+pairs AS (SELECT query_id, chunk_id, coalesce(matched, 0) AS matched, coalesce(frequency, 0) AS frequency, coalesce(similarity, 0.0) AS similarity FROM shared FULL JOIN sim USING (query_id, chunk_id)),"""
+    idx, rest = o.SCORED.split("norm AS (", 1)
+    weight = {"vector": 3.0, "hybrid": 2.0}[mode]
+    rest = rest.replace("0.0 AS semantic", f"round(similarity * {weight}, 6) AS semantic").replace("round(matched /", "round(CASE WHEN matched > 0 THEN matched /").replace("* 0.6, 6)", "* 0.6 ELSE 0 END, 6)")
+    rest = rest.replace("CASE WHEN normalized <> ''", "CASE WHEN matched = 0 THEN 0 WHEN normalized <> ''")
+    rest = rest.replace("round(lexical + phrase + section + path_score + metadata, 6)", "semantic" if mode == "vector" else "round(lexical + phrase + section + path_score + metadata + semantic, 6)")
+    hits = o.HITS.replace("CASE WHEN matched > 0 THEN 'exact_term_match' END", "CASE WHEN semantic > 0 THEN 'semantic_match' END, CASE WHEN matched > 0 THEN 'exact_term_match' END")
+    return o.CHUNKS + "," + o.QUERIES + items + "," + idx.replace("pairs AS (", "shared AS (").rstrip().rstrip(",") + similar + "norm AS (" + rest + "," + hits
+
+
+@query("op_r3_vector_retrieval", "WITH " + retrieved_with_vectors("vector") + " SELECT query_id, rank, chunk_id, round(score, 4) AS score, strength FROM hits")
 def vector_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = retrieval.retrieve(chunks(spark, sf_dir), questions(spark, sf_dir), "vector", hybrid_similar(spark, sf_dir))
     return rows.select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), "strength")
 
 
-@query("op_r8_hybrid_retrieval")
+@query("op_r8_hybrid_retrieval", "WITH " + retrieved_with_vectors("hybrid") + " SELECT query_id, rank, chunk_id, round(score, 4) AS score, semantic, lexical, phrase, strength, array_to_string(hit_flags, ',') AS flags FROM hits")
 def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = retrieval.retrieve(chunks(spark, sf_dir), questions(spark, sf_dir), "hybrid", hybrid_similar(spark, sf_dir))
     return rows.select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), "semantic", "lexical", "phrase", "strength", joined("hit_flags").alias("flags"))

@@ -50,6 +50,8 @@ class Store:
 
     def append(self, name: str, rows: DataFrame, key: str | None = None) -> None:
         """With a key, an id that is there already is a conflict and nothing is written."""
+        if key and rows.groupBy(key).count().where("count > 1").take(1):
+            raise Conflict(name)
         if not self.exists(name):
             return self.replace(name, rows)
         held = self.read(name)

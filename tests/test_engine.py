@@ -7,6 +7,8 @@ import pytest
 from attestor.config import from_env
 from attestor.engine import Engine
 from attestor.operators.chunking import Chunking
+from attestor.operators.embedding import HashProvider, embed_with
+from attestor.sources.store import Conflict
 
 BODY = "Projects\n- Built GPU indexing experiments for a local search tool and measured them.\n\nSkills\n- Rust and SQL services for search and retrieval of long documents.\n"
 
@@ -56,7 +58,8 @@ def test_ci_runs_against_the_latest_earlier_run(spark, engine):
     assert status in (0, 422) and regression is None
     _, again = engine.run_ci(cases, "d", "main", 2)
     row = again.first()
-    assert (row["recall_delta"], row["precision_delta"], row["latency_delta"]) == (0.0, 0.0, 0)
+    assert (row["recall_delta"], row["precision_delta"]) == (0.0, 0.0) and isinstance(row["latency_delta"], int)
+    assert {r["section"] for r in engine.last_report.collect()} >= {"gate"}
     with pytest.raises(ValueError):
         engine.run_experiment(cases.limit(0).unionByName(spark.createDataFrame([(1, "x", [], [])], cases.schema)))
 
@@ -79,3 +82,29 @@ def test_configuration_is_checked():
         with pytest.raises(ValueError):
             from_env(bad)
     assert Chunking().step == 448
+
+
+def test_runs_are_kept_and_rerun(spark, engine):
+    q = asked(spark, "gpu indexing experiments", "zebra crossing")
+    engine.record("r1", q, "lexical", 2)
+    with pytest.raises(Conflict):
+        engine.record("r1", q, "lexical")
+    kept = {r["query_id"]: r for r in engine.store.read("runs").collect()}
+    assert kept[1]["hits"] > 0 and kept[2]["hits"] == 0 and kept[1]["latency_ms"] > 0 and kept[1]["top_k"] == 2
+    assert engine.store.read("run_hits").count() == kept[1]["hits"] and {r["status"] for r in engine.store.read("traces").collect()} >= {"failed"}
+    same = engine.rerun("r1", "again").collect()
+    assert [(r["query_id"], r["score_delta"], r["changed_rank"], r["gained"], r["lost"]) for r in same] == [(1, 0.0, 0, [], [])]
+    none = engine.rerun("r1", "again", sources=["nowhere"]).first()
+    assert none["overlap"] == 0 and len(none["lost"]) == kept[1]["hits"] and engine.store.read("reruns").count() == 1
+    with pytest.raises(KeyError):
+        engine.rerun("r9", "x")
+
+
+def test_repeated_ids_in_one_append_are_a_conflict(spark, engine):
+    with pytest.raises(Conflict):
+        engine.store.append("twice", spark.createDataFrame([(1,), (1,)], "id long"), "id")
+
+
+def test_providers_need_dimensions(spark):
+    with pytest.raises(ValueError):
+        embed_with(HashProvider(0), spark.createDataFrame([(1, "a")], "id long, text string"), "id", "text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import hashing, text, times
 from attestor.operators import answer, retrieval
-from attestor.operators.evals import percentile
+from attestor.operators.evals import percentiles
 
 
 def one(spark, column, **values):
@@ -71,10 +71,12 @@ def test_legacy_time(spark):
     assert str(one(spark, times.legacy_time(parts).cast("string"))) == "2026-06-27 12:30:01.5"
 
 
-def test_percentile(spark):
-    p = lambda n, q: one(spark, percentile(F.array(*[F.lit(i) for i in range(n)]), q))
-    assert one(spark, percentile(F.array(*map(F.lit, (4, 1, 3, 2))), 0.5)) == 3
-    assert (p(2, 0.5), p(5, 0.5), p(5, 0.95), p(21, 0.5), p(21, 0.95)) == (1, 2, 4, 10, 19)
+def test_percentiles(spark):
+    def of(*values):
+        row = percentiles(spark.createDataFrame([("k", v) for v in values], "mode string, v long"), "mode", "v", {"p50": 0.5, "p95": 0.95}).first()
+        return row["p50"], row["p95"]
+
+    assert of(4, 1, 3, 2)[0] == 3 and of(0, 1)[0] == 1 and of(*range(5)) == (2, 4) and of(*range(21)) == (10, 19) and of(7, 7, 7, 1) == (7, 7)
 
 
 def test_required_matches(spark):

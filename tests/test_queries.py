@@ -4,6 +4,7 @@ import pytest
 from helpers import oracle, rows
 
 import attestor.plans.more_queries  # noqa: F401
+import attestor.plans.record_queries  # noqa: F401
 import attestor.plans.text_queries  # noqa: F401
 from attestor.plans.queries import QUERIES, SQL
 
