@@ -27,7 +27,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,8 +160,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Of the links of each b the one to its first a stays; its other ends are linked with that first one instead. So nodes that
     are no a are leaves, which take the label of their first a afterwards, and only the rest goes through rounds."""
-    ends = links.where("a <> b").select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("first"))
-    ends = stored(ends, "ends")
+    some = stored(links.where("a <> b").select("a", "b").distinct(), "links")
+    ends = stored(looked_up(some, some.groupBy("b").agg(F.min("a").alias("first")), "b"), "ends")
     hubs = stored(ends.select(F.col("a").alias("b")).distinct(), "hubs")
     tree = ends.select("b", "first").distinct()
     bridges = ends.where("a <> first").select("first", F.col("a").alias("b")).distinct()
