@@ -27,23 +27,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents predicted toxic."""
+    """Rejects documents predicted toxic. Null and empty texts count as texts without any sign and stay; repeated rows share one fate."""
     small_batches(spark)
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts, null counting as empty, the row with the largest doc_id stays; of a repeated row one."""
     return without_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (shingles of five words, similarity 0.8) the row with the smallest doc_id stays."""
+    """Of near duplicates (shingles of five words, similarity 0.8) the row with the smallest doc_id stays.
+    Null and empty texts and rows without a doc_id stay; of rows with one doc_id one."""
     return without_near_duplicates(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in windows of 1024 tokens."""
+    """Pieces in windows of 1024 tokens. A null or empty text is its end id alone; every row is packed, repeated ones too."""
     small_batches(spark)
     return pack(docs, entries=WORDS)
 
