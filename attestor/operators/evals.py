@@ -110,3 +110,10 @@ def newly_failed(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """Cases that fail now and did not before."""
     failing = lambda d: d.where(F.size("failures") > 0).select("query_id").distinct()
     return failing(current).join(failing(baseline), "query_id", "left_anti")
+
+
+def first_failures(results: DataFrame) -> DataFrame:
+    """code, mode, query_id, cases: each failure of an experiment once, with the first mode and case that show it and how many do."""
+    rows = results.select("mode", "query_id", F.explode("failures").alias("code"))
+    first = rows.groupBy("code").agg(F.min(F.struct("mode", "query_id")).alias("first"), F.count(F.lit(1)).alias("cases"))
+    return first.select("code", "first.mode", "first.query_id", "cases")

@@ -69,3 +69,101 @@ def oldest_or(rows: DataFrame, order: list[str], default: DataFrame) -> DataFram
     """One row: the oldest, or the default where there is none."""
     both = rows.select(*default.columns).withColumn("_late", F.lit(0)).unionByName(default.withColumn("_late", F.lit(1)))
     return both.orderBy("_late", *order).limit(1).drop("_late")
+
+
+def corpus_status() -> Column:
+    """What a corpus lacks first, of counts (documents, missing, stale, cases)."""
+    return F.when(F.col("documents") == 0, "needs_documents").when(_unindexed(), "needs_indexing").when(F.col("cases") == 0, "needs_eval_coverage").otherwise("ready")
+
+
+def _unindexed() -> Column:
+    return (F.col("missing") > 0) | (F.col("stale") > 0)
+
+
+def _listed(counts: DataFrame, keys: list[str], fields: tuple[str, ...], entries: list[tuple]) -> DataFrame:
+    """keys, ordinal and the fields of those entries (condition, fields...) whose condition holds, for each row of counts."""
+    made = [F.when(when, F.struct(*[v.cast("string").alias(n) for n, v in zip(fields, values, strict=True)])) for when, *values in entries]
+    held = F.filter(F.array(*made), lambda x: x.isNotNull())
+    return counts.select(*keys, F.posexplode(held).alias("place", "item")).select(*keys, (F.col("place") + 1).alias("ordinal"), "item.*")
+
+
+def metrics(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ordinal, id, value, detail, tone of counts (sources, documents, chunks, indexed, missing, stale, traces, weak, failed,
+    cases, datasets, warnings, gate, recall, pass_rate). gate and recall are null without an experiment, pass_rate without a run."""
+    always, good = F.lit(True), lambda fine: F.when(fine, "good").otherwise("warning")
+    percent = lambda c: F.round(F.col(c) * 100).cast("int").cast("string")
+    experiment = F.concat("datasets", F.lit(" datasets · "), F.initcap("gate"), F.lit(" gate · "), percent("recall"), F.lit("% recall"))
+    run = F.concat(F.lit("latest pass rate "), percent("pass_rate"), F.lit("%"))
+    plain = [(always, F.lit(name), F.col(name), F.lit(detail), F.lit("neutral")) for name, detail in (("sources", "connected corpora"), ("documents", "indexed files"), ("chunks", "retrieval units"))]
+    return _listed(counts, keys, ("id", "value", "detail", "tone"), [
+        *plain,
+        (always, F.lit("embeddings"), F.concat("indexed", F.lit("/"), "chunks"), F.concat("missing", F.lit(" missing · "), "stale", F.lit(" stale")), good(~_unindexed())),
+        (always, F.lit("traces"), F.col("traces"), F.concat("weak", F.lit(" weak · "), "failed", F.lit(" failed")), good((F.col("weak") == 0) & (F.col("failed") == 0))),
+        (always, F.lit("evals"), F.col("cases"), F.coalesce(experiment, run, F.concat("datasets", F.lit(" datasets · no experiment yet"))),
+         F.when(F.col("cases") == 0, "warning").when(F.col("gate") == "failed", "critical").otherwise("good")),
+        (always, F.lit("warnings"), F.col("warnings"), F.lit("extraction and corpus quality"), good(F.col("warnings") == 0)),
+    ])
+
+
+def pipeline(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ordinal, id, status, count, route: how far a corpus has come, of the counts that metrics reads."""
+    always = F.lit(True)
+    blocked = lambda c: F.when(F.col(c) == 0, "blocked")
+    ran = F.when(F.col("traces") == 0, "pending").otherwise("complete")
+    return _listed(counts, keys, ("id", "status", "count", "route"), [
+        (always, F.lit("ingest"), blocked("documents").otherwise("complete"), F.col("documents"), F.lit("/app/sources")),
+        (always, F.lit("chunk"), blocked("chunks").otherwise("complete"), F.col("chunks"), F.lit("/app/sources")),
+        (always, F.lit("embed"), F.when(F.col("chunks") == 0, "pending").when(_unindexed(), "warning").otherwise("complete"), F.col("indexed"), F.lit("/app/retrieval")),
+        (always, F.lit("retrieve"), blocked("chunks").otherwise(ran), F.col("traces"), F.lit("/app/retrieval")),
+        (always, F.lit("trace"), ran, F.col("traces"), F.lit("/app/traces")),
+        (always, F.lit("eval"), F.when(F.col("cases") == 0, "warning").otherwise("complete"), F.col("cases"), F.lit("/app/evals")),
+        (always, F.lit("report"), ran, F.col("traces"), F.lit("/app/reports")),
+    ]).withColumn("count", F.col("count").cast("long"))
+
+
+def issues(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ordinal, id, severity, amount, route: what is wrong with a corpus, in a fixed order."""
+    found = lambda name, when, severity, amount, route: (when, F.lit(name), F.lit(severity), amount, F.lit(route))
+    nothing = F.lit(0)
+    return _listed(counts, keys, ("id", "severity", "amount", "route"), [
+        found("no_documents", F.col("documents") == 0, "critical", nothing, "/app/sources"),
+        found("missing_embeddings", F.col("missing") > 0, "warning", F.col("missing"), "/app/retrieval"),
+        found("stale_embeddings", F.col("stale") > 0, "warning", F.col("stale"), "/app/retrieval"),
+        found("extraction_warnings", F.col("warnings") > 0, "warning", F.col("warnings"), "/app/sources"),
+        found("weak_traces", (F.col("failed") > 0) | (F.col("weak") > 0), "warning", F.col("weak"), "/app/traces"),
+        found("missing_eval_coverage", F.col("cases") == 0, "warning", nothing, "/app/evals"),
+        found("failed_eval_gate", F.col("gate") == "failed", "critical", F.col("failures"), "/app/evals"),
+    ]).withColumn("amount", F.col("amount").cast("long"))
+
+
+def actions(counts: DataFrame, keys: list[str], most: int = 4) -> DataFrame:
+    """keys, ordinal, id, route, priority: the first thing to do, what the first three issues ask for and, once there are traces, a
+    report; of those with one route the first, and four at most."""
+    state = corpus_status()
+    first = (
+        F.when(state == "needs_documents", F.lit("ingest_documents /app/sources")).when(state == "needs_indexing", "index_embeddings /app/retrieval").when(state == "needs_eval_coverage", "create_eval_coverage /app/evals")
+        .when(F.col("weak") > 0, "review_weak_traces /app/traces").when(F.col("warnings") > 0, "inspect_sources /app/sources").otherwise("run_retrieval /app/retrieval")
+    )
+    asked = issues(counts, keys).where("ordinal <= 3").select(*keys, (F.col("ordinal") + 1).alias("place"), "id", "route", F.lit("secondary").alias("priority"))
+    primary = counts.select(*keys, F.lit(1).alias("place"), F.split_part(first, F.lit(" "), F.lit(1)).alias("id"), F.split_part(first, F.lit(" "), F.lit(2)).alias("route"), F.lit("primary").alias("priority"))
+    report = counts.where("traces > 0").select(*keys, F.lit(5).alias("place"), F.lit("generate_report").alias("id"), F.lit("/app/reports").alias("route"), F.lit("secondary").alias("priority"))
+    rows = primary.unionByName(asked).unionByName(report)  # five a corpus at most
+    once = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "route").orderBy("place"))).where("nth = 1")
+    ranked = once.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy("place")))
+    return ranked.where(F.col("ordinal") <= most).select(*keys, "ordinal", "id", "route", "priority")
+
+
+def picked(documents: DataFrame, chosen: list[str], target: str) -> DataFrame:
+    """source_id, kept, has: how many of the chosen documents a source has, and whether target is one of its documents."""
+    return documents.groupBy("source_id").agg(F.count_distinct(F.when(F.col("document_id").isin(chosen), F.col("document_id"))).cast("int").alias("kept"), F.coalesce(F.bool_or(F.col("document_id") == target), F.lit(False)).alias("has"))
+
+
+def report_candidates(gates: DataFrame, runs: DataFrame, documents: DataFrame, most: int = 6) -> DataFrame:
+    """kind, id: the first failed gates (id, status), diagnosed runs (id, outcome) and documents (id, extraction_quality, warnings)
+    of low extraction or with warnings, so many of each."""
+    parts = [
+        ("gate", gates.where("status = 'failed'")), ("run", runs.where("outcome IS NOT NULL")),
+        ("document", documents.where((F.col("extraction_quality") == "low") | (F.size("warnings") > 0))),
+    ]
+    lists = [rows.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id")).orderBy("id").limit(most) for kind, rows in parts]
+    return lists[0].unionByName(lists[1]).unionByName(lists[2])

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import hashing, text
-from attestor.operators import answer, diagnosis, retrieval, traces
+from attestor.operators import answer, diagnosis, evals, overview, retrieval, traces
+from attestor.operators.intelligence import analyze
 from attestor.plans import oracle as o
-from attestor.plans.queries import CASES, DIAGNOSED, EVALUATED, case_results, chunks, diagnosed, eval_cases, hybrid_similar, joined, judged, lexical_hits, mode_results, query, summaries
+from attestor.plans.queries import CASES, DIAGNOSED, EVALUATED, MODES, case_results, chunks, diagnosed, eval_cases, hybrid_similar, joined, judged, lexical_hits, mode_results, query, summaries
 from attestor.plans.tables import documents, questions, table
 
 
@@ -22,22 +23,20 @@ def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(F.col("event_id").isin(3, 1, 4, 159, 26535)).select("event_id", "event_type", "value")
 
 
-@query("op_p8_report_candidates", "WITH " + o.DOCS + f""", low AS (SELECT document_id AS id FROM docs WHERE {o.words('text')} < 20 ORDER BY document_id LIMIT 6),
-runs AS (SELECT event_id::VARCHAR AS id FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 6)
-SELECT 'document' AS kind, id FROM low UNION ALL SELECT 'run', id FROM runs""")
+@query("op_p8_report_candidates", "WITH " + o.DOCS + f""", low AS (SELECT document_id AS id FROM docs WHERE {o.words('text')} < 20 OR contains(text, chr(65533)) ORDER BY document_id LIMIT 6),
+gates AS (SELECT o_orderkey::VARCHAR AS id FROM orders WHERE o_orderstatus = 'F' ORDER BY id LIMIT 6), runs AS (SELECT event_id::VARCHAR AS id FROM events WHERE event_type = 'error' ORDER BY id LIMIT 6)
+SELECT 'document' AS kind, id FROM low UNION ALL SELECT 'run', id FROM runs UNION ALL SELECT 'gate', id FROM gates""")
 def report_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first six of each list, as the feature asks."""
-    low = documents(spark, sf_dir).where(text.extraction_quality(F.col("text")) == "low").orderBy("document_id").limit(6).select(F.lit("document").alias("kind"), F.col("document_id").alias("id"))
-    runs = table(spark, sf_dir, "events").where("event_type = 'error'").orderBy("event_id").limit(6).select(F.lit("run").alias("kind"), F.col("event_id").cast("string").alias("id"))
-    return low.unionByName(runs)
+    """The first six of each list, as the feature asks. Orders stand for gates, events for runs."""
+    gates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("passed").alias("status"))
+    runs = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "failing").alias("outcome"))
+    found = analyze(documents(spark, sf_dir)).select(F.col("document_id").alias("id"), "extraction_quality", "warnings")
+    return overview.report_candidates(gates, runs, found)
 
 
-@query("op_p9_document_picker", "WITH " + o.DOCS + """, v AS (SELECT source_id, list_sort(list(document_id)) AS ids FROM docs WHERE source_id IN ('src0', 'src3') GROUP BY source_id)
-SELECT source_id, len(list_intersect(ids, ['d0', 'd3', 'd4']))::INT AS kept, list_contains(ids, 'd3') AS has FROM v""")
+@query("op_p9_document_picker", "WITH " + o.DOCS + """ SELECT source_id, (count(DISTINCT document_id) FILTER (document_id IN ('d0', 'd3', 'd4')))::INT AS kept, bool_or(document_id = 'd3') AS has FROM docs GROUP BY source_id""")
 def document_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array(F.lit("d0"), F.lit("d3"), F.lit("d4"))
-    v = documents(spark, sf_dir).where(F.col("source_id").isin("src0", "src3")).groupBy("source_id").agg(F.collect_list("document_id").alias("ids"))
-    return v.select("source_id", F.size(F.array_intersect("ids", ids)).alias("kept"), F.array_contains("ids", "d3").alias("has"))
+    return overview.picked(documents(spark, sf_dir), ["d0", "d3", "d4"], "d3")
 
 
 @query("op_p13_patch_merge", """SELECT a.conv_id, coalesce(CASE WHEN length(b.text) % 2 = 0 THEN b.text END, a.text) AS text, coalesce(b.role, a.role) AS role
@@ -115,9 +114,10 @@ def ingestion_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.withColumn("status", status(F.col("documents"), F.col("failures")))
 
 
-@query("op_g23_first_failure_of_each_code", EVALUATED + """, u AS (SELECT query_id, unnest(failures) AS code FROM results) SELECT code, min(query_id) AS first_case, count(*) AS cases FROM u GROUP BY code""")
+@query("op_g23_first_failure_of_each_code", MODES + """, u AS (SELECT mode, query_id, unnest(failures) AS code FROM moded)
+SELECT code, arg_min(mode, row(mode, query_id)) AS mode, arg_min(query_id, row(mode, query_id)) AS query_id, count(*) AS cases FROM u GROUP BY code""")
 def first_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return case_results(spark, sf_dir).select("query_id", F.explode("failures").alias("code")).groupBy("code").agg(F.min("query_id").alias("first_case"), F.count(F.lit(1)).alias("cases"))
+    return evals.first_failures(mode_results(spark, sf_dir))
 
 
 @query("op_g27_progress", "WITH " + CASES[2:] + ", s AS (SELECT [(SELECT count(*) > 0 FROM documents), (SELECT count(*) > 0 FROM cases), (SELECT count(*) > 10000000 FROM events)] AS done) SELECT list_position(done, false)::BIGINT AS next_step, len(list_filter(done, lambda x: x))::INT AS steps FROM s")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.functions.text import normalized_tokens
 from attestor.operators import answer, embedding, evals, overview, reports, retrieval, traces
 from attestor.plans import oracle as o
 from attestor.plans.queries import DIAGNOSED, EMBEDDED, EVALUATED, MODES, case_results, diagnosed, eval_cases, hybrid_similar, judged, lexical_hits, mode_results, query, retrieved_with_vectors, summaries
 from attestor.plans.tables import chunks, questions, table
 from attestor.sources.scratch import stored
+from attestor.sources.store import decode_terms, encode_terms
 
 
 @query("op_an8_reassessment", "WITH " + o.JUDGED + " SELECT query_id, rank, matched_body, support_status, support_reason FROM judged")
@@ -135,3 +137,87 @@ def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = evals.evaluate(cases, hits, answer.answers(asked, hits)).withColumns({"mode": F.lit(mode), "latency_ms": F.lit(None).cast("long")})
         results = found if results is None else results.unionByName(found)
     return evals.summarize_modes(results).drop("p50", "p95")
+
+
+#: Counts of a corpus for each user, made of their events so that every state of the overview occurs.
+CORPORA = """WITH e AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS k, count(*) FILTER (event_type = 'signup') AS s,
+  count(*) FILTER (event_type = 'error') AS x, count(*) FILTER (event_type = 'purchase') AS p FROM events GROUP BY user_id),
+c AS (SELECT user_id, 1 AS sources, n % 5 AS documents, n % 5 * 3 AS chunks, greatest(n % 5 * 3 - v % 2 - k % 2, 0) AS indexed, v % 2 AS missing, k % 2 AS stale, p % 4 AS traces, x % 3 AS weak, p % 2 AS failed,
+  n % 3 AS cases, 1 AS datasets, s % 3 AS warnings, CASE n % 4 WHEN 0 THEN 'failed' WHEN 1 THEN NULL ELSE 'passed' END AS gate, CASE WHEN n % 4 <> 1 THEN n % 5 * 0.25 END AS recall,
+  CASE WHEN user_id % 2 = 0 THEN n % 5 * 0.25 END AS pass_rate, x AS failures FROM e)"""
+_UNINDEXED = "missing > 0 OR stale > 0"
+
+
+def corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = {"v": "view", "k": "click", "s": "signup", "x": "error", "p": "purchase"}
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("event_type") == kind).alias(name) for name, kind in kinds.items()])
+    n = F.col("n")
+    return e.select(
+        "user_id", F.lit(1).alias("sources"), (n % 5).alias("documents"), (n % 5 * 3).alias("chunks"), F.greatest(n % 5 * 3 - F.col("v") % 2 - F.col("k") % 2, F.lit(0)).alias("indexed"),
+        (F.col("v") % 2).alias("missing"), (F.col("k") % 2).alias("stale"), (F.col("p") % 4).alias("traces"), (F.col("x") % 3).alias("weak"), (F.col("p") % 2).alias("failed"), (n % 3).alias("cases"),
+        F.lit(1).alias("datasets"), (F.col("s") % 3).alias("warnings"), F.when(n % 4 == 0, "failed").when(n % 4 != 1, "passed").alias("gate"), F.when(n % 4 != 1, n % 5 * 0.25).alias("recall"),
+        F.when(F.col("user_id") % 2 == 0, n % 5 * 0.25).alias("pass_rate"), F.col("x").alias("failures"),
+    )
+
+
+@query("op_g18_metrics", CORPORA + f""" SELECT user_id, 1 AS ordinal, 'sources' AS id, sources::VARCHAR AS value, 'connected corpora' AS detail, 'neutral' AS tone FROM c
+UNION ALL SELECT user_id, 2, 'documents', documents::VARCHAR, 'indexed files', 'neutral' FROM c UNION ALL SELECT user_id, 3, 'chunks', chunks::VARCHAR, 'retrieval units', 'neutral' FROM c
+UNION ALL SELECT user_id, 4, 'embeddings', indexed || '/' || chunks, missing || ' missing · ' || stale || ' stale', CASE WHEN {_UNINDEXED} THEN 'warning' ELSE 'good' END FROM c
+UNION ALL SELECT user_id, 5, 'traces', traces::VARCHAR, weak || ' weak · ' || failed || ' failed', CASE WHEN weak + failed > 0 THEN 'warning' ELSE 'good' END FROM c
+UNION ALL SELECT user_id, 6, 'evals', cases::VARCHAR, CASE WHEN gate = 'failed' THEN '1 datasets · Failed gate · ' || (recall * 100)::INT || '% recall' WHEN gate = 'passed' THEN '1 datasets · Passed gate · ' || (recall * 100)::INT || '% recall'
+  WHEN pass_rate IS NOT NULL THEN 'latest pass rate ' || (pass_rate * 100)::INT || '%' ELSE '1 datasets · no experiment yet' END, CASE WHEN cases = 0 THEN 'warning' WHEN gate = 'failed' THEN 'critical' ELSE 'good' END FROM c
+UNION ALL SELECT user_id, 7, 'warnings', warnings::VARCHAR, 'extraction and corpus quality', CASE WHEN warnings > 0 THEN 'warning' ELSE 'good' END FROM c""")
+def overview_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.metrics(corpora(spark, sf_dir), ["user_id"])
+
+
+@query("op_g18_pipeline", CORPORA + f""", t AS (SELECT *, CASE WHEN traces = 0 THEN 'pending' ELSE 'complete' END AS ran FROM c)
+SELECT user_id, 1 AS ordinal, 'ingest' AS id, CASE WHEN documents = 0 THEN 'blocked' ELSE 'complete' END AS status, documents AS count, '/app/sources' AS route FROM t
+UNION ALL SELECT user_id, 2, 'chunk', CASE WHEN chunks = 0 THEN 'blocked' ELSE 'complete' END, chunks, '/app/sources' FROM t
+UNION ALL SELECT user_id, 3, 'embed', CASE WHEN chunks = 0 THEN 'pending' WHEN {_UNINDEXED} THEN 'warning' ELSE 'complete' END, indexed, '/app/retrieval' FROM t
+UNION ALL SELECT user_id, 4, 'retrieve', CASE WHEN chunks = 0 THEN 'blocked' ELSE ran END, traces, '/app/retrieval' FROM t UNION ALL SELECT user_id, 5, 'trace', ran, traces, '/app/traces' FROM t
+UNION ALL SELECT user_id, 6, 'eval', CASE WHEN cases = 0 THEN 'warning' ELSE 'complete' END, cases, '/app/evals' FROM t UNION ALL SELECT user_id, 7, 'report', ran, traces, '/app/reports' FROM t""")
+def overview_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.pipeline(corpora(spark, sf_dir), ["user_id"])
+
+
+ISSUES = CORPORA + """, i AS (SELECT user_id, 1 AS place, 'no_documents' AS id, 'critical' AS severity, 0::BIGINT AS amount, '/app/sources' AS route FROM c WHERE documents = 0
+UNION ALL SELECT user_id, 2, 'missing_embeddings', 'warning', missing, '/app/retrieval' FROM c WHERE missing > 0 UNION ALL SELECT user_id, 3, 'stale_embeddings', 'warning', stale, '/app/retrieval' FROM c WHERE stale > 0
+UNION ALL SELECT user_id, 4, 'extraction_warnings', 'warning', warnings, '/app/sources' FROM c WHERE warnings > 0 UNION ALL SELECT user_id, 5, 'weak_traces', 'warning', weak, '/app/traces' FROM c WHERE weak > 0 OR failed > 0
+UNION ALL SELECT user_id, 6, 'missing_eval_coverage', 'warning', 0, '/app/evals' FROM c WHERE cases = 0 UNION ALL SELECT user_id, 7, 'failed_eval_gate', 'critical', failures, '/app/evals' FROM c WHERE gate = 'failed'),
+issues AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY place))::INT AS ordinal, id, severity, amount, route FROM i)"""
+
+
+@query("op_g18_issues", ISSUES + " SELECT * FROM issues")
+def overview_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.issues(corpora(spark, sf_dir), ["user_id"])
+
+
+@query("op_g18_actions", ISSUES + f""", a AS (SELECT user_id, 1 AS place, 'primary' AS priority, unnest(CASE WHEN documents = 0 THEN ['ingest_documents', '/app/sources'] WHEN {_UNINDEXED} THEN ['index_embeddings', '/app/retrieval']
+  WHEN cases = 0 THEN ['create_eval_coverage', '/app/evals'] WHEN weak > 0 THEN ['review_weak_traces', '/app/traces'] WHEN warnings > 0 THEN ['inspect_sources', '/app/sources'] ELSE ['run_retrieval', '/app/retrieval'] END) AS x, generate_subscripts([1, 2], 1) AS nth FROM c),
+p AS (SELECT user_id, place, priority, max(x) FILTER (nth = 1) AS id, max(x) FILTER (nth = 2) AS route FROM a GROUP BY ALL),
+u AS (SELECT * FROM p UNION ALL SELECT user_id, ordinal + 1, 'secondary', id, route FROM issues WHERE ordinal <= 3 UNION ALL SELECT user_id, 5, 'secondary', 'generate_report', '/app/reports' FROM c WHERE traces > 0),
+d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY user_id, route ORDER BY place) = 1)
+SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY place))::INT AS ordinal, id, route, priority FROM d QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY place) <= 4""")
+def overview_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.actions(corpora(spark, sf_dir), ["user_id"])
+
+
+_RECENT = {"view": 2, "click": 2, "purchase": 3, "signup": 1}
+
+
+@query("op_g18_activity", "WITH u AS (" + " UNION ALL ".join(f"(SELECT event_type AS kind, event_id AS id, ts AS t FROM events WHERE event_type = '{kind}' ORDER BY ts DESC, event_id LIMIT {n})" for kind, n in _RECENT.items()) + ") SELECT kind, id FROM u ORDER BY t DESC, kind, id LIMIT 7")
+def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of events stand for sources, traces, reports and evaluation runs."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    return overview.activity(*[(e.where(F.col("kind") == kind), n) for kind, n in _RECENT.items()]).select("kind", "id")
+
+
+@query("op_s20_terms_codec", f"""WITH t AS (SELECT item_id, unnest({o.tokens('text')}) AS term FROM benchmark), n AS (SELECT item_id, term, count(*)::INT AS count FROM t GROUP BY ALL)
+SELECT item_id, string_agg(term || ':' || count, ',' ORDER BY term) AS encoded, len(list(term))::INT AS terms, sum(count)::BIGINT AS total FROM n GROUP BY item_id""")
+def terms_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of each passage with their counts, written as text and read back."""
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.explode(normalized_tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).cast("int").alias("count"))
+    rows = t.groupBy("item_id").agg(encode_terms(F.array_sort(F.collect_list(F.struct("term", "count")))).alias("encoded"))
+    back = decode_terms(F.col("encoded"))
+    return rows.select("item_id", "encoded", F.size(back).alias("terms"), F.aggregate(back, F.lit(0).cast("long"), lambda a, t: a + t["count"]).alias("total"))

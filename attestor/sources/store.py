@@ -104,3 +104,19 @@ def decode_warnings(encoded):
         return F.struct(F.when(cut > 0, F.substring(x, F.lit(1), cut - 1)).otherwise(x).alias("code"), F.when(cut > 0, F.substring(x, cut + 1, F.length(x))).otherwise("").alias("message"))
 
     return F.transform(encoded, parts)
+
+
+def encode_terms(terms):
+    """term:count of each, in one text."""
+    return F.array_join(F.transform(terms, lambda t: F.concat_ws(":", t["term"], t["count"].cast("string"))), ",")
+
+
+def decode_terms(encoded):
+    """The terms (term, count) of a text; terms hold no comma, and the count follows the last colon."""
+    entries = F.filter(F.split(encoded, ","), lambda x: x != "")
+    return F.transform(entries, lambda x: F.struct(F.regexp_extract(x, "^(.*):", 1).alias("term"), F.substring_index(x, ":", -1).cast("int").alias("count")))
+
+
+def decode_enum(encoded, values: list[str], name: str):
+    """The text itself if it is one of the values; any other text is an error, null stays null."""
+    return F.when(encoded.isin(values) | encoded.isNull(), encoded).otherwise(F.raise_error(F.concat(F.lit(f"unknown {name} "), encoded)))
