@@ -141,8 +141,11 @@ class Engine:
     def traces(self, run: dict[str, DataFrame], mode: str) -> DataFrame:
         return traces.traces(run["diagnosis"], run["hits"], mode)
 
-    def report(self, run: dict[str, DataFrame], privacy: str) -> DataFrame:
-        return reports.markdown(run["diagnosis"], reports.evidence(run["hits"], privacy), privacy)
+    def report(self, run: dict[str, DataFrame], privacy: str, mode: str | None = None, changes: DataFrame | None = None) -> DataFrame:
+        """A report of each query of a run, with its settings where its mode is given and, where a rerun is, what that changed."""
+        asked = run["hits"].groupBy("query_id").agg(F.max("query").alias("query"))
+        context = reports.report_context(run["hits"], mode) if mode else None
+        return reports.markdown(run["diagnosis"], reports.evidence(run["hits"], privacy), privacy, context, changes, asked)
 
     def delete_source(self, source_id: str) -> None:
         """A source's documents go with their chunks and embeddings."""

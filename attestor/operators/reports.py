@@ -88,25 +88,78 @@ def report_context(hits: DataFrame, mode: str) -> DataFrame:
     return sums.select("query_id", exportable_context(entries).alias("context"))
 
 
-SECTIONS = ("Summary", "Context", "Findings", "Recommendations", "Evidence", "Privacy")
+#: The sections of a report, and what it says of its privacy.
+SECTIONS = (
+    "Executive Summary", "Deterministic Diagnosis", "Report Source and Privacy Classification", "System and Configuration Snapshot", "Failing Queries or Cases", "Evidence Diagnosis",
+    "Failure Labels", "Rerun, Experiment, and Regression Changes", "Prioritized Recommendations", "Privacy and Sharing Note",
+)
+NOTES = {
+    "metadata_only": "This export is classified `metadata_only`. Query text, document paths, section titles, and evidence snippets are omitted. Review identifiers and operational metadata before sharing outside the workspace.",
+    "snippets_allowed": "This export is classified `snippets_allowed`. It may contain explicitly approved query or case text, document labels, section titles, and evidence snippets capped at 280 characters. Review every included snippet before sharing.",
+}
+EXCLUDED = "Original uploaded binaries, complete documents, embedding vectors, credentials, and session data are not included."
+
+
+def _lines(items: Column, none: str, head: str = "", gap: str = "\n") -> Column:
+    """The items below each other under a head, or what stands where there are none."""
+    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, F.concat(F.lit(head), F.array_join(items, gap))).otherwise(none)
+
+
+def _table(first: str, second: str) -> str:
+    return f"| {first} | {second} |\n| --- | --- |\n"
 
 
-def markdown(diagnosed: DataFrame, found: DataFrame, privacy: str) -> DataFrame:
-    """query_id, markdown: a report of each diagnosed query. full_local_only is not exported."""
+def _row(name: Column, value: Column) -> Column:
+    return F.concat(F.lit("| "), escape_markdown(name), F.lit(" | "), escape_markdown(value), F.lit(" |"))
+
+
+def markdown(diagnosed: DataFrame, found: DataFrame, privacy: str, context: DataFrame | None = None, changes: DataFrame | None = None, subjects: DataFrame | None = None) -> DataFrame:
+    """query_id, markdown: a report of each diagnosed query. context (query_id, context) is a map of settings, changes (query_id,
+    score_delta, overlap, changed_rank) what a rerun changed, subjects (query_id, query) the questions, shown only where snippets
+    are. full_local_only is not exported."""
     if privacy == "full_local_only":
         raise ValueError("full_local_only reports are not exported")
-    lines = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.substring("label", 2, 9).cast("int").alias("n"), "label", "path", "score", "strength", "snippet"))).alias("e"))
+    open_text = privacy == "snippets_allowed"
+    lines = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.substring("label", 2, 9).cast("int").alias("n"), "label", "path", "score", "strength", "chunk_id", "snippet"))).alias("e"))
     rows = diagnosed.join(lines, "query_id", "left")
-    bullets = lambda xs, none: F.when(F.coalesce(F.size(xs), F.lit(0)) > 0, F.array_join(F.transform(xs, lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise(none)
-    evidence_lines = F.transform("e", lambda e: F.concat(
-        F.lit("**"), e["label"], F.lit("** "), escape_markdown(e["path"]), F.lit(" ("), e["strength"], F.format_string(", %.3f)", e["score"]),
-        F.when(e["snippet"].isNotNull(), F.concat(F.lit(": "), escape_markdown(e["snippet"]))).otherwise(""),
+    for given, columns in ((context, {"context": "map<string,string>"}), (changes, {"score_delta": "double", "overlap": "long", "changed_rank": "long"}), (subjects, {"query": "string"})):
+        if given is None:
+            rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items()})
+        else:
+            rows = rows.join(given.select("query_id", *columns), "query_id", "left")
+    code = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    settings = F.transform(F.array_sort(F.map_entries("context")), lambda x: _row(humanize(x["key"]), x["value"]))
+    failures = F.transform("failures", lambda f, i: F.concat(
+        F.lit("### "), (i + 1).cast("string"), F.lit(". "), humanize(f["code"]), F.lit("\n\n- **Finding code:** "), code(f["code"]),
+        F.lit("\n- **Severity:** "), F.when(f["severity"] == 0, "critical").otherwise("warning"),
+        F.when(F.size(f["refs"]) > 0, F.concat(F.lit("\n- **Evidence references:** "), F.array_join(F.transform(f["refs"], escape_markdown), ", "))).otherwise(""),
+    ))
+    subject = F.concat(F.lit("**Report subject:** "), escape_markdown(F.coalesce("query", F.lit("")))) if open_text else F.lit("Query and case content is omitted by the `metadata_only` privacy policy.")
+    shown = F.transform("e", lambda e: F.concat(
+        F.lit("### "), e["label"], F.lit("\n\n" + _table("Evidence field", "Value")), _row(F.lit("Rank"), e["n"].cast("string")), F.lit("\n"), _row(F.lit("Chunk ID"), e["chunk_id"]), F.lit("\n"),
+        _row(F.lit("Score"), F.format_string("%.3f", e["score"])), F.lit("\n"), _row(F.lit("Evidence strength"), e["strength"]),
+        F.concat(F.lit("\n"), _row(F.lit("Document path"), e["path"])) if open_text else F.lit(""),
+        F.when(e["snippet"].isNotNull(), F.concat(F.lit("\n\n**Approved snippet:** "), escape_markdown(e["snippet"]))).otherwise(""),
+    ))
+    changed = F.when(F.col("overlap").isNotNull(), F.array(
+        _row(F.lit("score delta"), F.format_string("%.3f", "score_delta")), _row(F.lit("overlap"), F.col("overlap").cast("string")), _row(F.lit("changed rank"), F.col("changed_rank").cast("string")),
+    ))
+    advice = {name: F.create_map(*[x for c, values in RECOMMENDATIONS.items() for x in (F.lit(c), F.lit(str(values[at])))]) for at, name in enumerate(("priority", "area", "title"))}
+    level = lambda c: F.when(F.element_at(advice["priority"], c) == "0", "critical").when(F.element_at(advice["priority"], c) == "1", "high").otherwise("medium")
+    remedies = F.transform("recommendations", lambda c, i: F.concat(
+        F.lit("### "), (i + 1).cast("string"), F.lit(". "), F.element_at(advice["title"], c), F.lit("\n\n- **Priority:** "), level(c), F.lit("\n- **Area:** "), humanize(F.element_at(advice["area"], c)),
+        F.lit("\n- **Recommendation code:** "), code(c),
     ))
-    titles = F.create_map(*[x for code, (_, _, title) in RECOMMENDATIONS.items() for x in (F.lit(code), F.lit(title))])
+    issue = F.when(F.col("primary_issue").isNotNull(), F.concat(F.lit("\n"), _row(F.lit("Primary issue"), F.col("primary_issue")))).otherwise("")
+    name = F.col("query_id").cast("string")
     parts = (
-        escape_markdown(F.col("summary")), F.concat(F.lit("- outcome: "), F.col("outcome"), F.lit("\n- hits: "), F.col("hits").cast("string")),
-        bullets(F.transform("codes", humanize), "No findings."), bullets(F.transform("recommendations", lambda c: F.element_at(titles, c)), "No recommendations."),
-        bullets(evidence_lines, "No evidence."), F.lit(privacy),
+        escape_markdown(F.col("summary")), F.concat(F.lit(_table("Diagnosis field", "Value")), _row(F.lit("Outcome"), F.col("outcome")), issue, F.lit("\n"), _row(F.lit("Hits"), F.col("hits").cast("string"))),
+        F.concat(F.lit(_table("Field", "Value")), _row(F.lit("Source type"), F.lit("trace")), F.lit("\n"), _row(F.lit("Source reference"), name), F.lit(f"\n| Privacy mode | `{privacy}` |")),
+        _lines(settings, "No configuration metadata was recorded.", _table("Configuration", "Value")),
+        F.concat(subject, F.lit("\n\n"), _lines(failures, "No deterministic failure findings were recorded.", gap="\n\n")), _lines(shown, "No evidence references were available for this report.", gap="\n\n"),
+        _lines(F.transform("labels", lambda c: F.concat(F.lit("- "), code(c))), "No failure labels were recorded."),
+        _lines(changed, "No rerun, mode-comparison, or regression change was recorded.", _table("Change signal", "Value")),
+        _lines(remedies, "No remediation recommendation was generated.", gap="\n\n"), F.lit(f"{NOTES[privacy]}\n\n{EXCLUDED}"),
     )
-    body = F.concat_ws("\n\n", F.concat(F.lit("# Retrieval report "), F.col("query_id").cast("string")), *[F.concat(F.lit(f"## {name}\n\n"), part) for name, part in zip(SECTIONS, parts, strict=True)])
+    body = F.concat_ws("\n\n", F.concat(F.lit("# Retrieval report "), name), *[F.concat(F.lit(f"## {title}\n\n"), part) for title, part in zip(SECTIONS, parts, strict=True)])
     return rows.select("query_id", F.concat(body, F.lit("\n")).alias("markdown"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import hashing, text, times
 from attestor.operators import overview, reports
+from attestor.operators.diagnosis import compare_reruns
 from attestor.plans import oracle as o
 from attestor.plans.queries import diagnosed, joined, lexical_hits, query
 from attestor.plans.tables import chunks, documents, questions, table
@@ -284,8 +285,10 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op_rep1_trace_report")
 def trace_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.evidence(lexical_hits(spark, sf_dir), "snippets_allowed")
-    return reports.markdown(diagnosed(spark, sf_dir), found, "snippets_allowed")
+    hits = lexical_hits(spark, sf_dir)
+    return reports.markdown(
+        diagnosed(spark, sf_dir), reports.evidence(hits, "snippets_allowed"), "snippets_allowed", reports.report_context(hits, "lexical"), compare_reruns(hits, hits.where("rank = 1")), questions(spark, sf_dir)
+    )
 
 
 @query("op_rep4_privacy", "WITH " + o.RETRIEVED + " SELECT query_id, 'E' || rank AS label, chunk_id, CASE WHEN length(text) > 280 THEN left(text, 277) || '...' ELSE text END AS snippet FROM hits")

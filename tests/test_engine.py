@@ -6,6 +6,7 @@ import pytest
 
 from attestor.config import from_env
 from attestor.engine import Engine
+from attestor.operators import reports
 from attestor.operators.chunking import Chunking
 from attestor.operators.embedding import HashProvider, embed_with
 from attestor.sources.store import Conflict
@@ -67,9 +68,11 @@ def test_ci_runs_against_the_latest_earlier_run(spark, engine):
 def test_reports_keep_private_text(spark, engine):
     run = engine.retrieve(asked(spark, "gpu indexing experiments"), "lexical")
     full = engine.report(run, "snippets_allowed").first()["markdown"]
-    bare = engine.report(run, "metadata_only").first()["markdown"]
+    bare = engine.report(run, "metadata_only", "lexical").first()["markdown"]
     assert "Built GPU" in full and "Built GPU" not in bare
-    assert [line[3:] for line in bare.splitlines() if line.startswith("## ")] == ["Summary", "Context", "Findings", "Recommendations", "Evidence", "Privacy"]
+    assert [line[3:] for line in bare.splitlines() if line.startswith("## ")] == list(reports.SECTIONS)
+    assert "| retrieval mode | lexical |" in bare and "gpu indexing" not in bare and "**Report subject:** gpu indexing experiments" in full
+    assert "No rerun, mode-comparison" in bare
     with pytest.raises(ValueError):
         engine.report(run, "full_local_only")
     trace = engine.traces(run, "lexical").first()
