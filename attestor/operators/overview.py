@@ -167,3 +167,12 @@ def report_candidates(gates: DataFrame, runs: DataFrame, documents: DataFrame, m
     ]
     lists = [rows.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id")).orderBy("id").limit(most) for kind, rows in parts]
     return lists[0].unionByName(lists[1]).unionByName(lists[2])
+
+
+def progress(counts: DataFrame, keys: list[str], expected: int) -> DataFrame:
+    """keys, steps, next_step: how many of the six steps of a sample corpus are done, of counts (documents, unchunked, chunks, missing,
+    stale, runs, traces, reports), and the first that is not, or 0. expected is the number of its documents."""
+    loaded = F.col("documents") == expected
+    chunked = loaded & (F.col("unchunked") == 0)
+    done = F.array(loaded, chunked, chunked & (F.col("chunks") > 0) & ~_unindexed(), F.col("runs") > 0, F.col("traces") > 0, F.col("reports") > 0)
+    return counts.select(*keys, F.size(F.filter(done, lambda x: x)).alias("steps"), F.array_position(done, False).alias("next_step"))

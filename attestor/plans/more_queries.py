@@ -9,7 +9,7 @@ from attestor.functions import hashing, text
 from attestor.operators import answer, diagnosis, evals, overview, retrieval, traces
 from attestor.operators.intelligence import analyze
 from attestor.plans import oracle as o
-from attestor.plans.queries import CASES, DIAGNOSED, EVALUATED, MODES, case_results, chunks, diagnosed, eval_cases, hybrid_similar, joined, judged, lexical_hits, mode_results, query, summaries
+from attestor.plans.queries import DIAGNOSED, EVALUATED, MODES, case_results, chunks, diagnosed, eval_cases, hybrid_similar, joined, judged, lexical_hits, mode_results, query, summaries
 from attestor.plans.tables import documents, questions, table
 
 
@@ -120,14 +120,6 @@ def first_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.first_failures(mode_results(spark, sf_dir))
 
 
-@query("op_g27_progress", "WITH " + CASES[2:] + ", s AS (SELECT [(SELECT count(*) > 0 FROM documents), (SELECT count(*) > 0 FROM cases), (SELECT count(*) > 10000000 FROM events)] AS done) SELECT list_position(done, false)::BIGINT AS next_step, len(list_filter(done, lambda x: x))::INT AS steps FROM s")
-def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    has = lambda d, name, least=0: d.agg((F.count(F.lit(1)) > least).alias(name))
-    one = has(documents(spark, sf_dir), "a").join(has(eval_cases(spark, sf_dir), "b")).join(has(table(spark, sf_dir, "events"), "c", 10_000_000))  # three single rows
-    done = F.array("a", "b", "c")
-    return one.select(F.array_position(done, False).alias("next_step"), F.size(F.filter(done, lambda x: x)).alias("steps"))
-
-
 @query("op_w3_w4_margins_and_leaders", "WITH " + o.RETRIEVED + """, l AS (SELECT *, lexical + phrase + section + path_score + metadata AS family FROM hits)
 SELECT query_id, arg_max(chunk_id, row(family, -rank)) AS lexical_leader, round(greatest(0.0, (max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2)) / max(score) FILTER (rank = 1)), 6) AS margin FROM l GROUP BY query_id HAVING count(*) > 1""")
 def margins(spark: SparkSession, sf_dir: str) -> DataFrame:

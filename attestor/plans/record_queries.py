@@ -221,3 +221,11 @@ def terms_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.groupBy("item_id").agg(encode_terms(F.array_sort(F.collect_list(F.struct("term", "count")))).alias("encoded"))
     back = decode_terms(F.col("encoded"))
     return rows.select("item_id", "encoded", F.size(back).alias("terms"), F.aggregate(back, F.lit(0).cast("long"), lambda a, t: a + t["count"]).alias("total"))
+
+
+@query("op_g27_progress", CORPORA + f""", d AS (SELECT user_id, [documents = 3, documents = 3 AND failures % 2 = 0, documents = 3 AND failures % 2 = 0 AND chunks > 0 AND NOT ({_UNINDEXED}), cases > 0, traces > 0, weak > 0] AS done FROM c)
+SELECT user_id, len(list_filter(done, lambda x: x))::INT AS steps, coalesce(list_position(done, false), 0)::BIGINT AS next_step FROM d""")
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases stand for runs, weak runs for reports."""
+    counts = corpora(spark, sf_dir).select("user_id", "documents", (F.col("failures") % 2).alias("unchunked"), "chunks", "missing", "stale", F.col("cases").alias("runs"), "traces", F.col("weak").alias("reports"))
+    return overview.progress(counts, ["user_id"], 3)
