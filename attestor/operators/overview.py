@@ -176,3 +176,10 @@ def progress(counts: DataFrame, keys: list[str], expected: int) -> DataFrame:
     chunked = loaded & (F.col("unchunked") == 0)
     done = F.array(loaded, chunked, chunked & (F.col("chunks") > 0) & ~_unindexed(), F.col("runs") > 0, F.col("traces") > 0, F.col("reports") > 0)
     return counts.select(*keys, F.size(F.filter(done, lambda x: x)).alias("steps"), F.array_position(done, False).alias("next_step"))
+
+
+def valid_keys(keys: DataFrame, now: Column, scope: str) -> DataFrame:
+    """Keys (revoked_at, expires_at, scopes) that are not revoked, not expired at a time, and carry the scope; one without an
+    expiry does not expire."""
+    alive = F.col("revoked_at").isNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    return keys.where(alive & F.array_contains("scopes", scope))

@@ -48,3 +48,12 @@ def run_rows(queries: DataFrame, hits: DataFrame, mode: str, top_k: int, latency
     rows = queries.select("query_id", "query").join(held, "query_id", "left")
     latency = F.lit(latency_ms).cast("long")
     return rows.select("query_id", "query", F.lit(mode).alias("mode"), F.lit(top_k).alias("top_k"), latency.alias("latency_ms"), F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("snapshot", F.lit("[]")).alias("snapshot"))
+
+
+def search(runs: DataFrame, text: str, which: str = "all") -> DataFrame:
+    """Runs (query, labels, strength) whose query holds the text, whatever its case, and that are of a kind: all, attention (with
+    labels or weak) or strong."""
+    kinds = {"all": F.lit(True), "attention": (F.size("labels") > 0) | (F.col("strength") == "weak"), "strong": F.col("strength") == "strong"}
+    if which not in kinds:
+        raise ValueError(f"unknown kind of runs {which}")
+    return runs.where(F.contains(F.lower("query"), F.lit(text.strip().lower())) & kinds[which])

@@ -11,6 +11,7 @@ from attestor.operators.intelligence import analyze
 from attestor.plans import oracle as o
 from attestor.plans.queries import DIAGNOSED, EVALUATED, MODES, case_results, chunks, diagnosed, eval_cases, hybrid_similar, joined, judged, lexical_hits, mode_results, query, summaries
 from attestor.plans.tables import documents, questions, table
+from attestor.sources.store import patched
 
 
 @query("op_p2_embedding_candidates", "WITH " + o.CHUNKS + " SELECT chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS place FROM chunks")
@@ -39,19 +40,24 @@ def document_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview.picked(documents(spark, sf_dir), ["d0", "d3", "d4"], "d3")
 
 
-@query("op_p13_patch_merge", """SELECT a.conv_id, coalesce(CASE WHEN length(b.text) % 2 = 0 THEN b.text END, a.text) AS text, coalesce(b.role, a.role) AS role
+@query("op_p13_patch_merge", """SELECT a.conv_id, coalesce(CASE WHEN length(b.text) % 2 = 0 THEN b.text END, a.text) AS text, coalesce(b.role, a.role) AS role,
+  CASE WHEN b.conv_id IS NOT NULL AND length(b.text) % 3 > 0 THEN CASE WHEN length(b.text) % 3 = 1 THEN b.role END ELSE a.role END AS notes
 FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = 1 WHERE a.turn = 0""")
 def patch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    new = c.where("turn = 1").select("conv_id", F.when(F.length("text") % 2 == 0, F.col("text")).alias("new_text"), F.col("role").alias("new_role"))
-    return c.where("turn = 0").join(new, "conv_id", "left").select("conv_id", F.coalesce("new_text", "text").alias("text"), F.coalesce("new_role", "role").alias("role"))
+    """First turns with what second turns change: a text of even length, the role, and notes that some keep, set or clear."""
+    c, n = table(spark, sf_dir, "conversations"), F.length("text")
+    new = c.where("turn = 1").select("conv_id", F.when(n % 2 == 0, F.col("text")).alias("text"), "role", F.when(n % 3 == 1, F.col("role")).alias("notes"), (n % 3 > 0).alias("notes_given"))
+    return patched(c.where("turn = 0").select("conv_id", "text", "role", F.col("role").alias("notes")), new, "conv_id", ("notes",))
 
 
-@query("op_p14_key_validity", "SELECT event_id FROM events WHERE event_type <> 'error' AND ts + INTERVAL 30 DAY > TIMESTAMP '2024-02-01' AND list_contains(['click', 'view'], event_type)")
+@query("op_p14_key_validity", """SELECT event_id FROM events WHERE event_type <> 'error' AND (value > 90 OR ts + INTERVAL 30 DAY > TIMESTAMP '2024-02-01') AND event_type IN ('click', 'view')""")
 def key_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    alive = (F.col("event_type") != "error") & (F.col("ts") + F.make_interval(days=F.lit(30)) > F.lit("2024-02-01").cast("timestamp"))
-    return e.where(alive & F.array_contains(F.array(F.lit("click"), F.lit("view")), F.col("event_type"))).select("event_id")
+    """Events stand for keys: errors are revoked, those above 90 never expire, clicks and views may write."""
+    keys = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_type") == "error", F.col("ts")).alias("revoked_at"), F.when(~F.coalesce(F.col("value") > 90, F.lit(False)), F.col("ts") + F.make_interval(days=F.lit(30))).alias("expires_at"),
+        F.when(F.col("event_type").isin("click", "view"), F.array(F.lit("read"), F.lit("write"))).otherwise(F.array(F.lit("read"))).alias("scopes"),
+    )
+    return overview.valid_keys(keys, F.lit("2024-02-01").cast("timestamp"), "write").select("event_id")
 
 
 @query("op_j1_searchable", "WITH " + o.CHUNKS + """ SELECT source_id, count(*) AS chunks, count(DISTINCT document_id) AS documents, count(*) FILTER (left(checksum, 1) <> '0') AS embedded FROM chunks GROUP BY source_id""")

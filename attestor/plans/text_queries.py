@@ -211,9 +211,17 @@ def recent_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
 
 
-@query("op_p7_run_search", "SELECT event_id FROM events WHERE contains(lower(props), '9') AND (event_type = 'error' OR value < 5)")
+@query("op_p7_run_search", """SELECT event_id, 'attention' AS kind FROM events WHERE contains(lower(props), '9') AND (event_type = 'error' OR value < 5)
+UNION ALL SELECT event_id, 'strong' FROM events WHERE contains(lower(props), '9') AND value >= 50""")
 def run_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where(F.contains(F.lower("props"), F.lit("9")) & ((F.col("event_type") == "error") | (F.col("value") < 5))).select("event_id")
+    """Events stand for runs, their properties for the questions; errors have a label."""
+    from attestor.operators.traces import search
+
+    none = F.array().cast("array<string>")
+    strength = F.when(F.col("value") < 5, "weak").when(F.col("value") >= 50, "strong").otherwise("medium")
+    runs = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("query"), F.when(F.col("event_type") == "error", F.array(F.lit("error"))).otherwise(none).alias("labels"), strength.alias("strength"))
+    found = [search(runs, "9", kind).select("event_id", F.lit(kind).alias("kind")) for kind in ("attention", "strong")]
+    return found[0].unionByName(found[1])
 
 
 @query("op_p1_scope_filter", "WITH " + o.CHUNKS + " SELECT chunk_id, path, ordinal FROM chunks WHERE source_id IN ('src1', 'src2')")

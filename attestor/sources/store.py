@@ -120,3 +120,12 @@ def decode_terms(encoded):
 def decode_enum(encoded, values: list[str], name: str):
     """The text itself if it is one of the values; any other text is an error, null stays null."""
     return F.when(encoded.isin(values) | encoded.isNull(), encoded).otherwise(F.raise_error(F.concat(F.lit(f"unknown {name} "), encoded)))
+
+
+def patched(held: DataFrame, patch: DataFrame, key: str, clearable: tuple[str, ...] = ()) -> DataFrame:
+    """held with the values of patch, which has one row a key at most: a null leaves the old value. A column of clearable has a
+    boolean <column>_given in patch, and where that is true the new value counts even if it is null."""
+    columns = [c for c in held.columns if c != key]
+    new = patch.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in patch.columns if c != key])
+    taken = {c: F.when(F.coalesce(f"_new_{c}_given", F.lit(False)), F.col(f"_new_{c}")).otherwise(F.col(c)) if c in clearable else F.coalesce(f"_new_{c}", c) for c in columns if f"_new_{c}" in new.columns}
+    return held.join(new, key, "left").select(*[taken.get(c, F.col(c)).alias(c) for c in held.columns])
