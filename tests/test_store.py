@@ -3,7 +3,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from attestor.sources.store import Conflict, Store
+from attestor.sources.store import Conflict, Store, decode_enum, decode_terms, patched
 
 
 @pytest.fixture
@@ -45,3 +45,17 @@ def test_delete_cascades_and_unsets(spark, store):
     store.delete("t", store.read("t").where(F.col("id") == "a"), "id", cascade={"child": "parent"}, unset={"trace": "run"})
     assert held(store) == [("b", 1, "x")] and held(store, "child") == [("2", "b")]
     assert sorted(map(tuple, store.read("trace").collect())) == [("1", None), ("2", "b")]
+
+
+def test_patches_keep_set_and_clear(spark):
+    held = spark.createDataFrame([(1, "a", "n"), (2, "b", "n"), (3, "c", "n"), (4, "d", "n")], "id int, text string, notes string")
+    patch = spark.createDataFrame([(1, None, None, False), (2, "B", None, True), (3, None, "m", True)], "id int, text string, notes string, notes_given boolean")
+    assert sorted(map(tuple, patched(held, patch, "id", ("notes",)).collect())) == [(1, "a", "n"), (2, "B", None), (3, "c", "m"), (4, "d", "n")]
+
+
+def test_term_and_enum_codecs(spark):
+    row = spark.createDataFrame([("a:1,b:12", "", "low")], "terms string, none string, level string")
+    got = row.select(decode_terms(F.col("terms")).alias("t"), decode_terms(F.col("none")).alias("n"), decode_enum(F.col("level"), ["low", "high"], "level").alias("e")).first()
+    assert [tuple(t) for t in got["t"]] == [("a", 1), ("b", 12)] and got["n"] == [] and got["e"] == "low"
+    with pytest.raises(Exception, match="unknown level"):
+        row.select(decode_enum(F.col("terms"), ["low", "high"], "level")).collect()
