@@ -27,12 +27,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read back: lineage ends there."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written once as Parquet to the shared folder and read back: lineage ends there. And its path, for discard."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return store(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that no later job reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: A key is hot when more than one row in HOT_SHARE carries it; hence at most HOT_SHARE keys are hot, which bounds what

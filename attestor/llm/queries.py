@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestor.llm.chat_format import digests as chat_digests
+from attestor.llm.chat_format import expand
+from attestor.llm.clustering import clusters_with_inertia
 from attestor.llm.common import table
 from attestor.llm.exact_dedup import exact_duplicates
 from attestor.llm.fingerprints import compare_with_edited_and_next
@@ -17,6 +20,7 @@ from attestor.llm.piece_codec import piece_digests
 from attestor.llm.token_files import token_file_digests, write_token_files
 from attestor.llm.toxicity import score_toxicity
 from attestor.llm.url_filter import judge_urls
+from attestor.llm.whitening import whiten
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +63,24 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters_with_inertia(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, factor=256, salt="2:")
+
+
+#: A conversation whose texts hold control strings.
+PLANTED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
+    return chat_digests(expand(turns.unionByName(planted)))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), factor=64, shift=1_000_000, components=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
@@ -66,7 +88,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op5_url_filter": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op11_clustering": clustering_sql(), "op12_chat_format": OP12_SQL}
+
+
+def clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round in full: all distances of every vector, then the means."""
+    ctes = [f"""kept AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: isfinite(c))) = 64
+), c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS j, x FROM kept QUALIFY j < {k})"""]
+    for r in range(rounds + 1):
+        ctes.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(v.x) AS x, arg_min(j, d * {k} + j) AS j, min(d) AS d
+  FROM (SELECT vec_id, kept.x, j, list_sum(list_transform(list_zip(kept.x, c{r}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{r}) v GROUP BY vec_id
+)""")
+        if r < rounds:
+            ctes.append(f"""s{r} AS (
+  SELECT j, i, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT j, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY j, i
+), m{r} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY j),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.j, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} USING (j))""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, a.j::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (j)"""
+
+
+OP12_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), t AS (
+  SELECT *, 11 + length(role) + length(regexp_replace(text, '([<\[])(\\*)(s>|/s>|role:|INST\]|/INST\]|unk>|pad>|\|im_start\|>|\|im_end\|>|\|endoftext\|>)', '\1\2\\\3', 'g')) AS chars FROM turns
+), p AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn) + 3 AS so_far, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(so_far) FILTER (role = 'assistant' OR last))::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant' OR last) AS examples
+FROM p GROUP BY conv_id
+"""
 
 
 OP7_SQL = """
