@@ -29,6 +29,11 @@ def strings(values) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with the value made once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def normalized_tokens(x: Column) -> Column:
     """Runs of letters and digits in their order, A-Z lower-cased; stop words stay."""
     return F.filter(F.split(ascii_lower(x), NOT_ALNUM), lambda t: t != "")
@@ -126,22 +131,25 @@ def is_bullet(line: Column) -> Column:
 def section_heading(line: Column) -> Column:
     """The title that a trimmed line opens, or null: a canonical name, or the line itself where it looks like a heading."""
     key = ascii_lower(F.btrim(F.regexp_replace(F.regexp_replace(line, ":+$", ""), "(?U)\\s+", " ")))
-    known = F.lit(None).cast("string")
-    for title, names in SECTION_NAMES.items():
-        known = F.when(key.isin(*names), F.lit(title)).otherwise(known)
+
+    def canonical(k: Column) -> Column:
+        known = F.lit(None).cast("string")
+        for title, names in SECTION_NAMES.items():
+            known = F.when(k.isin(*names), F.lit(title)).otherwise(known)
+        return known
+
     words = F.filter(F.split(line, "(?U)\\s+"), lambda w: w != "")
-    letters = F.regexp_replace(line, "\\P{L}", "")
-    shouting = (F.char_length(letters) >= 3) & ~letters.rlike("\\P{Lu}")
+    shouting = once(F.regexp_replace(line, "\\P{L}", ""), lambda letters: (F.char_length(letters) >= 3) & ~letters.rlike("\\P{Lu}"))
 
     def title_word(w: Column) -> Column:
         bare = F.regexp_replace(w, "^[()\\[\\]{}/&_-]+|[()\\[\\]{}/&_-]+$", "")
-        return (bare == "") | ascii_lower(bare).isin("and", "or", "of", "for", "to", "in", "with") | bare.rlike("^[\\p{Lu}\\p{N}]")
+        return once(bare, lambda b: (b == "") | ascii_lower(b).isin("and", "or", "of", "for", "to", "in", "with") | b.rlike("^[\\p{Lu}\\p{N}]"))
 
     generic = (
         (line != "") & (F.octet_length(line) <= 80) & ~is_bullet(line) & ~line.rlike("[.,;:!?]$")
-        & F.size(words).between(1, 8) & (shouting | F.forall(words, title_word))
+        & once(words, lambda held: F.size(held).between(1, 8) & (shouting | F.forall(held, title_word)))
     )
-    return F.coalesce(known, F.when(generic, line))
+    return F.coalesce(once(key, canonical), F.when(generic, line))
 
 
 #: Profiles in the order in which they are tried, with the substrings that mark them.

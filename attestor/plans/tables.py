@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.operators.chunking import Chunking, chunk_whitespace
 from attestor.operators.intelligence import annotate_quality
-from attestor.sources.scratch import stored
+from attestor.sources.scratch import spread, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, source_id, path, text of every row; null text is empty."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     key = F.col("doc_id").cast("string")
     return d.select(F.concat(F.lit("d"), key).alias("document_id"), F.col("source").alias("source_id"), F.concat(F.col("source"), F.lit("/"), key, F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
 

@@ -77,31 +77,95 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("heading").isNotNull() | F.col("bullet")).select("document_id", "line", "heading", "bullet")
 
 
-@query("op_c3_section_blocks", "WITH " + HEADINGS + """,
+BLOCKS = HEADINGS + f""",
 k AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN heading IS NOT NULL THEN 'heading' WHEN bullet THEN 'bullets' ELSE 'paragraph' END AS kind FROM marked),
 s AS (SELECT *, last_value(heading IGNORE NULLS) OVER w AS section_title, kind = 'heading' OR coalesce(kind <> lag(kind) OVER w, true) AS opens FROM k WINDOW w AS (PARTITION BY document_id ORDER BY line)),
 r AS (SELECT *, sum(opens::INT) OVER (PARTITION BY document_id ORDER BY line) AS run FROM s),
-b AS (SELECT document_id, run, any_value(section_title) AS section_title, any_value(kind) AS kind, min(line) AS first_line, max(line) AS last_line, min(byte_start) AS byte_start, max(byte_end) AS byte_end
-  FROM r WHERE kind <> 'blank' GROUP BY document_id, run)
-SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY run) - 1)::INT AS block, section_title, kind, first_line, last_line, byte_start, byte_end FROM b""")
+b AS (SELECT document_id, run, any_value(section_title) AS section_title, any_value(kind) AS kind, min(line) AS first_line, max(line) AS last_line, min(byte_start) AS byte_start, max(byte_end) AS byte_end,
+    sum({o.words('body')})::INT AS tokens
+  FROM r WHERE kind <> 'blank' GROUP BY document_id, run),
+blocks AS (SELECT *, (row_number() OVER (PARTITION BY document_id ORDER BY run) - 1)::INT AS block FROM b)"""
+
+
+@query("op_c3_section_blocks", "WITH " + BLOCKS + " SELECT document_id, block, section_title, kind, first_line, last_line, byte_start, byte_end FROM blocks")
 def section_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestor.operators import chunking
 
     return chunking.section_blocks(documents(spark, sf_dir)).select("document_id", "block", "section_title", "kind", "first_line", "last_line", "byte_start", "byte_end")
 
 
-@query("op_c4_structured_chunks")
+def structured_sql(target: int, overlap: int, docs: str = o.DOCS) -> str:
+    """The fold over a document's blocks by recursion, one block a step; chunks are what closes, windows of long blocks, and what is open at the end."""
+    return "WITH RECURSIVE " + BLOCKS.replace(o.DOCS, docs) + f""",
+seen AS (SELECT document_id, block + 1 AS block, section_title AS title, tokens AS n, sum(tokens) OVER (PARTITION BY document_id ORDER BY block) - tokens AS pos FROM blocks),
+fold AS (
+  SELECT document_id, 0 AS block, false AS held, 0::HUGEINT AS begin_at, 0::HUGEINT AS upto, NULL::VARCHAR AS section, false AS closes, 0::HUGEINT AS old_begin, NULL::VARCHAR AS old_section, NULL::VARCHAR AS reason FROM docs
+  UNION ALL
+  SELECT document_id, block, n <= {target}, CASE WHEN room THEN begin_at WHEN carries THEN tail ELSE upto END, upto + n, CASE WHEN room OR carries THEN section ELSE title END,
+    held AND NOT room, begin_at, section, CASE WHEN same THEN 'token_limit' ELSE 'section_boundary' END
+  FROM (
+    SELECT *, same AND upto - begin_at + n <= {target} AS room, same AND tail < upto AND upto - tail + n <= {target} AS carries
+    FROM (
+      SELECT f.document_id, s.block, f.held, f.begin_at, f.upto, f.section, s.title, s.n, f.held AND f.section IS NOT DISTINCT FROM s.title AS same, greatest(f.begin_at, f.upto - {overlap}) AS tail
+      FROM fold f JOIN seen s ON s.document_id = f.document_id AND s.block = f.block + 1
+    )
+  )
+),
+spans AS (
+  SELECT document_id, block, 0 AS kind, old_begin AS begin_at, upto - n AS end_at, old_section AS section_title, reason AS split_reason FROM fold JOIN seen USING (document_id, block) WHERE closes
+  UNION ALL SELECT document_id, block, 1, pos + w, pos + least(w + {target}, n), title, 'fallback_whitespace' FROM (SELECT *, unnest(range(0, n, {max(1, target - overlap)})) AS w FROM seen WHERE n > {target})
+  UNION ALL SELECT document_id, block, 2, begin_at, upto, section, 'document_end' FROM fold WHERE held QUALIFY block = max(block) OVER (PARTITION BY document_id)
+    AND block = (SELECT max(m.block) FROM seen m WHERE m.document_id = fold.document_id)
+),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY document_id ORDER BY block, kind, begin_at) - 1)::INT AS ordinal FROM spans),
+words AS (SELECT document_id, regexp_extract_all(text, '[{o.WHITE}]*[^{o.WHITE}]+') AS w FROM docs),
+parts AS (
+  SELECT c.document_id, c.ordinal, s.block, regexp_replace(array_to_string(w[(greatest(c.begin_at, s.pos) + 1)::BIGINT : least(c.end_at, s.pos + s.n)::BIGINT], ''), '^[{o.WHITE}]+', '') AS part
+  FROM numbered c JOIN seen s ON s.document_id = c.document_id AND s.pos < c.end_at AND s.pos + s.n > c.begin_at JOIN words x ON x.document_id = c.document_id
+),
+texts AS (SELECT document_id, ordinal, string_agg(part, chr(10) || chr(10) ORDER BY block) AS text FROM parts GROUP BY ALL)
+SELECT document_id || '#' || ordinal AS chunk_id, ordinal, section_title, (end_at - begin_at)::INT AS token_count,
+  (strlen(array_to_string(w[1 : begin_at::BIGINT + 1], '')) - strlen(regexp_replace(w[begin_at::BIGINT + 1], '^[{o.WHITE}]+', '')))::INT AS byte_start, strlen(array_to_string(w[1 : end_at::BIGINT], ''))::INT AS byte_end,
+  split_reason, sha256(text) AS checksum
+FROM numbered JOIN texts USING (document_id, ordinal) JOIN words USING (document_id)"""
+
+
+@query("op_c4_structured_chunks", structured_sql(128, 16))
 def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestor.operators.chunking import Chunking, chunk
 
     return chunk(documents(spark, sf_dir), Chunking(128, 16, "smart_sections")).select("chunk_id", "ordinal", "section_title", "token_count", "byte_start", "byte_end", "split_reason", F.sha2("text", 256).alias("checksum"))
 
 
-@query("op_a13_token_spans", "WITH " + o.DOCS + f""", w AS (SELECT document_id, regexp_extract_all(text, '[{o.WHITE}]*[^{o.WHITE}]+') AS w FROM docs)
-SELECT document_id, len(w)::INT AS tokens, strlen(array_to_string(w, ''))::INT AS last_end FROM w""")
+#: Documents in which every fourth line stands under a heading, so that sections begin and end.
+SECTIONED = o.DOCS.replace("coalesce(text, '') AS text", """array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)),
+    lambda l, i: CASE WHEN i % 4 <> 1 THEN l WHEN i % 8 = 1 THEN 'Technical Skills:' || chr(10) || l ELSE 'PART ' || (i // 16) || chr(10) || '- ' || l END), chr(10)) AS text""")
+
+
+@query("op_c6_sectioned_chunks", structured_sql(60, 10, SECTIONED))
+def sectioned_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestor.operators.chunking import Chunking, chunk
+
+    def headed(line, i):
+        part = F.concat(F.lit("PART "), F.floor((i + 1) / 16).cast("string"), F.lit("\n- "), line)
+        return F.when(i % 4 != 0, line).when(i % 8 == 0, F.concat(F.lit("Technical Skills:\n"), line)).otherwise(part)
+
+    docs = documents(spark, sf_dir).withColumn("text", F.array_join(F.transform(F.split("text", "\n"), headed), "\n"))
+    return chunk(docs, Chunking(60, 10, "structured")).select("chunk_id", "ordinal", "section_title", "token_count", "byte_start", "byte_end", "split_reason", F.sha2("text", 256).alias("checksum"))
+
+
+@query("op_a13_token_spans", "WITH " + o.DOCS + f""",
+w AS (SELECT document_id, regexp_extract_all(text, '[{o.WHITE}]*[^{o.WHITE}]+') AS w FROM docs),
+u AS (SELECT document_id, unnest(w) AS p, generate_subscripts(w, 1) AS i FROM w),
+e AS (SELECT *, sum(strlen(p)) OVER (PARTITION BY document_id ORDER BY i) AS byte_end, strlen(regexp_replace(p, '^[{o.WHITE}]+', '')) AS bytes FROM u),
+d AS (SELECT document_id, string_agg((byte_end - bytes) || '-' || byte_end, ',' ORDER BY i) AS spans FROM e GROUP BY document_id)
+SELECT document_id, len(w)::INT AS tokens, strlen(array_to_string(w, ''))::INT AS last_end, sha256(coalesce(spans, '')) AS spans_sha256 FROM w LEFT JOIN d USING (document_id)""")
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.regexp_extract_all("text", F.lit("(?U)(\\s*\\S+)"), F.lit(1))
-    return documents(spark, sf_dir).select("document_id", F.size(w).alias("tokens"), F.octet_length(F.array_join(w, "")).alias("last_end"))
+    from attestor.operators import chunking
+
+    shown = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["byte_start"].cast("string"), s["byte_end"].cast("string"))), ",")
+    rows = chunking.token_spans(documents(spark, sf_dir))
+    return rows.select("document_id", F.size("spans").alias("tokens"), F.coalesce(F.get("spans", F.size("spans") - 1)["byte_end"], F.lit(0)).alias("last_end"), F.sha2(shown, 256).alias("spans_sha256"))
 
 
 @query("op_a15_feature_hash", f"""WITH t AS (SELECT DISTINCT unnest({o.terms('text')}) AS t FROM benchmark)

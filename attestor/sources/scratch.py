@@ -19,3 +19,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, splits: int = 4) -> DataFrame:
+    """df, dealt anew where its scan has fewer than so many splits a core: a file of one row group is a single task's work however
+    many cores wait, and text functions take far longer than moving the text. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < splits * cores else df
