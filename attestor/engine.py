@@ -64,7 +64,7 @@ class Engine:
         if queries.where(~F.col("query").rlike("\\S")).take(1):
             raise ValueError("a query is blank")
         rows = self.store.read("chunks").where(retrieval.in_scope(sources, documents))
-        similar, state = None, F.lit("not_required")
+        vectors, asked, state = None, None, F.lit("not_required")
         if mode != "lexical":
             held = self.store.read("embeddings") if self.store.exists("embeddings") else None
             vectors = rows.select("chunk_id").join(held.where((F.col("model") == embedding.MODEL) & (F.size("vector") == embedding.DIMENSION)).select("chunk_id", "vector"), "chunk_id") if held is not None else None
@@ -73,8 +73,7 @@ class Engine:
             if vectors is None or not status["indexed"]:
                 rows, vectors = rows.limit(0), self.spark.createDataFrame([], "chunk_id string, vector array<double>")
             asked = queries.select("query_id", embedding.embed(F.col("query")).alias("vector"))
-            similar = retrieval.similarities(vectors, asked, self.config.retrieval.min_similarity)
-        hits = answer.assess(retrieval.retrieve(rows, queries, mode, similar, top_k, self.config.retrieval))
+        hits = answer.assess(retrieval.retrieve(rows, queries, mode, vectors, asked, top_k, self.config.retrieval))
         found = answer.answers(queries, hits, self.config.retrieval.citation_limit)
         return {"hits": hits, "answers": found, "diagnosis": diagnosis.diagnose(queries, hits, found, mode, state)}
 

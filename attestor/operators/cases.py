@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from attestor.operators.retrieval import by_blocks
+from attestor.operators.reach import by_blocks
 
 MAX_PASSAGES = 50_000  # of a block; more passages make more blocks
 

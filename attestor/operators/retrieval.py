@@ -1,26 +1,24 @@
 """Ranking of chunks for a batch of queries: lexical, vector and hybrid.
 
-The lexical candidates come from an equi-join of query terms with an inverted index (a hit needs a shared term, so
-nothing is lost); phrases are found by passes of an automaton of a block of queries over each chunk; similarities are
-blocked matrix products of the query vectors with each batch of chunk vectors. Any number of queries is taken: the
-driver holds one block of them at a time, and all chunks are read once for each block.
+Tasks find what can be among a query's first k where the chunks are (reach.py), about k rows a query and task; what follows scores and ranks
+those rows exactly. Copies of a hit's text are counted by checksum after ranking, and texts meet only the hits that stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from attestor.functions.hashing import cosine
 from attestor.functions.text import best_snippet, normalize_text, normalized_tokens, query_terms
-
-MAX_QUERIES = 20_000  # of a block, whose phrases and vectors go to every task; more queries make more blocks
-MAX_CELLS = 4_000_000  # of one matrix of similarities in a task
+from attestor.operators import reach
+from attestor.operators.reach import in_reach, own_scope, scope_columns
+from attestor.sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -66,77 +64,8 @@ def in_scope(sources: list[str] | None, documents: list[str] | None) -> Column:
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
-    """queries (query_id, query) with their sorted terms, their number and the normalized query."""
-    return queries.select("query_id", "query", query_terms(F.col("query")).alias("terms"), F.size(query_terms(F.col("query"))).alias("n_terms"), normalize_text(F.col("query")).alias("normalized"))
-
-
-def matched_terms(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, matched, frequency: terms found in body, section and path, and their counts up to four each."""
-    tokens = F.concat(normalized_tokens(F.col("text")), F.coalesce(normalized_tokens(F.col("section_title")), F.array().cast("array<string>")), normalized_tokens(F.col("path")))
-    index = chunks.select("chunk_id", F.explode(tokens).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("count"))
-    wanted = queries.select("query_id", F.explode("terms").alias("term"))
-    return index.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("matched"), F.sum(F.least("count", F.lit(4))).alias("frequency"))
-
-
-def blocks(rows: DataFrame, most: int) -> Iterator[list[Row]]:
-    """All rows in lists of at most so many; one empty list where there are none. Beyond one list they arrive partition by
-    partition, so the driver holds no more than a list and a partition."""
-    held = rows.limit(most + 1).collect()
-    if len(held) <= most:
-        yield held
-        return
-    held = []
-    for r in rows.toLocalIterator():
-        held.append(r)
-        if len(held) == most:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def by_blocks(rows: DataFrame, most: int, found: Callable[[list[Row]], DataFrame]) -> DataFrame:
-    """The union of what is found for each block."""
-    return reduce(DataFrame.unionAll, map(found, blocks(rows, most)))
-
-
-def phrase_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, full, pairs: whether the normalized text holds the whole query, and how many pairs of
-    alphabetically adjacent terms it holds. Substrings count."""
-    kind = dict(queries.dtypes)["query_id"]
-    return by_blocks(queries.select("query_id", "normalized", "terms"), MAX_QUERIES, lambda rows: _phrase_hits(chunks, rows, kind))
-
-
-def _phrase_hits(chunks: DataFrame, rows: list[Row], kind: str) -> DataFrame:
-    phrases: dict[str, list[tuple[int, bool]]] = {}
-    for at, r in enumerate(rows):
-        if r["normalized"]:
-            phrases.setdefault(r["normalized"], []).append((at, True))
-        for pair in zip(r["terms"], r["terms"][1:], strict=False):
-            phrases.setdefault(" ".join(pair), []).append((at, False))
-    ids = [r["query_id"] for r in rows]
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, phrases))
-
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        ids, phrases = shared.value
-        automaton = ahocorasick.Automaton()
-        for phrase in phrases:
-            automaton.add_word(phrase, phrase)
-        if phrases:
-            automaton.make_automaton()
-        for batch in batches:
-            out = []
-            for chunk_id, text in zip(batch["chunk_id"], batch["norm"], strict=True):
-                counts: dict[int, list[int]] = {}
-                for phrase in {p for _, p in automaton.iter(text)} if phrases else ():
-                    for at, full in phrases[phrase]:
-                        counts.setdefault(at, [0, 0])[0 if full else 1] += 1
-                out += [(ids[at], chunk_id, full > 0, pairs) for at, (full, pairs) in counts.items()]
-            yield pd.DataFrame(out, columns=["query_id", "chunk_id", "full", "pairs"])
-
-    return chunks.select("chunk_id", normalize_text(F.col("text")).alias("norm")).mapInPandas(found, f"query_id {kind}, chunk_id string, full boolean, pairs int")
+    """queries (query_id, query, and source_ids and document_ids where they have scopes) with their sorted terms, their number and the normalized query."""
+    return queries.select("query_id", "query", *scope_columns(queries), query_terms(F.col("query")).alias("terms"), F.size(query_terms(F.col("query"))).alias("n_terms"), normalize_text(F.col("query")).alias("normalized"))
 
 
 def similarities(vectors: DataFrame, queries: DataFrame, least: float, keep: int | None = None) -> DataFrame:
@@ -145,19 +74,15 @@ def similarities(vectors: DataFrame, queries: DataFrame, least: float, keep: int
     a query's keep best by the similarity to six digits, then chunk_id; of each batch these are about keep rows a query, however
     many vectors are alike."""
     kinds = dict(queries.dtypes), dict(vectors.dtypes)
-    return by_blocks(queries.select("query_id", "vector"), MAX_QUERIES, lambda rows: _similarities(vectors, rows, least, keep, kinds))
+    return reach.by_blocks(queries.select("query_id", "vector"), reach.MAX_QUERIES, lambda rows: _similarities(vectors, rows, least, keep, kinds))
 
 
 def _similarities(vectors: DataFrame, rows: list[Row], least: float, keep: int | None, kinds: tuple[dict, dict]) -> DataFrame:
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        norm = np.sqrt((m * m).sum(1, keepdims=True))
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
     by_size: dict[int, tuple[list, np.ndarray]] = {}
     for size in {len(r["vector"]) for r in rows if r["vector"]}:
         some = [r for r in rows if r["vector"] and len(r["vector"]) == size]
-        by_size[size] = ([r["query_id"] for r in some], unit(np.array([r["vector"] for r in some], np.float64)))
+        by_size[size] = ([r["query_id"] for r in some], reach.unit(np.array([r["vector"] for r in some], np.float64)))
     shared = vectors.sparkSession.sparkContext.broadcast(by_size)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,10 +90,10 @@ def _similarities(vectors: DataFrame, rows: list[Row], least: float, keep: int |
             sizes = batch["vector"].map(lambda v: 0 if v is None else len(v))
             for size, (ids, q) in shared.value.items():
                 part = batch[sizes == size]
-                step = min(2000, max(1, MAX_CELLS // len(ids)))
+                step = min(2000, max(1, reach.MAX_CELLS // len(ids)))
                 for at in range(0, len(part), step):
                     some = part.iloc[at : at + step]
-                    sims = q @ unit(np.stack(some["vector"].to_list()).astype(np.float64)).T
+                    sims = q @ reach.unit(np.stack(some["vector"].to_list()).astype(np.float64)).T
                     i, j = np.nonzero(sims >= least)
                     if keep and sims.shape[1] > keep:
                         low = np.partition(sims, -keep, axis=1)[:, -keep]
@@ -190,25 +115,24 @@ def field_share(terms: Column, n_terms: Column, field: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(terms, normalized_tokens(field))) / F.greatest(n_terms, F.lit(1)), F.lit(0.0))
 
 
-def score(chunks: DataFrame, queries: DataFrame, mode: str = "lexical", similar: DataFrame | None = None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """Admitted pairs with their signals and score; similar: (query_id, chunk_id, similarity)."""
-    queries = prepare_queries(queries)
-    pairs = matched_terms(chunks, queries)
-    if mode == "lexical" or similar is None:
-        pairs = pairs.withColumn("similarity", F.lit(0.0))
-    else:
-        pairs = pairs.join(similar, ["query_id", "chunk_id"], "full_outer").withColumns({"similarity": F.coalesce("similarity", F.lit(0.0)), "matched": F.coalesce("matched", F.lit(0))})
-    pairs = pairs.join(phrase_hits(chunks, queries), ["query_id", "chunk_id"], "left")
-    rows = pairs.join(queries, "query_id").join(chunks.drop("text"), "chunk_id")
+def metadata(config: RetrievalConfig) -> Column:
+    return F.round((F.when(F.col("section_title").isNotNull(), 0.08).otherwise(0.0) + F.when(F.col("token_count") > 0, 0.02).otherwise(0.0)) * config.metadata, 6)
+
+
+def score(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, mode: str = "lexical", config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """Admitted pairs with their signals and score. queries are prepared; pairs: query_id, chunk_id, matched, frequency, body, phrase, similarity."""
+    rows = pairs.withColumns({c: F.col(c).cast("int") for c in ("matched", "frequency", "body")}).join(queries, "query_id").join(chunks if mode == "vector" else chunks.drop("text"), "chunk_id")
+    if mode == "vector":  # few pairs: their terms are read from the texts
+        rows = with_terms(rows, config)
     n, has = F.greatest("n_terms", F.lit(1)), F.col("matched") > 0
     semantic = F.when(F.col("similarity") >= config.min_similarity, F.col("similarity")).otherwise(0.0)
     rows = rows.withColumns({
         "sem": F.lit(0.0) if mode == "lexical" else semantic,
         "lexical": F.round(F.when(has, F.col("matched") / n * config.lexical + F.col("frequency") / (n * 4.0) * config.frequency).otherwise(0.0), 6),
-        "phrase": F.round(F.when(~has, 0.0).when(F.col("full"), config.phrase).otherwise(F.coalesce("pairs", F.lit(0)) * (config.phrase / 4)), 6),
+        "phrase": F.round(F.when(has, F.col("phrase")).otherwise(0.0), 6),
         "section": F.round(field_share(F.col("terms"), F.col("n_terms"), F.col("section_title")) * config.section, 6),
         "path_score": F.round(field_share(F.col("terms"), F.col("n_terms"), F.col("path")) * config.path, 6),
-        "metadata": F.round((F.when(F.col("section_title").isNotNull(), 0.08).otherwise(0.0) + F.when(F.col("token_count") > 0, 0.02).otherwise(0.0)) * config.metadata, 6),
+        "metadata": metadata(config),
     })
     weight = {"lexical": 0.0, "vector": config.semantic_vector, "hybrid": config.semantic_hybrid}[mode]
     rows = rows.withColumn("semantic", F.round(F.col("sem") * weight, 6))
@@ -217,6 +141,21 @@ def score(chunks: DataFrame, queries: DataFrame, mode: str = "lexical", similar:
     return rows.where((has | (F.col("sem") > 0)) & (F.col("score") > 0))
 
 
+def with_terms(rows: DataFrame, config: RetrievalConfig) -> DataFrame:
+    """rows (terms, n_terms, normalized, text, section_title, path) with matched, frequency, body and phrase from the texts themselves."""
+    body = normalized_tokens(F.col("text"))
+    rest = F.concat(F.coalesce(normalized_tokens(F.col("section_title")), F.array().cast("array<string>")), normalized_tokens(F.col("path")))
+    rows = rows.withColumns({"_body": body, "_all": F.concat(body, rest)}).withColumn("_text", F.array_join("_body", " "))
+    counts = F.transform("terms", lambda t: F.least(F.size(F.filter("_all", lambda x: x == t)), F.lit(4)))
+    adjacent = F.when(F.col("n_terms") > 1, F.transform(F.sequence(F.lit(0), F.col("n_terms") - 2), lambda i: F.concat_ws(" ", F.get("terms", i), F.get("terms", i + 1)))).otherwise(F.array().cast("array<string>"))
+    pairs = F.size(F.filter(adjacent, lambda p: F.contains(F.col("_text"), p)))
+    full = (F.col("normalized") != "") & F.contains("_text", F.col("normalized"))
+    return rows.withColumns({
+        "matched": F.size(F.array_intersect("terms", "_all")), "frequency": F.aggregate(counts, F.lit(0), lambda acc, x: acc + x), "body": F.size(F.array_intersect("terms", "_body")),
+        "phrase": F.when(full, config.phrase).otherwise(pairs * (config.phrase / 4)),
+    }).drop("_body", "_all", "_text")
+
+
 def hit_flags() -> Column:
     flags = F.col("quality_flags")
     section_only = (F.col("section") > 0) & (F.col("lexical") == 0) & (F.col("semantic") == 0)
@@ -234,18 +173,43 @@ def evidence_strength(score: Column, flags: Column, config: RetrievalConfig = Re
 
 
 def rank_hits(scored: DataFrame, top_k: Column | int = 5, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """Flags, strength, one hit for each checksum (the first in order, with the number of all), then the first top_k.
-    Order: score descending, path, ordinal, chunk_id."""
+    """Flags, strength, one hit for each checksum (the first in order), then the first top_k. Order: score descending, path, ordinal, chunk_id."""
     rows = scored.withColumn("hit_flags", hit_flags())
     rows = rows.withColumn("strength", evidence_strength(F.col("score"), F.col("hit_flags"), config))
     order = [F.desc("score"), "path", "ordinal", "chunk_id"]
-    same = Window.partitionBy("query_id", "checksum")
-    rows = rows.withColumns({"duplicate_count": F.count(F.lit(1)).over(same), "_nth": F.row_number().over(same.orderBy(*order))}).where("_nth = 1")
-    more = (F.col("duplicate_count") > 1) & ~F.array_contains("hit_flags", "duplicate")
-    rows = rows.withColumn("hit_flags", F.when(more, F.array_append("hit_flags", F.lit("duplicate"))).otherwise(F.col("hit_flags")))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("query_id", "checksum").orderBy(*order))).where("_nth = 1")
     limit = F.lit(top_k) if isinstance(top_k, int) else top_k
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit)
-    return rows.drop("_nth")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit).drop("_nth")
+
+
+def with_copies(hits: DataFrame, chunks: DataFrame, mode: str, vectors: DataFrame | None, asked: DataFrame | None, config: RetrievalConfig) -> DataFrame:
+    """hits with duplicate_count, the number of admitted chunks of the same text, and the flag that says so.
+
+    Where the text itself holds a term every copy is admitted, so copies are counted by checksum, once for all queries. Otherwise copies count by
+    what they share: those of one vector, section and path stand or fall together."""
+    keys = hits.select("query_id", "checksum", "terms", "body", *scope_columns(hits))
+    scoped = bool(scope_columns(hits))
+    held = chunks.join(hits.select("checksum").distinct(), "checksum", "left_semi")
+    plain = (F.col("body") > 0) if mode != "vector" and not scoped else F.lit(False)
+    by_text = held.groupBy("checksum").agg(F.count(F.lit(1)).alias("n"))
+    out = [keys.where(plain).join(by_text, "checksum").select("query_id", "checksum", "n")]
+    rest = keys.where(~plain)
+    if mode != "lexical" and vectors is not None:
+        held = held.join(vectors, "chunk_id", "left")
+        rest = rest.join(asked.withColumnRenamed("vector", "asked"), "query_id", "left")
+    scope = ["source_id", "document_id"] if scoped else []
+    kinds = ["checksum", "section_title", "path", *scope, *[c for c in ("vector",) if c in held.columns]]
+    groups = held.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"))
+    met = own_scope(rest.join(groups, "checksum"))
+    near = cosine(F.col("vector"), F.col("asked")) >= config.min_similarity if "vector" in kinds else F.lit(False)
+    near = F.coalesce(near, F.lit(False))
+    named = F.arrays_overlap("terms", F.concat(F.coalesce(normalized_tokens(F.col("section_title")), F.array().cast("array<string>")), normalized_tokens(F.col("path"))))
+    admitted = near if mode == "vector" else (F.col("body") > 0) | near | F.coalesce(named, F.lit(False))
+    out.append(met.where(admitted).groupBy("query_id", "checksum").agg(F.sum("n").alias("n")))
+    counts = out[0].unionAll(out[1]).withColumnRenamed("n", "duplicate_count")
+    rows = hits.join(counts, ["query_id", "checksum"], "left").withColumn("duplicate_count", F.coalesce("duplicate_count", F.lit(1)).cast("long"))
+    more = (F.col("duplicate_count") > 1) & ~F.array_contains("hit_flags", "duplicate")
+    return rows.withColumn("hit_flags", F.when(more, F.array_append("hit_flags", F.lit("duplicate"))).otherwise(F.col("hit_flags")))
 
 
 def normalized_breakdown(hits: DataFrame) -> DataFrame:
@@ -258,10 +222,14 @@ def cite(hits: DataFrame) -> DataFrame:
     return hits.withColumns({"label": F.format_string("[%d]", "rank"), "checksum_prefix": F.left("checksum", F.lit(12)), "snippet": best_snippet(F.col("text"), F.col("terms"))})
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "lexical", similar: DataFrame | None = None, top_k: int = 5, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """Hits of all queries, ranked. chunks: annotated chunks with path."""
+def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "lexical", vectors: DataFrame | None = None, asked: DataFrame | None = None, top_k: int = 5, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """Hits of all queries, ranked. chunks: annotated chunks with path; queries: query_id, query, and arrays source_ids and document_ids where they have
+    scopes of their own; vectors (chunk_id, vector) and asked (query_id, vector) for vector and hybrid runs."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     k = min(config.top_k if top_k == 0 else top_k, config.max_top_k)
-    ranked = rank_hits(score(chunks, queries, mode, similar, config), k, config)
-    return cite(ranked.join(chunks.select("chunk_id", "text"), "chunk_id"))  # texts meet only the hits that stay
+    prepared = stored(prepare_queries(queries), "queries")
+    pairs = stored(in_reach(chunks, prepared, mode, vectors, asked, k, config, metadata(config)), "pairs")
+    ranked = stored(rank_hits(score(chunks, prepared, pairs, mode, config).drop("text"), k, config), "ranked")
+    hits = with_copies(ranked, chunks, mode, vectors, asked, config)
+    return cite(hits.join(chunks.select("chunk_id", "text"), "chunk_id"))  # texts meet only the hits that stay

@@ -9,7 +9,7 @@ from attestor.functions import hashing, text
 from attestor.operators import answer, diagnosis, evals, overview, retrieval, traces
 from attestor.operators.intelligence import analyze
 from attestor.plans import oracle as o
-from attestor.plans.queries import DIAGNOSED, EVALUATED, MODES, case_results, chunks, diagnosed, eval_cases, hybrid_similar, joined, judged, lexical_hits, mode_results, query, summaries
+from attestor.plans.queries import DIAGNOSED, EVALUATED, MODES, case_results, chunks, diagnosed, eval_cases, joined, judged, lexical_hits, mode_results, query, summaries
 from attestor.plans.tables import documents, questions, table
 from attestor.sources.store import patched
 

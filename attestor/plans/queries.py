@@ -168,12 +168,16 @@ def dense_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("value <> 0").select("item_id", "idx", F.round("value", 6).alias("value"))
 
 
-def hybrid_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vectors_of(rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The embeddings of chunks and of questions, stored: retrieval reads them several times."""
     from attestor.operators.embedding import embed
 
-    vectors = chunks(spark, sf_dir).select("chunk_id", embed(F.col("text")).alias("vector"))
-    asked = questions(spark, sf_dir).select("query_id", embed(F.col("query")).alias("vector"))
-    return retrieval.similarities(vectors, asked, retrieval.RetrievalConfig().min_similarity)
+    return stored(rows.select("chunk_id", embed(F.col("text")).alias("vector")), "vectors"), stored(asked.select("query_id", embed(F.col("query")).alias("vector")), "asked")
+
+
+def retrieved(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    rows, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
+    return retrieval.retrieve(rows, asked, mode, *vectors_of(rows, asked))
 
 
 def retrieved_with_vectors(mode: str) -> str:
@@ -195,14 +199,12 @@ pairs AS (SELECT query_id, chunk_id, coalesce(matched, 0) AS matched, coalesce(f
 
 @query("op_r3_vector_retrieval", "WITH " + retrieved_with_vectors("vector") + " SELECT query_id, rank, chunk_id, round(score, 4) AS score, strength FROM hits")
 def vector_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = retrieval.retrieve(chunks(spark, sf_dir), questions(spark, sf_dir), "vector", hybrid_similar(spark, sf_dir))
-    return rows.select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), "strength")
+    return retrieved(spark, sf_dir, "vector").select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), "strength")
 
 
 @query("op_r8_hybrid_retrieval", "WITH " + retrieved_with_vectors("hybrid") + " SELECT query_id, rank, chunk_id, round(score, 4) AS score, semantic, lexical, phrase, strength, array_to_string(hit_flags, ',') AS flags FROM hits")
 def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = retrieval.retrieve(chunks(spark, sf_dir), questions(spark, sf_dir), "hybrid", hybrid_similar(spark, sf_dir))
-    return rows.select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), "semantic", "lexical", "phrase", "strength", joined("hit_flags").alias("flags"))
+    return retrieved(spark, sf_dir, "hybrid").select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), "semantic", "lexical", "phrase", "strength", joined("hit_flags").alias("flags"))
 
 
 INDEX = """,
