@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.config import Config
-from attestor.operators import answer, diagnosis, embedding, evals, overview, reports, retrieval, traces
+from attestor.operators import answer, diagnosis, embedding, evals, overview, reports, requests, retrieval, traces
 from attestor.operators.chunking import chunk
 from attestor.operators.ingest import admit, extract
 from attestor.operators.intelligence import analyze, annotate_quality
@@ -58,24 +58,14 @@ class Engine:
         return embedding.embedding_status(self.store.read("chunks"), self.store.read("embeddings").drop("vector"))
 
     def retrieve(self, queries: DataFrame, mode: str | None = None, top_k: int = 0, sources: list[str] | None = None, documents: list[str] | None = None) -> dict[str, DataFrame]:
-        """hits (assessed), answers, diagnosis. Queries (query_id, query) must not be blank. Without any embedding, vector and
-        hybrid runs have no hits and say so."""
+        """status, hits (assessed, by rank), answers, diagnosis. Queries (query_id, query, and source_ids and document_ids where they have scopes of their
+        own) must not be blank; sources and documents narrow the whole batch. Queries whose scope holds no indexed chunk have no vector or hybrid hits and say so."""
         mode = mode or self.config.default_mode
-        if queries.where(~F.col("query").rlike("\\S")).take(1):
-            raise ValueError("a query is blank")
         rows = self.store.read("chunks").where(retrieval.in_scope(sources, documents))
-        vectors, asked, state = None, None, F.lit("not_required")
-        if mode != "lexical":
-            held = self.store.read("embeddings") if self.store.exists("embeddings") else None
-            vectors = rows.select("chunk_id").join(held.where((F.col("model") == embedding.MODEL) & (F.size("vector") == embedding.DIMENSION)).select("chunk_id", "vector"), "chunk_id") if held is not None else None
-            status = self.embedding_status().first()
-            state = F.lit("ready" if status["total"] == status["indexed"] else "missing" if not status["indexed"] else "partial")
-            if vectors is None or not status["indexed"]:
-                rows, vectors = rows.limit(0), self.spark.createDataFrame([], "chunk_id string, vector array<double>")
-            asked = queries.select("query_id", embedding.embed(F.col("query")).alias("vector"))
-        hits = answer.assess(retrieval.retrieve(rows, queries, mode, vectors, asked, top_k, self.config.retrieval))
-        found = answer.answers(queries, hits, self.config.retrieval.citation_limit)
-        return {"hits": hits, "answers": found, "diagnosis": diagnosis.diagnose(queries, hits, found, mode, state)}
+        held = self.store.read("embeddings") if self.store.exists("embeddings") else self.spark.createDataFrame([], "chunk_id string, chunk_checksum string, model string, size int, vector array<double>")
+        found = requests.run_requests(rows, held, queries, mode, top_k, self.config.retrieval)
+        diagnosed = diagnosis.diagnose(queries, found["hits"], found["answers"], mode, found["status"])
+        return found | {"hits": found["hits"].orderBy("query_id", "rank"), "diagnosis": diagnosed}
 
     def run_experiment(self, cases: DataFrame, modes: list[str] | None = None, top_k: int = 0) -> dict[str, DataFrame]:
         """cases (query_id, query, chunk_ids, document_ids) in every mode: case results, mode summaries, comparison, gate, report."""

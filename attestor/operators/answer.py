@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from attestor.functions.text import normalized_tokens, split_sentences, trimmed, truncate_chars
 
 MIN_COVERAGE, MIN_MATCHES, CITATIONS = 0.5, 2, 3
-#: The two messages without an answer.
+#: The messages without an answer.
 UNSUPPORTED = "Ranked candidates were found, but no chunk body directly supports this question."
 NO_EVIDENCE = "Not enough local evidence was found in the indexed chunks."
+NOT_INDEXED = "Embeddings are not indexed yet. Index local embeddings, then run this query again."
 
 
 def required_matches(n: Column) -> Column:
@@ -52,16 +53,18 @@ def assess(hits: DataFrame) -> DataFrame:
     }).drop("_s", "_sentence")
 
 
-def answers(queries: DataFrame, assessed: DataFrame, limit: int = CITATIONS) -> DataFrame:
-    """query_id, status, answer, citations (chunk ids) of every query, with hits or without."""
+def answers(queries: DataFrame, assessed: DataFrame, limit: int = CITATIONS, readiness: DataFrame | None = None) -> DataFrame:
+    """query_id, status, answer, citations (chunk ids) of every query, with hits or without. readiness: (query_id, readiness); without an
+    index the answer says so."""
     cited = assessed.where("support_status = 'supported'").withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("nth") <= limit)
     found = cited.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "snippet", "label"))).alias("c"))
     counts = assessed.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
     rows = queries.select("query_id").join(counts, "query_id", "left").join(found, "query_id", "left")
+    rows = rows.join(readiness.select("query_id", "readiness"), "query_id", "left") if readiness is not None else rows.withColumn("readiness", F.lit(None).cast("string"))
     text = F.array_join(F.transform("c", lambda c: F.concat_ws(" ", c["snippet"], c["label"])), "\n")
     return rows.select(
         "query_id", F.when(F.col("c").isNotNull(), "answered").otherwise("insufficient_evidence").alias("status"),
-        F.when(F.col("c").isNotNull(), text).when(F.coalesce("hits", F.lit(0)) > 0, UNSUPPORTED).otherwise(NO_EVIDENCE).alias("answer"),
+        F.when(F.col("c").isNotNull(), text).when(F.col("readiness") == "missing", NOT_INDEXED).when(F.coalesce("hits", F.lit(0)) > 0, UNSUPPORTED).otherwise(NO_EVIDENCE).alias("answer"),
         F.coalesce(F.transform("c", lambda c: c["chunk_id"]), F.array().cast("array<string>")).alias("citations"), F.coalesce("hits", F.lit(0)).alias("hits"),
     )
 

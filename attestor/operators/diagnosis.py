@@ -70,10 +70,10 @@ def refs(condition: Column) -> Column:
     return F.transform(ranked, evidence_ref)
 
 
-def diagnose(queries: DataFrame, assessed: DataFrame, answers: DataFrame, mode: str, readiness: Column | None = None, expected: DataFrame | None = None) -> DataFrame:
+def diagnose(queries: DataFrame, assessed: DataFrame, answers: DataFrame, mode: str, readiness: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
     """query_id, outcome, failures (severity, order, code, refs), primary_issue, summary, labels, recommendations.
 
-    expected: (query_id, chunk_ids, document_ids). Queries without hits get a row too.
+    readiness: (query_id, readiness) of the index for each query; expected: (query_id, chunk_ids, document_ids). Queries without hits get a row too.
     """
     reason, first = F.col("support_reason"), F.col("rank") == 1
     lexical = F.col("lexical") + F.col("phrase") + F.col("section") + F.col("path_score") + F.col("metadata")
@@ -90,10 +90,11 @@ def diagnose(queries: DataFrame, assessed: DataFrame, answers: DataFrame, mode:
         F.collect_set("chunk_id").alias("chunk_ids"), F.collect_set("document_id").alias("document_ids"),
     )
     rows = queries.select("query_id").join(groups, "query_id", "left").join(answers.select("query_id", "status", "citations"), "query_id", "left")
+    rows = rows.join(readiness.select("query_id", "readiness"), "query_id", "left") if readiness is not None else rows.withColumn("readiness", F.lit("not_required"))
     if expected is not None:
         rows = rows.join(expected.select("query_id", F.col("chunk_ids").alias("want_chunks"), F.col("document_ids").alias("want_documents")), "query_id", "left")
     none = F.array().cast("array<string>")
-    has, state = F.coalesce("n", F.lit(0)) > 0, readiness if readiness is not None else F.lit("not_required")
+    has, state = F.coalesce("n", F.lit(0)) > 0, F.coalesce("readiness", F.lit("not_required"))
 
     def failure(code: str, condition: Column, severity: Column | int = 1, evidence: Column | None = None) -> Column:
         level = F.lit(severity) if isinstance(severity, int) else severity

@@ -96,6 +96,32 @@ def readiness(total: Column, indexed: Column, mode: Column) -> Column:
     return F.when(mode == "lexical", "not_required").when((total == 0) | (indexed == total), "ready").when(indexed == 0, "missing").otherwise("partial")
 
 
+def query_readiness(states: DataFrame, queries: DataFrame, mode: str) -> DataFrame:
+    """query_id, readiness, total, indexed, missing, stale of the chunks in each query's scope. states: source_id, document_id, state of
+    every chunk; queries: query_id, and source_ids and document_ids where they have scopes, an empty list or null being no filter.
+
+    Chunks are summed by document, by source and over all before any query meets them, so a query meets one row for each entry of its lists."""
+    kinds = ("indexed", "missing", "stale")
+    counts = [F.sum(c).alias(c) for c in ("total", *kinds)]
+    by_document = states.groupBy("source_id", "document_id").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("state") == k).alias(k) for k in kinds])
+    by_source = by_document.groupBy("source_id").agg(*counts)
+    every = by_source.agg(*counts)
+    none = F.array().cast("array<string>")
+    asked = queries.select("query_id", *[(F.coalesce(F.array_distinct(c), none) if c in queries.columns else none).alias(c) for c in ("source_ids", "document_ids")])
+    by_list = F.size("document_ids") > 0
+    whole = asked.where(~by_list & (F.size("source_ids") == 0)).select("query_id").join(F.broadcast(every))  # one row
+    some = asked.where(~by_list & (F.size("source_ids") > 0)).select("query_id", F.explode("source_ids").alias("source_id")).join(by_source, "source_id")
+    named = asked.where(by_list).select("query_id", "source_ids", F.explode("document_ids").alias("document_id")).join(by_document, "document_id")
+    named = named.where((F.size("source_ids") == 0) | F.array_contains("source_ids", F.col("source_id")))
+    columns = ["query_id", "total", *kinds]
+    sums = whole.select(*columns).unionAll(some.select(*columns)).unionAll(named.select(*columns)).groupBy("query_id").agg(*counts)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = queries.select("query_id").join(sums, "query_id", "left").select("query_id", *map(zero, columns[1:]))
+    if mode == "lexical":
+        rows = rows.withColumns({k: F.lit(0).cast("long") for k in kinds})
+    return rows.select("query_id", readiness(F.col("total"), F.col("indexed"), F.lit(mode)).alias("readiness"), *columns[1:])
+
+
 class HashProvider:
     """Hashed embeddings of a chosen size. Any object with model, dimension and vectors(text column) can stand in its place."""
 
