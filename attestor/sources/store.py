@@ -1,91 +1,167 @@
-"""Tables as folders of Parquet versions. A write makes a new version and then names it, so readers see whole tables
-and a table is never overwritten while it is read."""
+"""Tables as folders of partitioned Parquet. A change set is applied to the partitions that it touches, which are written anew by Spark's
+dynamic partition overwrite; all others stay as they are, whoever writes to them meanwhile. Readers of a partition that is
+rewritten read it again afterwards."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from attestor.sources.scratch import stored
 
 
 class Conflict(ValueError):
     """A row with this id is there already."""
 
 
+#: The partition of a row, and the mark of a partition that has no row.
+PART, EMPTY = "_part", "_empty"
+MAX_PARTS = 10_000  # touched partitions that are read by their paths; beyond, the table is read and met with them
+INSERT, UPDATE, UPSERT, DELETE = "insert", "update", "upsert", "delete"
+
+
 class Store:
-    """The tables under a root path that Spark can write."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _head(self, name: str) -> str | None:
-        """The current version: the last name in a table of one row for each version, or None."""
-        path = f"{self.root}/{name}/_versions"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(hadoop):
-            return None
-        row = self.spark.read.parquet(path).orderBy(F.desc("number")).first()
-        return row["version"] if row else None
-
-    def _name(self, name: str, version: str) -> None:
-        path = f"{self.root}/{name}/_versions"
-        number = self.spark.read.parquet(path).count() if self._head(name) else 0
-        self.spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").parquet(path)
+    """The tables under a root path that Spark can write. partitions names the column by which a table is partitioned; tables without one
+    are one partition. A key is unique in its partition. Two writers may change a table at the same time where they touch different partitions."""
+
+    def __init__(self, spark: SparkSession, root: str, partitions: Mapping[str, str] | None = None):
+        self.spark, self.root, self.partitions = spark, root.rstrip("/"), dict(partitions or {})
+
+    def _path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def _part(self, name: str) -> Column:
+        """A text that no reader takes for a number or a date."""
+        by = self.partitions.get(name)
+        return F.concat(F.lit("p-"), F.coalesce(F.col(by).cast("string"), F.lit(""))) if by else F.lit("p-")
 
     def exists(self, name: str) -> bool:
-        return self._head(name) is not None
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def _rows(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self._path(name)).where(F.col(EMPTY).isNull()).drop(EMPTY)
+
+    def _held(self, name: str, touched: DataFrame, columns: DataFrame) -> DataFrame:
+        """What the touched partitions hold. No file of another partition is opened, so that its writer may replace it meanwhile. columns: a frame
+        with the columns of a table that has no row."""
+        parts = [r[PART] for r in touched.limit(MAX_PARTS + 1).collect()]
+        if len(parts) > MAX_PARTS and self.exists(name):
+            return self._rows(name).join(touched, PART, "left_semi")
+        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        paths = [f"{self._path(name)}/{PART}={escaped(p)}" for p in parts]
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        paths = [p for p in paths if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p))]
+        if not paths:
+            return self.spark.createDataFrame([], columns.schema)
+        return self.spark.read.option("basePath", self._path(name)).parquet(*paths).where(F.col(EMPTY).isNull()).drop(EMPTY)
 
     def read(self, name: str) -> DataFrame:
-        version = self._head(name)
-        if version is None:
+        if not self.exists(name):
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        return self._rows(name).drop(PART)
+
+    def _write(self, name: str, rows: DataFrame, touched: DataFrame | None = None) -> None:
+        """rows (with their partitions) in place of what the touched partitions hold; those without rows get an empty mark."""
+        out = rows.withColumn(EMPTY, F.lit(None).cast(BooleanType()))
+        if touched is not None:
+            bare = touched.join(rows.select(PART).distinct(), PART, "left_anti")
+            out = out.unionByName(bare.select(PART, F.lit(True).alias(EMPTY)), allowMissingColumns=True)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self._path(name))
+
+    def change(self, name: str, changes: DataFrame, key: str, at: Column | None = None) -> DataFrame:
+        """Applies changes: the table's columns and op, which inserts a new key, updates a known one, upserts or deletes by key. A row for each
+        partition: its value, inserted, updated, deleted, and updated_at, the latest time at of what took effect. Inserts of
+        known keys and keys that are named twice are conflicts, and nothing is written then. Updates and deletes of unknown keys have no effect.
+
+        Partitions that no change touches are neither read nor written."""
+        by = self.partitions.get(name)
+        columns = [c for c in changes.columns if c != "op"]
+        rows = stored(changes.select("*", self._part(name).alias(PART), (at if at is not None else F.current_timestamp()).alias("_at")), "changes")
+        touched = rows.select(PART).distinct()
+        held = self._held(name, touched, rows.select(*columns, PART))
+        met = rows.join(held.select(PART, key, F.lit(True).alias("_there")), [PART, key], "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
+        effects = stored(met, "effects")
+        twice = effects.groupBy(PART, key).count().where("count > 1")
+        if twice.unionAll(effects.where((F.col("op") == INSERT) & F.col("_there")).select(PART, key, F.lit(2).cast("long"))).take(1):
+            raise Conflict(name)
+        effects = effects.where((F.col("op") == INSERT) | (F.col("op") == UPSERT) | F.col("_there"))
+        new = effects.where(F.col("op") != DELETE).select(*columns, PART)
+        kept = held.join(effects.select(PART, key), [PART, key], "left_anti").select(*[F.col(c) for c in held.columns])
+        self._write(name, kept.unionByName(new, allowMissingColumns=True), touched)
+        return effects.groupBy(*([by] if by else [])).agg(
+            F.count_if(~F.col("_there")).alias("inserted"), F.count_if(F.col("_there") & (F.col("op") != DELETE)).alias("updated"), F.count_if(F.col("op") == DELETE).alias("deleted"),
+            F.max("_at").alias("updated_at"),
+        )
+
+    def add(self, name: str, rows: DataFrame, **metrics: Column) -> dict[str, int]:
+        """Appends rows of partitions that are not there yet, with metrics counted by the very write. The caller vouches for new partitions."""
+        seen = Observation()
+        observed = rows.observe(seen, *[v.alias(k) for k, v in (metrics or {"rows": F.count(F.lit(1))}).items()])
+        self._write(name, observed.withColumn(PART, self._part(name)))
+        return seen.get
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{name}/{version}")
-        self._name(name, version)
+        """rows and nothing else."""
+        rows = stored(rows.withColumn(PART, self._part(name)), "rows")
+        old = self._rows(name).select(PART).distinct() if self.exists(name) else rows.select(PART).limit(0)
+        self._write(name, rows, old.unionAll(rows.select(PART).distinct()).distinct())
 
     def append(self, name: str, rows: DataFrame, key: str | None = None) -> None:
         """With a key, an id that is there already is a conflict and nothing is written."""
-        if key and rows.groupBy(key).count().where("count > 1").take(1):
-            raise Conflict(name)
+        if key:
+            self.change(name, rows.withColumn("op", F.lit(INSERT)), key)
+            return
+        rows = stored(rows.withColumn(PART, self._part(name)), "rows")
         if not self.exists(name):
-            return self.replace(name, rows)
-        held = self.read(name)
-        if key and held.join(rows.select(key), key, "left_semi").take(1):
-            raise Conflict(name)
-        return self.replace(name, held.unionByName(rows))
+            return self._write(name, rows, rows.select(PART).distinct())
+        touched = rows.select(PART).distinct()
+        held = self._held(name, touched, rows)
+        return self._write(name, held.unionByName(rows, allowMissingColumns=True), touched)
 
     def upsert(self, name: str, rows: DataFrame, key: str, order: str) -> None:
         """The last row of each key by order stays."""
-        both = self.read(name).unionByName(rows) if self.exists(name) else rows
-        self.replace(name, last_by(both, key, order))
+        new = last_by(rows, key, order)
+        if self.exists(name):
+            old = self._rows(name).select(PART, F.col(key).alias("_key"), F.col(order).alias("_old"))
+            met = new.withColumn(PART, self._part(name))
+            later = met.join(old, (met[PART] == old[PART]) & (met[key] == F.col("_key")), "left").where(F.col("_old").isNull() | (F.col(order) >= F.col("_old")))
+            new = later.select(*[met[c] for c in new.columns])
+        self.change(name, new.withColumn("op", F.lit(UPSERT)), key)
 
     def insert_absent(self, name: str, rows: DataFrame, key: str) -> int:
-        """Rows whose key is not there yet are added; their number."""
-        new = rows.join(self.read(name).select(key), key, "left_anti") if self.exists(name) else rows
-        count = new.count()
-        if count:
-            self.append(name, new)
-        return count
+        """Rows whose key is not there yet are added; their number, counted once, with the change set."""
+        if self.exists(name):
+            held = self._rows(name).select(PART, key)
+            rows = rows.withColumn(PART, self._part(name)).join(held, [PART, key], "left_anti").drop(PART)
+        done = self.change(name, rows.dropDuplicates([key]).withColumn("op", F.lit(INSERT)), key)
+        return done.agg(F.coalesce(F.sum("inserted"), F.lit(0))).first()[0]
+
+    def _refer(self, name: str, keys: DataFrame, key: str, column: str, unset: bool) -> None:
+        """Rows whose column names one of the keys go, or lose the reference."""
+        gone = keys.select(F.col(key).alias("_gone")).distinct()
+        held = self._rows(name)
+        touched = stored(held.join(gone, held[column] == F.col("_gone"), "left_semi").select(PART).distinct(), "touched")
+        held = self._held(name, touched, held)
+        if unset:
+            met = held.join(gone, held[column] == F.col("_gone"), "left")
+            rows = met.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*held.columns)
+        else:
+            rows = held.join(gone, held[column] == F.col("_gone"), "left_anti").select(*held.columns)
+        self._write(name, rows, touched)
 
     def delete(self, name: str, keys: DataFrame, key: str, cascade: dict[str, str] | None = None, unset: dict[str, str] | None = None) -> None:
         """Rows with these keys go; in cascade (table: column) rows that refer to them go too, in unset they lose the reference."""
-        for table, column in (cascade or {}).items():
-            if self.exists(table):
-                held = self.read(table)
-                self.replace(table, held.join(keys.select(F.col(key).alias(column)), column, "left_anti").select(*held.columns))
-        for table, column in (unset or {}).items():
-            if self.exists(table):
-                gone = keys.select(F.col(key).alias("_gone"))
-                held = self.read(table)
-                met = held.join(gone, held[column] == F.col("_gone"), "left")
-                self.replace(table, met.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*held.columns))
-        held = self.read(name)
-        self.replace(name, held.join(keys.select(key), key, "left_anti").select(*held.columns))
+        keys = stored(keys.select(key), "keys")
+        for columns, clear in ((cascade or {}, False), (unset or {}, True)):
+            for table, column in columns.items():
+                if self.exists(table):
+                    self._refer(table, keys, key, column, clear)
+        self._refer(name, keys, key, key, False)
 
 
 def last_by(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -59,3 +59,50 @@ def test_term_and_enum_codecs(spark):
     assert [tuple(t) for t in got["t"]] == [("a", 1), ("b", 12)] and got["n"] == [] and got["e"] == "low"
     with pytest.raises(Exception, match="unknown level"):
         row.select(decode_enum(F.col("terms"), ["low", "high"], "level")).collect()
+
+
+def parts(spark, store, name="t"):
+    """The data files of each partition."""
+    import glob
+
+    return {p.split("_part=")[-1]: sorted(glob.glob(p + "/part-*")) for p in glob.glob(store.root.removeprefix("file://") + f"/{name}/_part=*")}
+
+
+def test_changes_rewrite_only_the_partitions_they_touch(spark):
+    store = Store(spark, "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"), {"t": "d"})
+    make = lambda *rows: spark.createDataFrame(rows, "d string, id string, v int, op string")
+    store.change("t", make(("x", "1", 1, "insert"), ("x", "2", 1, "insert"), ("y", "1", 1, "insert"), ("z", "1", 1, "insert"), (None, "1", 1, "insert")), "id")
+    before = parts(spark, store)
+    assert len(before) == 4
+    got = store.change("t", make(("x", "1", 2, "update"), ("x", "9", 2, "update"), ("x", "3", 2, "upsert"), ("z", "1", None, "delete"), ("w", "1", None, "delete")), "id", F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    assert sorted((r["d"], r["inserted"], r["updated"], r["deleted"]) for r in got.collect()) == [("x", 1, 1, 0), ("z", 0, 0, 1)]
+    assert {str(r["updated_at"]) for r in got.collect()} == {"2024-01-02 00:00:00"}
+    after = parts(spark, store)
+    assert sorted(str(tuple(r)) for r in store.read("t").collect()) == sorted(map(str, [("x", "1", 2), ("x", "2", 1), ("x", "3", 2), ("y", "1", 1), (None, "1", 1)]))
+    same = {p for p in before if before[p] == after.get(p)}
+    assert same == {"p-y", "p-"}
+    with pytest.raises(Conflict):
+        store.change("t", make(("y", "1", 3, "insert"), ("x", "7", 3, "insert")), "id")
+    assert store.read("t").count() == 5
+
+
+def test_two_writers_of_different_partitions(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = Store(spark, "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"), {"t": "d"})
+    make = lambda d, n: spark.createDataFrame([(d, str(i), n, "upsert") for i in range(n)], "d string, id string, v int, op string")
+    store.change("t", make("start", 1), "id")
+
+    def write(d):
+        for n in (3, 5):
+            store.change("t", make(d, n), "id")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, "abcd"))
+    assert {(r["d"], r["count"]) for r in store.read("t").groupBy("d").count().collect()} == {("start", 1), *((d, 5) for d in "abcd")} and store.read("t").where("v <> 5 and d <> 'start'").count() == 0
+
+
+def test_totals_come_with_the_write(spark):
+    store = Store(spark, "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"), {"t": "d"})
+    rows = spark.range(100).selectExpr("'x' AS d", "id", "id % 4 = 0 AS bad")
+    assert store.add("t", rows, all=F.count(F.lit(1)), bad=F.count_if("bad")) == {"all": 100, "bad": 25} and store.read("t").count() == 100
