@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.config import Config
-from attestor.operators import answer, diagnosis, embedding, evals, overview, reports, requests, retrieval, traces
+from attestor.operators import answer, datasets, diagnosis, embedding, evals, overview, reports, requests, retrieval, traces
 from attestor.operators.chunking import chunk
 from attestor.operators.ingest import admit, extract
 from attestor.operators.intelligence import analyze, annotate_quality
@@ -16,24 +17,53 @@ from attestor.sources.scratch import stored
 from attestor.sources.store import Conflict, Store
 
 
+PARTITIONS = {
+    "sources": "source_id", "ingestion_runs": "source_id", "documents": "source_id", "failures": "source_id", "chunks": "source_id", "embeddings": "source_id", "runs": "run_id", "run_hits": "run_id",
+    "traces": "run_id", "reruns": "rerun_id", "ci_runs": "dataset", **datasets.PARTITIONS,
+}
+
+
 class Engine:
-    """Tables: documents, failures, chunks, embeddings, runs, run_hits, traces, reruns, ci_runs."""
+    """Tables: sources, ingestion_runs, documents, failures, chunks, embeddings, runs, run_hits, traces, reruns, ci_runs, and those of datasets. Each is partitioned
+    by what its changes share: a source, a run, a dataset."""
 
     def __init__(self, spark: SparkSession, root: str, config: Config = Config()):
-        self.spark, self.store, self.config = spark, Store(spark, root), config
-
-    def ingest(self, files: DataFrame, source_id: str) -> DataFrame:
-        """files (file_name, content_type, content, length): documents and chunks are added, failures kept. One row: documents,
-        failures, status."""
-        rows = files.withColumns({"request_id": F.lit(source_id), "position": F.col("file_name")})
-        found = extract(admit(rows)).withColumn("document_id", F.sha2(F.concat_ws("/", F.lit(source_id), "file_name"), 256))
-        docs = found.where("failure is null").select("document_id", F.lit(source_id).alias("source_id"), F.col("file_name").alias("path"), "mime_type", "text")
-        self.store.insert_absent("documents", analyze(docs), "document_id")
-        self.store.append("failures", found.where("failure is not null").select("file_name", F.lit(source_id).alias("source_id"), "failure"))
-        held = self.store.read("documents").where(F.col("source_id") == source_id)
-        self.store.insert_absent("chunks", annotate_quality(chunk(held.select("document_id", "source_id", "path", "text"), self.config.chunking)), "chunk_id")
-        counts = held.agg(F.count(F.lit(1)).alias("documents")).join(self.store.read("failures").where(F.col("source_id") == source_id).agg(F.count(F.lit(1)).alias("failures")))  # two single rows
-        return counts.withColumn("status", overview.ingestion_status(F.col("documents"), F.col("failures")))
+        self.spark, self.store, self.config = spark, Store(spark, root, PARTITIONS), config
+        self.datasets = datasets.Datasets(self.store)
+
+    def ingest(self, files: DataFrame, source_id: str, run_id: str | None = None) -> DataFrame:
+        """files (file_name, content_type, content, length, and request_id and position where they came in requests): a source's documents and
+        chunks, failures and the source's row. The row of the run: status, files_received, documents_created, chunks_created, failed_files, documents and failures in the source. Totals are
+        counted by the writes themselves; documents that are there already are left as they are."""
+        run_id = run_id or uuid.uuid4().hex
+        source = F.lit(source_id)
+        now, chunking = F.current_timestamp(), self.config.chunking
+        self.store.change("sources", self.spark.range(1).select(
+            source.alias("source_id"), F.lit(chunking.strategy).alias("strategy"), F.lit(chunking.target).alias("target"), F.lit(chunking.overlap).alias("overlap"), now.alias("created_at"), F.lit("upsert").alias("op"),
+        ), "source_id")
+        run = self.spark.range(1).select(F.lit(run_id).alias("run_id"), source.alias("source_id"), F.lit("running").alias("status"), now.alias("started_at"))
+        totals = ("files_received", "documents_created", "chunks_created", "failed_files")
+        zero = {c: F.lit(0).cast("long") for c in totals}
+        self.store.change("ingestion_runs", run.withColumns(zero | {"completed_at": F.lit(None).cast("timestamp"), "op": F.lit("insert")}), "run_id")
+
+        given = files.withColumns({c: v for c, v in (("request_id", source), ("position", F.col("file_name"))) if c not in files.columns})
+        seen = Observation()
+        found = extract(admit(given)).withColumn("document_id", F.sha2(F.concat_ws("/", source, "file_name"), 256))
+        found = stored(found.observe(seen, F.count(F.lit(1)).alias("files_received"), F.count_if(F.col("failure").isNotNull()).alias("failed_files")), "extracted")
+        docs = found.where("failure is null").dropDuplicates(["document_id"]).select("document_id", source.alias("source_id"), F.col("file_name").alias("path"), "mime_type", "text")
+        if self.store.exists("documents"):
+            docs = docs.join(self.store.read("documents").where(F.col("source_id") == source_id).select("document_id"), "document_id", "left_anti")
+        docs = stored(analyze(docs), "analyzed")
+        made, cut = Observation(), Observation()
+        self.store.append("documents", docs.observe(made, F.count(F.lit(1)).alias("documents_created")))
+        self.store.append("chunks", annotate_quality(chunk(docs.select("document_id", "source_id", "path", "text"), chunking)).observe(cut, F.count(F.lit(1)).alias("chunks_created")))
+        self.store.append("failures", found.where("failure is not null").select("file_name", source.alias("source_id"), "failure"))
+        counts = {**seen.get, **made.get, **cut.get}
+        done = run.withColumns({c: F.lit(counts[c]).cast("long") for c in totals})
+        done = done.withColumns({"status": overview.ingestion_status(F.col("documents_created"), F.col("failed_files")), "completed_at": now, "op": F.lit("update")})
+        self.store.change("ingestion_runs", done, "run_id")
+        held = [self.store.read(t).where(F.col("source_id") == source_id).agg(F.count(F.lit(1)).alias(t)) for t in ("documents", "failures")]
+        return self.store.read("ingestion_runs").where(F.col("run_id") == run_id).join(held[0]).join(held[1])  # single rows
 
     def list_sources(self) -> DataFrame:
         return overview.source_summary(self.store.read("documents"), self.store.read("chunks"))
@@ -45,7 +75,7 @@ class Engine:
         """Every chunk in scope is embedded anew; the last vector of a chunk stays. The index's status."""
         rows = self.store.read("chunks").where(retrieval.in_scope(sources, None))
         made = rows.select(
-            "chunk_id", F.col("checksum").alias("chunk_checksum"), F.lit(embedding.MODEL).alias("model"), F.lit(embedding.DIMENSION).alias("size"),
+            "chunk_id", "source_id", F.col("checksum").alias("chunk_checksum"), F.lit(embedding.MODEL).alias("model"), F.lit(embedding.DIMENSION).alias("size"),
             F.current_timestamp().alias("indexed_at"), embedding.embed(F.col("text")).alias("vector"),
         )
         self.store.upsert("embeddings", made, "chunk_id", "indexed_at")
@@ -107,10 +137,11 @@ class Engine:
         name = F.lit(run_id).alias("run_id")
         if self.store.exists("runs") and self.store.read("runs").where(F.col("run_id") == run_id).take(1):
             raise Conflict(run_id)
-        self.store.append("runs", traces.run_rows(queries, hits, mode, top_k, latency).select(name, "*"))
-        self.store.append("run_hits", hits.select(name, *traces.HIT))
+        # The run's own row comes last: what a crash leaves before it is replaced when the run is recorded again.
+        self.store.put("run_hits", hits.select(name, *traces.HIT), run_id)
         rows = traces.traces(found["diagnosis"], hits, mode).select(F.concat_ws("/", name, F.col("query_id").cast("string")).alias("trace_id"), name, "*", F.current_timestamp().alias("at"))
-        self.store.upsert("traces", rows, "trace_id", "at")
+        self.store.put("traces", rows, run_id)
+        self.store.put("runs", traces.run_rows(queries, hits, mode, top_k, latency).select(name, "*"), run_id)
         return found | {"hits": hits}
 
     def rerun(self, run_id: str, again: str, mode: str | None = None, top_k: int | None = None, sources: list[str] | None = None, documents: list[str] | None = None) -> DataFrame:
@@ -123,8 +154,7 @@ class Engine:
         found = self.retrieve(held.select("query_id", "query"), mode or first["mode"], first["top_k"] if top_k is None else top_k, sources, documents)
         before = self.store.read("run_hits").where(F.col("run_id") == run_id)
         changed = diagnosis.compare_reruns(before, found["hits"]).select(F.lit(run_id).alias("run_id"), F.lit(again).alias("rerun_id"), "*")
-        kept = self.store.read("reruns").where(F.col("rerun_id") != again) if self.store.exists("reruns") else None
-        self.store.replace("reruns", changed if kept is None else kept.unionByName(changed))
+        self.store.put("reruns", changed, again)
         return self.store.read("reruns").where(F.col("rerun_id") == again)
 
     def traces(self, run: dict[str, DataFrame], mode: str) -> DataFrame:

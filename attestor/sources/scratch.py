@@ -5,20 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet under spark.checkpoint.dir and read back, so that what is read several times is made once
-    and a lost executor costs no recomputation. Where that setting is unset, as in tests, a temporary folder is set."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path under spark.checkpoint.dir that nothing else uses. Where that setting is unset, as in tests, a temporary folder is set; on a cluster,
+    whose machines do not share such a folder, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         folder = "file://" + tempfile.mkdtemp(prefix="attestor-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet to the shared folder and read back, so that what is read several times is made once and a lost
+    executor costs no recomputation."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, splits: int = 4) -> DataFrame:

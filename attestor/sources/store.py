@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -98,12 +98,10 @@ class Store:
             F.max("_at").alias("updated_at"),
         )
 
-    def add(self, name: str, rows: DataFrame, **metrics: Column) -> dict[str, int]:
-        """Appends rows of partitions that are not there yet, with metrics counted by the very write. The caller vouches for new partitions."""
-        seen = Observation()
-        observed = rows.observe(seen, *[v.alias(k) for k, v in (metrics or {"rows": F.count(F.lit(1))}).items()])
-        self._write(name, observed.withColumn(PART, self._part(name)))
-        return seen.get
+    def put(self, name: str, rows: DataFrame, value: str) -> None:
+        """rows in place of whatever the partition of a value holds; done again, it gives the same."""
+        rows = stored(rows.withColumn(PART, self._part(name)), "rows")
+        self._write(name, rows, self.spark.createDataFrame([(f"p-{value}",)], f"{PART} string"))
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """rows and nothing else."""
@@ -112,16 +110,13 @@ class Store:
         self._write(name, rows, old.unionAll(rows.select(PART).distinct()).distinct())
 
     def append(self, name: str, rows: DataFrame, key: str | None = None) -> None:
-        """With a key, an id that is there already is a conflict and nothing is written."""
+        """New files beside those that are there; nothing is rewritten, and one append to a table goes at a time. With a key, an id that is there already
+        is a conflict and nothing is written; its partitions are then rewritten."""
         if key:
             self.change(name, rows.withColumn("op", F.lit(INSERT)), key)
             return
-        rows = stored(rows.withColumn(PART, self._part(name)), "rows")
-        if not self.exists(name):
-            return self._write(name, rows, rows.select(PART).distinct())
-        touched = rows.select(PART).distinct()
-        held = self._held(name, touched, rows)
-        return self._write(name, held.unionByName(rows, allowMissingColumns=True), touched)
+        out = rows.withColumns({PART: self._part(name), EMPTY: F.lit(None).cast(BooleanType())})
+        out.write.mode("append").partitionBy(PART).parquet(self._path(name))
 
     def upsert(self, name: str, rows: DataFrame, key: str, order: str) -> None:
         """The last row of each key by order stays."""

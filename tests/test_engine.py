@@ -111,3 +111,17 @@ def test_repeated_ids_in_one_append_are_a_conflict(spark, engine):
 def test_providers_need_dimensions(spark):
     with pytest.raises(ValueError):
         embed_with(HashProvider(0), spark.createDataFrame([(1, "a")], "id long, text string"), "id", "text")
+
+
+def test_an_ingestion_run_is_a_row_with_totals(spark, engine):
+    run = engine.store.read("ingestion_runs").where("source_id = 's1'").first()
+    assert (run["status"], run["files_received"], run["documents_created"], run["chunks_created"], run["failed_files"]) == ("partial", 4, 1, 2, 3) and run["completed_at"] >= run["started_at"]
+    files = spark.createDataFrame([("resume.md", None, BODY.encode(), len(BODY)), ("n.txt", None, b"A note on search.", 17)], "file_name string, content_type string, content binary, length long")
+    again = engine.ingest(files, "s2", "r2").first()
+    assert (again["documents_created"], again["failed_files"], again["status"]) == (2, 0, "completed")
+    more = engine.ingest(files, "s2", "r3").first()
+    assert (more["documents_created"], more["documents"], more["status"]) == (0, 2, "failed") and engine.store.read("sources").count() == 2
+    with pytest.raises(Conflict):
+        engine.ingest(files, "s2", "r3")
+    engine.delete_source("s2")
+    assert engine.store.read("documents").where("source_id = 's2'").count() == 0 and engine.store.read("chunks").where("source_id = 's2'").count() == 0

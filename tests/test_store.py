@@ -102,7 +102,9 @@ def test_two_writers_of_different_partitions(spark):
     assert {(r["d"], r["count"]) for r in store.read("t").groupBy("d").count().collect()} == {("start", 1), *((d, 5) for d in "abcd")} and store.read("t").where("v <> 5 and d <> 'start'").count() == 0
 
 
-def test_totals_come_with_the_write(spark):
+def test_appends_rewrite_nothing(spark):
     store = Store(spark, "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"), {"t": "d"})
-    rows = spark.range(100).selectExpr("'x' AS d", "id", "id % 4 = 0 AS bad")
-    assert store.add("t", rows, all=F.count(F.lit(1)), bad=F.count_if("bad")) == {"all": 100, "bad": 25} and store.read("t").count() == 100
+    store.append("t", frame(spark, ("a", 1, "x")).withColumnRenamed("id", "d"))
+    before = parts(spark, store)["p-a"]
+    store.append("t", frame(spark, ("a", 2, "y")).withColumnRenamed("id", "d"))
+    assert set(before) < set(parts(spark, store)["p-a"]) and held(store) == [("a", 1, "x"), ("a", 2, "y")]
