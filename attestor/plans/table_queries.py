@@ -74,3 +74,20 @@ def ingestion_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     engine = Engine(spark, scratch(spark, "engine"), Config(chunking=Chunking(strategy="whitespace")))
     return engine.ingest(files, "src").select("files_received", "documents_created", "chunks_created", "failed_files", "status", "documents", "failures")
+
+
+@query("op_s1_multipart", """SELECT 'page' || page_id || '.html' AS file_name, 'files' AS name, 'text/html; charset=utf-8' AS content_type, strlen(coalesce(html, ''))::BIGINT AS length, sha256(coalesce(html, '')) AS digest FROM pages""")
+def multipart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as multipart bodies of up to 64 files, read back by byte ranges that are smaller than most files; fields between the files give no row."""
+    from attestor.sources.multipart import Multipart
+
+    head = '--page-boundary-7\r\nContent-Disposition: form-data; name="%s"%s\r\n'
+    named = F.format_string(head % ("files", '; filename="C:\\\\dir\\\\page%d.html"') + "Content-Type: text/html; charset=utf-8\r\n\r\n", "page_id")
+    part = F.concat(named, F.coalesce("html", F.lit("")), F.lit("\r\n" + head % ("note", "") + "\r\nno file\r\n"))
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 64).alias("body"), F.struct("page_id", part.alias("part")).alias("p"))
+    bodies = pages.groupBy("body").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "").alias("parts"))  # 64 pages a group
+    path = scratch(spark, "bodies")
+    bodies.select(F.concat("parts", F.lit("--page-boundary-7--"))).write.option("maxRecordsPerFile", 1).text(path)
+    spark.dataSource.register(Multipart)
+    rows = spark.read.format("multipart").option("split", 5000).load(path)
+    return rows.select("file_name", "name", "content_type", "length", F.sha2("content", 256).alias("digest"))
