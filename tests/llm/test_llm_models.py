@@ -348,3 +348,19 @@ def test_pipeline_on_an_empty_table(spark, empty, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, small)
         assert docs.count() == 0
+
+
+def test_any_number_of_rules_gives_what_the_rules_say(spark, monkeypatch):
+    rules = url_filter.BASE_RULES + url_filter.PATTERN_RULES + tuple(url_filter.prefix_rule("block" if i % 3 else "allow", f"h{i}.org", f"/x{i % 7}/") for i in range(20_000))
+    urls = [(i, f"http://www.H{i * 37}.org/x{i * 37 % 7 if i % 2 else 9}/p?q") for i in range(400)] + [(i, "http://h3.org/x3/") for i in range(1000, 3000)] + [(5000, None), (5001, "no scheme"), (5002, "http://a.com/en/casino"), (5003, "http://online-casino.net"), (5003, "http://online-casino.net")]
+    pages = spark.createDataFrame(urls, "page_id long, url string").withColumn("subject", F.lit("?"))
+    got = url_filter.judge_urls(pages, rules).collect()
+    by = {(r["page_id"], r["host"]): (r["rule"], r["verdict"], r["method_rule"]) for r in got}
+    assert len(got) == len(urls)
+    for i, u in urls[:400]:
+        n, fits = i * 37, i % 2 == 1 and i * 37 < 20_000
+        assert by[(i, f"www.h{n}.org")] == ((f"h{n}.org/x{n % 7}/" if fits else None), ("block" if n % 3 else "allow") if fits else "allow", None)
+    assert by[(1000, "h3.org")][:2] == ("h3.org/x3/", "allow") and by[(5000, "")] == (None, "allow", None) and by[(5002, "a.com")] == ("com/en/", "block", "casino") and by[(5003, "online-casino.net")][1:] == ("block", "casino")
+    few, plain = url_filter.BASE_RULES + url_filter.PATTERN_RULES, sorted(map(str, url_filter.judge_urls(pages).collect()))
+    monkeypatch.setattr(url_filter, "INLINE_RULES", 3)
+    assert sorted(map(str, url_filter.judge_urls(pages, few).collect())) == plain
