@@ -4,7 +4,8 @@ The index is a folder with a Parquet table bucketed and sorted by SHA-256 digest
 (map-side partial aggregation, so a hot text never meets in one task). A sort-merge anti-join finds the digests that the
 index lacks; they are appended as entries, and what the batch adds to known digests is appended beside them, so that the
 entries of all batches give the document that stays and the size of its group. Any session opens an index by its path.
-One writer at a time adds to an index.
+Every batch has an id that stands in its rows, which appear all at once when their write is committed: a batch that is added again, be it
+retried or sent twice, changes nothing and gives the same answer. One writer at a time adds to an index.
 
 Defined results: null text counts as the empty text; of equal texts the row with the largest doc_id stays;
 a null doc_id is smaller than any other; rows that repeat both doc_id and text are one document and get the
@@ -14,6 +15,7 @@ same answer; an empty table gives an empty result; further columns of the input
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +28,8 @@ BATCHES = 2
 
 
 class DigestIndex:
-    """Digests seen so far. The table holds (digest, keep_id, group_size, first): one row with first for each digest, and one
-    without for each later batch that met it again."""
+    """Digests seen so far. The table holds (digest, keep_id, group_size, first, batch): one row with first for each digest, and one without
+    for each later batch that met it again. The session's catalog names the table until close."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
@@ -38,27 +40,42 @@ class DigestIndex:
         except AnalysisException:  # a new index
             self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
             spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.parquet(f"{self.path}/layout")
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, first BOOLEAN) USING parquet"
+        self._table()
+
+    def _table(self) -> DataFrame:
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, first BOOLEAN, batch STRING) USING parquet"
             f" CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/entries'"
         )
+        return self.spark.table(self.name)
+
+    def close(self) -> None:
+        """Takes the table out of the session's catalog; the folder stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def known(self) -> DataFrame:
         """The digests, each once."""
-        return self.spark.table(self.name).where("first").select("digest")
+        return self._table().where("first").select("digest")
 
     def entries(self) -> DataFrame:
         """digest, keep_id, group_size over all batches; the buckets spare the shuffle."""
-        return self.spark.table(self.name).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        return self._table().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+    def has(self, batch: str) -> bool:
+        """Whether a batch is there; a file holds rows of one batch, so its statistics spare reading it."""
+        return bool(self._table().where(F.col("batch") == batch).take(1))
 
-    def add(self, batch: DataFrame) -> DataFrame:
+    def add(self, batch: DataFrame, batch_id: str | None = None) -> DataFrame:
         """Takes in batch (digest, doc_id); the entries of digests that were new. Rows are stored before they are appended: a
-        table is not read while it is written."""
+        table is not read while it is written. Of a batch that is there already nothing is taken in again."""
+        batch_id = batch_id or uuid.uuid4().hex
+        if self.has(batch_id):
+            return self._table().where((F.col("batch") == batch_id) & F.col("first")).select("digest", "keep_id", "group_size")
         reduced = stored(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "batch")
         new = reduced.join(self.known().hint("merge"), "digest", "left_anti").withColumn("first", F.lit(True))
         met = reduced.join(self.known().hint("merge"), "digest", "left_semi").withColumn("first", F.lit(False))
         rows = stored(new.unionByName(met), "digest-rows")
-        rows.select("digest", "keep_id", "group_size", "first").repartition(self.buckets, "digest").write.insertInto(self.name)
+        rows.select("digest", "keep_id", "group_size", "first", F.lit(batch_id).alias("batch")).repartition(self.buckets, "digest").write.insertInto(self.name)
         return rows.where("first").drop("first")
 
 
@@ -85,21 +102,25 @@ def decide(rows: DataFrame, entries: DataFrame) -> DataFrame:
     return common.unionByName(often)
 
 
-def indexed(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """doc_id, digest, keep_id, group_size of every row of docs after all of them went through the index."""
-    index = index or DigestIndex(docs.sparkSession)
+def indexed(docs: DataFrame, index: DigestIndex | None = None, batch_id: str | None = None) -> DataFrame:
+    """doc_id, digest, keep_id, group_size of every row of docs after all of them went through the index. With a batch_id, documents that are sent again under
+    it are not counted again."""
+    own = index or DigestIndex(docs.sparkSession)
     rows = stored(digests(docs), "digests")
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES))
     for k in range(BATCHES):
-        index.add(rows.where(batch == k))
-    return decide(rows, stored(index.entries(), "entries"))
+        own.add(rows.where(batch == k), batch_id and f"{batch_id}/{k}")
+    entries = stored(own.entries(), "entries")
+    if index is None:
+        own.close()
+    return decide(rows, entries)
 
 
-def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch_id: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs (doc_id, text). Documents that an index
     passed in holds already count: they are in group_size and may be the one that stays."""
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return indexed(docs, index).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return indexed(docs, index, batch_id).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def without_exact_duplicates(docs: DataFrame) -> DataFrame:

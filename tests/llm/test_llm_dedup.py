@@ -219,3 +219,23 @@ def test_likeness_follows_the_share_that_stays():
     assert fingerprints.likeness(mark(text), mark("q" + text)) > 0.4
     assert fingerprints.likeness(mark(text), mark(text)) == 1.0 and fingerprints.likeness(mark(text), mark(text[::-1])) < 0.02
     assert fingerprints.likeness(mark(""), mark("")) == 1.0 and fingerprints.likeness(mark(""), mark("a")) == 0.0
+
+
+def test_a_batch_that_comes_again_is_not_counted_again(spark):
+    make = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    docs = make((1, "a"), (2, "a"), (3, "b"))
+    shown = lambda *args: sorted(tuple(r)[:4] for r in exact_dedup.exact_duplicates(*args).collect())
+    first = shown(docs, index, "monday")
+    assert first == shown(docs, index, "monday") == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+    assert shown(make((9, "a")), index, "tuesday") == [(9, 9, 3, True)]
+    index.close()
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert again.has("monday/0") and not again.has("monday") and sorted(r["group_size"] for r in again.add(exact_dedup.digests(docs), "monday/0").collect()) <= [1, 2]
+    assert sum(r["group_size"] for r in again.entries().collect()) == 4
+
+
+def test_calls_leave_no_table_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.exact_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string")).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
