@@ -182,12 +182,13 @@ def write_partition(batches: Iterator, folder: str, vocabulary: str, end_id: int
 
 
 def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None, end_id: int = 2) -> list:
-    """Write docs (doc_id, text) in ascending doc_id order; the manifest rows in file order."""
+    """Write docs (doc_id, text) in ascending order of doc_id and, of rows with one doc_id, of text, so that files and starts do not depend on how rows
+    arrive; the manifest rows in file order."""
     spark = docs.sparkSession
     folder, vocabulary = folder or scratch(spark, "token-files"), vocabulary or default_vocabulary()
     store, base = filesystem(folder)
     store.create_dir(base, recursive=True)
-    ordered = docs.select(docs["doc_id"].cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(docs["doc_id"].cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     scheme = folder.split("://")[0] + "://" if "://" in folder else "file://"
     with arrow_batches(spark, BATCH):
         rows = ordered.mapInArrow(lambda it: write_partition(it, folder, vocabulary, end_id), MANIFEST).collect()

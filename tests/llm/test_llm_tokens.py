@@ -187,3 +187,9 @@ def test_piece_digests(sample, odd, empty, pieces):
 def test_piece_columns(odd):
     rows = odd.select("text", piece_codec.encode_ids("text").alias("ids")).withColumn("back", piece_codec.decode_ids("ids")).collect()
     assert all(r["back"] == (r["text"] or "").replace("▁", " ") for r in rows)
+
+
+def test_rows_of_one_id_are_written_by_text(spark):
+    rows = [(1, "b"), (1, "a"), (1, None), (0, "z"), (1, "a longer one")]
+    make = lambda order: sorted(map(tuple, token_files.token_file_digests(spark, token_files.write_token_files(spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").repartition(5))).collect()))
+    assert make(range(5)) == make((4, 2, 0, 3, 1)) == make((1, 3, 4, 0, 2))
