@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.engine import Engine
 from attestor.config import Config
+from attestor.engine import Engine
 from attestor.operators.chunking import Chunking
-from attestor.operators.datasets import Datasets, PARTITIONS
+from attestor.operators.datasets import PARTITIONS, Datasets
 from attestor.plans import oracle as o
 from attestor.plans.queries import query
 from attestor.plans.tables import table
-from attestor.sources.scratch import scratch, spread
+from attestor.sources.scratch import scratch, spread, stored
 from attestor.sources.store import Store
 
 
@@ -91,3 +91,19 @@ def multipart(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.dataSource.register(Multipart)
     rows = spark.read.format("multipart").option("split", 5000).load(path)
     return rows.select("file_name", "name", "content_type", "length", F.sha2("content", 256).alias("digest"))
+
+
+@query("op_s18_report_files", "SELECT item_id AS query_id, true AS same FROM benchmark")
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of every question as a file, and whether the file that is read back is the report."""
+    from attestor.operators import reports
+    from attestor.plans.queries import diagnosed, judged
+    from attestor.sources.report_files import ReportFiles
+
+    hits = judged(spark, sf_dir)
+    texts = stored(reports.markdown(diagnosed(spark, sf_dir), reports.evidence(hits, "snippets_allowed"), "snippets_allowed"), "reports")
+    path = scratch(spark, "report-files")
+    spark.dataSource.register(ReportFiles)
+    texts.select(F.concat(F.lit("question/"), F.col("query_id").cast("string")).alias("name"), F.col("markdown").alias("text")).write.format("report_files").mode("append").save(path)
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "question%(?:25)?2F([0-9]+)\\.md$", 1).cast("long").alias("query_id"), "value")
+    return texts.join(files, "query_id", "full_outer").select("query_id", F.col("markdown").eqNullSafe(F.col("value")).alias("same"))

@@ -31,7 +31,7 @@ class Range(InputPartition):
     end: int
 
 
-def _filesystem(path: str):
+def filesystem(path: str):
     """pyarrow's file system of a path and the path in it."""
     from pyarrow import fs
 
@@ -44,7 +44,7 @@ def bodies(path: str) -> list[str]:
 
     from pyarrow import fs
 
-    system, inside = _filesystem(path.rstrip("/"))
+    system, inside = filesystem(path.rstrip("/"))
     prefix = path.rstrip("/")[: len(path.rstrip("/")) - len(inside)]
     folder, _, pattern = inside.rpartition("/")
     if not any(c in pattern for c in "*?["):
@@ -60,7 +60,7 @@ def bodies(path: str) -> list[str]:
 
 def ranges(path: str, split: int) -> list[Range]:
     """The byte ranges of a body; none where it does not begin with a boundary."""
-    system, inside = _filesystem(path)
+    system, inside = filesystem(path)
     with system.open_input_file(inside) as body:
         size, first = body.size(), FIRST.match(body.read_at(min(80, body.size()), 0))
     return [Range(path, first[1], at, min(at + split, size)) for at in range(0, size, split)] if first else []
@@ -78,7 +78,7 @@ def header(lines: bytes) -> dict[str, str]:
 def part_rows(path: str, boundary: bytes, begin: int, end: int) -> Iterator[tuple]:
     """The parts whose boundary begins in a byte range. A part without a file name is a field, one without an end was cut off: neither gives a row."""
     mark = re.compile(rb"\r?\n--" + re.escape(boundary) + rb"(--)?[ \t]*(?=\r?\n|\Z)")
-    system, inside = _filesystem(path)
+    system, inside = filesystem(path)
     with system.open_input_file(inside) as body:
         size = body.size()
         # A boundary follows a line end: the body's first one an assumed one, that of a range perhaps one in the range before.
