@@ -39,6 +39,33 @@ RECOMMENDATIONS = {
     "compare_retrieval_modes": (2, "retrieval_mode", "Compare retrieval modes"),
     "repair_citation_grounding": (0, "citations", "Repair citation grounding"),
 }
+#: Why each recommendation is given and what it advises.
+REASONS = {
+    "restore_corpus_coverage": ("No usable evidence was available for the query.", "Confirm the required source is ingested, extracted successfully, and included by the active filters."),
+    "restore_direct_answer_support": (
+        "Retrieved candidates do not contain body text that directly supports the question.",
+        "Add or select source content that explicitly answers the question, then preserve the unsupported query as an eval case.",
+    ),
+    "tighten_semantic_candidates": (
+        "Semantic similarity promoted candidates without direct body-text support.",
+        "Compare lexical and hybrid modes, then tune semantic candidate thresholds against an eval case for this question.",
+    ),
+    "separate_metadata_from_answer_evidence": (
+        "Path, section, or metadata relevance was mistaken for answer support.",
+        "Keep metadata signals for candidate retrieval, but require matching chunk body evidence before citation.",
+    ),
+    "review_expected_evidence_filters": (
+        "The eval case expected evidence that did not appear in the ranking.", "Verify corpus coverage and metadata filters, then rerun the case with a larger candidate set."
+    ),
+    "repair_embedding_index": ("Semantic retrieval did not have complete embedding coverage.", "Index missing or stale chunks with the configured model before comparing retrieval modes."),
+    "broaden_candidate_pool": ("The current result set does not contain strong enough evidence.", "Increase top_k and inspect whether stronger evidence appears before changing answer generation."),
+    "improve_chunk_boundaries": ("Chunk quality reduced evidence diversity or completeness.", "Rechunk the affected documents and prevent heading-only or duplicate chunks from entering the index."),
+    "add_reranking": ("The top candidates are too close for the baseline scorer to separate confidently.", "Rerank the candidate set and add an eval case that checks the expected top result."),
+    "compare_retrieval_modes": ("Semantic and lexical signals disagree about the strongest evidence.", "Rerun lexical, vector, and hybrid modes and preserve the best behavior in Eval Lab."),
+    "repair_citation_grounding": (
+        "The evidence summary is not fully grounded in the ranked evidence.", "Require cited evidence for every answer claim and reject summaries without usable citations."
+    ),
+}
 MARGIN = 0.10
 SIGNALS = ("semantic", "lexical", "phrase", "section", "path_score", "metadata")
 
@@ -132,6 +159,7 @@ def diagnose(queries: DataFrame, assessed: DataFrame, answers: DataFrame, mode:
     codes = F.transform("failures", lambda f: f["code"])
     rows = rows.withColumns({"outcome": outcome, "codes": codes, "primary_issue": F.get("failures", F.lit(0))["code"], "hits": F.coalesce("n", F.lit(0))})
     title = reduce(lambda c, f: F.when(F.col("primary_issue") == f[0], f[1]).otherwise(c), FAILURES, F.lit(None).cast("string"))
+    # The sentences of a summary.
     strong = F.format_string("This run looks strong. %d ranked evidence item(s) were found without a deterministic failure signal.", "hits")
     rows = rows.withColumn("summary", F.when(title.isNotNull(), F.concat(F.lit("This run looks "), F.col("outcome"), F.lit(". Primary issue: "), title)).otherwise(strong))
     return rows.select("query_id", "hits", "outcome", "primary_issue", "codes", "failures", "summary", legacy_labels(codes).alias("labels"), recommendation_codes(F.col("failures")).alias("recommendations"))
@@ -151,6 +179,22 @@ def recommendation_codes(failures: Column) -> Column:
     return F.transform(F.array_sort(first), lambda a: a["code"])
 
 
+def recommendations(diagnosed: DataFrame) -> DataFrame:
+    """A row for each recommendation of each diagnosed query: place (from 1, by priority and code), code, priority, area, title, rationale, action, and failure_codes
+    and evidence_refs of all failures that lead to it, each once in the order of the failures. The first of them sets the priority.
+    The catalogue has a row for each failure code and goes to every task."""
+    catalogue = [(code, advice, 0 if code == "missing_embedding_index" else RECOMMENDATIONS[advice][0], *RECOMMENDATIONS[advice][1:], *REASONS[advice]) for code, _, advice, _ in FAILURES]
+    named = F.broadcast(diagnosed.sparkSession.createDataFrame(catalogue, "failure string, code string, priority int, area string, title string, rationale string, action string"))
+    rows = diagnosed.select("query_id", F.posexplode("failures").alias("at", "f")).select("query_id", "at", F.col("f.code").alias("failure"), F.col("f.refs").alias("refs")).join(named, "failure")
+    held = F.sort_array(F.collect_list(F.struct("at", "failure", "refs", "priority")))  # at most one entry for each failure code
+    merged = rows.groupBy("query_id", "code", "area", "title", "rationale", "action").agg(held.alias("h"))
+    merged = merged.select(
+        "query_id", "code", F.get("h", F.lit(0))["priority"].alias("priority"), "area", "title", "rationale", "action", F.array_distinct(F.transform("h", lambda x: x["failure"])).alias("failure_codes"),
+        F.array_distinct(F.flatten(F.transform("h", lambda x: x["refs"]))).alias("evidence_refs"),
+    )
+    return merged.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("priority", "code")))
+
+
 def compare_diagnoses(before: DataFrame, after: DataFrame) -> DataFrame:
     """query_id, resolved and introduced codes in their order, and whether the outcome improved."""
     rank = lambda c: F.when(c == "failing", 0).when(c == "weak", 1).when(c == "mixed", 2).otherwise(3)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.operators import answer, embedding, requests
+from attestor.operators import answer, diagnosis, embedding, requests
 from attestor.plans import oracle as o
-from attestor.plans.queries import INDEX, query
+from attestor.plans.queries import DIAGNOSED, INDEX, diagnosed, joined, query
 from attestor.plans.tables import chunks, index_state, questions
 
 #: A fourth of the questions has no scope, a fourth one source, a fourth two, a fourth a list of documents.
@@ -51,3 +51,36 @@ def early_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = answer.answers(asked, spark.createDataFrame([], "query_id long, rank int, chunk_id string, snippet string, label string, support_status string"), readiness=status)
     said = nothing.where(F.col("answer") == answer.NOT_INDEXED).select("query_id", F.col("answer").alias("message"))
     return status.join(said, "query_id", "left")
+
+
+def _quoted(*values) -> str:
+    return ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in values)
+
+
+#: The catalogue in SQL: failure code, title of the failure, then the recommendation with priority, area, title, reason and action.
+CATALOGUE = "VALUES " + ", ".join(
+    f"({_quoted(code, title, advice, *diagnosis.RECOMMENDATIONS[advice], *diagnosis.REASONS[advice])})" for code, title, advice, _ in diagnosis.FAILURES
+)
+
+
+@query("op_g22_merged_recommendations", DIAGNOSED + f""",
+cat(c, failure_title, code, priority, area, title, rationale, action) AS ({CATALOGUE}),
+u AS (SELECT query_id, unnest(failures) AS f, generate_subscripts(failures, 1) AS k FROM d),
+m AS (SELECT u.query_id, u.k, u.f.c AS c, u.f.r AS r, cat.* EXCLUDE (c) FROM u JOIN cat ON cat.c = u.f.c),
+g AS (SELECT query_id, code, arg_min(priority, k) AS priority, any_value(area) AS area, any_value(title) AS title, any_value(rationale) AS rationale, any_value(action) AS action, string_agg(c, ',' ORDER BY k) AS failure_codes FROM m GROUP BY query_id, code),
+e AS (SELECT query_id, code, ref, min(k * 1000 + i) AS seen FROM (SELECT query_id, code, k, unnest(r) AS ref, generate_subscripts(r, 1) AS i FROM m) GROUP BY ALL),
+x AS (SELECT query_id, code, string_agg('E' || ref, ',' ORDER BY seen) AS evidence_refs FROM e GROUP BY ALL)
+SELECT query_id, code, priority, area, title, rationale, action, failure_codes, coalesce(evidence_refs, '') AS evidence_refs, (row_number() OVER (PARTITION BY query_id ORDER BY priority, code))::INT AS place
+FROM g LEFT JOIN x USING (query_id, code)""")
+def merged_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = diagnosis.recommendations(diagnosed(spark, sf_dir))
+    return rows.withColumns({"failure_codes": joined("failure_codes"), "evidence_refs": joined("evidence_refs")})
+
+
+@query("op_dx6_summaries", DIAGNOSED + f""",
+cat(c, failure_title, code, priority, area, title, rationale, action) AS ({CATALOGUE})
+SELECT query_id, outcome, CASE WHEN len(codes) > 0 THEN 'This run looks ' || outcome || '. Primary issue: ' || failure_title
+  ELSE 'This run looks strong. ' || hits || ' ranked evidence item(s) were found without a deterministic failure signal.' END AS summary
+FROM d LEFT JOIN cat ON cat.c = codes[1]""")
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosed(spark, sf_dir).select("query_id", "outcome", "summary")
