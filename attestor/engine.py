@@ -19,12 +19,12 @@ from attestor.sources.store import Conflict, Store
 
 PARTITIONS = {
     "sources": "source_id", "ingestion_runs": "source_id", "documents": "source_id", "failures": "source_id", "chunks": "source_id", "embeddings": "source_id", "runs": "run_id", "run_hits": "run_id",
-    "traces": "run_id", "reruns": "rerun_id", "ci_runs": "dataset", **datasets.PARTITIONS,
+    "traces": "run_id", "reruns": "rerun_id", "ci_runs": "dataset", "ci_failures": "dataset", **datasets.PARTITIONS,
 }
 
 
 class Engine:
-    """Tables: sources, ingestion_runs, documents, failures, chunks, embeddings, runs, run_hits, traces, reruns, ci_runs, and those of datasets. Each is partitioned
+    """Tables: sources, ingestion_runs, documents, failures, chunks, embeddings, runs, run_hits, traces, reruns, ci_runs, ci_failures, and those of datasets. Each is partitioned
     by what its changes share: a source, a run, a dataset."""
 
     def __init__(self, spark: SparkSession, root: str, config: Config = Config()):
@@ -114,17 +114,21 @@ class Engine:
         summaries = stored(evals.summarize_modes(results), "experiment-modes")
         return {"results": results, "modes": summaries, "report": reports.experiment_report(results, summaries), "comparison": evals.compare_modes(summaries), "gate": evals.gate(summaries)}
 
-    def run_ci(self, cases: DataFrame, dataset: str, label: str, number: int, fail_on_gate: bool = True) -> tuple[int, DataFrame | None]:
+    def run_ci(self, cases: DataFrame, dataset: str, label: str, number: int, fail_on_gate: bool = True, branch: str | None = None, commit_sha: str | None = None) -> tuple[int, DataFrame | None]:
         """Status (0, or 422 where the gate fails and counts) and the regression against the latest earlier run of the same
-        dataset and label, read before this run is stored."""
+        dataset and label, read before this run is stored. last_report holds the run's report."""
         found = self.run_experiment(cases)
-        before = None
+        before = failed_before = None
         if self.store.exists("ci_runs"):
             held = self.store.read("ci_runs").where((F.col("dataset") == dataset) & (F.col("label") == label) & (F.col("number") < number))
             latest = held.agg(F.max("number").alias("n")).first()["n"]
-            before = held.where(F.col("number") == latest) if latest is not None else None
-        self.store.append("ci_runs", found["modes"].withColumns({"dataset": F.lit(dataset), "label": F.lit(label), "number": F.lit(number).cast("long")}))
-        self.last_report = reports.ci_report(found["results"], found["modes"], before)
+            if latest is not None:
+                before = stored(held.where(F.col("number") == latest), "baseline")
+                failed_before = stored(self.store.read("ci_failures").where((F.col("dataset") == dataset) & (F.col("label") == label) & (F.col("number") == latest)), "failed-before")
+        named = {"dataset": F.lit(dataset), "label": F.lit(label), "number": F.lit(number).cast("long")}
+        self.store.append("ci_failures", found["results"].where(F.size("failures") > 0).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("failures"))).alias("failures")).withColumns(named))
+        self.store.append("ci_runs", found["modes"].withColumns(named | {"branch": F.lit(branch).cast("string"), "commit_sha": F.lit(commit_sha).cast("string")}))
+        self.last_report = reports.ci_report(found["results"], found["modes"], before, failed_before, {"config_label": label, "branch": branch, "commit_sha": commit_sha})
         failed = found["gate"].first()["status"] == "failed"
         return (422 if failed and fail_on_gate else 0), (evals.regression(before, found["modes"]) if before is not None else None)
 

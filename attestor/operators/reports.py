@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions.text import bounded_snippet, escape_markdown, exportable_context, humanize
 from attestor.operators.diagnosis import RECOMMENDATIONS
-from attestor.operators.evals import compare_modes, gate, regression
+from attestor.operators.evals import compare_modes, gate, newly_failed, regression
 from attestor.sources.scratch import stored
 
 PRIVACY = ("metadata_only", "snippets_allowed", "full_local_only")
@@ -57,28 +57,59 @@ def fallback_recommendations(labels: DataFrame, key: str) -> DataFrame:
     return labels.select(key, "label").distinct().join(advice, "label").groupBy(key, "code", "priority", "area", "title").agg(F.array_sort(F.collect_list("label")).alias("finding_codes"))
 
 
-def experiment_report(results: DataFrame, summaries: DataFrame) -> DataFrame:
-    """section, ordinal, code, detail, cases: an experiment's findings (each failure once, with its number of cases and the first),
-    the comparison of its modes, and recommendations by priority."""
+def _items(results: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The rows of an experiment's report before they are numbered."""
     failed = results.select("mode", "query_id", F.explode("failures").alias("label"))
     found = failed.groupBy("label").agg(F.count(F.lit(1)).alias("cases"), F.min(F.struct("mode", "query_id")).alias("first"))
     findings = found.select(F.lit("findings").alias("section"), F.col("label").alias("code"), F.format_string("first in %s, case %s", "first.mode", F.col("first.query_id").cast("string")).alias("detail"), F.lit(1).alias("priority"), "cases")
     advice = fallback_recommendations(found.select(F.lit(1).alias("report"), "label"), "report").select(F.lit("recommendations").alias("section"), "code", F.col("title").alias("detail"), "priority", F.size("finding_codes").cast("long").alias("cases"))
     best = compare_modes(summaries).where("modes > 1 AND recall_delta > 0")
     mode = best.select(F.lit("recommendations").alias("section"), F.lit("use_best_retrieval_mode").alias("code"), F.format_string("Validate %s as the preferred retrieval mode", "best_mode").alias("detail"), F.lit(2).alias("priority"), F.lit(1).cast("long").alias("cases"))
-    rows = findings.unionByName(advice).unionByName(mode)
+    return findings.unionByName(advice).unionByName(mode)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("section").orderBy("priority", "code"))  # a row for each failure label or piece of advice
     return rows.select("section", nth.alias("ordinal"), "code", "detail", "cases")
 
 
-def ci_report(results: DataFrame, summaries: DataFrame, baseline: DataFrame | None) -> DataFrame:
-    """The experiment's report with the gate, and with the regression of the best mode where there is a baseline."""
-    gated = gate(summaries).select(F.lit("gate").alias("section"), F.lit(1).alias("ordinal"), F.col("status").alias("code"), F.array_join("reasons", ",").alias("detail"), F.lit(None).cast("long").alias("cases"))
-    rows = experiment_report(results, summaries).unionByName(gated)
-    if baseline is None:
-        return rows
-    lost = regression(baseline, summaries).where("recall_delta < 0")
-    return rows.unionByName(lost.select(F.lit("regression").alias("section"), F.lit(1).alias("ordinal"), F.lit("recall_regression").alias("code"), F.format_string("%.6f", "recall_delta").alias("detail"), F.lit(None).cast("long").alias("cases")))
+def experiment_report(results: DataFrame, summaries: DataFrame) -> DataFrame:
+    """section, ordinal, code, detail, cases: an experiment's findings (each failure once, with its number of cases and the first),
+    the comparison of its modes, and recommendations by priority."""
+    return _numbered(_items(results, summaries))
+
+
+#: The finding of a comparison with a baseline, and what is advised where cases fail anew.
+REGRESSION, REVIEW, REVIEW_TITLE = "ci_regression", "review_ci_regression", "Review newly failing CI cases"
+
+
+def regression_sentence(deltas: DataFrame) -> Column:
+    """What a row of regression() says in one sentence."""
+    return F.format_string("Recall %+.2f, precision %+.2f, MRR %+.2f, p95 latency %+d ms.", deltas["recall_delta"], deltas["precision_delta"], deltas["mrr_delta"], deltas["latency_delta"])
+
+
+def ci_report(results: DataFrame, summaries: DataFrame, baseline: DataFrame | None = None, baseline_results: DataFrame | None = None, run: dict[str, str | None] | None = None) -> DataFrame:
+    """The experiment's report with its gate and what is known of the run (config_label, branch, commit_sha, as far as given). With a baseline (summaries, and results with failures for cases
+    that fail anew) also the changes of the best mode, the finding that tells of them, and advice where cases fail anew: both stand last in their sections."""
+    spark = results.sparkSession
+    status = gate(summaries)
+    none = F.lit(None).cast("long")
+    row = lambda d, section, code, detail, order=1, cases=none: d.select(F.lit(section).alias("section"), F.lit(code).alias("code"), detail.alias("detail"), F.lit(order).alias("priority"), cases.alias("cases"))
+    gated = status.select(F.lit("gate").alias("section"), F.col("status").alias("code"), F.array_join("reasons", ",").alias("detail"), F.lit(1).alias("priority"), none.alias("cases"))
+    rows = _items(results, summaries).unionByName(gated).unionByName(row(status, "context", "ci_gate_status", F.col("status")))
+    known = [(f"ci_{k}", v) for k, v in (run or {}).items() if v is not None]
+    if known:
+        rows = rows.unionByName(spark.createDataFrame(known, "code string, detail string").select(F.lit("context").alias("section"), "code", "detail", F.lit(1).alias("priority"), none.alias("cases")))
+    if baseline is not None:
+        before = baseline_results if baseline_results is not None else results.limit(0)
+        lost = newly_failed(before, results).agg(F.count(F.lit(1)).alias("lost"))
+        change = stored(regression(baseline, summaries).join(lost), "regression")  # two single rows
+        for name, value in (("recall", F.format_string("%.3f", "recall_delta")), ("precision", F.format_string("%.3f", "precision_delta")), ("mrr", F.format_string("%.3f", "mrr_delta")), ("latency", F.col("latency_delta").cast("string"))):
+            rows = rows.unionByName(row(change, "context", f"ci_{name}_delta" + ("_ms" if name == "latency" else ""), value))
+        rows = rows.unionByName(row(change, "context", "ci_newly_failed_case_count", F.col("lost").cast("string")))
+        rows = rows.unionByName(row(change, "findings", REGRESSION, regression_sentence(change), 9, F.col("lost")))
+        rows = rows.unionByName(row(change.where("lost > 0"), "recommendations", REVIEW, F.lit(REVIEW_TITLE), 9, F.lit(1).cast("long")))
+    return _numbered(rows)
 
 
 def report_context(hits: DataFrame, mode: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.operators import answer, diagnosis, embedding, requests
+from attestor.operators import answer, diagnosis, embedding, evals, reports, requests
 from attestor.plans import oracle as o
-from attestor.plans.queries import DIAGNOSED, INDEX, diagnosed, joined, query
+from attestor.plans.queries import DIAGNOSED, INDEX, MODES, diagnosed, joined, mode_results, query
 from attestor.plans.tables import chunks, index_state, questions
+from attestor.sources.scratch import stored
 
 #: A fourth of the questions has no scope, a fourth one source, a fourth two, a fourth a list of documents.
 IN_SCOPE = """((query_id % 4 <> 1 OR source_id = 'src' || query_id % 20) AND (query_id % 4 <> 2 OR source_id IN ('src' || query_id % 20, 'src' || (query_id + 7) % 20))
@@ -84,3 +85,24 @@ SELECT query_id, outcome, CASE WHEN len(codes) > 0 THEN 'This run looks ' || out
 FROM d LEFT JOIN cat ON cat.c = codes[1]""")
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosed(spark, sf_dir).select("query_id", "outcome", "summary")
+
+
+@query("op_rep3_ci_report", MODES + """,
+ch AS (SELECT round(c.recall - b.recall, 6) AS re, round(c.precision - b.precision, 6) AS pr, round(c.mrr - b.mrr, 6) AS mr, c.p95 - b.p95 AS la
+  FROM (SELECT * FROM summary WHERE mode = 'vector') b, (SELECT * FROM summary WHERE mode = 'lexical') c),
+newly AS (SELECT count(*) AS lost FROM results WHERE len(failures) > 0 AND query_id % 4 = 0),
+x(section, code, detail) AS (
+  SELECT 'context', 'ci_gate_status', CASE WHEN recall < 0.8 OR critical > 0 OR round(weak_count / cases::DOUBLE, 6) > 0.2 THEN 'failed' ELSE 'passed' END FROM summary WHERE mode = 'lexical'
+  UNION ALL VALUES ('context', 'ci_config_label', 'main'), ('context', 'ci_branch', 'work')
+  UNION ALL SELECT 'context', 'ci_recall_delta', printf('%.3f', re) FROM ch UNION ALL SELECT 'context', 'ci_precision_delta', printf('%.3f', pr) FROM ch UNION ALL SELECT 'context', 'ci_mrr_delta', printf('%.3f', mr) FROM ch
+  UNION ALL SELECT 'context', 'ci_latency_delta_ms', la::VARCHAR FROM ch UNION ALL SELECT 'context', 'ci_newly_failed_case_count', lost::VARCHAR FROM newly
+  UNION ALL SELECT 'findings', 'ci_regression', printf('Recall %+.2f, precision %+.2f, MRR %+.2f, p95 latency %+d ms.', re, pr, mr, la) FROM ch
+  UNION ALL SELECT 'recommendations', 'review_ci_regression', 'Review newly failing CI cases' FROM newly WHERE lost > 0
+) SELECT * FROM x""")
+def ci_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report of a lexical run says of itself and of its changes against a vector run in which the cases with a number divisible by 4 had no failure."""
+    rows = stored(mode_results(spark, sf_dir), "mode-results")
+    now, before = rows.where("mode = 'lexical'"), rows.where("mode = 'vector'")
+    earlier = now.withColumn("failures", F.when(F.col("query_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.col("failures")))
+    report = reports.ci_report(now, evals.summarize_modes(now), evals.summarize_modes(before), earlier, {"config_label": "main", "branch": "work", "commit_sha": None})
+    return report.where("section = 'context' OR code IN ('ci_regression', 'review_ci_regression')").select("section", "code", "detail")
