@@ -65,6 +65,11 @@ class Store:
             raise KeyError(name)
         return self._rows(name).drop(PART)
 
+    def _establish(self, name: str, rows: DataFrame) -> None:
+        """A new table begins with a mark that holds its columns, so that it can be read before it has a row."""
+        if not self.exists(name):
+            self._write(name, rows.limit(0).withColumn(PART, self._part(name)), self.spark.createDataFrame([("p-",)], f"{PART} string"))
+
     def _write(self, name: str, rows: DataFrame, touched: DataFrame | None = None) -> None:
         """rows (with their partitions) in place of what the touched partitions hold; those without rows get an empty mark."""
         out = rows.withColumn(EMPTY, F.lit(None).cast(BooleanType()))
@@ -81,6 +86,7 @@ class Store:
         Partitions that no change touches are neither read nor written."""
         by = self.partitions.get(name)
         columns = [c for c in changes.columns if c != "op"]
+        self._establish(name, changes.drop("op"))
         rows = stored(changes.select("*", self._part(name).alias(PART), (at if at is not None else F.current_timestamp()).alias("_at")), "changes")
         touched = rows.select(PART).distinct()
         held = self._held(name, touched, rows.select(*columns, PART))
@@ -100,6 +106,7 @@ class Store:
 
     def put(self, name: str, rows: DataFrame, value: str) -> None:
         """rows in place of whatever the partition of a value holds; done again, it gives the same."""
+        self._establish(name, rows)
         rows = stored(rows.withColumn(PART, self._part(name)), "rows")
         self._write(name, rows, self.spark.createDataFrame([(f"p-{value}",)], f"{PART} string"))
 
@@ -115,6 +122,7 @@ class Store:
         if key:
             self.change(name, rows.withColumn("op", F.lit(INSERT)), key)
             return
+        self._establish(name, rows)
         out = rows.withColumns({PART: self._part(name), EMPTY: F.lit(None).cast(BooleanType())})
         out.write.mode("append").partitionBy(PART).parquet(self._path(name))
 

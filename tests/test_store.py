@@ -73,7 +73,7 @@ def test_changes_rewrite_only_the_partitions_they_touch(spark):
     make = lambda *rows: spark.createDataFrame(rows, "d string, id string, v int, op string")
     store.change("t", make(("x", "1", 1, "insert"), ("x", "2", 1, "insert"), ("y", "1", 1, "insert"), ("z", "1", 1, "insert"), (None, "1", 1, "insert")), "id")
     before = parts(spark, store)
-    assert len(before) == 4
+    assert len(before) == 4 and store.read("t").count() == 5
     got = store.change("t", make(("x", "1", 2, "update"), ("x", "9", 2, "update"), ("x", "3", 2, "upsert"), ("z", "1", None, "delete"), ("w", "1", None, "delete")), "id", F.lit("2024-01-02 00:00:00").cast("timestamp"))
     assert sorted((r["d"], r["inserted"], r["updated"], r["deleted"]) for r in got.collect()) == [("x", 1, 1, 0), ("z", 0, 0, 1)]
     assert {str(r["updated_at"]) for r in got.collect()} == {"2024-01-02 00:00:00"}
@@ -108,3 +108,13 @@ def test_appends_rewrite_nothing(spark):
     before = parts(spark, store)["p-a"]
     store.append("t", frame(spark, ("a", 2, "y")).withColumnRenamed("id", "d"))
     assert set(before) < set(parts(spark, store)["p-a"]) and held(store) == [("a", 1, "x"), ("a", 2, "y")]
+
+
+def test_tables_without_rows_have_columns(spark, store):
+    none = frame(spark, ("a", 1, "x")).limit(0)
+    store.append("t", none)
+    store.change("c", none.withColumn("op", F.lit("insert")), "id")
+    store.put("p", none, "x")
+    assert all(store.read(t).columns == ["id", "at", "v"] and store.read(t).count() == 0 for t in "tcp")
+    store.append("t", frame(spark, ("a", 1, "x")))
+    assert held(store) == [("a", 1, "x")]
