@@ -68,7 +68,8 @@ class Store:
     def _establish(self, name: str, rows: DataFrame) -> None:
         """A new table begins with a mark that holds its columns, so that it can be read before it has a row."""
         if not self.exists(name):
-            self._write(name, rows.limit(0).withColumn(PART, self._part(name)), self.spark.createDataFrame([("p-",)], f"{PART} string"))
+            none = self.spark.createDataFrame([], rows.schema)
+            self._write(name, none.withColumn(PART, self._part(name)), self.spark.createDataFrame([("p-",)], f"{PART} string"))
 
     def _write(self, name: str, rows: DataFrame, touched: DataFrame | None = None) -> None:
         """rows (with their partitions) in place of what the touched partitions hold; those without rows get an empty mark."""
