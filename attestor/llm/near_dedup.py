@@ -42,7 +42,7 @@ FILTER_BITS = 1 << 26
 WORTH = 10
 
 #: Characters hashed at a time and rows in a batch, which bound a worker's memory.
-SLICE, BATCH = 300_000, 1000
+SLICE, BATCH = 300_000, 500
 
 _SIGNATURE = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("symbols", T.BinaryType()),
