@@ -26,7 +26,6 @@ from functools import reduce
 from itertools import count
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,19 +98,14 @@ def index_keys(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "symbols").mapInArrow(made, "key long, cid long")
 
 
+def _place() -> Column:
+    return F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(cid, n, shingles, bitmaps) of the classes in wanted (cid, rep, digest), from the texts of their first documents."""
-    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    parts = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(32767)).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def passes(places: pd.Series) -> pd.Series:
-        at = places.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+    wanted_bits = wanted.select(_place().alias("place")).groupBy(F.shiftright("place", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(32767)).alias("bits"))
+    bits = stored(wanted_bits, "filter")  # at most FILTER_BITS / 32768 rows of 4096 bytes
 
     def made(batches: Iterator):
         import pyarrow as pa
@@ -125,8 +119,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     columns = [pa.array(map(set_digest, found), pa.binary()), pa.array(map(len, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns + [pa.array(bitmaps[:, k]) for k in range(WORDS_OF_BITS)], names=_SET.names)
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("rep"), "text").where(F.col("rep").isNotNull())
-    sets = rows.where(passes(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)))).mapInArrow(made, _SET)
+    rows = docs.select(docs["doc_id"].cast("long").alias("rep"), "text").where(F.col("rep").isNotNull()).withColumn("part", F.shiftright(_place(), 15))
+    at = _place().bitwiseAND(32767).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    passed = rows.join(F.broadcast(bits), "part").where(F.call_function("shiftright", byte, at.bitwiseAND(7)).bitwiseAND(1) == 1)
+    sets = passed.select("rep", "text").mapInArrow(made, _SET)
     return sets.dropDuplicates(["digest"]).join(wanted.select("cid", "digest"), "digest").drop("digest")
 
 
