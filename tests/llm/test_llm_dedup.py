@@ -239,3 +239,17 @@ def test_calls_leave_no_table_in_the_catalog(spark):
     before = {t.name for t in spark.catalog.listTables()}
     exact_dedup.exact_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string")).count()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_sets_of_wanted_classes(spark):
+    """Every wanted class comes with its whole set, whatever its id; others and rows without an id do not come."""
+    ids = [*range(-40, 160), 2**62, -(2**62), 2**31, 1 << 26]
+    texts = {i: " ".join(f"w{abs(i) % 89}x{k}y{i}" for k in range(3 + abs(i) % 20)) for i in ids}
+    docs = spark.createDataFrame([*texts.items(), (None, "a row without an id has no class"), (500, None)], "doc_id long, text string")
+    marks = near_dedup.signatures(docs, 5).where("digest is not null and doc_id is not null")
+    wanted = marks.where("doc_id % 3 = 0 or abs(doc_id) > 1000").select(F.col("doc_id").alias("cid"), F.col("doc_id").alias("rep"), "digest")
+    got = {r["cid"]: (r["n"], bytes(r["shingles"])) for r in near_dedup.sets_of(docs, wanted, 5).collect()}
+    chosen = [i for i in ids if i % 3 == 0 or abs(i) > 1000]
+    sets = dict(zip(chosen, shingle_sets([texts[i] for i in chosen], 5), strict=True))
+    assert got == {i: (len(s), s.tobytes()) for i, s in sets.items()}
+    assert near_dedup.sets_of(docs, wanted.limit(0), 5).count() == 0
