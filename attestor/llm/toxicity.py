@@ -12,7 +12,7 @@ labelled rows is bounded by ``sample`` and drawn by a hash of the doc_id alone.
 only counts, votes and inputs of the classifier reach the driver. Vote statistics are sums over all rows.
 
 Defined results: null and empty texts get the score of a text without any entry; repeated rows get equal
-answers; without labels the fixed insults alone vote; an empty table gives an empty result; other columns are
+answers; a doc_id that is labelled both 0 and 1 counts in both classes; without labels the fixed insults alone vote; an empty table gives an empty result; other columns are
 not read.
 """
 
