@@ -337,7 +337,7 @@ def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admit(files).select(F.col("request_id").alias("conv_id"), F.col("position").alias("turn"), "failure")
 
 
-@query("op_x2_run_metrics", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS mode, count(*) AS runs, round(avg((value > 50)::INT::DOUBLE), 6) AS failure_rate, round(avg(value), 4) AS latency, list_sort(list(value))[ceil(count(value) * 0.95)::INT] AS p95 FROM events GROUP BY ALL""")
+@query("op_x2_run_metrics", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS mode, count(*) AS runs, round(avg((value > 50)::INT::DOUBLE)::DECIMAL(28, 9), 6)::DOUBLE AS failure_rate, round(avg(value)::DECIMAL(28, 9), 4)::DOUBLE AS latency, list_sort(list(value))[ceil(count(value) * 0.95)::INT] AS p95 FROM events GROUP BY ALL""")
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestor.streaming.streams import run_metrics as metrics
 
