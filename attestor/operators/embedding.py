@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.hashing import CONCEPTS, concept, feature_index, feature_sign
-from attestor.functions.text import embedding_tokens
+from attestor.functions.text import EMBEDDING_STOP_WORDS, embedding_tokens, normalize_text
 
 DIMENSION, MODEL = 384, "local-hash-v1"
 TOKEN, NGRAM, CONCEPT, BIGRAM = 1.0, 0.15, 2.2, 0.45
@@ -44,36 +45,71 @@ def embed_sparse(df: DataFrame, key: str, text: str, dimension: int = DIMENSION)
     return sums.select(key, "idx", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("value"))
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(name: str, dimension: int) -> tuple[int, float]:
+#: By kind of feature, negative and positive: what a slot gets for each.
+WEIGHTS = np.array([sign * weight for weight in (TOKEN, NGRAM, CONCEPT, BIGRAM) for sign in (-1.0, 1.0)])
+
+
+def _code(kind: int, name: str, dimension: int) -> int:
+    """Kind, sign and slot of a feature in one number."""
     digest = hashlib.sha256(name.encode()).digest()
-    return int.from_bytes(digest[:8], "big") % dimension, 1.0 if digest[8] & 1 else -1.0
+    return (2 * kind + (digest[8] & 1)) * dimension + int.from_bytes(digest[:8], "big") % dimension
+
+
+class _Kept(dict):
+    """What is made of a key, kept for the next time; all is dropped when it is much."""
+
+    def __init__(self, make, most: int = 1 << 17):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        made = self.make(key)
+        if len(key) <= 32:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = made
+        return made
+
+
+@lru_cache(maxsize=4)
+def _codes(dimension: int) -> _Kept:
+    """By token, the features that it has alone, as 32-bit numbers: texts share most of their tokens, and rare tokens their trigrams."""
+    ngrams = _Kept(lambda x: _code(1, f"ngram:{x}", dimension))
+
+    def alone(token: str) -> bytes:
+        codes = [_code(0, f"token:{token}", dimension), *map(ngrams.__getitem__, map("".join, zip(token, token[1:], token[2:], strict=False)))]
+        if token in _CONCEPT_OF:
+            codes.append(_code(2, f"concept:{_CONCEPT_OF[token]}", dimension))
+        return array("i", codes).tobytes()
+
+    return _Kept(alone)
 
 
 def _dense(tokens, dimension: int) -> np.ndarray:
-    out = np.zeros(dimension)
-    names = [(f"token:{t}", TOKEN) for t in tokens]
-    for t in tokens:
-        names += [(f"ngram:{t[i : i + 3]}", NGRAM) for i in range(len(t) - 2)]
-        if t in _CONCEPT_OF:
-            names.append((f"concept:{_CONCEPT_OF[t]}", CONCEPT))
-    names += [(f"bigram:{a}:{b}", BIGRAM) for a, b in zip(tokens, tokens[1:], strict=False)]
-    for name, weight in names:
-        at, sign = _slot(name, dimension)
-        out[at] += sign * weight
-    out = np.round(out, 6)
+    alone = np.frombuffer(b"".join(map(_codes(dimension).__getitem__, tokens)), np.int32)
+    # Neighbours seldom come again: their digests are made for each text and read as arrays.
+    digests = np.frombuffer(b"".join([hashlib.sha256(f"bigram:{a}:{b}".encode()).digest() for a, b in zip(tokens, tokens[1:], strict=False)]), np.uint8).reshape(-1, 32)
+    slots = np.ascontiguousarray(digests[:, :8]).view(">u8").ravel() % np.uint64(dimension)
+    pairs = (6 + (digests[:, 8] & 1)).astype(np.int64) * dimension + slots.astype(np.int64)
+    counts = np.bincount(alone, minlength=8 * dimension) + np.bincount(pairs, minlength=8 * dimension)
+    out = np.round(WEIGHTS @ counts.reshape(8, dimension), 6)
     norm = np.sqrt((out * out).sum())
     return out / norm if norm else out
 
 
 def embed(text: Column, dimension: int = DIMENSION) -> Column:
-    """The dense embedding: an Arrow function over the tokens, equal to embed_sparse()."""
+    """The dense embedding: an Arrow function over the normalized text, equal to embed_sparse()."""
+    return embed_normalized(normalize_text(text), dimension)
+
+
+def embed_normalized(norm: Column, dimension: int = DIMENSION) -> Column:
+    """The dense embedding of a text by its normalized form, where that is at hand."""
+    drop = frozenset(("", *EMBEDDING_STOP_WORDS))
 
     @F.pandas_udf("array<double>")
-    def dense(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: _dense([] if t is None else list(t), dimension).tolist())
+    def dense(norm: pd.Series) -> pd.Series:
+        return norm.map(lambda t: _dense([] if t is None else sorted(set(t.split(" ")) - drop), dimension))
 
-    return dense(embedding_tokens(text))
+    return dense(norm)
 
 
 def state(chunk_checksum: Column, model: Column, size: Column, stored_checksum: Column, dimension: int = DIMENSION) -> Column:

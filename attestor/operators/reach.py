@@ -176,15 +176,17 @@ def first_texts(rows: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def in_reach(chunks: DataFrame, queries: DataFrame, mode: str, vectors: DataFrame | None, asked: DataFrame | None, k: int, config, metadata: Column) -> DataFrame:
     """query_id, chunk_id, matched, frequency, body, phrase, similarity of the pairs that can be among the first k of their query, by score, path, ordinal and
-    chunk_id, one a checksum. queries: prepared; vectors: (chunk_id, vector); asked: (query_id, vector); metadata: a chunk's own part of the score."""
+    chunk_id, one a checksum. queries: prepared; vectors: (chunk_id, vector), None where chunks have them; asked: (query_id, vector); metadata: a chunk's own part of the
+    score. chunks may have norm, the normalized text."""
     lexical = mode != "vector"
-    norm = lambda c: normalize_text(F.col(c)) if lexical else F.lit("")
+    norm = lambda c: (F.col("norm") if c == "text" and "norm" in chunks.columns else normalize_text(F.col(c))) if lexical else F.lit("")
     rows = chunks.select(
         "chunk_id", "checksum", "path", "ordinal", "source_id", "document_id", norm("text").alias("norm"), F.coalesce(norm("section_title"), F.lit("")).alias("section_norm"),
         F.coalesce(norm("path"), F.lit("")).alias("path_norm"), (metadata if lexical else F.lit(0.0)).alias("offset"),
+        *(["vector"] if mode != "lexical" and vectors is None else []),
     )
     if mode != "lexical":
-        rows, queries = rows.join(vectors, "chunk_id", "left"), queries.join(asked, "query_id")
+        rows, queries = rows if vectors is None else rows.join(vectors, "chunk_id", "left"), queries.join(asked, "query_id")
     kind = dict(queries.dtypes)["query_id"]
     return by_blocks(queries, MAX_QUERIES, lambda held: _in_reach(rows, held, mode, k, config, kind))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from attestor.functions.hashing import cosine
 from attestor.functions.text import best_snippet, normalize_text, normalized_tokens, query_terms
 from attestor.operators import reach
+from attestor.operators.embedding import embed_normalized
 from attestor.operators.reach import in_reach, own_scope, scope_columns
 from attestor.sources.scratch import stored
 
@@ -63,6 +64,11 @@ def in_scope(sources: list[str] | None, documents: list[str] | None) -> Column:
     return out
 
 
+def prepare_chunks(chunks: DataFrame) -> DataFrame:
+    """chunks with norm, their normalized texts, and vector, the hashed embeddings: made in one pass for runs in several modes."""
+    return chunks.withColumn("norm", normalize_text(F.col("text"))).withColumn("vector", embed_normalized(F.col("norm")))
+
+
 def prepare_queries(queries: DataFrame) -> DataFrame:
     """queries (query_id, query, and source_ids and document_ids where they have scopes) with their sorted terms, their number and the normalized query."""
     return queries.select("query_id", "query", *scope_columns(queries), query_terms(F.col("query")).alias("terms"), F.size(query_terms(F.col("query"))).alias("n_terms"), normalize_text(F.col("query")).alias("normalized"))
@@ -196,6 +202,7 @@ def with_copies(hits: DataFrame, chunks: DataFrame, mode: str, vectors: DataFram
     rest = keys.where(~plain)
     if mode != "lexical" and vectors is not None:
         held = held.join(vectors, "chunk_id", "left")
+    if "vector" in held.columns:
         rest = rest.join(asked.withColumnRenamed("vector", "asked"), "query_id", "left")
     scope = ["source_id", "document_id"] if scoped else []
     kinds = ["checksum", "section_title", "path", *scope, *[c for c in ("vector",) if c in held.columns]]
@@ -224,12 +231,17 @@ def cite(hits: DataFrame) -> DataFrame:
 
 def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "lexical", vectors: DataFrame | None = None, asked: DataFrame | None = None, top_k: int = 5, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """Hits of all queries, ranked. chunks: annotated chunks with path; queries: query_id, query, and arrays source_ids and document_ids where they have
-    scopes of their own; vectors (chunk_id, vector) and asked (query_id, vector) for vector and hybrid runs."""
+    scopes of their own; vectors (chunk_id, vector) and asked (query_id, vector) for vector and hybrid runs. Chunks that come with vector and norm, as prepare_chunks() gives
+    them, are neither joined with vectors nor normalized again."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     k = min(config.top_k if top_k == 0 else top_k, config.max_top_k)
+    if mode == "lexical" or vectors is not None:
+        chunks = chunks.drop("vector")
     prepared = stored(prepare_queries(queries), "queries")
     pairs = stored(in_reach(chunks, prepared, mode, vectors, asked, k, config, metadata(config)), "pairs")
-    ranked = stored(rank_hits(score(chunks, prepared, pairs, mode, config).drop("text"), k, config), "ranked")
+    ranked = stored(rank_hits(score(chunks.drop("norm", "vector"), prepared, pairs, mode, config).drop("text"), k, config), "ranked")
     hits = with_copies(ranked, chunks, mode, vectors, asked, config)
-    return cite(hits.join(chunks.select("chunk_id", "text"), "chunk_id"))  # texts meet only the hits that stay
+    # Only the texts of hits that stay are shuffled; where the hits are few, Spark finds them where they are read.
+    texts = chunks.select("chunk_id", "text").join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return cite(hits.join(texts, "chunk_id"))

@@ -21,9 +21,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(F.lit("d"), key).alias("document_id"), F.col("source").alias("source_id"), F.concat(F.col("source"), F.lit("/"), key, F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def annotated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate_quality(chunk_whitespace(documents(spark, sf_dir), Chunking(strategy="whitespace")))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The annotated chunks of all documents, stored: queries read them several times."""
-    return stored(annotate_quality(chunk_whitespace(documents(spark, sf_dir), Chunking(strategy="whitespace"))), "chunks")
+    return stored(annotated_chunks(spark, sf_dir), "chunks")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

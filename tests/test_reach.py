@@ -105,3 +105,42 @@ def test_first_texts_keep_every_possible_first():
         for at, own in rows.groupby("at"):
             best = own.sort_values(["score", "path", "ordinal", "chunk_id"], ascending=[False, True, True, True]).drop_duplicates("checksum").head(3)
             assert set(best["chunk_id"]) <= set(got[got["at"] == at]["chunk_id"]) and len(got[got["at"] == at]) <= 9
+
+
+def test_chunks_prepared_once_give_the_hits_of_all_modes(spark):
+    from attestor.operators.embedding import embed
+    from attestor.sources.scratch import stored
+
+    c, q = corpus(spark), questions(spark)
+    held, asked = stored(retrieval.prepare_chunks(c), "chunks"), stored(q.select("query_id", embed(F.col("query")).alias("vector")), "asked")
+    apart = stored(c.select("chunk_id", embed(F.col("text")).alias("vector")), "vectors")
+    for mode in retrieval.MODES:
+        got, want = (retrieval.retrieve(x, q, mode, v, asked).drop("source_ids", "document_ids") for x, v in ((held, None), (c, apart)))
+        assert got.columns == want.columns and want.count() > 0
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_embeddings_count_features_whatever_is_kept_of_tokens(spark, monkeypatch):
+    import hashlib
+
+    from attestor.functions.hashing import CONCEPTS
+    from attestor.operators import embedding
+
+    def plain_vector(tokens, dimension):
+        names = [(f"token:{t}", 1.0) for t in tokens] + [(f"ngram:{t[i : i + 3]}", 0.15) for t in tokens for i in range(len(t) - 2)]
+        names += [(f"concept:{c}", 2.2) for t in tokens for c, held in CONCEPTS.items() if t in held] + [(f"bigram:{a}:{b}", 0.45) for a, b in zip(tokens, tokens[1:], strict=False)]
+        out = np.zeros(dimension)
+        for name, weight in names:
+            digest = hashlib.sha256(name.encode()).digest()
+            out[int.from_bytes(digest[:8], "big") % dimension] += weight if digest[8] & 1 else -weight
+        out = np.round(out, 6)
+        return out / (np.linalg.norm(out) or 1.0)
+
+    r = random.Random(5)
+    texts = [sorted({"".join(r.choices("abcé1", k=r.randint(1, 50))) for _ in range(r.randint(0, 60))} | set(r.sample(["gpu", "skill", "vector", "vectors"], 2))) for _ in range(40)] + [[]]
+    for most in (1 << 17, 3):
+        embedding._codes.cache_clear()
+        monkeypatch.setattr(embedding._Kept.__init__, "__defaults__", (most,))
+        for size in (384, 7):
+            assert all(np.allclose(embedding._dense(t, size), plain_vector(t, size), atol=1e-12) for t in texts)
+    embedding._codes.cache_clear()
